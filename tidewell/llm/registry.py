@@ -1,6 +1,20 @@
 """The queries of this subpackage by name, and SQL that gives the same rows where SQL can."""
 
+from .bpe import op5_bpe
+from .chat import OP1_SQL, op1_chat
+from .decontaminate import OP6_SQL, op6_decontaminate
+from .quality import op10_quality
+from .secrets import op7_secrets
+from .shard import op4_shard
 from .simhash import op9_simhash
 
-QUERIES = {"op9_simhash": op9_simhash}
-ORACLE_SQL = {}
+QUERIES = {
+    "op1_chat": op1_chat,
+    "op4_shard": op4_shard,
+    "op5_bpe": op5_bpe,
+    "op6_decontaminate": op6_decontaminate,
+    "op7_secrets": op7_secrets,
+    "op9_simhash": op9_simhash,
+    "op10_quality": op10_quality,
+}
+ORACLE_SQL = {"op1_chat": OP1_SQL, "op6_decontaminate": OP6_SQL}
