@@ -32,7 +32,7 @@ TEMPLATE = {
     "control": ("<s>", "</s>", "<|im_start|>", "<|im_sep|>", "<|im_end|>", "<|endoftext|>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>"),
 }
 #: The machine: (state, role) -> state; a conversation may end in one of ACCEPT.
-START, ACCEPT = "start", ("assistant",)
+START, ACCEPT = "start", ("assistant", "user")
 MOVES = {("start", "system"): "system", ("start", "user"): "user", ("system", "user"): "user", ("user", "assistant"): "assistant", ("assistant", "user"): "user"}
 
 
@@ -143,6 +143,6 @@ select conv_id, count(*) as n_turns,
   sha256(coalesce(string_agg(text, '' order by pos) filter (role = 'assistant'), '')) as loss_sha256,
   cast(sum(length({_sql_escape("role")}) + length({_sql_escape("text")}) + {len(TEMPLATE["turn"] + TEMPLATE["separator"] + TEMPLATE["close"])}) + {len(TEMPLATE["begin"] + TEMPLATE["end"])} as bigint) as formatted_chars,
   bool_and(case when pos = 1 then role in ('system', 'user') when before in ('system', 'assistant') then role = 'user' when before = 'user' then role = 'assistant' else false end)
-    and bool_or(pos = n and role = 'assistant') as valid
+    and bool_or(pos = n and role in ('assistant', 'user')) as valid
 from numbered group by conv_id
 """

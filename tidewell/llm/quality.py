@@ -24,6 +24,8 @@ from .common import map_texts, table
 
 BITS = 18
 SCALE = 20.0
+#: The place of every bigram of a word with itself, whatever the word.
+SAME = 1
 #: Labelled rows that training reads at most.
 TRAIN_ROWS = 3000
 EPOCHS = 4
@@ -49,6 +51,7 @@ def places(text: str | None) -> np.ndarray:
         h.append(x)
     one = np.array(h, np.uint64)
     two = (one[:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:]) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS)
+    two[one[:-1] == one[1:]] = SAME
     return np.concatenate([one & np.uint64((1 << BITS) - 1), two]).astype(np.int64)
 
 

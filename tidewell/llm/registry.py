@@ -3,6 +3,7 @@
 from .bpe import op5_bpe
 from .chat import OP1_SQL, op1_chat
 from .decontaminate import OP6_SQL, op6_decontaminate
+from .passages import OP2_SQL, op2_passages
 from .quality import op10_quality
 from .secrets import op7_secrets
 from .shard import op4_shard
@@ -10,6 +11,7 @@ from .simhash import op9_simhash
 
 QUERIES = {
     "op1_chat": op1_chat,
+    "op2_passages": op2_passages,
     "op4_shard": op4_shard,
     "op5_bpe": op5_bpe,
     "op6_decontaminate": op6_decontaminate,
@@ -17,4 +19,4 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL = {"op1_chat": OP1_SQL, "op6_decontaminate": OP6_SQL}
+ORACLE_SQL = {"op1_chat": OP1_SQL, "op2_passages": OP2_SQL, "op6_decontaminate": OP6_SQL}
