@@ -8,6 +8,7 @@ from .quality import op10_quality
 from .secrets import op7_secrets
 from .shard import op4_shard
 from .simhash import op9_simhash
+from .vectors import OP8_SQL, op8_vectors
 
 QUERIES = {
     "op1_chat": op1_chat,
@@ -16,7 +17,8 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_decontaminate": op6_decontaminate,
     "op7_secrets": op7_secrets,
+    "op8_vectors": op8_vectors,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
 }
-ORACLE_SQL = {"op1_chat": OP1_SQL, "op2_passages": OP2_SQL, "op6_decontaminate": OP6_SQL}
+ORACLE_SQL = {"op1_chat": OP1_SQL, "op2_passages": OP2_SQL, "op6_decontaminate": OP6_SQL, "op8_vectors": OP8_SQL}
