@@ -221,34 +221,23 @@ FEED = 4096
 
 
 def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with, in place of the text: ids (array of int) and n_tokens."""
-
-    def run(texts: list) -> list:
-        ids = [bpe_of(path).encode(t) for t in texts]
-        return [ids, [len(x) for x in ids]]
-
-    return map_texts(docs, run, "ids array<int>, n_tokens long", text)
-
-
-def digest_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with, in place of the text: n_tokens, ids_sha256 and decoded_sha256 (decoded piece by piece)."""
+    """docs with, in place of the text: ids (array of int), n_tokens, ids_sha256 and decoded_sha256 (decoded piece by piece)."""
 
     def run(texts: list) -> list:
         bpe = bpe_of(path)
-        n, ids_hex, text_hex = [], [], []
+        rows: list[list] = [[], [], [], []]
         for t in texts:
             ids = bpe.encode(t)
             decoder, h = Decoder(bpe, surface=True), hashlib.sha256()
             for at in range(0, len(ids), FEED):
                 h.update(decoder.feed(ids[at : at + FEED]).encode("utf-8"))
             h.update(decoder.end().encode("utf-8"))
-            n.append(len(ids))
-            ids_hex.append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
-            text_hex.append(h.hexdigest())
-        return [n, ids_hex, text_hex]
+            for column, x in zip(rows, (ids, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), h.hexdigest()), strict=True):
+                column.append(x)
+        return rows
 
-    return map_texts(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string", text)
+    return map_texts(docs, run, "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string", text)
 
 
 def op5_bpe(spark, sf_dir):
-    return digest_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), default_vocabulary())
+    return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), default_vocabulary()).drop("ids")

@@ -3,6 +3,7 @@
 from .bpe import op5_bpe
 from .chat import OP1_SQL, op1_chat
 from .decontaminate import OP6_SQL, op6_decontaminate
+from .pages import op3_pages
 from .passages import OP2_SQL, op2_passages
 from .quality import op10_quality
 from .secrets import op7_secrets
@@ -13,6 +14,7 @@ from .vectors import OP8_SQL, op8_vectors
 QUERIES = {
     "op1_chat": op1_chat,
     "op2_passages": op2_passages,
+    "op3_pages": op3_pages,
     "op4_shard": op4_shard,
     "op5_bpe": op5_bpe,
     "op6_decontaminate": op6_decontaminate,
