@@ -213,7 +213,8 @@ def recurring_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
     one = found.join(copies.select("key", "row"), ["key", "row"], "left_semi")
     ends = F.transform("starts", lambda s, i: F.struct(s.alias("start"), (F.coalesce(F.get("starts", i + 1), F.col("n") - WINDOW + 1) - 1).alias("end"), F.get("vals", i).alias("val")))
     stretches = one.select("key", F.explode(ends).alias("s")).select("key", "s.*")
-    often = stretches.groupBy("val").agg(F.count("*").alias("c")).where("c > 1")
+    # written first, so that the join below is one of plain shuffles, which adaptive execution can split at a hot anchor
+    often = cut(stretches.groupBy("val").agg(F.count("*").alias("c")).where("c > 1"), "passages-often")
     candidates = stretches.join(often, "val").groupBy("key").agg(F.collect_list(F.struct("start", "end", "val", (F.col("c") > HOT).alias("hot"))).alias("found"))
     texts = keyed.select("key", F.col(text).alias("text")).dropDuplicates(["key"]).join(candidates, "key").select("key", "text", "found")
     cuts = texts.mapInArrow(_stretches, "key binary, start long, route long, words binary")
