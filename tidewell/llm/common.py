@@ -30,11 +30,11 @@ def map_texts(df: DataFrame, fn: Callable[[list], list], schema: str, text: str
     """Replace the column text by what fn makes of each batch of texts: one list or array for each field of schema.
 
     The other columns pass as they are (Arrow arrays, so nulls and large ids stay exact). One scan, no shuffle;
-    a task holds one batch of TEXT_BATCH_ROWS rows.
+    a task holds one batch of TEXT_BATCH_ROWS rows. A column that has the name of a new one is replaced by it.
     """
     small_batches(df.sparkSession)
-    kept = [f for f in df.schema.fields if f.name != text]
     new = T.StructType.fromDDL(schema)
+    kept = [f for f in df.schema.fields if f.name != text and f.name not in new.names]
     out = T.StructType(kept + new.fields)
     arrow = [(f.name, to_arrow_type(f.dataType)) for f in new.fields]
     names = [f.name for f in kept]
@@ -49,6 +49,18 @@ def map_texts(df: DataFrame, fn: Callable[[list], list], schema: str, text: str
     return df.mapInArrow(run, out)
 
 
+def packed(docs: DataFrame, *apart: str) -> DataFrame:
+    """docs as the columns `apart` and a struct `doc` of all others, so that an operator's own columns cannot clash with them."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in apart] or [F.lit(0).alias("none")]
+    return docs.select(F.struct(*others).alias("doc"), *(F.col(f"`{c}`") for c in apart))
+
+
+def unpacked(df: DataFrame, *new: str) -> DataFrame:
+    """The columns of `doc` and the new ones; where names clash, the new one stays."""
+    old = [f.name for f in df.schema["doc"].dataType.fields if f.name not in new and f.name != "none"]
+    return df.select(*(F.col(f"doc.`{c}`") for c in old), *new)
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: lineage ends here, and a lost executor costs nothing."""
     spark = df.sparkSession

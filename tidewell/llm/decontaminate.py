@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, table
+from .common import map_texts, packed, table, unpacked
 
 WINDOW = 13
 #: One part in COVERAGE of the words hit makes a document contaminated.
@@ -208,7 +208,7 @@ def match_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: s
     """
     spark = docs.sparkSession
     shards = item_shards(items, item_id, item_text)
-    out = docs
+    out = packed(docs, text)
     for k, shard in enumerate(shards):
         shared = spark.sparkContext.broadcast(shard)
         last = k == len(shards) - 1
@@ -229,9 +229,9 @@ def match_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: s
                     cleaned.append(strip_spans(t, spans) if t is not None else None)
             return [n_words, packed, found, cleaned] if last else [packed]
 
-        schema = "n_words long, spans array<array<long>>, items array<string>, cleaned string" if last else f"{text} struct<text:string, spans:binary, items:array<string>>"
+        schema = "n_words long, spans array<array<long>>, items array<string>, cleaned string" if last else f"`{text}` struct<text:string, spans:binary, items:array<string>>"
         out = map_texts(out, run, schema, text)
-    return out
+    return unpacked(out, "n_words", "spans", "items", "cleaned")
 
 
 def contaminated(n_hit, n_words):

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, small_batches, table
+from .common import cut, map_texts, packed, small_batches, table, unpacked
 
 WINDOW = 35
 ANCHOR = 8
@@ -237,9 +237,9 @@ def mask(n: int, copies: int | None, spans: list | None) -> np.ndarray:
 
 def dedup_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with, in place of the text: n_words, n_removed, kept (the words kept, joined by one space)."""
-    keyed, marks = recurring_spans(docs, text)
-    joined = keyed.join(marks, "key", "left").drop("key")
-    return map_texts(joined.withColumn("all", F.struct(F.col(text).alias("text"), "copies", "spans")).drop(text, "copies", "spans"), _kept, "n_words long, n_removed long, kept string", "all")
+    keyed, marks = recurring_spans(packed(docs, text), text)
+    joined = keyed.join(marks, "key", "left").select("doc", F.struct(F.col(text).alias("text"), "copies", "spans").alias("row"))
+    return unpacked(map_texts(joined, _kept, "n_words long, n_removed long, kept string", "row"), "n_words", "n_removed", "kept")
 
 
 def _kept(rows: list) -> list:
