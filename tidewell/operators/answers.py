@@ -55,7 +55,7 @@ def supported(numbers: Column, context: Column) -> Column:
 
 
 def claims(answer: Column) -> Column:
-    return F.filter(F.transform(F.split(answer, SENTENCE), F.trim), lambda s: F.length(s) >= MIN_SENTENCE)
+    return F.filter(F.transform(F.split(answer, SENTENCE), lambda s: F.trim(s)), lambda s: F.length(s) >= MIN_SENTENCE)
 
 
 def cited(sentences: Column) -> Column:
