@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import identifiers
 from tidewell.functions import text as tx
-from tidewell.operators import access, answers, chunking, evals, layout, lifecycle, redaction, retrieval, sync
+from tidewell.operators import access, ann, answers, chunking, evals, grids, layout, lifecycle, records, redaction, retrieval, sync
 from tidewell.sources.files import html_units
 from tidewell.sources.tables import governed_documents, questions, table
 from tidewell.streaming import ingest
@@ -494,3 +494,102 @@ def stream_ingest_counts(spark, sf_dir):
     sink = ingest.run_to_end(events.select("event_id", "event_type", "ts"), shared_folder(spark))
     rows = spark.read.parquet(sink)
     return rows.groupBy("event_type", F.date_trunc("day", "ts").alias("day")).agg(F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- records, grids, index
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    """Governed documents with a status, and some erased ones."""
+    docs = governed_documents(spark, sf_dir)
+    status = F.when(F.col("doc_id") % 6 == 0, "DUPLICATE").when(F.col("doc_id") % 11 == 0, "SUPERSEDED").otherwise("LIVE")
+    return docs.withColumn("status", status).withColumn("purged_at", F.when(F.col("doc_id") % 34 == 0, F.col("deleted_at")))
+
+
+def _decisions(name):
+    def run(spark, sf_dir):
+        docs = _records(spark, sf_dir)
+        mine = (F.lit("src3"), F.lit(False))
+        code = {
+            "reclassify_decisions": lambda: records.reclassify_decision(docs, *mine, F.lit("RESTRICTED")),
+            "delete_decisions": lambda: records.delete_decision(docs, *mine, F.col("doc_id") % 5 == 0),
+            "restore_decisions": lambda: records.restore_decision(docs, *mine, F.col("doc_id") % 7 == 0),
+        }[name]()
+        return docs.select("doc_id", code.cast("int").alias("code"))
+
+    run.__name__ = name
+    return query(run)
+
+
+for _name in ("reclassify_decisions", "delete_decisions", "restore_decisions"):
+    _decisions(_name)
+
+
+@query
+def erasure(spark, sf_dir):
+    """Documents after every twentieth one was asked to go; those with a running job stay."""
+    docs, jobs = _records(spark, sf_dir), _jobs(spark, sf_dir).where("stage = 'purchase'")
+    after, _, _ = records.erase(docs, docs.select("doc_id"), jobs, docs.where("doc_id % 20 = 0").select("doc_id"), F.lit("2024-06-01 00:00:00").cast("timestamp"))
+    return after.select("doc_id", F.col("sha256").isNull().alias("erased"), F.col("deleted_at").isNotNull().alias("deleted"), F.col("purged_at").isNotNull().alias("purged"))
+
+
+@query
+def erased_jobs(spark, sf_dir):
+    docs, jobs = _records(spark, sf_dir), _jobs(spark, sf_dir).where("stage = 'purchase'")
+    _, _, left = records.erase(docs, docs.select("doc_id"), jobs, docs.where("doc_id % 20 = 0").select("doc_id"), F.lit("2024-06-01 00:00:00").cast("timestamp"))
+    return left.groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query
+def document_status(spark, sf_dir):
+    audit = table(spark, sf_dir, "events").select((F.col("event_id") % 1500).alias("doc_id"), "ts", "event_id", "event_type")
+    return records.document_status(_records(spark, sf_dir), audit)
+
+
+@query
+def document_search_ranked(spark, sf_dir):
+    """Documents that hold the first two terms of a question, ranked by where they stand."""
+    docs = governed_documents(spark, sf_dir).where("deleted_at is null").select("doc_id", "title", F.col("owner_id").alias("filename"), F.col("text").alias("description"))
+    asked = questions(spark, sf_dir).select("question_id", F.array_join(F.slice(tx.terms(F.col("question")), 1, 2), " ").alias("question"))
+    return records.search_documents(docs, asked)
+
+
+@query
+def replaced_chunks(spark, sf_dir):
+    """A first set of passages (one a document) with the documents of one language chunked anew."""
+    docs = table(spark, sf_dir, "documents")
+    stored = docs.select("doc_id", F.lit(0).alias("chunk_index"), F.length("text").alias("char_count"))
+    fresh = _chunks(spark, sf_dir).join(docs.where("lang = 'de'").select("doc_id"), "doc_id", "left_semi").select("doc_id", "chunk_index", "char_count")
+    return records.replace_chunks(stored, fresh).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("char_count").alias("chars"))
+
+
+@query
+def language_flips(spark, sf_dir):
+    """Documents whose language gate turned when the prose floor went from 0.15 to 0.7."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", tx.prose_ratio(F.col("text")).alias("r"))
+    old = docs.select("doc_id", (F.when(F.col("r") < 0.15, "en").otherwise(F.col("lang")) == "en").alias("live"))
+    new = docs.select("doc_id", (F.when(F.col("r") < 0.7, "en").otherwise(F.col("lang")) == "en").alias("live"))
+    return records.flips(old, new, "doc_id", "live")
+
+
+@query
+def rendered_tables(spark, sf_dir):
+    """Orders of each customer as a sheet: a title row, a header row, and cells as a reader sees them."""
+    o = table(spark, sf_dir, "orders")
+    cells = F.array(F.col("o_orderkey").cast("string"), grids.date_cell(F.col("o_orderdate").cast("timestamp")), grids.number_cell(F.floor("o_totalprice").cast("double")), F.col("o_orderstatus"))
+    sheets = o.select("o_custkey", F.struct("o_orderkey", cells.alias("cells")).alias("s")).groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["cells"]).alias("body"))
+    title = F.array(F.concat(F.lit("Customer "), F.col("o_custkey").cast("string")), F.lit(""), F.lit(""), F.lit(""))
+    header = F.array(*map(F.lit, ("order", "date", "price", "status")))
+    return grids.render_tables(sheets.select("o_custkey", F.concat(F.array(title, header), "body").alias("rows")), "o_custkey").select("o_custkey", "group", "rows", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+
+
+@query
+def vector_index_recall(spark, sf_dir):
+    """Recall of the cell index against the exact arm for every twentieth vector as a question."""
+    v = _vectors(spark, sf_dir)
+    docs = governed_documents(spark, sf_dir)
+    asked = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("question_id"), F.col("embedding").alias("vector"), F.lit("src3").alias("viewer_id"), F.lit(False).alias("is_admin"))
+    centres = ann.fit_centroids(v, 16)
+    found = ann.search(asked, ann.index(v, centres), docs, centres, 10, 13)
+    exact = retrieval.semantic_arm(asked, v.join(docs.where("deleted_at is null").select("doc_id", "classification", "owner_id"), "doc_id"), 10)
+    return ann.recall(found, exact)

@@ -7,6 +7,7 @@ patterns with lookbehind; tests hold those against plain Python.
 from __future__ import annotations
 
 from tidewell.functions.text import LEXICAL_STOPWORDS, UNINFORMATIVE
+from tidewell.operators.evals import TEMPLATES
 
 _GOV = """
 lab as (select doc_id, max(toxic) toxic from labels group by doc_id),
@@ -96,6 +97,17 @@ acts as (select *, case when gone and ({partial} or state <> 'IMPORTED') then 'K
   when had and not changed and old_tier is distinct from tier then 'RECLASSIFY' when had and not changed then 'UNCHANGED' when form then 'SKIP' when size > 104857600 then 'SKIP'
   when had and state = 'IMPORTED' then 'EDIT' else 'IMPORT' end act from both_)"""
 
+
+def _template_sql() -> str:
+    """Every pattern's first match as a question; of equal questions the one of the smallest document."""
+    parts = []
+    for k, (pattern, question, tests) in enumerate(TEMPLATES):
+        before, after = question.split("{0}")
+        parts.append(f"select doc_id, {k} k, '{before}' || trim(regexp_extract(text, '{pattern}', 1)) || '{after}' question, '{tests}' tests from gov where trim(regexp_extract(text, '{pattern}', 1)) <> ''")
+    parts.append(r"select doc_id, 99, 'What does the corpus say about ' || trim(title) || '?', 'a section heading' from gov where length(trim(title)) between 9 and 89 and not regexp_matches(trim(title), '^\p{Nd}')")
+    return f"with {_GOV}, m as ({' union all '.join(parts)}) select doc_id, question, tests from m qualify row_number() over (partition by lower(question) order by doc_id, question, tests) = 1"
+
+
 ORACLE_SQL: dict[str, str] = {
     "visible_documents_user": f"with {_GOV} select doc_id, owner_id, classification from gov where not deleted and (classification is distinct from 'RESTRICTED' or owner_id = 'src3')",
     "visible_documents_anon": f"with {_GOV} select doc_id, owner_id, classification from gov where not deleted and classification is distinct from 'RESTRICTED'",
@@ -180,4 +192,21 @@ select file_id, document_id, state, status, case when live and k = 1 then 'CURRE
     "next_sync_slot": """with e as (select user_id, ts from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1), l as (select *, ts + interval 330 minutes loc from e), s as (select *, date_trunc('day', loc) + interval 150 minutes slot from l)
 select user_id, cast(case when user_id % 4 = 0 then ts + interval 3600 seconds else case when slot <= loc then slot + interval 1 day else slot end - interval 330 minutes end as timestamp) due from s""",
     "stream_ingest_counts": "select event_type, date_trunc('day', ts) \"day\", count(*) n from events group by all",
+    "reclassify_decisions": f"with {_GOV} select doc_id, case when classification = 'RESTRICTED' and owner_id <> 'src3' then 404 when owner_id <> 'src3' then 403 when doc_id % 34 = 0 then 410 when classification = 'RESTRICTED' then 409 else 200 end code from gov",
+    "delete_decisions": f"with {_GOV} select doc_id, case when classification = 'RESTRICTED' and owner_id <> 'src3' then 404 when owner_id <> 'src3' then 403 when doc_id % 34 = 0 then 404 when doc_id % 5 = 0 then 409 else 200 end code from gov",
+    "restore_decisions": f"with {_GOV} select doc_id, case when classification = 'RESTRICTED' and owner_id <> 'src3' then 404 when owner_id <> 'src3' then 403 when doc_id % 34 = 0 then 410 when doc_id % 17 <> 0 or (doc_id % 11 = 0 and doc_id % 6 <> 0) or doc_id % 7 = 0 then 409 else 200 end code from gov",
+    "erasure": f"""with {_GOV}, {_JOBS}, going as (select doc_id, sha256 from gov where doc_id % 20 = 0 and doc_id % 34 <> 0 and not exists (select 1 from jobs where jobs.doc_id = gov.doc_id and stage = 'purchase' and status = 'RUNNING')),
+h as (select doc_id, deleted, sha256, doc_id in (select doc_id from going) or (doc_id % 6 = 0 and sha256 in (select sha256 from going)) hit from gov)
+select doc_id, hit or sha256 is null erased, deleted or hit "deleted", hit or doc_id % 34 = 0 purged from h""",
+    "erased_jobs": f"""with {_GOV}, {_JOBS}, p as (select * from jobs where stage = 'purchase'), going as (select doc_id from gov where doc_id % 20 = 0 and doc_id % 34 <> 0 and doc_id not in (select doc_id from p where status = 'RUNNING'))
+select case when status = 'PENDING' and doc_id in (select doc_id from going) then 'FAILED' else status end status, count(*) n from p group by 1""",
+    "document_status": f"""with {_GOV}, d as (select *, case when doc_id % 6 = 0 then 'DUPLICATE' when doc_id % 11 = 0 then 'SUPERSEDED' else 'LIVE' end status from gov),
+e as (select event_id % 1500 doc_id, event_type, event_id from events qualify row_number() over (partition by event_id % 1500 order by ts desc, event_id desc) = 1), a as (select sha256, min(doc_id) active_id from d where status = 'LIVE' group by sha256)
+select doc_id, status, event_type last_event, event_id, case when status = 'DUPLICATE' then active_id end duplicate_of from d left join e using (doc_id) left join a using (sha256)""",
+    "document_search_ranked": f"""with {_GOV},{_ASK}, w as (select question_id, list_distinct(list_slice({_TERMS.format(c="question")}, 1, 2)) ts from q0), t as (select question_id, len(ts) n, unnest(ts) term from w),
+h as (select doc_id, term, sum(wt) wt from (select distinct doc_id, 1.0 wt, 1 f, unnest({_TERMS.format(c="title")}) term from gov where not deleted union all select distinct doc_id, 0.4, 2, unnest({_TERMS.format(c="owner_id")}) from gov where not deleted union all select distinct doc_id, 0.2, 3, unnest({_TERMS.format(c="text")}) from gov where not deleted) where term in (select term from t) group by all)
+select question_id, doc_id, round(cast(sum(wt) as double), 6) "rank" from t join h using (term) group by question_id, doc_id, n having count(*) = n""",
+    "language_flips": r"""with r as (select lang, case when length(coalesce(text, '')) = 0 then 0 else coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda t: length(t) >= 3 and not regexp_matches(t, '\p{Nd}')), lambda t: length(t))), 0) / length(text) end x from documents)
+select x < 0.15 or lang = 'en' "before", x < 0.7 or lang = 'en' "after", count(*) n from r group by all""",
+    "eval_question_templates": _template_sql(),
 }
