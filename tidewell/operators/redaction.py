@@ -29,24 +29,28 @@ def find_all(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def redact(passages: DataFrame, request: str, place: str, text: str = "text") -> DataFrame:
-    """passages (one row each, numbered by place within a request) plus redacted.
+    """passages (one row each, numbered by place within a request) plus findings and redacted.
 
     Placeholders are numbered per request and label in the order in which values are first met: passages in order,
-    within a passage from its end to its start. The numbering is a grouping and a rank over distinct values; texts
-    are never shuffled with them, only a map of values back to each passage.
+    within a passage from its end to its start. The numbering ranks distinct values; each finding then looks up its
+    value's number by a join, so a request of any size never becomes one map or one row. Equal rows are redacted
+    alike; null keys are keys like any other.
     """
-    found = find_all(passages, text)
-    values = found.select(request, place, F.explode("findings").alias("f")).select(request, "f.label", "f.value", F.struct(F.col(place).alias("p"), (-F.col("f.start")).alias("s")).alias("met"))
-    first = values.groupBy(request, "label", "value").agg(F.min("met").alias("met"))
-    numbered = first.withColumn("n", F.row_number().over(Window.partitionBy(request, "label").orderBy("met", "value")))
-    marks = numbered.groupBy(request).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "label", "value"), F.concat(F.lit("<"), "label", F.lit("_"), F.col("n").cast("string"), F.lit(">"))))).alias("marks"))
-    joined = found.join(marks, request, "left")
+    found = find_all(passages.withColumn("row key", F.md5(F.coalesce(F.col(text), F.lit("")))), text)
+    values = found.select(request, place, "row key", F.explode("findings").alias("f")).select(request, place, "row key", "f.*")
+    met = F.struct(F.col(place).alias("p"), (-F.col("start")).alias("s"))
+    first = values.groupBy(request, "label", "value").agg(F.min(met).alias("met"))
+    number = F.row_number().over(Window.partitionBy(request, "label").orderBy("met", "value"))
+    numbered = first.select(F.col(request).alias("of"), F.col("label").alias("kind"), F.col("value").alias("what"), F.concat(F.lit("<"), "label", F.lit("_"), number.cast("string"), F.lit(">")).alias("mark"))
+    named = values.join(numbered, F.col(request).eqNullSafe(F.col("of")) & (F.col("label") == F.col("kind")) & (F.col("value") == F.col("what")))
+    marks = named.groupBy(F.col(request).alias("of"), F.col(place).alias("at"), F.col("row key").alias("key")).agg(F.collect_set(F.struct("start", "end", "mark")).alias("marks"))
+    joined = found.join(marks, F.col(request).eqNullSafe(F.col("of")) & F.col(place).eqNullSafe(F.col("at")) & (F.col("row key") == F.col("key")), "left")
     spliced = F.aggregate(
-        F.reverse(F.array_sort("findings")),
+        F.reverse(F.array_sort("marks")),
         F.col(text),
-        lambda t, f: F.concat(F.substring(t, F.lit(1), f["start"]), F.try_element_at(F.col("marks"), F.concat_ws("\x1f", f["label"], f["value"])), F.substring(t, f["end"] + 1, F.length(t))),
+        lambda t, m: F.concat(F.substring(t, F.lit(1), m["start"]), m["mark"], F.substring(t, m["end"] + 1, F.length(t))),
     )
-    return joined.withColumn("redacted", F.when(F.size("findings") > 0, spliced).otherwise(F.col(text))).drop("marks")
+    return joined.withColumn("redacted", F.when(F.col("marks").isNotNull(), spliced).otherwise(F.col(text))).select(*passages.columns, "findings", "redacted")
 
 
 def masked_values(redacted: DataFrame, request: str) -> DataFrame:
