@@ -1,7 +1,7 @@
 """Embedding near-duplicates by PCA-ordered, tiled comparison.
 
 Vectors are scaled to length one and turned into the basis of their principal axes, strongest first. Sorted along
-the first axis they are cut into tiles of at most TILE vectors; pairs of tiles whose bounding boxes are further apart
+the first axis they are cut at quantiles into tiles of at most TILE vectors; pairs of tiles whose bounding boxes are further apart
 than the threshold allows are not compared. Within a pair of tiles, products of the leading coordinates are summed
 first; what the remaining ones can add is at most the product of the suffix norms, and a pair of vectors is dropped
 as soon as the threshold is out of reach. What is left is verified by its cosine in double precision from the
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut, table
 
 THRESHOLD = 0.95
-TILE = 4096
+#: Vectors of a tile at most, and at least where there are enough for LEAST_TILES tiles.
+TILE, SMALL_TILE, LEAST_TILES = 4096, 256, 8
 #: Vectors that the basis is fitted on at most.
 SAMPLE = 4096
 #: Coordinates after which the bound is taken.
@@ -68,8 +69,8 @@ def turned(x: np.ndarray, bases: dict[int, np.ndarray]) -> np.ndarray:
     return x @ bases[x.shape[1]] if x.shape[1] in bases else x
 
 
-def _lead(bases):
-    """Adds d (length) and c (first coordinate)."""
+def _lead(bases, bounds=()):
+    """Adds d (length), c (first coordinate) and part (its place among the bounds)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -79,13 +80,14 @@ def _lead(bases):
             for k in np.unique(d):
                 at = np.flatnonzero(d == k)
                 c[at] = turned(np.array([vs[i] for i in at], float), bases)[:, 0]
-            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), b.column("embedding"), pa.array(d), pa.array(c)], ["node", "copies", "embedding", "d", "c"])
+            part = np.searchsorted(np.array(bounds, float), c).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("copies"), b.column("embedding"), pa.array(d), pa.array(c), pa.array(part)], ["node", "copies", "embedding", "d", "c", "part"])
 
     return run
 
 
 def _tiles(bases):
-    """Rows sorted by (d, c) -> tiles: (tile, d, low, high, nodes, copies, vectors), the last three as bytes."""
+    """Rows sorted by (d, part, c) -> tiles: (tile, d, low, high, nodes, copies, vectors), the last three as bytes."""
 
     def tile(k: int, rows: list) -> pa.RecordBatch:
         nodes, copies, vs = zip(*rows, strict=True)
@@ -99,11 +101,11 @@ def _tiles(bases):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, d, k = [], None, 0
         for b in batches:
-            for node, copies, v, size in zip(b.column("node").to_pylist(), b.column("copies").to_pylist(), b.column("embedding").to_pylist(), b.column("d").to_pylist(), strict=True):
-                if held and (len(held) >= TILE or size != d):
+            for node, copies, v, *of in zip(*(b.column(c).to_pylist() for c in ("node", "copies", "embedding", "d", "part")), strict=True):
+                if held and (len(held) >= TILE or of != d):
                     yield tile(k, held)
                     held, k = [], k + 1
-                d = size
+                d = of
                 held.append((node, copies, v))
         if held:
             yield tile(k, held)
@@ -199,10 +201,13 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "v
     good = base.where(usable(F.col("embedding")) & F.col("id").isNotNull())
     vectors = cut(good.groupBy("embedding").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "vectors")
     bases = fit_basis(vectors)
-    parts = max(1, -(-vectors.count() // TILE))
     plain = vectors.select("node", "copies", F.col("embedding").cast("array<double>").alias("embedding"))
-    lead = plain.mapInArrow(_lead(bases), "node long, copies long, embedding array<double>, d long, c double")
-    ordered = lead.repartitionByRange(parts, "d", "c").sortWithinPartitions("d", "c")
+    schema = "node long, copies long, embedding array<double>, d long, c double, part long"
+    n = vectors.count()
+    parts = max(1, -(-n // TILE), min(LEAST_TILES, n // SMALL_TILE))
+    lead = plain.mapInArrow(_lead(bases), schema)
+    bounds = lead.approxQuantile("c", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
+    ordered = plain.mapInArrow(_lead(bases, bounds), schema).repartition(parts, "d", "part").sortWithinPartitions("d", "part", "c")
     tiles = cut(ordered.mapInArrow(_tiles(bases), "tile long, d long, low array<double>, high array<double>, nodes binary, copies binary, vectors binary"), "vectors-tiles")
     width = (2 - 2 * threshold) ** 0.5 + 1e-6
     cell = lambda x: F.floor(x / width).cast("int")
