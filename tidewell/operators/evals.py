@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import prose_ratio
+from tidewell.functions.text import prose_ratio, terms
 
 # Patterns, the questions they give, and what they test.
 TEMPLATES = (
@@ -41,6 +41,18 @@ def candidates(docs: DataFrame, per_group: int, group: str) -> DataFrame:
     return fit.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_group)
 
 
+def holders_of(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFrame:
+    """(question_id, doc_id): documents that hold the first `words` terms of an item in a row.
+
+    An equal-key join: documents explode into their runs of terms, which meet the items' runs before any shuffle
+    where those are few.
+    """
+    keys = items.select("question_id", F.slice(terms(F.col("text")), 1, words).alias("ts")).where(F.size("ts") == words).select("question_id", F.array_join("ts", " ").alias("run"))
+    own = docs.select("doc_id", terms(F.col("text")).alias("ts")).where(F.size("ts") >= words)
+    runs = own.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("ts") - words + 1), lambda i: F.array_join(F.slice("ts", i, words), " "))).alias("run"))
+    return runs.join(keys, "run").select("question_id", "doc_id").distinct()
+
+
 def ranks_of(found: DataFrame, expected: DataFrame, place: str = "fusion_rank") -> DataFrame:
     """(question_id, rank): place of the first expected document, null where none was found."""
     hit = found.join(expected, ["question_id", "doc_id"]).groupBy("question_id").agg(F.min(place).alias("rank"))

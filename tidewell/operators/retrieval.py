@@ -40,17 +40,21 @@ def top(df: DataFrame, per: str, order: list[Column], k: int, name: str) -> Data
     return df.withColumn(name, F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col(name) <= k)
 
 
+def question_blocks(asked: DataFrame) -> list[DataFrame]:
+    """The questions in blocks of about QUESTION_BLOCK, by a hash of their id; a count decides how many."""
+    n = max(1, -(-asked.count() // QUESTION_BLOCK))
+    return [asked.where(F.pmod(F.xxhash64("question_id"), F.lit(n)) == k) for k in range(n)] if n > 1 else [asked]
+
+
 def semantic_arm(asked: DataFrame, vectors: DataFrame, pool: int) -> DataFrame:
     """(question_id, doc_id, similarity, semantic_rank).
 
     asked(question_id, vector, viewer_id, is_admin); vectors(doc_id, embedding, classification, owner_id), without
     deleted rows. Similarities are rounded to 9 places, ties go to the smaller doc_id.
     """
-    n = asked.count()
-    blocks = max(1, -(-n // QUESTION_BLOCK))
     out = None
-    for k in range(blocks):
-        block = (asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == k) if blocks > 1 else asked).select("question_id", "vector", "viewer_id", "is_admin").toPandas()
+    for part_of in question_blocks(asked):
+        block = part_of.select("question_id", "vector", "viewer_id", "is_admin").toPandas()
         if len(block):
             part = vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"), "classification", "owner_id").mapInPandas(_best(block, pool), "question_id long, doc_id long, similarity double")
             out = part if out is None else out.unionByName(part)
@@ -201,7 +205,14 @@ def token_usage(found: DataFrame, docs: DataFrame, window: int = 512) -> DataFra
 
 
 def search_metadata(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(question_id, doc_id): documents whose title or owner holds a question's first term, newest first by created_at."""
-    first = asked.select("question_id", F.lower(F.element_at(F.split("question", " "), 1)).alias("term"))
+    """(question_id, doc_id, created_at): documents whose title or owner holds a question's first word as a substring.
+
+    A substring is no key, so each document is compared with the words of one bounded block of questions at a time.
+    """
     hay = docs.select("doc_id", "created_at", F.lower(F.concat_ws(" ", "title", "owner_id")).alias("hay"))
-    return hay.join(F.broadcast(first.where("term <> ''")), F.contains(F.col("hay"), F.col("term"))).select("question_id", "doc_id", "created_at")
+    out = None
+    for block in question_blocks(asked):
+        first = block.select("question_id", F.lower(F.element_at(F.split("question", " "), 1)).alias("term")).where("term <> ''")
+        part = hay.join(F.broadcast(first), F.contains(F.col("hay"), F.col("term"))).select("question_id", "doc_id", "created_at")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -160,7 +160,7 @@ def eval_hit_at_k(spark, sf_dir):
     """Hit rates of lexical search where a benchmark item should find the documents that hold its passage."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
     docs = governed_documents(spark, sf_dir)
-    expected = docs.where("deleted_at is null").select("doc_id", F.col("text").alias("body")).join(F.broadcast(items.where("text <> ''")), F.contains(F.col("body"), F.substring("text", 1, 80))).select("question_id", "doc_id")
+    expected = evals.holders_of(docs.where("deleted_at is null"), items)
     asked = questions(spark, sf_dir).withColumn("is_admin", F.lit(True))
     best = retrieval.lexical_arm(asked.join(expected.select("question_id").distinct(), "question_id", "left_semi"), docs, 10)
     return evals.summary(evals.ranks_of(best, expected, "lexical_rank"))

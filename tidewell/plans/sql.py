@@ -129,7 +129,9 @@ select {_TOLD}, rerank_score, cast(row_number() over (partition by question_id o
     "grounded_results": f"{_HYBRID}{_GATE} select {_TOLD}, fusion_rank from fused where question_id in (select question_id from gate where grounded)",
     "token_usage_rollup": f"{_HYBRID} select question_id, cast(sum(least(n, 512)) as bigint) context_tokens, count(*) filter (n > 512) truncated_results, cast(sum(greatest(n - 512, 0)) as bigint) truncated_tokens, count(semantic_rank) semantic_hits, count(lexical_rank) lexical_hits from (select fused.*, greatest(1, length(text) // 4) n from fused join gov using (doc_id)) group by question_id",
     "document_metadata_search": f"with {_GOV},{_ASK} select question_id, count(*) hits, max(doc_id) newest from q0 join gov on contains(lower(concat_ws(' ', title, owner_id)), lower(split_part(question, ' ', 1))) where split_part(question, ' ', 1) <> '' group by question_id",
-    "eval_hit_at_k": f"""with {_GOV}, want_docs as (select item_id question_id, doc_id from gov join benchmark b on b.text <> '' and contains(gov.text, b.text[1:80]) where not deleted),{_ASK},{_lexical(10, everyone=True)},
+    "eval_hit_at_k": f"""with {_GOV}, keys as (select item_id question_id, array_to_string(list_slice({_TERMS.format(c="text")}, 1, 8), ' ') run from benchmark where len({_TERMS.format(c="text")}) >= 8),
+runs as (select doc_id, array_to_string(list_slice(ts, i, i + 7), ' ') run from (select doc_id, {_TERMS.format(c="text")} ts from gov where not deleted), lateral (select unnest(range(1, len(ts) - 6)) i)),
+want_docs as (select distinct question_id, doc_id from runs join keys using (run)),{_ASK},{_lexical(10, everyone=True)},
 r as (select question_id, min(lexical_rank) k from (select distinct question_id from want_docs) left join (lex join want_docs using (question_id, doc_id)) using (question_id) group by 1)
 select count(*) n, round(avg(case when k = 1 then 1.0 else 0.0 end), 6) hit_at_1, round(avg(case when k <= 5 then 1.0 else 0.0 end), 6) hit_at_5, round(avg(case when k is not null then 1.0 else 0.0 end), 6) hit_at_k, round(avg(coalesce(1.0 / k, 0.0)), 6) mrr from r""",
     "eval_candidates": r"""select source, doc_id, cast(row_number() over (partition by source order by md5('20261002:' || doc_id), doc_id) as int) place from documents
