@@ -9,6 +9,7 @@ from tidewell.functions import identifiers
 from tidewell.functions import text as tx
 from tidewell.operators import access, ann, answers, chunking, evals, grids, layout, lifecycle, records, redaction, retrieval, sync
 from tidewell.sources.files import html_units
+from tidewell.sources.shared import shared_folder
 from tidewell.sources.tables import governed_documents, questions, table
 from tidewell.streaming import ingest
 
@@ -488,8 +489,6 @@ def next_sync_slot(spark, sf_dir):
 @query
 def stream_ingest_counts(spark, sf_dir):
     """events through a file stream into hourly counts; the result is what a batch over the same rows gives."""
-    from tidewell.sources.shared import shared_folder
-
     events = ingest.read_events(spark, sf_dir, "events.parquet")
     sink = ingest.run_to_end(events.select("event_id", "event_type", "ts"), shared_folder(spark))
     rows = spark.read.parquet(sink)
@@ -593,3 +592,27 @@ def vector_index_recall(spark, sf_dir):
     found = ann.search(asked, ann.index(v, centres), docs, centres, 10, 13)
     exact = retrieval.semantic_arm(asked, v.join(docs.where("deleted_at is null").select("doc_id", "classification", "owner_id"), "doc_id"), 10)
     return ann.recall(found, exact)
+
+
+@query
+def stream_lease_sessions(spark, sf_dir):
+    """Leases of users that each of their events renews for 30 minutes, by session windows on a stream."""
+    events = ingest.read_events(spark, sf_dir, "events.parquet").select("user_id", "ts")
+    return spark.read.parquet(ingest.run_to_end(ingest.lease_sessions(events), shared_folder(spark)))
+
+
+@query
+def stream_windowed_counts(spark, sf_dir):
+    """Hourly counts by type on a stream, each told once its window is closed."""
+    events = ingest.read_events(spark, sf_dir, "events.parquet")
+    out = spark.read.parquet(ingest.run_to_end(ingest.windowed_counts(events), shared_folder(spark)))
+    return out.select("window_start", "event_type", "n")
+
+
+@query
+def stream_first_seen(spark, sf_dir):
+    """Users by event type, the first event of each within the watermark, on a stream that delivers every event twice."""
+    events = ingest.read_events(spark, sf_dir, "events.parquet").select("event_id", "event_type", "ts")
+    twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
+    out = spark.read.parquet(ingest.run_to_end(ingest.first_seen(twice, ["event_id"]).drop("copy"), shared_folder(spark)))
+    return out.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("events"))

@@ -211,4 +211,9 @@ select question_id, doc_id, round(cast(sum(wt) as double), 6) "rank" from t join
     "language_flips": r"""with r as (select lang, case when length(coalesce(text, '')) = 0 then 0 else coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda t: length(t) >= 3 and not regexp_matches(t, '\p{Nd}')), lambda t: length(t))), 0) / length(text) end x from documents)
 select x < 0.15 or lang = 'en' "before", x < 0.7 or lang = 'en' "after", count(*) n from r group by all""",
     "eval_question_templates": _template_sql(),
+    "stream_lease_sessions": """with e as (select user_id, ts, ts > lag(ts) over w + interval 30 minutes as gap from events window w as (partition by user_id order by ts)),
+s as (select *, sum(case when coalesce(gap, true) then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) k from e),
+g as (select user_id, min(ts) began, max(ts) + interval 30 minutes expired, count(*) renewals from s group by user_id, k) select * from g where expired <= (select max(ts) - interval 1 hour from events)""",
+    "stream_windowed_counts": "select date_trunc('hour', ts) window_start, event_type, count(*) n from events group by all having date_trunc('hour', min(ts)) + interval 1 hour <= (select max(ts) - interval 2 hours from events)",
+    "stream_first_seen": "select event_type, count(*) n, count(distinct event_id) events from events group by event_type",
 }

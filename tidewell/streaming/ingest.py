@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 def read_events(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
-    """events as a file stream; the schema is read once from the files."""
+    """events as a file stream; the schema is read once from the files, times without a zone are read as the session's."""
     schema = spark.read.parquet(f"{path}/{glob}" if glob else path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
+    rows = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
+    return rows.select(*(F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c) for c, kind in rows.dtypes))
 
 
 def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
@@ -35,3 +36,14 @@ def stage_stream(source: DataFrame, stage, target: str, state: str, key: str):
         stage(rows.dropDuplicates([key])).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()
+
+
+def lease_sessions(events: DataFrame, lease: str = "30 minutes", late: str = "1 hour", key: str = "user_id") -> DataFrame:
+    """Leases that each event of a key renews: (key, began, expired, renewals), told once the watermark has passed their end."""
+    grouped = events.withWatermark("ts", late).groupBy(F.session_window("ts", lease), key).agg(F.count("*").alias("renewals"))
+    return grouped.select(key, F.col("session_window.start").alias("began"), F.col("session_window.end").alias("expired"), "renewals")
+
+
+def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
+    """Events whose keys have not been seen within the watermark: a retried delivery is dropped."""
+    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
