@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.vectors import cosine
 from tidewell.operators.access import visible
 from tidewell.operators.retrieval import top
 
@@ -50,11 +51,6 @@ def index(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, embedding array<double>, cell int")
 
 
-def cosine(a, b):
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, p: s + p)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
-
-
 def search(asked: DataFrame, indexed: DataFrame, docs: DataFrame, centres: np.ndarray, pool: int, probes: int) -> DataFrame:
     """(question_id, doc_id, similarity, semantic_rank) of the best `pool` visible vectors in the probed cells."""
 

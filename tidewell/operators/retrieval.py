@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import informative_terms, lexical_question, terms
+from tidewell.functions.vectors import cosine
 from tidewell.operators.access import visible
 
 # Parameters of the ranking.
@@ -63,6 +64,15 @@ def semantic_arm(asked: DataFrame, vectors: DataFrame, pool: int) -> DataFrame:
     return top(out, "question_id", [F.col("similarity").desc(), F.col("doc_id")], pool, "semantic_rank")
 
 
+def scoped_arm(asked: DataFrame, vectors: DataFrame, scope: DataFrame, pool: int) -> DataFrame:
+    """The semantic arm inside scope(question_id, doc_id): equal-key joins, so only named documents are compared."""
+    pairs = scope.select("question_id", "doc_id").distinct().join(asked.select("question_id", F.col("vector").cast("array<double>").alias("vector"), "viewer_id", "is_admin"), "question_id")
+    rows = pairs.join(vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"), "classification", "owner_id"), "doc_id")
+    rows = rows.where(F.col("embedding").isNotNull() & visible(F.col("classification"), F.col("owner_id"), F.col("viewer_id"), F.col("is_admin")))
+    rows = rows.select("question_id", "doc_id", F.round(cosine(F.col("vector"), F.col("embedding")), 9).alias("similarity"))
+    return top(rows, "question_id", [F.col("similarity").desc(), F.col("doc_id")], pool, "semantic_rank")
+
+
 def _best(block: pd.DataFrame, pool: int):
     ask = np.array(block["vector"].tolist(), float)
     ask /= np.linalg.norm(ask, axis=1, keepdims=True)
@@ -113,9 +123,11 @@ def bm25(asked: DataFrame, docs: DataFrame, fields: tuple = FIELDS) -> DataFrame
     return out.groupBy("question_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score"))
 
 
-def lexical_arm(asked: DataFrame, docs: DataFrame, pool: int) -> DataFrame:
-    """(question_id, doc_id, lexical_score, lexical_rank). Corpus figures cover all docs; permission and deletion filter before ranking."""
+def lexical_arm(asked: DataFrame, docs: DataFrame, pool: int, scope: DataFrame | None = None) -> DataFrame:
+    """(question_id, doc_id, lexical_score, lexical_rank). Corpus figures cover all docs; scope, permission and deletion filter before ranking."""
     found = bm25(asked, docs)
+    if scope is not None:
+        found = found.join(scope.select("question_id", "doc_id").distinct(), ["question_id", "doc_id"], "left_semi")
     rows = found.join(asked.select("question_id", "viewer_id", "is_admin"), "question_id").join(docs.select("doc_id", "classification", "owner_id", "deleted_at"), "doc_id")
     rows = rows.where(F.col("deleted_at").isNull() & visible(F.col("classification"), F.col("owner_id"), F.col("viewer_id"), F.col("is_admin")))
     return top(rows.select("question_id", "doc_id", F.col("score").alias("lexical_score")), "question_id", [F.col("lexical_score").desc(), F.col("doc_id")], pool, "lexical_rank")
@@ -142,15 +154,12 @@ def search(asked: DataFrame, docs: DataFrame, vectors: DataFrame, limit: int = 1
     """Ranked passages for each question. scope(question_id, doc_id) narrows both arms before they rank."""
     fetch = max(limit, RERANK_FETCH) if rerank else limit
     pool = candidate_pool(fetch)
-    live = docs.where(F.col("deleted_at").isNull())
-    if scope is not None:
-        live = live.join(scope.select("doc_id").distinct(), "doc_id", "left_semi")
     semantic = lexical = None
     if mode in ("hybrid", "semantic"):
-        rows = vectors.join(live.select("doc_id", "classification", "owner_id"), "doc_id")
-        semantic = semantic_arm(asked, rows, pool)
+        rows = vectors.join(docs.where(F.col("deleted_at").isNull()).select("doc_id", "classification", "owner_id"), "doc_id")
+        semantic = semantic_arm(asked, rows, pool) if scope is None else scoped_arm(asked, rows, scope, pool)
     if mode in ("hybrid", "lexical"):
-        lexical = lexical_arm(asked, docs if scope is None else docs.join(scope.select("doc_id").distinct(), "doc_id", "left_semi"), pool)
+        lexical = lexical_arm(asked, docs, pool, scope)
     found = fuse(semantic, lexical, fetch)
     return rerank_overlap(found, asked, docs, limit) if rerank else found
 

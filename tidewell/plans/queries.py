@@ -116,9 +116,20 @@ def hybrid_lexical_only(spark, sf_dir):
 
 @query
 def hybrid_scoped(spark, sf_dir):
-    """Hybrid search inside the documents of one language; corpus figures are those of the scope."""
-    docs = governed_documents(spark, sf_dir)
-    return _told(_search(spark, sf_dir, limit=10, scope=docs.where("lang = 'en'").select("doc_id")), "fusion_rank")
+    """Hybrid search of each asker inside the documents they own."""
+    return _told(_search(spark, sf_dir, limit=10, scope=_own(spark, sf_dir)), "fusion_rank")
+
+
+def _own(spark, sf_dir) -> DataFrame:
+    asked = questions(spark, sf_dir).select("question_id", F.col("viewer_id").alias("owner_id"))
+    return governed_documents(spark, sf_dir).select("doc_id", "owner_id").join(asked, "owner_id").select("question_id", "doc_id")
+
+
+@query
+def grounding_scoped(spark, sf_dir):
+    """The gate for scoped searches: any hit inside the scope grounds a question."""
+    found = _search(spark, sf_dir, limit=10, scope=_own(spark, sf_dir))
+    return retrieval.grounding(found, questions(spark, sf_dir), governed_documents(spark, sf_dir), scoped=True).select("question_id", "best_similarity", "grounded")
 
 
 @query

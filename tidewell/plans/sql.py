@@ -36,11 +36,11 @@ kept as (select question_id, question, list_filter(list_transform(list_filter(re
 want as (select distinct question_id, unnest({_TERMS.format(c="case when len(k) >= 2 then array_to_string(k, ' ') else question end")}) term from kept)"""
 
 
-def _lexical(pool: int, docs: str = "gov", everyone: bool = False) -> str:
+def _lexical(pool: int, everyone: bool = False, more: str = "") -> str:
     parts = []
     for f in ("text", "title"):
         parts.append(f"""
-{f}_t as (select doc_id, {_TERMS.format(c=f)} ts from {docs}),
+{f}_t as (select doc_id, {_TERMS.format(c=f)} ts from gov),
 {f}_s as (select count(*) n, avg(len(ts)) mean from {f}_t),
 {f}_f as (select doc_id, dl, term, count(*) tf from (select doc_id, len(ts) dl, unnest(ts) term from {f}_t) where term in (select term from want) group by all),
 {f}_w as (select f.doc_id, f.term, ln(1 + (n - df + 0.5) / (df + 0.5)) * (tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))) s
@@ -49,14 +49,14 @@ def _lexical(pool: int, docs: str = "gov", everyone: bool = False) -> str:
     return ",".join(parts) + f""",
 score as (select question_id, doc_id, round(sum(s), 9) lexical_score from want join (select * from text_w union all select * from title_w) using (term) group by all),
 lex as (select question_id, doc_id, lexical_score, cast(row_number() over (partition by question_id order by lexical_score desc, doc_id) as int) lexical_rank
-  from score join ask using (question_id) join gov using (doc_id) where not deleted and {may} qualify lexical_rank <= {pool})"""
+  from score join ask using (question_id) join gov using (doc_id) where not deleted and {may} {more} qualify lexical_rank <= {pool})"""
 
 
-def _semantic(pool: int, docs: str = "gov") -> str:
+def _semantic(pool: int, more: str = "") -> str:
     return f"""
 sem as (select question_id, g.doc_id, round(list_dot_product(cast(a.v as double[]), cast(e.embedding as double[])) / (sqrt(list_dot_product(cast(a.v as double[]), cast(a.v as double[]))) * sqrt(list_dot_product(cast(e.embedding as double[]), cast(e.embedding as double[])))), 9) similarity,
   cast(row_number() over (partition by question_id order by similarity desc, g.doc_id) as int) semantic_rank
-  from ask a, embeddings e join {docs} g on g.doc_id = e.vec_id where not deleted and (is_admin or classification is distinct from 'RESTRICTED' or owner_id = viewer_id)
+  from ask a, embeddings e join gov g on g.doc_id = e.vec_id where not deleted and (is_admin or classification is distinct from 'RESTRICTED' or owner_id = viewer_id) {more}
   qualify semantic_rank <= {pool})"""
 
 
@@ -120,7 +120,8 @@ ORACLE_SQL: dict[str, str] = {
     "hybrid_rrf": f"{_HYBRID} select {_TOLD}, fusion_rank from fused",
     "hybrid_semantic_only": f"with {_GOV},{_ASK},{_semantic(50)},{_fused(10, 'semantic')} select {_TOLD}, fusion_rank from fused",
     "hybrid_lexical_only": f"with {_GOV},{_ASK},{_lexical(50)},{_fused(10, 'lexical')} select {_TOLD}, fusion_rank from fused",
-    "hybrid_scoped": f"with {_GOV}, en as (select * from gov where lang = 'en'),{_ASK},{_semantic(50, 'en')},{_lexical(50, 'en')},{_fused(10)} select {_TOLD}, fusion_rank from fused",
+    "hybrid_scoped": f"with {_GOV},{_ASK},{_semantic(50, more='and g.owner_id = a.viewer_id')},{_lexical(50, more='and owner_id = viewer_id')},{_fused(10)} select {_TOLD}, fusion_rank from fused",
+    "grounding_scoped": f"with {_GOV},{_ASK},{_semantic(50, more='and g.owner_id = a.viewer_id')},{_lexical(50, more='and owner_id = viewer_id')},{_fused(10)}{_GATE} select question_id, best_similarity, grounded or question_id in (select question_id from fused) grounded from gate",
     "rerank_overlap": f"""with {_GOV},{_ASK},{_semantic(200)},{_lexical(200)},{_fused(50)},
 r as (select fused.*, list_distinct({_INFORMATIVE.format(c="question")}) w, lower(text[1:900]) head from fused join gov using (doc_id) join q0 using (question_id)),
 s as (select *, round(case when len(w) = 0 then 0 else len(list_filter(w, lambda t: contains(head, t))) / len(w) end, 6) rerank_score from r)
