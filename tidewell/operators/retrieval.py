@@ -29,6 +29,8 @@ POOL_FACTOR, POOL_MAX, RERANK_FETCH = 5, 200, 50
 RERANK_CHARS = 900
 MIN_SIMILARITY = 0.55
 QUESTION_BLOCK = 2000
+#: Vectors that a task multiplies with a block of questions at a time, whatever the Arrow batch size.
+VECTOR_BLOCK = 8192
 FIELDS = ("text", "title")
 
 
@@ -78,23 +80,28 @@ def _best(block: pd.DataFrame, pool: int):
     ask /= np.linalg.norm(ask, axis=1, keepdims=True)
     ids, viewers, admins = block["question_id"].to_numpy(), block["viewer_id"].to_numpy(), block["is_admin"].to_numpy(bool)
 
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["embedding"].tolist(), float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        sims = np.round(ask @ x.T, 9)
+        doc, owner = pdf["doc_id"].to_numpy(), pdf["owner_id"].to_numpy()
+        open_ = (pdf["classification"] != "RESTRICTED").to_numpy()
+        rows = []
+        for q in range(len(ids)):
+            may = np.flatnonzero(open_ | admins[q] | (owner == viewers[q]))
+            first = may[np.lexsort((doc[may], -sims[q][may]))[:pool]]
+            rows.append(pd.DataFrame({"question_id": ids[q], "doc_id": doc[first], "similarity": sims[q][first]}))
+        return pd.concat(rows)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
         for pdf in batches:
-            pdf = pdf[pdf["embedding"].notna()]
-            if not len(pdf):
-                continue
-            x = np.array(pdf["embedding"].tolist(), float)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            sims = np.round(ask @ x.T, 9)
-            doc = pdf["doc_id"].to_numpy()
-            open_ = (pdf["classification"] != "RESTRICTED").to_numpy()
-            owner = pdf["owner_id"].to_numpy()
-            rows = []
-            for q in range(len(ids)):
-                may = np.flatnonzero(open_ | admins[q] | (owner == viewers[q]))
-                best = may[np.lexsort((doc[may], -sims[q][may]))[:pool]]
-                rows.append(pd.DataFrame({"question_id": ids[q], "doc_id": doc[best], "similarity": sims[q][best]}))
-            yield pd.concat(rows)
+            held.append(pdf[pdf["embedding"].notna()])
+            if sum(map(len, held)) >= VECTOR_BLOCK:
+                yield best(pd.concat(held))
+                held = []
+        if sum(map(len, held)):
+            yield best(pd.concat(held))
 
     return run
 
