@@ -114,7 +114,7 @@ def title_of(title: Column, filename: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), SENTENCE), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), SENTENCE), strip), lambda s: s != "")
 
 
 def paragraphs(c: Column) -> Column:

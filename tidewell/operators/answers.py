@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import SENTENCE
+from tidewell.functions.text import SENTENCE, strip
 
 # Patterns and limits of the checks.
 MARKER = r"\[(\d+)\]"
@@ -39,7 +39,7 @@ def verify_citations(answer: Column, n_passages: Column) -> tuple[Column, Column
     valid, invalid = F.array_sort(F.filter(found, good)), F.array_sort(F.filter(found, lambda n: ~good(n)))
     cleaned = F.aggregate(invalid, answer, lambda text, n: F.replace(text, F.concat(F.lit("["), n.cast("string"), F.lit("]")), F.lit("")))
     cleaned = F.regexp_replace(F.regexp_replace(cleaned, " {2,}", " "), r" +([.,;:])", "$1")
-    return F.trim(cleaned), valid, invalid
+    return strip(cleaned), valid, invalid
 
 
 def checkable_numbers(answer: Column) -> Column:
@@ -55,7 +55,7 @@ def supported(numbers: Column, context: Column) -> Column:
 
 
 def claims(answer: Column) -> Column:
-    return F.filter(F.transform(F.split(answer, SENTENCE), lambda s: F.trim(s)), lambda s: F.length(s) >= MIN_SENTENCE)
+    return F.filter(F.transform(F.split(answer, SENTENCE), strip), lambda s: F.length(s) >= MIN_SENTENCE)
 
 
 def cited(sentences: Column) -> Column:
@@ -64,7 +64,7 @@ def cited(sentences: Column) -> Column:
 
 def quotations(answer: Column) -> Column:
     found = F.regexp_extract_all(answer, F.lit(QUOTED), F.lit(1))
-    return F.filter(F.transform(found, lambda q: F.trim(F.regexp_replace(q, r"\[\d+\]", " "))), lambda q: F.length(q) >= MIN_QUOTE)
+    return F.filter(F.transform(found, lambda q: strip(F.regexp_replace(q, r"\[\d+\]", " "))), lambda q: F.length(q) >= MIN_QUOTE)
 
 
 def ratio(part: Column, whole: Column) -> Column:
@@ -77,14 +77,14 @@ def hedges(answer: Column) -> Column:
 
 
 def is_followup(question: Column) -> Column:
-    q = F.lower(F.trim(F.coalesce(question, F.lit(""))))
+    q = F.lower(strip(F.coalesce(question, F.lit(""))))
     words = F.size(F.split(q, r"\s+"))
     return F.when(q == "", False).otherwise((words <= 3) | q.rlike(f"^({OPENERS}) ") | ((words < 8) & q.rlike(DANGLING)))
 
 
 def expand_followups(turns: DataFrame) -> DataFrame:
     """User turns of conversations with the question to search for: (conv_id, turn, question, searched, expanded)."""
-    asked = turns.where("role = 'user'").withColumn("question", F.trim(F.coalesce("text", F.lit(""))))
+    asked = turns.where("role = 'user'").withColumn("question", strip(F.coalesce("text", F.lit(""))))
     w = Window.partitionBy("conv_id").orderBy("turn", "question")
     rows = asked.withColumn("before", F.lag("question").over(w)).withColumn("expanded", (F.coalesce("before", F.lit("")) != "") & (F.col("question") != "") & is_followup(F.col("question")))
     return rows.select("conv_id", "turn", "question", F.when(F.col("expanded"), F.concat_ws(" ", "before", "question")).otherwise(F.col("question")).alias("searched"), "expanded")
