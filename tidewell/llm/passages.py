@@ -2,11 +2,11 @@
 
 1. Anchors. Every window of WINDOW words has an anchor, the phrase of ANCHOR words in it whose hash is smallest
    (the leftmost of equal ones). Equal windows have equal anchors, so only windows whose anchor occurs at least
-   twice can recur. Consecutive windows of one anchor are one row: about one row for 14 words, without text.
+   twice can recur. Consecutive windows of equal anchors are one row: about one row for 14 words, without text.
 2. Candidates. Counting anchors (combined before the shuffle) and joining the counts back leaves the stretches
    whose anchor recurs; their words are cut out of the texts, one row for each stretch, and dealt out by anchor.
    Anchors that occur more than HOT times are dealt out by single windows instead, so that no task gets a whole
-   hot anchor: equal windows are counted before the shuffle, other windows spread by their own hash.
+   hot anchor: equal windows of a text are one row, and different windows spread by their own hash.
 3. Automata. A task goes through its anchors in order, some thousand stretches at a time: it confirms the windows
    that occur twice (words compared, not hashes), joins neighbours to recurring passages, compiles them into an
    Aho-Corasick automaton over word numbers, and streams every stretch of these anchors through it to locate every
@@ -14,7 +14,7 @@
    bounded, and each stretch is read by the one automaton that can match it: work grows with the text, not with
    text x automata.
 4. Removal. The spans located in a text are joined to its rows by the text's digest; texts that occur in several
-   rows recur as a whole, and only one of them is searched.
+   rows recur as a whole, and only one of them is searched. Texts are shuffled compressed.
 
 Words are runs of characters other than space and tab to carriage return, unchanged. Null texts have no words;
 texts shorter than a window keep all words; repeated rows are copies of each other. Ids are never compared.
@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,10 +65,10 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.array(out, np.uint64)
 
 
-def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the anchor, first window) of each stretch of windows that share one anchor occurrence."""
+def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash of the anchor, first window, whether it holds several occurrences) of each stretch of windows with equal anchors."""
     if len(words) < WINDOW:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     h = word_hashes(words)
     n = len(h) - ANCHOR + 1
     phrase = np.zeros(n, np.uint64)
@@ -83,48 +84,64 @@ def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         a, b = at[:-shift], at[shift:]
         at = np.where(phrase[b] < phrase[a], b, a)
         span += shift
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return phrase[at[first]].view(np.int64), first
+    own = phrase[at]
+    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    last = np.append(first[1:], len(at)) - 1
+    return own[first].view(np.int64), first, at[first] != at[last]
+
+
+def key_of(text: str | None) -> bytes:
+    return hashlib.md5((text or "").encode("utf-8", "surrogatepass")).digest()
+
+
+def _zipped_rows(texts: list) -> list:
+    """Digest and compressed bytes of each text: what is shuffled in its place."""
+    zip_ = zstandard.ZstdCompressor(level=1).compress
+    return [[key_of(t) for t in texts], [zip_((t or "").encode("utf-8", "surrogatepass")) for t in texts]]
+
+
+def unzipped(raw: bytes) -> list[bytes]:
+    """The words of a compressed text."""
+    return zstandard.ZstdDecompressor().decompress(raw).split()
 
 
 def _anchor_rows(texts: list) -> list:
-    n, vals, starts = [], [], []
+    keys, n, vals, starts, several = [], [], [], [], []
     for t in texts:
         words = words_of(t)
-        v, s = anchors(words)
+        v, s, m = anchors(words)
+        keys.append(key_of(t))
         n.append(len(words))
         vals.append(v)
         starts.append(s)
-    return [n, vals, starts]
+        several.append(m)
+    return [keys, n, vals, starts, several]
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text, found: array of (start, end, val, hot)) -> (key, start, route, words): neighbours of one anchor are joined."""
+    """(key, zipped, found: array of (start, end, val, hot)) -> (key, starts, route, words): a hot anchor gives single windows, equal ones of a text once."""
     for b in batches:
         keys, starts, routes, cuts = [], [], [], []
-        for key, text, found in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), b.column("found").to_pylist(), strict=True):
-            words = words_of(text)
-            runs: list[list] = []
-            for f in sorted(found, key=lambda f: f["start"]):
-                if runs and runs[-1][1] + 1 == f["start"] and runs[-1][2] == f["val"]:
-                    runs[-1][1] = f["end"]
-                else:
-                    runs.append([f["start"], f["end"], f["val"], f["hot"]])
-            for start, end, val, hot in runs:
-                if hot:
-                    for p in range(start, end + 1):
-                        piece = b" ".join(words[p : p + WINDOW])
-                        keys.append(key)
-                        starts.append(p)
-                        cuts.append(piece)
-                        routes.append(xxhash.xxh64_intdigest(piece))
-                else:
+        for key, raw, found in zip(*(b.column(c).to_pylist() for c in ("key", "zipped", "found")), strict=True):
+            words = unzipped(raw)
+            for f in found:
+                start, end = f["start"], f["end"]
+                if not f["hot"]:
                     keys.append(key)
-                    starts.append(start)
+                    starts.append([start])
                     cuts.append(b" ".join(words[start : end + WINDOW]))
-                    routes.append(val & 0xFFFFFFFFFFFFFFFF)
+                    routes.append(f["val"] & 0xFFFFFFFFFFFFFFFF)
+                    continue
+                single: dict[bytes, list[int]] = {}
+                for p in range(start, end + 1):
+                    single.setdefault(b" ".join(words[p : p + WINDOW]), []).append(p)
+                for piece, at in single.items():
+                    keys.append(key)
+                    starts.append(at)
+                    cuts.append(piece)
+                    routes.append(xxhash.xxh64_intdigest(piece))
         route = pa.array(np.array(routes, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int64()), route, pa.array(cuts, pa.binary())], ["key", "start", "route", "words"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.list_(pa.int64())), route, pa.array(cuts, pa.binary())], ["key", "starts", "route", "words"])
 
 
 def locate(rows: list[tuple[int, bytes, list]]) -> Iterator[tuple]:
@@ -178,7 +195,7 @@ def _groups(rows: list[tuple[int, bytes, list]]) -> Iterator[tuple[int, int]]:
 
 
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (key, start, route, words) sorted by (route, words) -> spans (key, start, end), some whole routes at a time."""
+    """Rows (key, starts, route, words) sorted by (route, words) -> spans (key, start, end), some whole routes at a time."""
     held: list[tuple[int, bytes, list]] = []
     out: list[tuple] = []
 
@@ -188,36 +205,36 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pdf
 
     for pdf in batches:
-        for route, words, key, start in zip(pdf["route"], pdf["words"], pdf["key"], pdf["start"], strict=True):
+        for route, words, key, starts in zip(pdf["route"], pdf["words"], pdf["key"], pdf["starts"], strict=True):
+            places = [(key, int(s)) for s in starts]
             if held and held[-1][0] == route and held[-1][1] == words:
-                held[-1][2].append((key, start))
+                held[-1][2].extend(places)
                 continue
             if len(held) >= BATCH and held[-1][0] != route:
                 out += locate(held)
                 held = []
                 yield told()
-            held.append((route, words, [(key, start)]))
+            held.append((route, words, places))
     if held:
         out += locate(held)
         yield told()
 
 
 def recurring_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(keyed docs, marks): docs with key (digest of the text); marks(key, copies, spans) for texts that recur in part or as a whole."""
+    """(keyed docs, marks): docs with key and zipped in place of the text; marks(key, copies, spans) for texts that recur in part or as a whole."""
     spark = docs.sparkSession
     small_batches(spark)
-    keyed = docs.withColumn("key", F.unhex(F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))))
-    rows = keyed.select("key", F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
-    found = cut(map_texts(rows, _anchor_rows, "n long, vals array<long>, starts array<long>").where("n >= " + str(WINDOW)), "passages-anchors")
+    keyed = map_texts(docs, _zipped_rows, "key binary, zipped binary", text)
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
+    found = cut(map_texts(rows, _anchor_rows, "key binary, n long, vals array<long>, starts array<int>, several array<boolean>").where("n >= " + str(WINDOW)), "passages-anchors")
     copies = found.groupBy("key").agg(F.count("*").alias("copies"), F.min("row").alias("row"))
     one = found.join(copies.select("key", "row"), ["key", "row"], "left_semi")
-    ends = F.transform("starts", lambda s, i: F.struct(s.alias("start"), (F.coalesce(F.get("starts", i + 1), F.col("n") - WINDOW + 1) - 1).alias("end"), F.get("vals", i).alias("val")))
+    ends = F.transform("starts", lambda s, i: F.struct(s.alias("start"), (F.coalesce(F.get("starts", i + 1), F.col("n") - WINDOW + 1) - 1).alias("end"), F.get("vals", i).alias("val"), F.get("several", i).alias("several")))
     stretches = one.select("key", F.explode(ends).alias("s")).select("key", "s.*")
-    # written first, so that the join below is one of plain shuffles, which adaptive execution can split at a hot anchor
-    often = cut(stretches.groupBy("val").agg(F.count("*").alias("c")).where("c > 1"), "passages-often")
+    often = stretches.groupBy("val").agg(F.sum(F.when(F.col("several"), 2).otherwise(1)).alias("c")).where("c > 1")
     candidates = stretches.join(often, "val").groupBy("key").agg(F.collect_list(F.struct("start", "end", "val", (F.col("c") > HOT).alias("hot"))).alias("found"))
-    texts = keyed.select("key", F.col(text).alias("text")).dropDuplicates(["key"]).join(candidates, "key").select("key", "text", "found")
-    cuts = texts.mapInArrow(_stretches, "key binary, start long, route long, words binary")
+    texts = keyed.select("key", "zipped").dropDuplicates(["key"]).join(candidates, "key").select("key", "zipped", "found")
+    cuts = texts.mapInArrow(_stretches, "key binary, starts array<long>, route long, words binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spans = cuts.repartition(n, "route").sortWithinPartitions("route", "words").mapInPandas(_search, "key binary, start long, end long")
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
@@ -238,14 +255,14 @@ def mask(n: int, copies: int | None, spans: list | None) -> np.ndarray:
 def dedup_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with, in place of the text: n_words, n_removed, kept (the words kept, joined by one space)."""
     keyed, marks = recurring_spans(packed(docs, text), text)
-    joined = keyed.join(marks, "key", "left").select("doc", F.struct(F.col(text).alias("text"), "copies", "spans").alias("row"))
+    joined = keyed.join(marks, "key", "left").select("doc", F.struct("zipped", "copies", "spans").alias("row"))
     return unpacked(map_texts(joined, _kept, "n_words long, n_removed long, kept string", "row"), "n_words", "n_removed", "kept")
 
 
 def _kept(rows: list) -> list:
     n, removed, kept = [], [], []
     for r in rows:
-        words = words_of(r["text"])
+        words = unzipped(r["zipped"])
         gone = mask(len(words), r["copies"], r["spans"])
         n.append(len(words))
         removed.append(int(gone.sum()))
