@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.joins import small_side
+from tidewell.functions.text import terms
 from tidewell.operators.access import visible
 from tidewell.operators.lifecycle import INACTIVE
 
@@ -85,11 +87,9 @@ def search_documents(docs: DataFrame, asked: DataFrame) -> DataFrame:
     A term weighs 1.0 in the title, 0.4 in the name (its punctuation read as blanks), 0.2 in the description; terms
     are compared as words, not stemmed. Only question terms are exploded into the join.
     """
-    from tidewell.functions.text import terms
-
     wanted = asked.select("question_id", F.array_distinct(terms(F.col("question"))).alias("ts")).where(F.size("ts") > 0)
     want = wanted.select("question_id", F.size("ts").alias("n"), F.explode("ts").alias("term"))
-    vocabulary = want.select("term").distinct()
+    vocabulary = small_side(want.select("term").distinct())
     parts = None
     for field, weight in (("title", 1.0), ("filename", 0.4), ("description", 0.2)):
         hit = docs.select("doc_id", F.explode(F.array_distinct(terms(F.col(field)))).alias("term")).join(vocabulary, "term", "left_semi").withColumn("w", F.lit(weight))

@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.joins import small_side
 from tidewell.functions.text import informative_terms, lexical_question, terms
 from tidewell.functions.vectors import cosine
 from tidewell.operators.access import visible
@@ -32,6 +33,7 @@ QUESTION_BLOCK = 2000
 #: Vectors that a task multiplies with a block of questions at a time, whatever the Arrow batch size.
 VECTOR_BLOCK = 8192
 FIELDS = ("text", "title")
+TERM_BUCKETS = 64
 
 
 def candidate_pool(limit: int) -> int:
@@ -112,27 +114,61 @@ def postings(docs: DataFrame, field: str) -> DataFrame:
     return tokens.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
+def question_terms(asked: DataFrame) -> DataFrame:
+    """(question_id, term) of the trimmed questions."""
+    return asked.select("question_id", F.explode(F.array_distinct(terms(lexical_question(F.col("question"))))).alias("term"))
+
+
+def weigh(wanted: DataFrame, tf: DataFrame, figures: DataFrame) -> DataFrame:
+    """(question_id, doc_id, score) from postings tf(field, term, doc_id, tf, dl) of the wanted terms and figures(field, n, mean), one row a field."""
+    df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("mean")))
+    rows = tf.join(df, ["field", "term"]).join(F.broadcast(figures), "field").select("term", "doc_id", (idf * weight).alias("s"))
+    return wanted.join(rows, "term").groupBy("question_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score"))
+
+
 def bm25(asked: DataFrame, docs: DataFrame, fields: tuple = FIELDS) -> DataFrame:
-    """(question_id, doc_id, score): BM25 summed over fields and question terms; corpus figures are over all docs given."""
-    wanted = asked.select("question_id", F.explode(F.array_distinct(terms(lexical_question(F.col("question"))))).alias("term"))
+    """(question_id, doc_id, score): BM25 summed over fields and question terms, straight from the texts.
+
+    Corpus figures are over all docs given. Terms that no question asks for are dropped before anything is shuffled.
+    """
+    wanted = question_terms(asked)
     vocabulary = wanted.select("term").distinct()
-    out = None
-    for field in fields:
-        tokens = docs.select("doc_id", terms(F.col(field)).alias("ts")).withColumn("dl", F.size("ts"))
-        size = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-        tf = tokens.select("doc_id", "dl", F.explode("ts").alias("term")).join(vocabulary, "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-        df = tf.groupBy("term").agg(F.count("*").alias("df"))
-        idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        weight = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("mean")))
-        weighed = tf.join(df, "term").crossJoin(F.broadcast(size)).select("term", "doc_id", (idf * weight).alias("s"))
-        part = wanted.join(weighed, "term").select("question_id", "doc_id", "s")
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy("question_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score"))
+    each = [F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("ts")) for f in fields]
+    tokens = docs.select("doc_id", F.explode(F.array(*each)).alias("f")).select("doc_id", "f.field", "f.ts", F.size("f.ts").alias("dl"))
+    figures = tokens.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
+    tf = tokens.select("doc_id", "field", "dl", F.explode("ts").alias("term")).join(small_side(vocabulary), "term", "left_semi").groupBy("field", "doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    return weigh(wanted, tf, figures)
+
+
+def write_index(docs: DataFrame, path: str, fields: tuple = FIELDS) -> None:
+    """Postings of all fields, partitioned by a hash of the term, and the fields' figures; written once, read by many searches."""
+    parts = [postings(docs, f).withColumn("field", F.lit(f)) for f in fields]
+    sizes = [docs.select(F.lit(f).alias("field"), F.size(terms(F.col(f))).alias("dl")) for f in fields]
+    rows, lengths = parts[0], sizes[0]
+    for p, s in zip(parts[1:], sizes[1:], strict=True):
+        rows, lengths = rows.unionByName(p), lengths.unionByName(s)
+    rows.withColumn("bucket", term_bucket(F.col("term"))).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
+    lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).write.parquet(f"{path}/figures")
+
+
+def term_bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def bm25_indexed(asked: DataFrame, path: str) -> DataFrame:
+    """bm25() from a written index: the join on (bucket, term) prunes the partitions that hold no question term."""
+    spark = asked.sparkSession
+    wanted = question_terms(asked)
+    keys = wanted.select("term").distinct().withColumn("bucket", term_bucket(F.col("term")))
+    tf = spark.read.parquet(f"{path}/postings").join(small_side(keys), ["bucket", "term"], "left_semi")
+    return weigh(wanted, tf, spark.read.parquet(f"{path}/figures"))
 
 
-def lexical_arm(asked: DataFrame, docs: DataFrame, pool: int, scope: DataFrame | None = None) -> DataFrame:
-    """(question_id, doc_id, lexical_score, lexical_rank). Corpus figures cover all docs; scope, permission and deletion filter before ranking."""
-    found = bm25(asked, docs)
+def lexical_arm(asked: DataFrame, docs: DataFrame, pool: int, scope: DataFrame | None = None, index: str | None = None) -> DataFrame:
+    """(question_id, doc_id, lexical_score, lexical_rank). Corpus figures cover all docs; scope, permission and deletion filter before ranking. index: where write_index() has written."""
+    found = bm25(asked, docs) if index is None else bm25_indexed(asked, index)
     if scope is not None:
         found = found.join(scope.select("question_id", "doc_id").distinct(), ["question_id", "doc_id"], "left_semi")
     rows = found.join(asked.select("question_id", "viewer_id", "is_admin"), "question_id").join(docs.select("doc_id", "classification", "owner_id", "deleted_at"), "doc_id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -99,6 +101,15 @@ def bm25_topk(spark, sf_dir):
     return best.select("question_id", "doc_id", F.round("lexical_score", 6).alias("lexical_score"), "lexical_rank")
 
 
+@query
+def bm25_indexed_topk(spark, sf_dir):
+    """bm25_topk from postings that are written first, partitioned by term."""
+    docs, path = governed_documents(spark, sf_dir), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    retrieval.write_index(docs, path)
+    best = retrieval.lexical_arm(_asked(spark, sf_dir), docs, 10, index=path)
+    return best.select("question_id", "doc_id", F.round("lexical_score", 6).alias("lexical_score"), "lexical_rank")
+
+
 @query
 def hybrid_rrf(spark, sf_dir):
     return _told(_search(spark, sf_dir, limit=10), "fusion_rank")

@@ -117,6 +117,7 @@ ORACLE_SQL: dict[str, str] = {
     "semantic_topk": f"with {_GOV},{_ASK},{_semantic(10)} select question_id, doc_id, round(similarity, 6) similarity, semantic_rank from sem",
     "bm25_postings": f"select term, count(*) df, cast(sum(tf) as bigint) cf, max(tf) max_tf from (select doc_id, term, count(*) tf from (select doc_id, unnest({_TERMS.format(c='text')}) term from documents) group by all) group by term",
     "bm25_topk": f"with {_GOV},{_ASK},{_lexical(10)} select question_id, doc_id, round(lexical_score, 6) lexical_score, lexical_rank from lex",
+    "bm25_indexed_topk": f"with {_GOV},{_ASK},{_lexical(10)} select question_id, doc_id, round(lexical_score, 6) lexical_score, lexical_rank from lex",
     "hybrid_rrf": f"{_HYBRID} select {_TOLD}, fusion_rank from fused",
     "hybrid_semantic_only": f"with {_GOV},{_ASK},{_semantic(50)},{_fused(10, 'semantic')} select {_TOLD}, fusion_rank from fused",
     "hybrid_lexical_only": f"with {_GOV},{_ASK},{_lexical(50)},{_fused(10, 'lexical')} select {_TOLD}, fusion_rank from fused",
