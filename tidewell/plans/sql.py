@@ -97,6 +97,10 @@ acts as (select *, case when gone and ({partial} or state <> 'IMPORTED') then 'K
   when had and not changed and old_tier is distinct from tier then 'RECLASSIFY' when had and not changed then 'UNCHANGED' when form then 'SKIP' when size > 104857600 then 'SKIP'
   when had and state = 'IMPORTED' then 'EDIT' else 'IMPORT' end act from both_)"""
 
+_FIGURE = r"(?:^|[^\w.])((?:\d{{1,3}}(?:,\d{{2,3}})+(?:\.\d+)?|\d+\.\d+|\d{{4,}}|\d{{1,3}}(?:st|nd|rd|th)?))(?:$|[^\w])"
+#: Blanks are doubled so that a boundary that one match takes is still there for the next.
+_FIDELITY = rf"""with {_ANSWERS}, p as (select *, regexp_extract_all(replace(regexp_replace(answer, '\[\d+\]', ' ', 'g'), ' ', '  '), '{_FIGURE.format()}', 1) found from ans),
+f as (select *, list_distinct(list_filter(list_transform(found, lambda x: {_NORM.format(c="x")}), lambda x: not regexp_full_match(x, '[0-9]|10'))) nums, list_filter(nums, lambda x: contains({_NORM.format(c="context")}, x)) ok from p)"""
 
 def _template_sql() -> str:
     """Every pattern's first match as a question; of equal questions the one of the smallest document."""
@@ -218,4 +222,17 @@ s as (select *, sum(case when coalesce(gap, true) then 1 else 0 end) over (parti
 g as (select user_id, min(ts) began, max(ts) + interval 30 minutes expired, count(*) renewals from s group by user_id, k) select * from g where expired <= (select max(ts) - interval 1 hour from events)""",
     "stream_windowed_counts": "select date_trunc('hour', ts) window_start, event_type, count(*) n from events group by all having date_trunc('hour', min(ts)) + interval 1 hour <= (select max(ts) - interval 2 hours from events)",
     "stream_first_seen": "select event_type, count(*) n, count(distinct event_id) events from events group by event_type",
+    "lexical_trim": rf"""with u as (select conv_id, turn, text from conversations where role = 'user'),
+k as (select *, list_filter(list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda t: t <> ''),
+  lambda t: regexp_replace(regexp_replace(t, '^[^\p{{L}}\p{{N}}_(]+|[^\p{{L}}\p{{N}}_).]+$', '', 'g'), '([^A-Z])\.$', '\1')),
+  lambda t: t <> '' and (regexp_full_match(t, '\p{{Lu}}') or lower(t) not in ({_quoted(LEXICAL_STOPWORDS)}))) k from u)
+select conv_id, turn, case when len(k) >= 2 then array_to_string(k, ' ') else text end searched, array_to_string({_INFORMATIVE.format(c="coalesce(text, '')")}, ' ') informative from k""",
+    "numeric_fidelity": _FIDELITY + " select conv_id, turn, cast(len(nums) as int) checked, cast(len(ok) as int) supported, round(len(ok) / nullif(len(nums), 0), 6) fidelity from f",
+    "fidelity_rollup": _FIDELITY + rf""", s as (select list_filter(list_transform(regexp_split_to_array(regexp_replace(answer, '([.!?])\s+', e'\\1\x01', 'g'), e'\x01'), lambda s: trim(s)), lambda s: length(s) >= 25) s from ans),
+n as (select cast(sum(len(nums)) as bigint) checked, cast(sum(len(ok)) as bigint) supported from f), c as (select cast(sum(len(s)) as bigint) sentences, cast(sum(len(list_filter(s, lambda x: regexp_matches(x, '\[\d+\]')))) as bigint) cited from s)
+select checked, supported, sentences, cited, round(supported / nullif(checked, 0), 6) "numeric", round(cited / nullif(sentences, 0), 6) coverage from n, c""",
+    "clean_text_profile": r"""with a as (select doc_id, regexp_replace(translate(translate(coalesce(text, ''), chr(8203) || chr(8204) || chr(8205) || chr(65279) || chr(173), ''), chr(11) || chr(12), chr(10) || chr(10)), '[\x00-\x08\x0E-\x1F\x7F]', '', 'g') t from documents),
+b as (select doc_id, regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '(?im)^[ \t]*(?:cont(?:d|inued)?\.*[ \t.]*(?:p(?:age|\.)?[ \t.]*)?\d{0,3}[ \t]*/?-?|[-–—][ \t]*\d{1,3}[ \t]*[-–—]|page[ \t]+\d{1,4}(?:[ \t]+of[ \t]+\d{1,4})?)[ \t]*(?:\n|\z)', '', 'g') t from a),
+c as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '([\p{L}\p{N}_])-\n([a-z])', '\1\2', 'g'), '[ \t]{2,}', ' ', 'g'), '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') t from b),
+d as (select doc_id, trim(t, e' \t\n\r') t from c) select doc_id, cast(length(t) as int) chars, md5(t) digest from d""",
 }
