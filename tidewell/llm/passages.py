@@ -5,12 +5,13 @@
    twice can recur. Consecutive windows of equal anchors are one row: about one row for 14 words, without text.
 2. Candidates. Counting anchors (combined before the shuffle) and joining the counts back leaves the stretches
    whose anchor recurs; their words are cut out of the texts, one row for each stretch, and dealt out by anchor.
-   Anchors that occur more than HOT times are dealt out by single windows instead, so that no task gets a whole
-   hot anchor: equal windows of a text are one row, and different windows spread by their own hash.
+   Anchors that occur more than HOT times go another, exact way, so that no task gets a whole hot anchor: their
+   windows' digests are counted (equal ones of a text are one row, counts are combined before the shuffle) and
+   those that occur twice are found by a salted join.
 3. Automata. A task goes through its anchors in order, some thousand stretches at a time: it confirms the windows
    that occur twice (words compared, not hashes), joins neighbours to recurring passages, compiles them into an
    Aho-Corasick automaton over word numbers, and streams every stretch of these anchors through it to locate every
-   occurrence. An automaton holds the passages of at most about BATCH stretches (or one anchor's HOT), so memory is
+   occurrence. An automaton holds the passages of at most about BATCH stretches (and one anchor's, HOT at most), so memory is
    bounded, and each stretch is read by the one automaton that can match it: work grows with the text, not with
    text x automata.
 4. Removal. The spans located in a text are joined to its rows by the text's digest; texts that occur in several
@@ -39,8 +40,9 @@ from .common import cut, map_texts, packed, small_batches, table, unpacked
 
 WINDOW = 35
 ANCHOR = 8
-#: Occurrences from which an anchor is dealt out by windows.
+#: Occurrences above which an anchor's windows are counted instead of searched, and the tasks that share such a window.
 HOT = 20_000
+SALTS = 64
 #: Stretches that one automaton is compiled from, unless one anchor has more.
 BATCH = 20_000
 REMEMBERED = 300_000
@@ -119,29 +121,36 @@ def _anchor_rows(texts: list) -> list:
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, zipped, found: array of (start, end, val, hot)) -> (key, starts, route, words): a hot anchor gives single windows, equal ones of a text once."""
+    """(key, zipped, found: array of (start, end, val, hot)) -> (key, start, route, words) of the stretches that are not hot."""
     for b in batches:
         keys, starts, routes, cuts = [], [], [], []
         for key, raw, found in zip(*(b.column(c).to_pylist() for c in ("key", "zipped", "found")), strict=True):
             words = unzipped(raw)
             for f in found:
-                start, end = f["start"], f["end"]
                 if not f["hot"]:
                     keys.append(key)
-                    starts.append([start])
-                    cuts.append(b" ".join(words[start : end + WINDOW]))
-                    routes.append(f["val"] & 0xFFFFFFFFFFFFFFFF)
-                    continue
-                single: dict[bytes, list[int]] = {}
-                for p in range(start, end + 1):
-                    single.setdefault(b" ".join(words[p : p + WINDOW]), []).append(p)
-                for piece, at in single.items():
-                    keys.append(key)
-                    starts.append(at)
-                    cuts.append(piece)
-                    routes.append(xxhash.xxh64_intdigest(piece))
-        route = pa.array(np.array(routes, np.uint64).view(np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.list_(pa.int64())), route, pa.array(cuts, pa.binary())], ["key", "starts", "route", "words"])
+                    starts.append(f["start"])
+                    routes.append(f["val"])
+                    cuts.append(b" ".join(words[f["start"] : f["end"] + WINDOW]))
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int64()), pa.array(routes, pa.int64()), pa.array(cuts, pa.binary())], ["key", "start", "route", "words"])
+
+
+def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same input -> (key, digest, starts): the single windows of hot anchors, equal ones of a text in one row."""
+    for b in batches:
+        keys, digests, starts = [], [], []
+        for key, raw, found in zip(*(b.column(c).to_pylist() for c in ("key", "zipped", "found")), strict=True):
+            words = unzipped(raw)
+            single: dict[bytes, list[int]] = {}
+            for f in found:
+                if f["hot"]:
+                    for p in range(f["start"], f["end"] + 1):
+                        single.setdefault(hashlib.md5(b" ".join(words[p : p + WINDOW])).digest(), []).append(p)
+            for digest, at in single.items():
+                keys.append(key)
+                digests.append(digest)
+                starts.append(at)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(digests, pa.binary()), pa.array(starts, pa.list_(pa.int64()))], ["key", "digest", "starts"])
 
 
 def locate(rows: list[tuple[int, bytes, list]]) -> Iterator[tuple]:
@@ -195,7 +204,7 @@ def _groups(rows: list[tuple[int, bytes, list]]) -> Iterator[tuple[int, int]]:
 
 
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (key, starts, route, words) sorted by (route, words) -> spans (key, start, end), some whole routes at a time."""
+    """Rows (key, start, route, words) sorted by (route, words) -> spans (key, start, end), some whole routes at a time."""
     held: list[tuple[int, bytes, list]] = []
     out: list[tuple] = []
 
@@ -205,21 +214,28 @@ def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pdf
 
     for pdf in batches:
-        for route, words, key, starts in zip(pdf["route"], pdf["words"], pdf["key"], pdf["starts"], strict=True):
-            places = [(key, int(s)) for s in starts]
+        for route, words, key, start in zip(pdf["route"], pdf["words"], pdf["key"], pdf["start"], strict=True):
             if held and held[-1][0] == route and held[-1][1] == words:
-                held[-1][2].extend(places)
+                held[-1][2].append((key, start))
                 continue
             if len(held) >= BATCH and held[-1][0] != route:
                 out += locate(held)
                 held = []
                 yield told()
-            held.append((route, words, places))
+            held.append((route, words, [(key, start)]))
     if held:
         out += locate(held)
         yield told()
 
 
+def count_windows(windows: DataFrame) -> DataFrame:
+    """(key, digest, starts) -> spans of the windows that occur twice, by counts combined before the shuffle and a salted join."""
+    counts = windows.groupBy("digest").agg(F.sum(F.size("starts")).alias("c")).where("c > 1")
+    counts = counts.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = windows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
+    return salted.join(counts, ["digest", "salt"]).select("key", F.explode("starts").alias("start")).withColumn("end", F.col("start") + WINDOW)
+
+
 def recurring_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(keyed docs, marks): docs with key and zipped in place of the text; marks(key, copies, spans) for texts that recur in part or as a whole."""
     spark = docs.sparkSession
@@ -231,12 +247,15 @@ def recurring_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, Dat
     one = found.join(copies.select("key", "row"), ["key", "row"], "left_semi")
     ends = F.transform("starts", lambda s, i: F.struct(s.alias("start"), (F.coalesce(F.get("starts", i + 1), F.col("n") - WINDOW + 1) - 1).alias("end"), F.get("vals", i).alias("val"), F.get("several", i).alias("several")))
     stretches = one.select("key", F.explode(ends).alias("s")).select("key", "s.*")
-    often = stretches.groupBy("val").agg(F.sum(F.when(F.col("several"), 2).otherwise(1)).alias("c")).where("c > 1")
+    often = cut(stretches.groupBy("val").agg(F.sum(F.when(F.col("several"), 2).otherwise(1)).alias("c")).where("c > 1"), "passages-often")
     candidates = stretches.join(often, "val").groupBy("key").agg(F.collect_list(F.struct("start", "end", "val", (F.col("c") > HOT).alias("hot"))).alias("found"))
     texts = keyed.select("key", "zipped").dropDuplicates(["key"]).join(candidates, "key").select("key", "zipped", "found")
-    cuts = texts.mapInArrow(_stretches, "key binary, starts array<long>, route long, words binary")
+    cuts = texts.mapInArrow(_stretches, "key binary, start long, route long, words binary")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spans = cuts.repartition(n, "route").sortWithinPartitions("route", "words").mapInPandas(_search, "key binary, start long, end long")
+    if not often.where(F.col("c") > HOT).isEmpty():
+        hot = texts.where(F.exists("found", lambda f: f["hot"])).mapInArrow(_hot_windows, "key binary, digest binary, starts array<long>")
+        spans = spans.unionByName(count_windows(hot))
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     marks = cut(copies.where("copies > 1").select("key", "copies").join(spans, "key", "full_outer"), "passages-marks")
     return keyed, marks
