@@ -50,7 +50,7 @@ def holders_of(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFrame:
     """
     keys = items.select("question_id", F.slice(terms(F.col("text")), 1, words).alias("ts")).where(F.size("ts") == words).select("question_id", F.array_join("ts", " ").alias("run"))
     own = docs.select("doc_id", terms(F.col("text")).alias("ts")).where(F.size("ts") >= words)
-    runs = own.select("doc_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("ts") - words + 1), lambda i: F.array_join(F.slice("ts", i, words), " "))).alias("run"))
+    runs = own.select("doc_id", F.explode_outer(F.transform(F.sequence(F.lit(1), F.size("ts") - words + 1), lambda i: F.array_join(F.slice("ts", i, words), " "))).alias("run"))
     return runs.join(small_side(keys), "run").select("question_id", "doc_id").distinct()
 
 

@@ -92,7 +92,7 @@ def search_documents(docs: DataFrame, asked: DataFrame) -> DataFrame:
     vocabulary = small_side(want.select("term").distinct())
     parts = None
     for field, weight in (("title", 1.0), ("filename", 0.4), ("description", 0.2)):
-        hit = docs.select("doc_id", F.explode(F.array_distinct(terms(F.col(field)))).alias("term")).join(vocabulary, "term", "left_semi").withColumn("w", F.lit(weight))
+        hit = docs.select("doc_id", F.explode_outer(F.array_distinct(terms(F.col(field)))).alias("term")).join(vocabulary, "term", "left_semi").withColumn("w", F.lit(weight))
         parts = hit if parts is None else parts.unionByName(hit)
     per = parts.groupBy("doc_id", "term").agg(F.sum("w").alias("w"))
     found = want.join(per, "term").groupBy("question_id", "doc_id", "n").agg(F.count("*").alias("m"), F.round(F.sum("w"), 6).alias("rank"))

@@ -111,7 +111,7 @@ def _best(block: pd.DataFrame, pool: int):
 def postings(docs: DataFrame, field: str) -> DataFrame:
     """(doc_id, term, tf, dl) of one field; dl is the field's length in terms."""
     tokens = docs.select("doc_id", terms(F.col(field)).alias("ts"))
-    return tokens.select("doc_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    return tokens.select("doc_id", F.size("ts").alias("dl"), F.explode_outer("ts").alias("term")).where("term is not null").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
 def question_terms(asked: DataFrame) -> DataFrame:
@@ -132,13 +132,14 @@ def bm25(asked: DataFrame, docs: DataFrame, fields: tuple = FIELDS) -> DataFrame
     """(question_id, doc_id, score): BM25 summed over fields and question terms, straight from the texts.
 
     Corpus figures are over all docs given. Terms that no question asks for are dropped before anything is shuffled.
+    (explode_outer: with explode, Spark infers a filter on the array's size and splits every text twice.)
     """
     wanted = question_terms(asked)
     vocabulary = wanted.select("term").distinct()
     each = [F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("ts")) for f in fields]
     tokens = docs.select("doc_id", F.explode(F.array(*each)).alias("f")).select("doc_id", "f.field", "f.ts", F.size("f.ts").alias("dl"))
     figures = tokens.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    tf = tokens.select("doc_id", "field", "dl", F.explode("ts").alias("term")).join(small_side(vocabulary), "term", "left_semi").groupBy("field", "doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    tf = tokens.select("doc_id", "field", "dl", F.explode_outer("ts").alias("term")).join(small_side(vocabulary), "term", "left_semi").groupBy("field", "doc_id", "term", "dl").agg(F.count("*").alias("tf"))
     return weigh(wanted, tf, figures)
 
 
