@@ -91,7 +91,7 @@ def quality_failures(char_count: Column, unit_count: Column, is_pdf: Column, flo
 
 def terms(c: Column) -> Column:
     """Index terms: runs of letters and digits, lower case."""
-    return F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
 def lexical_question(c: Column) -> Column:

@@ -22,6 +22,7 @@ from tidewell.functions.joins import small_side
 from tidewell.functions.text import informative_terms, lexical_question, terms
 from tidewell.functions.vectors import cosine
 from tidewell.operators.access import visible
+from tidewell.sources.shared import stored
 
 # Parameters of the ranking.
 RRF_K = 60
@@ -140,7 +141,7 @@ def bm25(asked: DataFrame, docs: DataFrame, fields: tuple = FIELDS) -> DataFrame
     tokens = docs.select("doc_id", F.explode(F.array(*each)).alias("f")).select("doc_id", "f.field", "f.ts", F.size("f.ts").alias("dl"))
     figures = tokens.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
     tf = tokens.select("doc_id", "field", "dl", F.explode_outer("ts").alias("term")).join(small_side(vocabulary), "term", "left_semi").groupBy("field", "doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    return weigh(wanted, tf, figures)
+    return weigh(wanted, stored(tf, "postings"), figures)
 
 
 def write_index(docs: DataFrame, path: str, fields: tuple = FIELDS) -> None:

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -14,3 +15,10 @@ def shared_folder(spark: SparkSession) -> str:
         known = f"file://{tempfile.mkdtemp(prefix='tidewell-')}"
         spark.conf.set("tidewell.scratch", known)
     return known.rstrip("/")
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written as Parquet into the shared folder and read again: what several branches of a plan need is computed once."""
+    path = f"{shared_folder(df.sparkSession)}/tidewell-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
