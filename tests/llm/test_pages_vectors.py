@@ -38,6 +38,16 @@ def test_fixed_texts_of_a_host_are_left_out_without_an_article(spark):
     assert pages.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_a_text_is_fixed_only_with_an_element_of_its_class_and_one_place(spark):
+    body = lambda *parts: "<html><body>" + "".join(parts) + "</body></html>"
+    rows = [("http://c/", body("<h2>Menu</h2>", f"<p>own {k}</p>", "<p>shared</p>" if k < 4 else "", "<p>moves</p>" * (k == 0), f"<p>b {k}</p>" * k, "<p>moves</p>" * (k > 0), f"<p>c {k}</p>" * (3 - k % 3), "<div class=w/2><p>box</p></div>" if k > 3 else "", "<h2>Menu</h2>")) for k in range(8)]
+    got = extract(spark, rows)
+    for k in range(8):
+        words = got[k].split("\n\n")
+        assert "Menu" not in words and "box" not in words
+        assert "moves" in words and ("shared" in words) == (k < 4)
+
+
 def brute(rows, threshold):
     ok = [(i, np.array(v, float)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links = {i: set() for i, _ in rows}

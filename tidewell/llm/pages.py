@@ -1,16 +1,17 @@
 """HTML extraction by equivalence-class template deduction.
 
-1. Tokens. Each page is read once into its elements (by path of names) and its text blocks. Tokens are element paths
-   and (path, block text) pairs; a page reports each of its tokens with its count.
-2. Classes. For each host, a token's occurrence vector (its count on every page) is kept as a digest that adds up
+1. Tokens. Each page is read once into its elements (by path of names) and its text blocks. Tokens are element paths,
+   and block texts with their path and occurrence number (a text that a page shows twice is two tokens). Texts of the
+   article and of parts that are never extracted are not tokens, since the template does not decide on them.
+2. Classes. For each host, a token's occurrence vector (the pages it stands on) is kept as a digest that adds up
    over pages, so vectors of a host with a third of all pages are formed by partial sums and never gathered. Tokens
    of one host with the same digest and number of pages are an equivalence class.
-3. Template. A class is valid if it is frequent (MIN_PAGES pages, MIN_SHARE of the host's) and nests: its text
-   tokens must lie in elements that belong to this class or to one that covers its pages. Valid classes make up the
-   host's template: its fixed texts and elements.
-4. Slots. What the template leaves are slots. Extracted are the slots of the article (an `article` or `main`
-   element, or, without one, all slots outside the parts named below). Fixed texts are left out unless they stand in
-   the article, whose own sentences may well recur on other pages.
+3. Template. A text belongs to the template if its class is frequent (MIN_PAGES pages, MIN_SHARE of the host's) and
+   nests: the class also holds an element around the text (the page itself included), and the text has the same place
+   among the blocks of its path on every page, counted from the first or from the last one.
+4. Slots. What the template leaves are slots. Without an article, all slots outside the parts named below are
+   extracted. Where a page has an article (an `article` or `main` element) the element's name decides alone: all its
+   blocks are extracted, fixed or not, as its own sentences may well recur on other pages.
 
 Parts that are never extracted are named by element, role or class words (fixed values below). Character references
 are decoded; white space inside a block becomes one space; blocks are trimmed and joined in page order by a blank line.
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -72,7 +74,7 @@ def _opened(name: str, raw: str, above: Element) -> Element:
         named = f"{found.get('class', '')} {found.get('id', '')}"
         if named != " ":
             words = {w.lower() for w in SPLIT.split(named)}
-            path = f"{name}.{'.'.join(sorted(named.split()))}"
+            path = f"{name}.{'.'.join(sorted(named.split()))}".replace("/", "|")
             out = out or (name not in ("html", "body", "article", "main") and not WORDS.isdisjoint(words))
         hidden = found.get("aria-hidden", "") == "true" or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
         out = out or hidden or found.get("role", "").lower() in ROLES
@@ -147,28 +149,39 @@ def token(path: str, text: str = "") -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
+def _around(path: str) -> list[int]:
+    """The page (0) and the elements of a path, as tokens."""
+    return [0, *(token(path[:k]) for k in range(1, len(path) + 1) if k == len(path) or path[k] == "/")]
+
+
+def _numbered(blocks: list) -> list[tuple[str, str, int, int, int]]:
+    """(path, text, token, place from the first, place from the last block of the path) of the blocks that a template can hold."""
+    open_ = [(path, text) for path, text, article, gone in blocks if not article and not gone]
+    total, place, times = Counter(path for path, _ in open_), Counter(), Counter()
+    out = []
+    for path, text in open_:
+        out.append((path, text, token(path, f"{times[path, text]}\n{text}"), place[path], total[path] - place[path]))
+        place[path] += 1
+        times[path, text] += 1
+    return out
+
+
 def _tokens(pages: list) -> list:
-    """For each page: distinct tokens with count, and for text tokens the element they lie in."""
+    """For each page: its distinct tokens, and for text tokens the elements around them and their places."""
     out = []
     for html in pages:
         paths, blocks = read_page(html or "")
-        counts: dict[tuple[int, int | None], int] = {(0, None): 1}
-        for p in paths:
-            key = (token(p), None)
-            counts[key] = counts.get(key, 0) + 1
-        for path, text, article, gone in blocks:
-            if not article and not gone:
-                key = (token(path, text), token(path))
-                counts[key] = counts.get(key, 0) + 1
-        out.append([{"token": t, "inside": p, "n": n} for (t, p), n in counts.items()])
+        found = [{"token": t, "around": None, "front": None, "back": None} for t in {0, *map(token, paths)}]
+        found += [{"token": t, "around": _around(path), "front": front, "back": back} for path, _, t, front, back in _numbered(blocks)]
+        out.append(found)
     return [out]
 
 
 def main_text(html: str | None, fixed: set[int]) -> str:
-    """The blocks of the article's slots, joined by a blank line."""
+    """The article's blocks, or the blocks outside the template; joined by a blank line."""
     _, blocks = read_page(html or "")
-    article = any(b[2] and not b[3] for b in blocks)
-    return "\n\n".join(text for path, text, inside, gone in blocks if not gone and (inside if article else token(path, text) not in fixed))
+    article = [text for _, text, inside, gone in blocks if inside and not gone]
+    return "\n\n".join(article or (text for _, text, t, _, _ in _numbered(blocks) if t not in fixed))
 
 
 def _extract(rows: list) -> list:
@@ -183,19 +196,20 @@ def host_of(url: Column) -> Column:
 def deduce_templates(pages: DataFrame) -> DataFrame:
     """(host, fixed: text tokens of the host's template) from pages(url, html)."""
     page = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("url", "html").alias("h"), F.col("html").alias("text"))
-    seen = map_texts(page, _tokens, "tokens array<struct<token:long, inside:long, n:int>>").select("host", "h", F.explode("tokens").alias("t"))
+    seen = map_texts(page, _tokens, "tokens array<struct<token:long, around:array<long>, front:int, back:int>>").select("host", "h", F.explode("tokens").alias("t"))
     low, high = F.col("h").bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned("h", 33)
+    placed = (F.min("t.front") == F.max("t.front")) | (F.min("t.back") == F.max("t.back"))
     vectors = cut(
-        seen.groupBy("host", F.col("t.token").alias("token"), F.col("t.inside").alias("inside")).agg(
-            F.count("*").alias("pages"), F.sum("t.n").alias("n"), F.sum(F.col("t.n") * low).alias("v1"), F.sum(F.col("t.n") * high).alias("v2")
+        seen.groupBy("host", F.col("t.token").alias("token"), F.col("t.around").alias("around")).agg(
+            F.count("*").alias("pages"), F.sum(low).alias("v1"), F.sum(high).alias("v2"), placed.alias("placed")
         ).where(F.col("pages") >= MIN_PAGES),
         "pages-vectors",
     )
-    whole = vectors.where("token = 0 and inside is null").select("host", F.col("pages").alias("all_pages"))
+    whole = vectors.where("token = 0 and around is null").select("host", F.col("pages").alias("all_pages"))
     frequent = vectors.join(whole, "host").where(F.col("pages") >= MIN_SHARE * F.col("all_pages"))
-    elements = frequent.where("inside is null").select("host", F.col("token").alias("inside"), F.col("pages").alias("covered"), F.col("v1").alias("e1"), F.col("v2").alias("e2"))
-    # a text token nests if its element is in its own class, or in a class on as many pages at least
-    nested = frequent.where("inside is not null").join(elements, ["host", "inside"]).where("(v1 = e1 and v2 = e2) or covered >= pages")
+    elements = frequent.where("around is null").select("host", F.col("token").alias("element"), "pages", "v1", "v2")
+    texts = frequent.where("around is not null and placed").select("host", "token", "pages", "v1", "v2", F.explode("around").alias("element"))
+    nested = texts.join(elements, ["host", "element", "pages", "v1", "v2"], "left_semi")
     return nested.groupBy("host").agg(F.collect_set("token").alias("fixed"))
 
 
