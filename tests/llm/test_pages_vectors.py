@@ -48,6 +48,19 @@ def test_a_text_is_fixed_only_with_an_element_of_its_class_and_one_place(spark):
         assert "moves" in words and ("shared" in words) == (k < 4)
 
 
+def test_copies_count_once_and_rare_parts_are_found_without_an_article(spark):
+    body = lambda k, text, ad="": f"<html><body><h2>Menu</h2><div class=ad>{ad}</div><div id=post-{k}><p>{text}</p><p>end of {text}</p></div></body></html>"
+    mirrored = [("http://c/", body(7, "mirrored", ad)) for ad in ("", "", "x", "y", "z")]
+    notice = [("http://c/", body(k, f"own {k}").replace("<h2>", "<section class=x1>Closed today</section><h2>")) for k in range(10, 13)]
+    rows = mirrored + notice + [("http://c/", body(k, f"own {k}")) for k in range(13, 60)]
+    rows += [("http://d/", body(k, "alone", ad)) for k, ad in enumerate("xyz")]
+    got = extract(spark, rows)
+    assert {got[k] for k in range(5)} == {"mirrored\n\nend of mirrored"}
+    for k in range(10, 60):
+        assert got[k - 5] == f"own {k}\n\nend of own {k}"
+    assert {got[k] for k in range(55, 58)} == {"Menu\n\nalone\n\nend of alone"}
+
+
 def brute(rows, threshold):
     ok = [(i, np.array(v, float)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links = {i: set() for i, _ in rows}

@@ -6,9 +6,12 @@
 2. Classes. For each host, a token's occurrence vector (the pages it stands on) is kept as a digest that adds up
    over pages, so vectors of a host with a third of all pages are formed by partial sums and never gathered. Tokens
    of one host with the same digest and number of pages are an equivalence class.
-3. Template. A text belongs to the template if its class is frequent (MIN_PAGES pages, MIN_SHARE of the host's) and
+3. Template. Pages of a host whose blocks are the same, out of the parts that are never extracted, are one content, so
+   copies and mirrors of a page count once. A text belongs to the template if its class is on MIN_PAGES contents and
    nests: the class also holds an element around the text (the page itself included), and the text has the same place
-   among the blocks of its path on every page, counted from the first or from the last one.
+   among the blocks of its path on every page, counted from the first or from the last one. No share of the host's
+   pages is asked for: a notice in an element of its own is found however rare it is, and passages that pages share
+   inside elements that other pages have too are kept. Digits in class words and ids do not tell elements apart.
 4. Slots. What the template leaves are slots. Without an article, all slots outside the parts named below are
    extracted. Where a page has an article (an `article` or `main` element) the element's name decides alone: all its
    blocks are extracted, fixed or not, as its own sentences may well recur on other pages.
@@ -32,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_texts, packed, table, unpacked
 
-MIN_PAGES, MIN_SHARE = 3, 0.1
+MIN_PAGES = 3
 
 #: Names of elements and class words.
 RAW = frozenset("script style noscript template textarea title iframe svg math object select canvas audio video".split())
@@ -55,6 +58,7 @@ LISTS = frozenset("ul ol dl table menu".split())
 
 TAG = re.compile(r"""<(?:!--(?:.*?--!?>|.*)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z))""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+DIGITS = re.compile(r"\d+")
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -74,7 +78,7 @@ def _opened(name: str, raw: str, above: Element) -> Element:
         named = f"{found.get('class', '')} {found.get('id', '')}"
         if named != " ":
             words = {w.lower() for w in SPLIT.split(named)}
-            path = f"{name}.{'.'.join(sorted(named.split()))}".replace("/", "|")
+            path = f"{name}.{'.'.join(sorted({DIGITS.sub('#', w) for w in named.replace('/', '|').split()}))}"
             out = out or (name not in ("html", "body", "article", "main") and not WORDS.isdisjoint(words))
         hidden = found.get("aria-hidden", "") == "true" or "hidden" in found or "display:none" in found.get("style", "").replace(" ", "")
         out = out or hidden or found.get("role", "").lower() in ROLES
@@ -167,14 +171,15 @@ def _numbered(blocks: list) -> list[tuple[str, str, int, int, int]]:
 
 
 def _tokens(pages: list) -> list:
-    """For each page: its distinct tokens, and for text tokens the elements around them and their places."""
-    out = []
+    """For each page: a digest of its content, and its distinct tokens, text tokens with the elements around them and their places."""
+    contents, out = [], []
     for html in pages:
         paths, blocks = read_page(html or "")
-        found = [{"token": t, "around": None, "front": None, "back": None} for t in {0, *map(token, paths)}]
+        contents.append(token("\n".join(f"{path}\n{text}" for path, text, _, gone in blocks if not gone), "content"))
+        found = [{"token": t, "around": None, "front": None, "back": None} for t in sorted({0, *map(token, paths)})]
         found += [{"token": t, "around": _around(path), "front": front, "back": back} for path, _, t, front, back in _numbered(blocks)]
         out.append(found)
-    return [out]
+    return [contents, out]
 
 
 def main_text(html: str | None, fixed: set[int]) -> str:
@@ -194,30 +199,30 @@ def host_of(url: Column) -> Column:
 
 
 def deduce_templates(pages: DataFrame) -> DataFrame:
-    """(host, fixed: text tokens of the host's template) from pages(url, html)."""
-    page = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("url", "html").alias("h"), F.col("html").alias("text"))
-    seen = map_texts(page, _tokens, "tokens array<struct<token:long, around:array<long>, front:int, back:int>>").select("host", "h", F.explode("tokens").alias("t"))
-    low, high = F.col("h").bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned("h", 33)
-    placed = (F.min("t.front") == F.max("t.front")) | (F.min("t.back") == F.max("t.back"))
+    """(host, h: digest of the html, fixed: its text tokens that belong to the host's template) from pages(url, html)."""
+    page = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("h"), F.col("html").alias("text"))
+    read = cut(map_texts(page, _tokens, "content long, tokens array<struct<token:long, around:array<long>, front:int, back:int>>"), "pages-tokens")
+    seen = read.select("host", "h", "content", F.explode("tokens").alias("t")).select("host", "h", "content", "t.*")
+    low, high = F.col("content").bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftrightunsigned("content", 33)
+    placed = (F.min("front") == F.max("front")) | (F.min("back") == F.max("back"))
     vectors = cut(
-        seen.groupBy("host", F.col("t.token").alias("token"), F.col("t.around").alias("around")).agg(
+        seen.select("host", "content", "token", "around", "front", "back").distinct().groupBy("host", "token", "around").agg(
             F.count("*").alias("pages"), F.sum(low).alias("v1"), F.sum(high).alias("v2"), placed.alias("placed")
         ).where(F.col("pages") >= MIN_PAGES),
         "pages-vectors",
     )
-    whole = vectors.where("token = 0 and around is null").select("host", F.col("pages").alias("all_pages"))
-    frequent = vectors.join(whole, "host").where(F.col("pages") >= MIN_SHARE * F.col("all_pages"))
-    elements = frequent.where("around is null").select("host", F.col("token").alias("element"), "pages", "v1", "v2")
-    texts = frequent.where("around is not null and placed").select("host", "token", "pages", "v1", "v2", F.explode("around").alias("element"))
-    nested = texts.join(elements, ["host", "element", "pages", "v1", "v2"], "left_semi")
-    return nested.groupBy("host").agg(F.collect_set("token").alias("fixed"))
+    elements = vectors.where("around is null").select("host", F.col("token").alias("element"), "pages", "v1", "v2")
+    texts = vectors.where("around is not null and placed").select("host", "token", "pages", "v1", "v2", F.explode("around").alias("element"))
+    fixed = cut(texts.join(elements, ["host", "element", "pages", "v1", "v2"], "left_semi").select("host", "token").distinct(), "pages-fixed")
+    # by page, since the template of a large host may have far more texts than one page
+    return seen.where("around is not null").join(fixed, ["host", "token"]).groupBy("host", "h").agg(F.collect_set("token").alias("fixed"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """pages(url, html, more) with, in place of html: text and n_chars."""
     templates = cut(deduce_templates(pages), "pages-templates")
-    joined = packed(pages, "html").withColumn("host", host_of(F.col("doc.url"))).join(templates, "host", "left")
-    rows = joined.select("doc", F.struct("html", "fixed").alias("page"))
+    named = packed(pages, "html").withColumn("host", host_of(F.col("doc.url"))).withColumn("h", F.xxhash64("html"))
+    rows = named.join(templates, ["host", "h"], "left").select("doc", F.struct("html", "fixed").alias("page"))
     return unpacked(map_texts(rows, _extract, "text string, n_chars long", "page"), "text", "n_chars")
 
 
