@@ -3,13 +3,13 @@
 STAGES are (name, function) in their order; each function takes (spark, docs, sf_dir) and returns a DataFrame that is
 written as Parquet and read again as the next one's docs. All but the last return the columns of docs.
 
-A row with a null text counts as empty throughout. Rows that share a doc_id are one document (one of them stays).
+A row with a null text counts as empty throughout. Each row is a document of its own, whether its doc_id is null or repeated.
 Further columns of docs pass through; a struct keeps them apart from what an operator adds.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import bpe, decontaminate, quality, secrets, simhash
@@ -29,14 +29,15 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest doc_id."""
-    groups = cut(simhash.near_duplicates(docs), "pipeline-groups")
-    first = groups.where(F.col("id").eqNullSafe(F.col("component")))
-    kept = docs.join(first.select("id").distinct(), F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
-    if first.groupBy("id").count().where("count > 1").isEmpty() and groups.groupBy("id").count().where("count > 1").isEmpty():
-        return kept
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    return kept.select(F.struct("*").alias("doc"), "doc_id", "text").withColumn("place", F.row_number().over(order)).where("place = 1").select("doc.*")
+    """Of each group of near duplicates the document with the smallest doc_id (nulls last; of equal ones, any one row).
+
+    Rows get a key of their own, written once with them, so that null and repeated ids neither lose nor join documents.
+    """
+    rows = cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "pipeline-rows")
+    order = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.col("doc.doc_id").alias("doc_id"), "row")
+    groups = cut(simhash.near_duplicates(rows.select(order.alias("id"), "doc.text"), "id"), "pipeline-groups")
+    first = groups.where("id.row = component.row").select("id.row")
+    return rows.join(first, "row", "left_semi").select("doc.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,3 +69,12 @@ def test_stages_keep_columns_and_stand_odd_tables(spark, tables):
             assert out.count() <= table.count(), name
             if name != "tokens":
                 assert out.columns == table.columns, name
+
+
+def test_one_row_stays_of_each_group_whatever_its_id(spark):
+    rng = random.Random(3)
+    a, b, c, d, e = (" ".join(rng.choices([f"word{k}" for k in range(400)], k=150)) for _ in range(5))
+    rows = [(5, a), (5, b), (6, b), (7, b), (None, c), (None, d), (None, a), (8, e), (8, e), (8, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in corpus_pipeline.keep_one_of_each_group(spark, docs, "").collect()]
+    assert sorted(got, key=repr) == sorted([(5, a), (5, b), (None, c), (None, d), (8, e), (8, None)], key=repr)
