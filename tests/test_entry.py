@@ -53,3 +53,11 @@ def test_stream_stages_write_each_batch_once(spark, small, tmp_path):
     got = {r.event_type: r["count"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     want = {r.event_type: r["count"] for r in spark.read.parquet(f"{small}/events.parquet").groupBy("event_type").count().collect()}
     assert got == want
+
+
+def test_streams_read_a_table_of_part_files(spark, small, tmp_path):
+    events = spark.read.parquet(f"{small}/events.parquet")
+    events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("stream_ingest_counts", "stream_windowed_counts", "stream_lease_sessions", "stream_first_seen"):
+        got, want = (sorted(map(tuple, entry.queries()[name](spark, at).collect()), key=str) for at in (str(tmp_path), small))
+        assert got == want and want, name

@@ -8,10 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_events(spark: SparkSession, path: str, glob: str = "*.parquet") -> DataFrame:
-    """events as a file stream; the schema is read once from the files, times without a zone are read as the session's."""
-    schema = spark.read.parquet(f"{path}/{glob}" if glob else path).schema
-    rows = spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(path)
+def read_events(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """events as a file stream from a table's path (one file or a folder of part files), or from the files or folders `glob` names below path.
+
+    The schema is read once from the files, times without a zone are read as the session's.
+    """
+    at = f"{path}/{glob}" if glob else path.rstrip("/")
+    # as a pattern (its last letter as a class), since a plain stream path must be a folder
+    pattern = at if any(c in at for c in "*?[{") else f"{at[:-1]}[{at[-1]}]"
+    rows = spark.readStream.schema(spark.read.parquet(at).schema).parquet(pattern)
     return rows.select(*(F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c) for c, kind in rows.dtypes))
 
 
