@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewell.operators import ann, grids, records, retrieval
+from tidewell.operators import lifecycle, ann, grids, records, retrieval
 
 NOW = datetime(2024, 6, 1)
 SCHEMA = "doc_id long, sha256 string, status string, owner_id string, classification string, deleted_at timestamp, purged_at timestamp"
@@ -93,3 +93,13 @@ def test_the_index_finds_what_may_be_seen(spark, probes):
     got = {r.question_id: (r.expected, r.hit) for r in ann.recall(found, exact).collect()}
     assert all(v == (5, 5) for v in got.values()) and len(got) == 3
     assert all(r.doc_id % 2 == 0 for r in found.where("question_id <> 4").collect())
+
+
+def test_restorable_and_backfill_look_at_the_status(spark):
+    rows = [(1, "LIVE", 1, None), (2, "LIVE", None, None), (3, "LIVE", 1, 2), (4, "SUPERSEDED", 1, None), (5, "DUPLICATE", 1, None), (6, "CHUNKED", 1, None)]
+    df = spark.createDataFrame([(*r, "me") for r in rows] + [(7, "LIVE", 1, None, "you")], "doc_id long, status string, deleted_at long, purged_at long, owner_id string")
+    ids = lambda out: sorted(r.doc_id for r in out.collect())
+    assert ids(lifecycle.restorable(df, F.lit("me"), F.lit(False))) == [1, 6]
+    assert ids(lifecycle.restorable(df, F.lit("me"), F.lit(True))) == [1, 6, 7]
+    jobs = spark.createDataFrame([(9, "PENDING")], "doc_id long, status string")
+    assert ids(lifecycle.backfill_candidates(df, jobs, "EMBED")) == [6]

@@ -90,8 +90,10 @@ def first_occurrences(audit: DataFrame, key: str, repeatable: tuple = ()) -> Dat
     return firsts.unionByName(audit.where(F.col("event_type").isin(*repeatable)).select(key, "event_type", "event_id"))
 
 
-def backfill_candidates(docs: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Documents that a stage can take up and that have no live job."""
+def backfill_candidates(docs: DataFrame, jobs: DataFrame, stage: str | None = None) -> DataFrame:
+    """Documents that have no live job; with a stage, only those in the status that it takes up. Statuses are not reset."""
+    if stage is not None:
+        docs = docs.where(F.col("status") == STAGE_NEEDS[stage])
     live = jobs.where(F.col("status").isin("PENDING", "RUNNING")).select("doc_id")
     return docs.join(live, "doc_id", "left_anti")
 
@@ -104,5 +106,6 @@ def batch_check(files: DataFrame, batch: str) -> DataFrame:
 
 
 def restorable(docs: DataFrame, viewer: Column, is_admin: Column) -> DataFrame:
-    """Deleted documents that their owner (or an admin) may bring back."""
-    return docs.where(F.col("deleted_at").isNotNull() & (is_admin | F.coalesce(F.col("owner_id") == viewer, F.lit(False))))
+    """Deleted documents, neither erased nor superseded nor duplicates, that their owner (or an admin) may bring back."""
+    there = F.col("deleted_at").isNotNull() & F.col("purged_at").isNull() & ~F.col("status").isin("SUPERSEDED", "DUPLICATE")
+    return docs.where(there & (is_admin | F.coalesce(F.col("owner_id") == viewer, F.lit(False))))

@@ -57,7 +57,8 @@ def document_page_with_total(spark, sf_dir):
 
 @query
 def restorable_documents(spark, sf_dir):
-    docs = governed_documents(spark, sf_dir)
+    """Over the governed view, whose documents are all live ones without erasure, as in the SQL twin."""
+    docs = governed_documents(spark, sf_dir).withColumns({"status": F.lit("LIVE"), "purged_at": F.lit(None).cast("timestamp")})
     mine = lifecycle.restorable(docs, F.lit("src3"), F.lit(False))
     return mine.orderBy(F.col("deleted_at").desc(), "doc_id").limit(50).select("doc_id", "owner_id")
 
