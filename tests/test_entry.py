@@ -1,3 +1,8 @@
+import shutil
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import pytest
 
@@ -32,6 +37,26 @@ def test_entry_and_registry(spark):
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+@pytest.mark.parametrize("gone", [("tidewell/llm", "tests/llm"), ("tidewell/llm", "tests/llm", "corpus_pipeline.py"), ("corpus_pipeline.py",)])
+def test_the_rest_works_without_the_training_data_operators(tmp_path, gone):
+    home = Path(entry.__file__).parent
+    copy = tmp_path / "copy"
+    shutil.copytree(home, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", *gone))
+    for name in gone:
+        if (copy / name).is_dir():
+            shutil.rmtree(copy / name)
+        else:
+            (copy / name).unlink(missing_ok=True)
+    told = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(sorted(e.queries())); print(sorted(set(e.oracle_sql()) - set(e.queries())))"], cwd=copy, capture_output=True, text=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(copy)})
+    assert told.returncode == 0, told.stderr
+    names, extra = map(eval, told.stdout.strip().splitlines())
+    assert extra == [] and "hybrid_rrf" in names and "pipeline" not in names
+    assert any(n.startswith("op") for n in names) == (gone == ("corpus_pipeline.py",))
+    if "tests/llm" in gone:
+        found = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "--collect-only"], cwd=copy, capture_output=True, text=True)
+        assert found.returncode == 0, found.stdout
+
+
 def test_formats_by_content(spark, tmp_path):
     import zipfile
 
