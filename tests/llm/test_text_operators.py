@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 
+import pandas as pd
 import pytest
 from tokenizers import Tokenizer
 
@@ -65,15 +66,35 @@ def passage_texts(seed=1):
     return texts
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_passages_equal_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(passages, "HOT", hot)
+@pytest.mark.parametrize("fit", [2_000, 3, 0])
+def test_passages_equal_brute_force(spark, monkeypatch, fit):
+    monkeypatch.setattr(passages, "FIT", fit)
     texts = passage_texts()
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in passages.dedup_passages(docs_of(spark, texts)).collect()}
     assert got == dict(enumerate(brute_passages(texts)))
     assert set(passages.dedup_passages(docs_of(spark, texts)).columns) == {"doc_id", "n_words", "score", "spans", "n_removed", "kept"}
 
 
+def test_a_shared_passage_in_many_texts_is_divided_until_it_fits(spark, monkeypatch):
+    monkeypatch.setattr(passages, "FIT", 20)
+    sizes, inner = [], passages.locate
+    rng = random.Random(11)
+    new = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    license_ = new(50)
+    texts = [f"{new(40)} {license_} {new(40)}" for _ in range(120)] + [new(200)] * 3
+    monkeypatch.setattr(passages, "locate", lambda rows: sizes.append([j - i for i, j in passages._shards(rows)]) or inner(rows))
+    pieces = passages._Pieces()
+    for k, t in enumerate(texts):
+        words = passages.words_of(t)
+        vals, starts, _ = passages.anchors(words)
+        for v, s, e in zip(vals.tolist(), starts.tolist(), [*starts[1:].tolist(), len(words) - 34], strict=True):
+            pieces.add(b"%d" % k, s, v, b" ".join(words[s : e + 34]), 1)
+    table = spark.createDataFrame(pieces.taken(True).to_pandas(), passages.PIECES).selectExpr("of", "cast(at as long) at", "digest", "cast(shard as long) shard", "words", "cast(n as long) n")
+    assert passages.located(table).count() > 0
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in passages.dedup_passages(docs_of(spark, texts)).collect()}
+    assert got == dict(enumerate(brute_passages(texts)))
+
+
 def test_passages_of_empty_and_unique_tables(spark):
     assert passages.dedup_passages(docs_of(spark, [])).count() == 0
     assert [r.n_removed for r in passages.dedup_passages(docs_of(spark, ["a b c", None])).collect()] == [0, 0]
@@ -129,13 +150,58 @@ def test_bpe_equals_the_library(spark):
         assert got[k].decoded_sha256 == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
 
 
+def test_every_token_of_documents_comes_from_the_transducer(small):
+    model = bpe.Bpe(bpe.default_vocabulary())
+    library = Tokenizer.from_file(bpe.default_vocabulary())
+    emitted, seen, inner = 0, [], model.transduce
+
+    def counted(word):
+        nonlocal emitted
+        for ids in inner(word):
+            emitted += len(ids)
+            yield ids
+
+    model.transduce = counted
+    model.known = type("Forgetful", (dict,), {"__setitem__": lambda self, k, v: None})()
+    for text in pd.read_parquet(f"{small}/documents.parquet").text:
+        ids = model.encode(text)
+        assert ids == library.encode(text or "", add_special_tokens=False).ids
+        seen.append(len(ids))
+    assert emitted == sum(seen) > 0
+
+
+def test_short_windows_give_the_tokens_of_whole_words(monkeypatch):
+    """Random merge lists, forced through windows far shorter than the words."""
+    rng = random.Random(9)
+    for trial in range(60):
+        symbols, merges = list("abcd"), []
+        for _ in range(rng.randint(3, 14)):
+            x, y = rng.choice(symbols), rng.choice(symbols)
+            if (x, y) not in merges and len(x + y) <= 6:
+                merges.append((x, y))
+                symbols.append(x + y)
+        model = bpe.Bpe.__new__(bpe.Bpe)
+        model.rank, model.suffix, model.letters = {m: r for r, m in enumerate(merges)}, "", {ord(c): c for c in "abcd"}
+        model.ids = {s: k for k, s in enumerate(dict.fromkeys(symbols))}
+        model.lookahead = bpe.Bpe._lookahead(merges) + max(map(len, symbols))
+        for _ in range(30):
+            word = "".join(rng.choices("abcd", k=rng.randint(1, 12 * model.lookahead)))
+            assert [i for ids in model.transduce(word) for i in ids] == [model.ids[t] for t in model.merged(list(word))], (trial, merges)
+
+
 def test_decoder_is_incremental():
-    model = bpe.bpe_of(bpe.default_vocabulary())
+    model, _ = bpe.bpe_of(bpe.default_vocabulary())
     ids = model.encode("Hello, wörld 日本 😀 <|endoftext|> end")
     whole = bpe.Decoder(model)
     text = whole.feed(ids) + whole.end()
     piece = bpe.Decoder(model)
     assert "".join(piece.feed([i]) for i in ids) + piece.end() == text == "hello , wörld 日本 😀 <|endoftext|> end"
+    raw = {i: bytes(whole.byte[c] for c in t) for t, i in model.ids.items() if not t.endswith(model.suffix) and all(c in whole.byte for c in t)}
+    rng = random.Random(3)
+    for _ in range(300):
+        ids = rng.choices(list(raw), k=rng.randint(1, 6)) + rng.choices([i for i, r in raw.items() if len(r) == 1], k=rng.randint(0, 9))
+        rng.shuffle(ids)
+        assert whole.feed(ids) + whole.end() == b"".join(raw[i] for i in ids).decode("utf-8", "replace")
 
 
 # ---------------------------------------------------------------- decontamination

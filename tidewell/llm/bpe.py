@@ -3,29 +3,34 @@
 A merge (x, y) can only be taken away by an earlier merge of a symbol that ends y with something that follows. How
 far such chains of earlier merges reach is computed from the merge list once (`lookahead`): within that many
 characters of the right end of what has been read a token boundary may still move, further left it is final. The
-transducer therefore holds one window of a long word, emits the tokens whose boundaries are final and goes on from
-the last of them, so memory is constant however long a word is. Tokens do not cross a final boundary, so the tokens
-on its two sides are those of the whole word.
-
-Words of ordinary length are one window; their ids are kept in a bounded table in each worker. Vocabulary files are
-read by each worker from a path that is a parameter. Null text counts as empty (no tokens); repeated rows are kept.
+transducer therefore holds one window of a word, emits the tokens whose boundaries are final and goes on from the
+last of them, so memory is constant however long a word is. Tokens do not cross a final boundary, so the tokens on
+its two sides are those of the whole word. Every token comes from this one transducer; a bounded memo in front of it
+keeps what it emitted for short words. Ids go into the digests and through the decoder as they come.
+
+Vocabulary files are read by each worker from a path that is a parameter. Null and empty texts have no tokens (the
+digests are those of the empty string); very long texts and words stream; repeated rows are kept; an empty table
+gives an empty table; further columns pass through, those with the names of new ones are replaced.
 """
 
 from __future__ import annotations
 
-import codecs
 import hashlib
 import heapq
 import json
 import unicodedata
+from collections.abc import Iterator
 
 import regex
 from pyspark.sql import DataFrame
 
 from .common import map_texts, table
 
-#: Words whose ids a worker remembers at a time.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers at a time, and their longest.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+#: Characters normalised at a time (more where a longer stretch has no white space).
+BLOCK = 1 << 16
+BLANK = regex.compile(r"[ \t-\r]")
 #: Fixed values of this vocabulary's pre-tokenizer.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
@@ -59,9 +64,10 @@ class Bpe:
         self.at_special = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.letters = byte_letters()
         self.names = {i: t for t, i in (self.ids | self.special).items()}
+        self.told = {i: str(i) for i in self.names}
         self.longest = max(map(len, self.ids))
         self.lookahead = self._lookahead(merges) + self.longest
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, list[int]] = {}
 
     @staticmethod
     def _lookahead(merges: list[tuple[str, str]]) -> int:
@@ -117,127 +123,197 @@ class Bpe:
                 heapq.heappush(heap, (r, before[i], part[before[i]], part[i]))
         return [p for p in part if p is not None]
 
-    def word(self, word: str) -> tuple[int, ...]:
-        """The ids of one word; words longer than three windows are streamed."""
+    def transduce(self, word: str) -> Iterator[list[int]]:
+        """The ids of one word, as soon as they are stable; holds one window and what is not stable yet of the one before.
+
+        With `lookahead` characters still to the right of it a boundary is stable; at the word's end all are, so a
+        word within one window is stable there.
+        """
         raw = word.encode("utf-8", "surrogatepass")
-        letters, window = self.letters, 2 * self.lookahead
-        if len(raw) <= 3 * window:
-            symbols = [letters[b] for b in raw]
-            symbols[-1] += self.suffix
-            return tuple(map(self.ids.__getitem__, self.merged(symbols)))
-        out: list[int] = []
+        letters, ids, window = self.letters, self.ids, 2 * self.lookahead
         held: list[str] = []
-        at = 0
-        while at < len(raw):
-            more = [letters[b] for b in raw[at : at + window]]
-            at += len(more)
-            if at == len(raw):
-                more[-1] += self.suffix
-            held += more
-            if at < len(raw) and len(held) <= self.lookahead:
-                continue
-            stable = len(held) if at == len(raw) else len(held) - self.lookahead
-            done = 0
+        for at in range(0, len(raw), window):
+            held += [letters[b] for b in raw[at : at + window]]
+            if at + window >= len(raw):
+                held[-1] += self.suffix
+                yield [ids[t] for t in self.merged(held)]
+                return
+            stable, done, out = len(held) - self.lookahead, 0, []
             for token in self.merged(held):
-                size = len(token) - (len(self.suffix) if self.suffix and token.endswith(self.suffix) and at == len(raw) and done + len(token) > len(held) else 0)
-                if done + size > stable:
+                if done + len(token) > stable:
                     break
-                out.append(self.ids[token])
-                done += size
+                out.append(ids[token])
+                done += len(token)
             held = held[done:]
-        return tuple(out)
-
-    def plain(self, text: str) -> list[int]:
-        """The ids of text without special tokens."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        out: list[int] = []
-        known = self.known
-        for w in WORDS.findall(text.lower()):
-            ids = known.get(w)
-            if ids is None:
-                ids = self.word(w)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                if len(w) <= 64:
-                    known[w] = ids
-            out += ids
-        return out
-
-    def encode(self, text: str | None) -> list[int]:
-        """The ids of text; the vocabulary's special strings in it are their own tokens."""
-        text, out, at = text or "", [], 0
+            yield out
+
+    def emitted(self, word: str) -> Iterator[list[int]]:
+        """What the transducer emits for a word; remembered for words of up to REMEMBERED_CHARS characters."""
+        known = self.known.get(word)
+        if known is not None:
+            yield known
+        elif len(word) > REMEMBERED_CHARS:
+            yield from self.transduce(word)
+        else:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[word] = known = [i for ids in self.transduce(word) for i in ids]
+            yield known
+
+    def plain(self, text: str) -> Iterator[list[int]]:
+        """The ids of text without special tokens, word by word.
+
+        Texts are normalised in blocks that end before white space, where neither composition nor words reach across.
+        """
+        at = 0
+        while at < len(text):
+            gap = BLANK.search(text, at + BLOCK)
+            block = text[at : gap.start()] if gap else text[at:]
+            at += len(block)
+            if not block.isascii():
+                block = unicodedata.normalize("NFC", block).replace("Σ", "σ")
+            for w in WORDS.findall(block.lower()):
+                yield from self.emitted(w)
+
+    def stream(self, text: str | None) -> Iterator[list[int]]:
+        """The ids of text in pieces; the vocabulary's special strings in it are their own tokens."""
+        text, at = text or "", 0
         if self.at_special and "<|" in text:
             for m in self.at_special.finditer(text):
-                out += self.plain(text[at : m.start()])
-                out.append(self.special[m[0]])
+                yield from self.plain(text[at : m.start()])
+                yield [self.special[m[0]]]
                 at = m.end()
-        return out + self.plain(text[at:] if at else text)
+        yield from self.plain(text[at:] if at else text)
+
+    def encode(self, text: str | None) -> list[int]:
+        return [i for ids in self.stream(text) for i in ids]
 
 
 class Decoder:
     """Incremental decoder: feed ids, get text as soon as it is certain.
 
-    State: the bytes of a code point that is not complete yet, and whether a word has just ended. With surface=True
-    token strings themselves are written, one space between them, which is what a file without a decoder asks for.
+    The machine's state is (bytes of a code point that is not complete yet, whether a gap is due before the next
+    token). It reads a token's bytes one by one; a byte that cannot continue the code point gives U+FFFD. A step for
+    a whole token from a state is made once and kept, so that feeding ids looks steps up.
+
+    With surface=True a token's bytes are those of its name and a gap follows each token, which is what a vocabulary
+    file without a decoder asks for; else they are the bytes it stands for and gaps follow word ends.
     """
 
+    START, GAP = (b"", False), (b"", True)
+
     def __init__(self, bpe: Bpe, surface: bool = False):
-        self.bpe, self.surface, self.first = bpe, surface, True
-        self.utf8 = codecs.getincrementaldecoder("utf-8")("replace")
+        self.bpe, self.surface = bpe, surface
         self.byte = {c: b for b, c in enumerate(bpe.letters)}
-        self.space = False
+        self.steps: dict[tuple[bytes, bool], dict[int, tuple[str, tuple[bytes, bool]]]] = {}
+        self.state = self.START
+
+    def _bytes(self, i: int) -> tuple[bytes, bool]:
+        """The bytes of a token, and whether a gap follows it."""
+        name, special = self.bpe.names[i], self.bpe.names[i] in self.bpe.special
+        if self.surface or special:
+            return name.encode("utf-8"), True
+        ended = bool(self.bpe.suffix) and name.endswith(self.bpe.suffix)
+        return bytes(self.byte[c] for c in (name[: -len(self.bpe.suffix)] if ended else name)), ended
+
+    def _step(self, state: tuple[bytes, bool], i: int) -> tuple[str, tuple[bytes, bool]]:
+        held, gap = state
+        raw, gap_after = self._bytes(i)
+        out = [" "] if gap else []
+        for b in (raw[k : k + 1] for k in range(len(raw))):
+            held += b
+            try:
+                out.append(held.decode("utf-8"))
+                held = b""
+            except UnicodeDecodeError as e:
+                if e.reason != "unexpected end of data":
+                    bad = held[: e.end]
+                    out.append("\ufffd")
+                    held = held[len(bad) :]
+                    if held and held[0] < 0x80:
+                        out.append(held.decode("ascii"))
+                        held = b""
+        if gap_after and held:
+            out.append("\ufffd")
+            held = b""
+        return "".join(out), (held, gap_after)
 
     def feed(self, ids: list[int]) -> str:
-        names = [self.bpe.names[i] for i in ids]
-        if self.surface:
-            text = " ".join(names)
-            text = text if self.first or not names else " " + text
-            self.first = self.first and not names
-            return self.utf8.decode(text.encode("utf-8"))
-        out = []
-        for i, name in zip(ids, names, strict=True):
-            ended = bool(self.bpe.suffix) and name.endswith(self.bpe.suffix)
-            raw = name.encode() if name in self.bpe.special else bytes(self.byte[c] for c in (name[: -len(self.bpe.suffix)] if ended else name))
-            out.append((" " if self.space else "") + self.utf8.decode(raw))
-            self.space = ended or name in self.bpe.special
+        out, state, steps = [], self.state, self.steps
+        table = steps.setdefault(state, {})
+        for i in ids:
+            step = table.get(i)
+            if step is None:
+                step = table[i] = self._step(state, i)
+            text, after = step
+            out.append(text)
+            if after is not state:
+                state, table = after, steps.setdefault(after, {})
+        self.state = state
         return "".join(out)
 
     def end(self) -> str:
-        return self.utf8.decode(b"", True)
+        """What is left at the end of the ids; the machine is at its start again."""
+        left = "\ufffd" if self.state[0] else ""
+        self.state = self.START
+        return left
 
 
-_LOADED: dict[str, Bpe] = {}
+_LOADED: dict[str, tuple[Bpe, Decoder]] = {}
 
 
-def bpe_of(path: str) -> Bpe:
+def bpe_of(path: str) -> tuple[Bpe, Decoder]:
+    """The encoder of a vocabulary file and its decoder of surfaces, loaded once in each worker."""
     if path not in _LOADED:
-        _LOADED[path] = Bpe(path)
+        bpe = Bpe(path)
+        _LOADED[path] = bpe, Decoder(bpe, surface=True)
     return _LOADED[path]
 
 
-#: Ids that the decoder is fed at a time.
+#: Ids that go into the digests at a time.
 FEED = 4096
 
 
-def encode_texts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """docs with, in place of the text: ids (array of int), n_tokens, ids_sha256 and decoded_sha256 (decoded piece by piece)."""
+def _digests(bpe: Bpe, decoder: Decoder, text: str | None, kept: list | None) -> tuple[int, str, str]:
+    """(number of ids, digest of the ids, digest of the decoded text), a piece of FEED ids at a time; kept, if given, gets the ids."""
+    told, n = bpe.told, 0
+    of_ids, of_text = hashlib.sha256(), hashlib.sha256()
+    piece: list[int] = []
+
+    def flush() -> None:
+        of_ids.update(((" " if n else "") + " ".join([told[i] for i in piece])).encode())
+        of_text.update(decoder.feed(piece).encode("utf-8"))
+        if kept is not None:
+            kept.extend(piece)
+
+    for ids in bpe.stream(text):
+        piece += ids
+        if len(piece) >= FEED:
+            flush()
+            n += len(piece)
+            piece = []
+    if piece:
+        flush()
+        n += len(piece)
+    of_text.update(decoder.end().encode("utf-8"))
+    return n, of_ids.hexdigest(), of_text.hexdigest()
+
+
+def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: bool = True) -> DataFrame:
+    """docs with, in place of the text: n_tokens, ids_sha256, decoded_sha256 (decoded as the ids come) and ids (array of int).
+
+    Without ids, a worker holds a text and FEED ids at a time, whatever the text's length.
+    """
 
     def run(texts: list) -> list:
-        bpe = bpe_of(path)
-        rows: list[list] = [[], [], [], []]
-        for t in texts:
-            ids = bpe.encode(t)
-            decoder, h = Decoder(bpe, surface=True), hashlib.sha256()
-            for at in range(0, len(ids), FEED):
-                h.update(decoder.feed(ids[at : at + FEED]).encode("utf-8"))
-            h.update(decoder.end().encode("utf-8"))
-            for column, x in zip(rows, (ids, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), h.hexdigest()), strict=True):
-                column.append(x)
-        return rows
+        bpe, decoder = bpe_of(path)
+        kept = [[] if ids else None for _ in texts]
+        rows = [_digests(bpe, decoder, t, k) for t, k in zip(texts, kept, strict=True)]
+        columns = [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
+        return columns + ([kept] if ids else [])
 
-    return map_texts(docs, run, "ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string", text)
+    return map_texts(docs, run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if ids else ""), text)
 
 
 def op5_bpe(spark, sf_dir):
-    return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), default_vocabulary()).drop("ids")
+    return encode_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), default_vocabulary(), ids=False)

@@ -13,26 +13,28 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewell.sources.shared import shared_folder
 
-#: Rows of one Arrow batch where rows hold whole texts, so that a batch of long texts stays small.
-TEXT_BATCH_ROWS = 256
+#: Rows that are turned into Python objects at a time. Spark bounds Arrow batches by bytes; no session setting is touched.
+SLICE_ROWS = 256
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Text operators exchange batches of TEXT_BATCH_ROWS rows with Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH_ROWS)
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, SLICE_ROWS at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, SLICE_ROWS):
+            yield b.slice(at, SLICE_ROWS)
 
 
 def map_texts(df: DataFrame, fn: Callable[[list], list], schema: str, text: str = "text") -> DataFrame:
     """Replace the column text by what fn makes of each batch of texts: one list or array for each field of schema.
 
     The other columns pass as they are (Arrow arrays, so nulls and large ids stay exact). One scan, no shuffle;
-    a task holds one batch of TEXT_BATCH_ROWS rows. A column that has the name of a new one is replaced by it.
+    a task holds one Arrow batch (bounded by bytes) and SLICE_ROWS rows as objects. A column that has the name of a
+    new one is replaced by it.
     """
-    small_batches(df.sparkSession)
     new = T.StructType.fromDDL(schema)
     kept = [f for f in df.schema.fields if f.name != text and f.name not in new.names]
     out = T.StructType(kept + new.fields)
@@ -40,7 +42,7 @@ def map_texts(df: DataFrame, fn: Callable[[list], list], schema: str, text: str
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             made = fn(b.column(b.schema.get_field_index(text)).to_pylist())
             arrays = [b.column(b.schema.get_field_index(n)) for n in names]
             arrays += [pa.array(v, kind) for v, (_, kind) in zip(made, arrow, strict=True)]

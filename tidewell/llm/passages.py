@@ -3,22 +3,24 @@
 1. Anchors. Every window of WINDOW words has an anchor, the phrase of ANCHOR words in it whose hash is smallest
    (the leftmost of equal ones). Equal windows have equal anchors, so only windows whose anchor occurs at least
    twice can recur. Consecutive windows of equal anchors are one row: about one row for 14 words, without text.
-2. Candidates. Counting anchors (combined before the shuffle) and joining the counts back leaves the stretches
-   whose anchor recurs; their words are cut out of the texts, one row for each stretch, and dealt out by anchor.
-   Anchors that occur more than HOT times go another, exact way, so that no task gets a whole hot anchor: their
-   windows' digests are counted (equal ones of a text are one row, counts are combined before the shuffle) and
-   those that occur twice are found by a salted join.
-3. Automata. A task goes through its anchors in order, some thousand stretches at a time: it confirms the windows
-   that occur twice (words compared, not hashes), joins neighbours to recurring passages, compiles them into an
-   Aho-Corasick automaton over word numbers, and streams every stretch of these anchors through it to locate every
-   occurrence. An automaton holds the passages of at most about BATCH stretches (and one anchor's, HOT at most), so memory is
-   bounded, and each stretch is read by the one automaton that can match it: work grows with the text, not with
-   text x automata.
-4. Removal. The spans located in a text are joined to its rows by the text's digest; texts that occur in several
-   rows recur as a whole, and only one of them is searched. Texts are shuffled compressed.
+2. Candidates. Counting anchors (combined before the shuffle; a text that several rows have counts for each of
+   them) and joining the counts back leaves the stretches whose anchor recurs. Their words are cut out of the texts;
+   a task keeps equal ones once, with a count, so what is shuffled by anchor is different contents.
+3. Shards. An anchor's contents are one shard. A shard of more than FIT different contents is divided by further
+   context, in rounds: its contents are taken apart into windows, and windows are dealt out by their first and last
+   CONTEXT words. Equal windows have equal context, so they stay together; in the last round the context is the
+   whole window, and a shard holds equal windows alone, which are one content. So every shard fits, without a cap.
+4. Automata. A task goes through its shards in order, BATCH contents at a time: it confirms the windows that occur
+   twice (words compared, not hashes), joins neighbours to recurring passages, compiles them into an Aho-Corasick
+   automaton over word numbers, and streams every content of these shards through it to locate every occurrence.
+   Each stretch is read by the one automaton that can match it: work grows with the text, not with text x automata.
+5. Removal. What is located in a content is joined to its places, and the spans of a text to its rows by the text's
+   digest. Equal texts are searched once and count as often as they occur; texts are shuffled compressed.
 
 Words are runs of characters other than space and tab to carriage return, unchanged. Null texts have no words;
-texts shorter than a window keep all words; repeated rows are copies of each other. Ids are never compared.
+texts shorter than a window keep all words; repeated rows are copies of each other. Ids are never compared. Very
+long texts are one row each (their stretches are dealt out); an empty table gives an empty table; further columns
+pass through, those with the names of new ones are replaced.
 """
 
 from __future__ import annotations
@@ -36,15 +38,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_texts, packed, small_batches, table, unpacked
+from .common import cut, map_texts, packed, slices, table, unpacked
 
 WINDOW = 35
 ANCHOR = 8
-#: Occurrences above which an anchor's windows are counted instead of searched, and the tasks that share such a window.
-HOT = 20_000
-SALTS = 64
-#: Stretches that one automaton is compiled from, unless one anchor has more.
+#: Different contents of a shard at most, and words at each end of a window that the rounds deal out by.
+FIT = 2_000
+CONTEXT = (4, 9, (WINDOW + 1) // 2)
+#: Contents that one automaton is compiled from (and one shard's more), and that a task combines at a time.
 BATCH = 20_000
+HELD = 20_000
 REMEMBERED = 300_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -120,54 +123,80 @@ def _anchor_rows(texts: list) -> list:
     return [keys, n, vals, starts, several]
 
 
+#: A place: content `digest` stands in `of` (a text's key, or the digest of a larger content) from word `at`.
+#: A content: of and at are null; it has its shard, its words, and how often it occurs.
+PIECES = "of binary, at long, digest binary, shard long, words binary, n long"
+_PLACES = pa.schema([("of", pa.binary()), ("at", pa.int64()), ("digest", pa.binary()), ("shard", pa.int64()), ("words", pa.binary()), ("n", pa.int64())])
+
+
+class _Pieces:
+    """Collects places and contents of a task; equal contents are one row with a count."""
+
+    def __init__(self):
+        self.places: tuple[list, list, list] = ([], [], [])
+        self.contents: dict[bytes, list] = {}
+
+    def add(self, of: bytes, at: int, shard: int, words: bytes, n: int) -> None:
+        digest = hashlib.md5(words).digest()
+        for column, x in zip(self.places, (of, at, digest), strict=True):
+            column.append(x)
+        known = self.contents.setdefault(digest, [shard, words, 0])
+        known[2] += n
+
+    def taken(self, last: bool) -> pa.RecordBatch:
+        of, at, digest = self.places
+        self.places = ([], [], [])
+        shard, words, n = [None] * len(of), [None] * len(of), [None] * len(of)
+        if last or len(self.contents) >= HELD:
+            k = len(self.contents)
+            of, at, digest = of + [None] * k, at + [None] * k, digest + list(self.contents)
+            shard, words, n = (old + [c[j] for c in self.contents.values()] for j, old in enumerate((shard, words, n)))
+            self.contents = {}
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((of, at, digest, shard, words, n), _PLACES, strict=True)], schema=_PLACES)
+
+
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, zipped, found: array of (start, end, val, hot)) -> (key, start, route, words) of the stretches that are not hot."""
-    for b in batches:
-        keys, starts, routes, cuts = [], [], [], []
-        for key, raw, found in zip(*(b.column(c).to_pylist() for c in ("key", "zipped", "found")), strict=True):
-            words = unzipped(raw)
-            for f in found:
-                if not f["hot"]:
-                    keys.append(key)
-                    starts.append(f["start"])
-                    routes.append(f["val"])
-                    cuts.append(b" ".join(words[f["start"] : f["end"] + WINDOW]))
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(starts, pa.int64()), pa.array(routes, pa.int64()), pa.array(cuts, pa.binary())], ["key", "start", "route", "words"])
-
-
-def _hot_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The same input -> (key, digest, starts): the single windows of hot anchors, equal ones of a text in one row."""
-    for b in batches:
-        keys, digests, starts = [], [], []
-        for key, raw, found in zip(*(b.column(c).to_pylist() for c in ("key", "zipped", "found")), strict=True):
+    """(key, copies, zipped, found: array of (start, end, val)) -> PIECES, stretches in their texts; an anchor is a shard."""
+    pieces = _Pieces()
+    for b in slices(batches):
+        for key, copies, raw, found in zip(*(b.column(c).to_pylist() for c in ("key", "copies", "zipped", "found")), strict=True):
             words = unzipped(raw)
-            single: dict[bytes, list[int]] = {}
             for f in found:
-                if f["hot"]:
-                    for p in range(f["start"], f["end"] + 1):
-                        single.setdefault(hashlib.md5(b" ".join(words[p : p + WINDOW])).digest(), []).append(p)
-            for digest, at in single.items():
-                keys.append(key)
-                digests.append(digest)
-                starts.append(at)
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(digests, pa.binary()), pa.array(starts, pa.list_(pa.int64()))], ["key", "digest", "starts"])
+                pieces.add(key, f["start"], f["val"], b" ".join(words[f["start"] : f["end"] + WINDOW]), copies)
+        yield pieces.taken(False)
+    yield pieces.taken(True)
+
+
+def _windows(ends: int):
+    """(digest, words, n) -> PIECES, windows in their contents; a shard is what has the same `ends` words at both ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = _Pieces()
+        for b in slices(batches):
+            for digest, raw, n in zip(*(b.column(c).to_pylist() for c in ("digest", "words", "n")), strict=True):
+                words = raw.split()
+                for p in range(len(words) - WINDOW + 1):
+                    w = words[p : p + WINDOW]
+                    shard = xxhash.xxh64_intdigest(b" ".join(w[:ends] + w[-ends:]))
+                    pieces.add(digest, p, shard - (1 << 64) if shard >> 63 else shard, b" ".join(w), n)
+            yield pieces.taken(False)
+        yield pieces.taken(True)
 
+    return run
 
-def locate(rows: list[tuple[int, bytes, list]]) -> Iterator[tuple]:
-    """rows (route, words, places) of whole routes -> (key, start, end) of every recurring passage in them.
 
-    places are the (key, start) of all stretches with these words.
-    """
+def locate(rows: list[list]) -> Iterator[tuple]:
+    """rows [shard, digest, words, n] of whole shards -> (digest, start, end) of every recurring passage in them."""
     number: dict[bytes, int] = {}
-    coded = [np.array([number.setdefault(w, len(number)) for w in words.split()], np.uint32) for _, words, _ in rows]
+    coded = [np.array([number.setdefault(w, len(number)) for w in words.split()], np.uint32) for _, _, words, _ in rows]
     step = 4 * WINDOW
     passages: set[bytes] = set()
-    for i, j in _groups(rows):
+    for i, j in _shards(rows):
         seen: Counter = Counter()
         for k in range(i, j):
             raw = coded[k].tobytes()
             for p in range(0, len(raw) - step + 1, 4):
-                seen[raw[p : p + step]] += len(rows[k][2])
+                seen[raw[p : p + step]] += rows[k][3]
         for k in range(i, j):
             raw, start = coded[k].tobytes(), None
             n = (len(raw) - step) // 4 + 1
@@ -183,19 +212,18 @@ def locate(rows: list[tuple[int, bytes, list]]) -> Iterator[tuple]:
     for p in passages:
         automaton.add_word(tuple(np.frombuffer(p, np.uint32).tolist()))
     automaton.make_automaton()
-    for code, (_, _, places) in zip(coded, rows, strict=True):
+    for code, (_, digest, _, _) in zip(coded, rows, strict=True):
         spans: list[list[int]] = []
         for end, size in automaton.iter(tuple(code.tolist())):
             start = end + 1 - size
             while spans and start <= spans[-1][1]:
                 start = min(start, spans.pop()[0])
             spans.append([start, end + 1])
-        for key, at in places:
-            for start, end in spans:
-                yield key, at + start, at + end
+        for start, end in spans:
+            yield digest, start, end
 
 
-def _groups(rows: list[tuple[int, bytes, list]]) -> Iterator[tuple[int, int]]:
+def _shards(rows: list[list]) -> Iterator[tuple[int, int]]:
     i = 0
     for j in range(1, len(rows) + 1):
         if j == len(rows) or rows[j][0] != rows[i][0]:
@@ -204,68 +232,69 @@ def _groups(rows: list[tuple[int, bytes, list]]) -> Iterator[tuple[int, int]]:
 
 
 def _search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (key, start, route, words) sorted by (route, words) -> spans (key, start, end), some whole routes at a time."""
-    held: list[tuple[int, bytes, list]] = []
-    out: list[tuple] = []
+    """Contents (shard, digest, words, n) sorted by (shard, digest) -> spans (digest, start, end), some whole shards at a time."""
+    held: list[list] = []
 
-    def told():
-        pdf = pd.DataFrame(out, columns=["key", "start", "end"])
-        out.clear()
-        return pdf
+    def told(rows):
+        return pd.DataFrame(locate(rows), columns=["digest", "start", "end"])
 
     for pdf in batches:
-        for route, words, key, start in zip(pdf["route"], pdf["words"], pdf["key"], pdf["start"], strict=True):
-            if held and held[-1][0] == route and held[-1][1] == words:
-                held[-1][2].append((key, start))
+        for row in zip(pdf["shard"], pdf["digest"], pdf["words"], pdf["n"], strict=True):
+            if held and held[-1][0] == row[0] and held[-1][1] == row[1]:
+                held[-1][3] += row[3]
                 continue
-            if len(held) >= BATCH and held[-1][0] != route:
-                out += locate(held)
+            if len(held) >= BATCH and held[-1][0] != row[0]:
+                yield told(held)
                 held = []
-                yield told()
-            held.append((route, words, [(key, start)]))
+            held.append(list(row))
     if held:
-        out += locate(held)
-        yield told()
+        yield told(held)
 
 
-def count_windows(windows: DataFrame) -> DataFrame:
-    """(key, digest, starts) -> spans of the windows that occur twice, by counts combined before the shuffle and a salted join."""
-    counts = windows.groupBy("digest").agg(F.sum(F.size("starts")).alias("c")).where("c > 1")
-    counts = counts.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = windows.withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS)).cast("int"))
-    return salted.join(counts, ["digest", "salt"]).select("key", F.explode("starts").alias("start")).withColumn("end", F.col("start") + WINDOW)
+def located(pieces: DataFrame, level: int = 0) -> DataFrame:
+    """(digest, start, end): the recurring passages in each content of pieces (PIECES, written)."""
+    spark = pieces.sparkSession
+    contents = pieces.where("of is null").select("shard", "digest", "words", "n")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def searched(rows: DataFrame) -> DataFrame:
+        return rows.repartition(n, "shard").sortWithinPartitions("shard", "digest").mapInPandas(_search, "digest binary, start long, end long")
+
+    if level == len(CONTEXT):
+        return searched(contents)
+    sizes = contents.select("shard", "digest").distinct().groupBy("shard").agg(F.count("*").alias("size"))
+    large = cut(sizes.where(F.col("size") > FIT).select("shard"), "passages-large")
+    if large.isEmpty():
+        return searched(contents)
+    whole = contents.join(large, "shard", "left_semi").groupBy("digest").agg(F.any_value("words").alias("words"), F.sum("n").alias("n"))
+    deeper = cut(whole.mapInArrow(_windows(CONTEXT[level]), PIECES), "passages-windows")
+    inside = deeper.where("of is not null").join(located(deeper, level + 1), "digest")
+    inside = inside.select(F.col("of").alias("digest"), (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))
+    return searched(contents.join(large, "shard", "left_anti")).unionByName(inside)
 
 
 def recurring_spans(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(keyed docs, marks): docs with key and zipped in place of the text; marks(key, copies, spans) for texts that recur in part or as a whole."""
-    spark = docs.sparkSession
-    small_batches(spark)
+    """(keyed docs, marks): docs with key and zipped in place of the text; marks(key, spans) for texts with recurring passages."""
     keyed = map_texts(docs, _zipped_rows, "key binary, zipped binary", text)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(text).alias("text"))
     found = cut(map_texts(rows, _anchor_rows, "key binary, n long, vals array<long>, starts array<int>, several array<boolean>").where("n >= " + str(WINDOW)), "passages-anchors")
     copies = found.groupBy("key").agg(F.count("*").alias("copies"), F.min("row").alias("row"))
-    one = found.join(copies.select("key", "row"), ["key", "row"], "left_semi")
+    one = found.join(copies, ["key", "row"])
     ends = F.transform("starts", lambda s, i: F.struct(s.alias("start"), (F.coalesce(F.get("starts", i + 1), F.col("n") - WINDOW + 1) - 1).alias("end"), F.get("vals", i).alias("val"), F.get("several", i).alias("several")))
-    stretches = one.select("key", F.explode(ends).alias("s")).select("key", "s.*")
-    often = cut(stretches.groupBy("val").agg(F.sum(F.when(F.col("several"), 2).otherwise(1)).alias("c")).where("c > 1"), "passages-often")
-    candidates = stretches.join(often, "val").groupBy("key").agg(F.collect_list(F.struct("start", "end", "val", (F.col("c") > HOT).alias("hot"))).alias("found"))
-    texts = keyed.select("key", "zipped").dropDuplicates(["key"]).join(candidates, "key").select("key", "zipped", "found")
-    cuts = texts.mapInArrow(_stretches, "key binary, start long, route long, words binary")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spans = cuts.repartition(n, "route").sortWithinPartitions("route", "words").mapInPandas(_search, "key binary, start long, end long")
-    if not often.where(F.col("c") > HOT).isEmpty():
-        hot = texts.where(F.exists("found", lambda f: f["hot"])).mapInArrow(_hot_windows, "key binary, digest binary, starts array<long>")
-        spans = spans.unionByName(count_windows(hot))
-    spans = spans.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    marks = cut(copies.where("copies > 1").select("key", "copies").join(spans, "key", "full_outer"), "passages-marks")
+    stretches = one.select("key", "copies", F.explode(ends).alias("s")).select("key", "copies", "s.*")
+    times = F.col("copies") * F.when(F.col("several"), 2).otherwise(1)
+    often = cut(stretches.groupBy("val").agg(F.sum(times).alias("c")).where("c > 1").select("val"), "passages-often")
+    candidates = stretches.join(often, "val").groupBy("key", "copies").agg(F.collect_list(F.struct("start", "end", "val")).alias("found"))
+    texts = keyed.select("key", "zipped").dropDuplicates(["key"]).join(candidates, "key").select("key", "copies", "zipped", "found")
+    pieces = cut(texts.mapInArrow(_stretches, PIECES), "passages-pieces")
+    spans = pieces.where("of is not null").join(located(pieces), "digest").select(F.col("of").alias("key"), (F.col("at") + F.col("start")).alias("start"), (F.col("at") + F.col("end")).alias("end"))
+    marks = cut(spans.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("spans")), "passages-marks")
     return keyed, marks
 
 
-def mask(n: int, copies: int | None, spans: list | None) -> np.ndarray:
+def mask(n: int, spans: list | None) -> np.ndarray:
     """Which of n words go."""
     gone = np.zeros(n, bool)
-    if (copies or 1) > 1 and n >= WINDOW:
-        gone[:] = True
     for s in spans or ():
         gone[s["start"] : s["end"]] = True
     return gone
@@ -274,7 +303,7 @@ def mask(n: int, copies: int | None, spans: list | None) -> np.ndarray:
 def dedup_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with, in place of the text: n_words, n_removed, kept (the words kept, joined by one space)."""
     keyed, marks = recurring_spans(packed(docs, text), text)
-    joined = keyed.join(marks, "key", "left").select("doc", F.struct("zipped", "copies", "spans").alias("row"))
+    joined = keyed.join(marks, "key", "left").select("doc", F.struct("zipped", "spans").alias("row"))
     return unpacked(map_texts(joined, _kept, "n_words long, n_removed long, kept string", "row"), "n_words", "n_removed", "kept")
 
 
@@ -282,7 +311,7 @@ def _kept(rows: list) -> list:
     n, removed, kept = [], [], []
     for r in rows:
         words = unzipped(r["zipped"])
-        gone = mask(len(words), r["copies"], r["spans"])
+        gone = mask(len(words), r["spans"])
         n.append(len(words))
         removed.append(int(gone.sum()))
         kept.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode("utf-8", "surrogatepass") if removed[-1] else b" ".join(words).decode("utf-8", "surrogatepass"))
