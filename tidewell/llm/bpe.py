@@ -30,6 +30,8 @@ from .common import map_texts, table
 REMEMBERED, REMEMBERED_CHARS = 400_000, 64
 #: Characters normalised at a time (more where a longer stretch has no white space).
 BLOCK = 1 << 16
+#: Ids that go into the digests and through the decoder at a time.
+FEED = 4096
 BLANK = regex.compile(r"[ \t-\r]")
 #: Fixed values of this vocabulary's pre-tokenizer.
 WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -147,25 +149,19 @@ class Bpe:
             held = held[done:]
             yield out
 
-    def emitted(self, word: str) -> Iterator[list[int]]:
-        """What the transducer emits for a word; remembered for words of up to REMEMBERED_CHARS characters."""
-        known = self.known.get(word)
-        if known is not None:
-            yield known
-        elif len(word) > REMEMBERED_CHARS:
-            yield from self.transduce(word)
-        else:
-            if len(self.known) >= REMEMBERED:
-                self.known.clear()
-            self.known[word] = known = [i for ids in self.transduce(word) for i in ids]
-            yield known
+    def emitted(self, word: str) -> list[int]:
+        """What the transducer emits for a short word; remembered."""
+        if len(self.known) >= REMEMBERED:
+            self.known.clear()
+        self.known[word] = ids = [i for part in self.transduce(word) for i in part]
+        return ids
 
     def plain(self, text: str) -> Iterator[list[int]]:
-        """The ids of text without special tokens, word by word.
+        """The ids of text without special tokens, some FEED at a time.
 
         Texts are normalised in blocks that end before white space, where neither composition nor words reach across.
         """
-        at = 0
+        at, out, known = 0, [], self.known
         while at < len(text):
             gap = BLANK.search(text, at + BLOCK)
             block = text[at : gap.start()] if gap else text[at:]
@@ -173,7 +169,22 @@ class Bpe:
             if not block.isascii():
                 block = unicodedata.normalize("NFC", block).replace("Σ", "σ")
             for w in WORDS.findall(block.lower()):
-                yield from self.emitted(w)
+                ids = known.get(w)
+                if ids is not None:
+                    out += ids
+                elif len(w) <= REMEMBERED_CHARS:
+                    out += self.emitted(w)
+                else:
+                    for ids in self.transduce(w):
+                        out += ids
+                        if len(out) >= FEED:
+                            yield out
+                            out = []
+                if len(out) >= FEED:
+                    yield out
+                    out = []
+        if out:
+            yield out
 
     def stream(self, text: str | None) -> Iterator[list[int]]:
         """The ids of text in pieces; the vocabulary's special strings in it are their own tokens."""
@@ -206,6 +217,8 @@ class Decoder:
         self.bpe, self.surface = bpe, surface
         self.byte = {c: b for b, c in enumerate(bpe.letters)}
         self.steps: dict[tuple[bytes, bool], dict[int, tuple[str, tuple[bytes, bool]]]] = {}
+        #: Of the steps, the texts of those that lead back to their state.
+        self.loops: dict[tuple[bytes, bool], dict[int, str]] = {}
         self.state = self.START
 
     def _bytes(self, i: int) -> tuple[bytes, bool]:
@@ -239,19 +252,31 @@ class Decoder:
         return "".join(out), (held, gap_after)
 
     def feed(self, ids: list[int]) -> str:
-        out, state, steps = [], self.state, self.steps
-        table = steps.setdefault(state, {})
-        for i in ids:
-            step = table.get(i)
-            if step is None:
-                step = table[i] = self._step(state, i)
-            text, after = step
-            out.append(text)
-            if after is not state:
-                state, table = after, steps.setdefault(after, {})
-        self.state = state
+        out, at = [], 0
+        while at < len(ids):
+            loops = self.loops.setdefault(self.state, {})
+            try:
+                out += [loops[i] for i in (ids[at:] if at else ids)]
+                break
+            except KeyError:
+                at = self._walk(ids, at, out)
         return "".join(out)
 
+    def _walk(self, ids: list[int], at: int, out: list[str]) -> int:
+        """Steps from place `at` until the state changes or the ids end; returns the place."""
+        state = self.state
+        table, loops = self.steps.setdefault(state, {}), self.loops.setdefault(state, {})
+        for at in range(at, len(ids)):
+            i = ids[at]
+            if i not in table:
+                table[i] = self._step(state, i)
+            text, self.state = table[i]
+            out.append(text)
+            if self.state != state:
+                return at + 1
+            loops[i] = text
+        return len(ids)
+
     def end(self) -> str:
         """What is left at the end of the ids; the machine is at its start again."""
         left = "\ufffd" if self.state[0] else ""
@@ -270,31 +295,16 @@ def bpe_of(path: str) -> tuple[Bpe, Decoder]:
     return _LOADED[path]
 
 
-#: Ids that go into the digests at a time.
-FEED = 4096
-
-
 def _digests(bpe: Bpe, decoder: Decoder, text: str | None, kept: list | None) -> tuple[int, str, str]:
-    """(number of ids, digest of the ids, digest of the decoded text), a piece of FEED ids at a time; kept, if given, gets the ids."""
+    """(number of ids, digest of the ids, digest of the decoded text), a piece at a time; kept, if given, gets the ids."""
     told, n = bpe.told, 0
     of_ids, of_text = hashlib.sha256(), hashlib.sha256()
-    piece: list[int] = []
-
-    def flush() -> None:
-        of_ids.update(((" " if n else "") + " ".join([told[i] for i in piece])).encode())
-        of_text.update(decoder.feed(piece).encode("utf-8"))
-        if kept is not None:
-            kept.extend(piece)
-
     for ids in bpe.stream(text):
-        piece += ids
-        if len(piece) >= FEED:
-            flush()
-            n += len(piece)
-            piece = []
-    if piece:
-        flush()
-        n += len(piece)
+        of_ids.update(((" " if n else "") + " ".join([told[i] for i in ids])).encode())
+        of_text.update(decoder.feed(ids).encode("utf-8"))
+        n += len(ids)
+        if kept is not None:
+            kept += ids
     of_text.update(decoder.end().encode("utf-8"))
     return n, of_ids.hexdigest(), of_text.hexdigest()
 
@@ -302,7 +312,7 @@ def _digests(bpe: Bpe, decoder: Decoder, text: str | None, kept: list | None) ->
 def encode_texts(docs: DataFrame, path: str, text: str = "text", ids: bool = True) -> DataFrame:
     """docs with, in place of the text: n_tokens, ids_sha256, decoded_sha256 (decoded as the ids come) and ids (array of int).
 
-    Without ids, a worker holds a text and FEED ids at a time, whatever the text's length.
+    Without ids, a worker holds a text and about FEED ids at a time, whatever the text's length.
     """
 
     def run(texts: list) -> list:
