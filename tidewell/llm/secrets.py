@@ -1,12 +1,19 @@
 """Secret scans with structural confirmation.
 
 Three base kinds come from patterns alone (fixed values below). Further kinds are reported only where the decoded
-bytes have the structure of a key or token: a signed token whose header and payload are JSON objects and whose
-header names an algorithm; a private key block whose body decodes to nested DER lengths that add up, or to the
-length-prefixed fields of an OpenSSH key; and bare base64 or hex runs that decode to the same.
-
-Spans are in code points, end exclusive. One pass over each text, no shuffle. Null text counts as empty; repeated
-rows are kept. Every pattern is linear in the text.
+bytes have the structure of a key or token:
+
+* jwt, jwe: the first part of a dotted run decodes to a JSON object that names an algorithm; of three parts the second
+  is a JSON object too, of five the header names the encryption.
+* pem: a private key block whose body decodes to nested DER lengths that add up, to the length-prefixed fields of an
+  OpenSSH key, or, where its headers name a cipher, to whole cipher blocks.
+* der, sshkey: such a key inside a base64 run (either alphabet, also wrapped over lines) or, for DER, a hex run. The
+  lengths are read where they stand, so a key is found from any start in a run and its end is known.
+
+Spans are in code points, end exclusive. One pass over each text, no shuffle; work is linear in the text, since runs
+and marks are met once and a start is judged by a bounded number of headers. Null and empty texts have no secrets;
+very long texts are one row; repeated rows are kept; an empty table gives an empty table; further columns pass
+through, those with the names of new ones are replaced.
 """
 
 from __future__ import annotations
@@ -16,6 +23,7 @@ import binascii
 import hashlib
 import json
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,17 +31,27 @@ from pyspark.sql import functions as F
 from .common import map_texts, table
 
 #: The base kinds in their listed order, then the confirmed ones.
-KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "sshkey")
+KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "sshkey", "jwe")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-JWT = re.compile(r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s:,-]*?)-----END \1-----")
-BASE64 = re.compile(r"[A-Za-z0-9+/]{40,}={0,2}|[A-Za-z0-9_-]{40,}={0,2}")
-ANY_HEX = re.compile(r"[0-9a-fA-F]{48,}")
+DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
+HEADER = re.compile(r"(?<![A-Za-z0-9])eyJ")
+#: A signed token's header has so many characters at most.
+HEADER_CHARS = 8192
+MARK = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY)-----")
+BODY = re.compile(r"[A-Za-z0-9+/=\s:,-]*")
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{60,76}(?:\r?\n[A-Za-z0-9+/_-]{60,76})*\r?\n[A-Za-z0-9+/_-]+")
+ANY_HEX = re.compile(r"[0-9a-fA-F]{60,}")
 OPENSSH = b"openssh-key-v1\x00"
+#: How a DER sequence of 30 bytes or more, and an OpenSSH key, begin in base64; a DER sequence in hex.
+DER_START, SSH_START, HEX_START = re.compile(r"M(?=[B-I])"), "b3BlbnNzaC1rZXktdjEA", re.compile(r"30(?=[2-8][0-9a-fA-F]|1[eEfF])")
+#: Elements of a key at most: a private RSA key has ten.
+ELEMENTS = 12
+LEAST_KEY = 30
 
 
 def unbase64(raw: str) -> bytes | None:
@@ -45,61 +63,177 @@ def unbase64(raw: str) -> bytes | None:
         return None
 
 
-def der_length(b: bytes, at: int) -> tuple[int, int] | None:
-    """(length, where the content starts) of the DER element whose tag is at `at`."""
-    if at + 2 > len(b):
+Bytes = Callable[[int, int], bytes]
+
+
+def base64_bytes(run: str, start: int) -> Bytes:
+    """Reads bytes from..to of what stands in base64 from a place of a run, without decoding what is not asked for."""
+
+    def read(a: int, b: int) -> bytes:
+        first, last = start + a // 3 * 4, start + -(-b // 3) * 4
+        part = unbase64(run[first:last]) or b""
+        return part[a % 3 : a % 3 + b - a]
+
+    return read
+
+
+def hex_bytes(run: str, start: int) -> Bytes:
+    return lambda a, b: bytes.fromhex(run[start + 2 * a : start + 2 * b]) if start + 2 * b <= len(run) else b""
+
+
+def der_element(read: Bytes, at: int) -> tuple[int, int, int] | None:
+    """(tag, where the content starts, where it ends) of the DER element at a byte."""
+    head = read(at, at + 2)
+    if len(head) < 2:
         return None
-    n = b[at + 1]
-    if n < 0x80:
-        return n, at + 2
-    k = n & 0x7F
-    if not 1 <= k <= 4 or at + 2 + k > len(b):
+    if head[1] < 0x80:
+        return head[0], at + 2, at + 2 + head[1]
+    k = head[1] & 0x7F
+    size = read(at + 2, at + 2 + k) if 1 <= k <= 4 else b""
+    if len(size) < k or not size:
+        return None
+    return head[0], at + 2 + k, at + 2 + k + int.from_bytes(size)
+
+
+def der_key_end(read: Bytes, size: int) -> int | None:
+    """Where the private key ends that begins at byte 0, if one does within `size` bytes.
+
+    A SEQUENCE whose elements' lengths add up to its own: either an INTEGER of at most 4 bytes (a version) and, within
+    ELEMENTS elements, two more INTEGERs or an OCTET STRING; or an encrypted key, a SEQUENCE that begins with an
+    OBJECT IDENTIFIER and an OCTET STRING after it.
+    """
+    outer = der_element(read, 0)
+    if not outer or outer[0] != 0x30 or outer[2] > size or outer[2] - outer[1] < LEAST_KEY:
+        return None
+    at, tags, first = outer[1], [], None
+    while at < outer[2] and len(tags) < ELEMENTS:
+        inner = der_element(read, at)
+        if not inner or inner[2] > outer[2]:
+            return None
+        if not tags:
+            first = inner
+            if not (inner[0] == 0x02 and 1 <= inner[2] - inner[1] <= 4) and inner[0] != 0x30:
+                return None
+        tags.append(inner[0])
+        at = inner[2]
+    if at != outer[2]:
+        return None
+    if tags[0] == 0x02:
+        fits = len(tags) >= 2 and (0x04 in tags[1:3] or (len(tags) >= 3 and tags[1] == tags[2] == 0x02))
+    else:
+        fits = tags == [0x30, 0x04] and read(first[1], first[1] + 1) == b"\x06"
+    return outer[2] if fits else None
+
+
+def openssh_end(read: Bytes, size: int) -> int | None:
+    """Where the OpenSSH key ends: the magic, cipher, kdf and its options as length-prefixed fields, a key count, as many public keys and one private part."""
+    if read(0, len(OPENSSH)) != OPENSSH:
+        return None
+    at, left = len(OPENSSH), 3
+    keys = None
+    while left or keys is None:
+        head = read(at, at + 4)
+        if len(head) < 4:
+            return None
+        if not left:
+            keys, at = int.from_bytes(head), at + 4
+            if not 1 <= keys <= 16:
+                return None
+            left = keys + 1
+            continue
+        at, left = at + 4 + int.from_bytes(head), left - 1
+        if at > size:
+            return None
+    return at
+
+
+def keys_in_base64(run: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the keys in a base64 run, from the left, not overlapping."""
+    out, end = [], 0
+    starts = [(m.start(), 5) for m in DER_START.finditer(run)]
+    if SSH_START in run:
+        starts = sorted(starts + [(m.start(), 6) for m in re.finditer(SSH_START, run)])
+    for start, kind in starts:
+        if start < end:
+            continue
+        size = (len(run) - start) * 3 // 4
+        stop = (der_key_end if kind == 5 else openssh_end)(base64_bytes(run, start), size)
+        if stop is not None:
+            end = start + -(-stop * 4 // 3)
+            out.append((start, kind, end))
+    return out
+
+
+def keys_in_hex(run: str) -> list[tuple[int, int, int]]:
+    out, end = [], 0
+    for m in HEX_START.finditer(run):
+        if m.start() >= end:
+            stop = der_key_end(hex_bytes(run, m.start()), (len(run) - m.start()) // 2)
+            if stop is not None:
+                end = m.start() + 2 * stop
+                out.append((m.start(), 5, end))
+    return out
+
+
+def _json(part: str) -> dict | None:
+    """The JSON object that a part decodes to. What does not begin in printable ASCII is not decoded further."""
+    head = unbase64(part[:64]) or b""
+    if any(b < 0x20 and b not in b"\t\n\r" or b > 0x7E for b in head[:40]):
         return None
-    return int.from_bytes(b[at + 2 : at + 2 + k]), at + 2 + k
-
-
-def is_der_key(b: bytes | None) -> bool:
-    """A SEQUENCE over all bytes, of at least three elements whose lengths add up, the first a small INTEGER (a version)."""
-    if not b or b[0] != 0x30 or not (outer := der_length(b, 0)) or outer[0] < 30 or outer[1] + outer[0] != len(b):
-        return False
-    at, count = outer[1], 0
-    while at < len(b):
-        if not (inner := der_length(b, at)):
-            return False
-        if count == 0 and (b[at] != 0x02 or inner[0] > 4):
-            return False
-        at, count = inner[1] + inner[0], count + 1
-    return at == len(b) and count >= 3
-
-
-def is_openssh(b: bytes | None) -> bool:
-    """The magic, then cipher, kdf and kdf options as length-prefixed fields, a key count, and as many public keys and one private part."""
-    if not b or not b.startswith(OPENSSH):
-        return False
-    at = len(OPENSSH)
-    for _ in range(3):
-        if at + 4 > len(b):
-            return False
-        at += 4 + int.from_bytes(b[at : at + 4])
-    if at + 4 > len(b):
-        return False
-    keys, at = int.from_bytes(b[at : at + 4]), at + 4
-    if not 1 <= keys <= 16:
-        return False
-    for _ in range(keys + 1):
-        if at + 4 > len(b):
-            return False
-        at += 4 + int.from_bytes(b[at : at + 4])
-    return at == len(b)
-
-
-def is_signed_token(raw: str) -> bool:
-    parts = raw.split(".")
     try:
-        header, payload = (json.loads(unbase64(p) or b"") for p in parts[:2])
+        value = json.loads(unbase64(part) or b"")
     except (ValueError, RecursionError):
-        return False
-    return isinstance(header, dict) and isinstance(payload, dict) and isinstance(header.get("alg"), str)
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def tokens_in(run: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of the signed and the encrypted tokens in a run of base64url characters and dots."""
+    out, parts, places, at = [], run.split("."), [], 0
+    for p in parts:
+        places.append(at)
+        at += len(p) + 1
+    k = 0
+    while k + 1 < len(parts):
+        part, step = parts[k], 1
+        for m in HEADER.finditer(part, max(0, len(part) - HEADER_CHARS)):
+            header = _json(part[m.start() :])
+            if not header or not isinstance(header.get("alg"), str):
+                continue
+            start = places[k] + m.start()
+            if isinstance(header.get("enc"), str) and k + 4 < len(parts) and all(parts[k + 2 : k + 5]):
+                out.append((start, 7, places[k + 4] + len(parts[k + 4])))
+                step = 5
+            elif k + 2 < len(parts) and _json(parts[k + 1]) is not None:
+                out.append((start, 3, places[k + 2] + len(parts[k + 2])))
+                step = 3
+            break
+        k += step
+    return out
+
+
+def pem_blocks(text: str) -> list[tuple[int, int, int]]:
+    """(start, kind, end) of private key blocks: a mark of a beginning, and the next mark is its end."""
+    out, begin = [], None
+    for m in MARK.finditer(text):
+        if m[1] == "BEGIN":
+            begin = m
+            continue
+        if begin is not None and begin[2] == m[2]:
+            body = text[begin.end() : m.start()]
+            if BODY.fullmatch(body) and is_key_body(body):
+                out.append((begin.start(), 4, m.end()))
+        begin = None
+    return out
+
+
+def is_key_body(body: str) -> bool:
+    lines = body.splitlines()
+    raw = unbase64("".join("".join(x for x in lines if ":" not in x).split())) or b""
+    if any(x.startswith("DEK-Info:") for x in lines):
+        return len(raw) >= 48 and len(raw) % 8 == 0
+    read = lambda a, b: raw[a:b]
+    return len(raw) in (der_key_end(read, len(raw)), openssh_end(read, len(raw)))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -115,26 +249,38 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
-    """(start, kind, end) of what decodes to a key or a signed token."""
+    """(start, kind, end) of what decodes to a key or a token."""
     out = []
     if "eyJ" in text:
-        out += [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_signed_token(m[0])]
+        for m in DOTTED.finditer(text):
+            if "eyJ" in m[0] and "." in m[0]:
+                out += [(m.start() + a, kind, m.start() + b) for a, kind, b in tokens_in(m[0])]
     if "PRIVATE KEY-----" in text:
-        for m in PEM.finditer(text):
-            lines = [x for x in m[2].splitlines() if ":" not in x]
-            body = unbase64("".join("".join(lines).split()))
-            if is_der_key(body) or is_openssh(body):
-                out.append((m.start(), 4, m.end()))
-    inside = [(a, b) for a, _, b in out]
+        out += pem_blocks(text)
+    found, k = sorted(out), 0
+
+    def free(a: int, b: int) -> bool:
+        """Whether a..b lies outside what has been found; asked from left to right."""
+        nonlocal k
+        while k < len(found) and found[k][2] <= a:
+            k += 1
+        return k == len(found) or found[k][0] >= b
+
+    whole = []
+    for m in WRAPPED.finditer(text):
+        flat = "".join(m[0].split())
+        whole += [(m.start(), kind, m.end()) for a, kind, b in keys_in_base64(flat)[:1] if a == 0 and b == len(flat) and free(m.start(), m.end())]
+    found, k = sorted(found + whole), 0
+    out += whole
     for m in BASE64.finditer(text):
-        if not any(a <= m.start() < b for a, b in inside) and (b := unbase64(m[0])):
-            if is_der_key(b):
-                out.append((m.start(), 5, m.end()))
-            elif is_openssh(b):
-                out.append((m.start(), 6, m.end()))
+        if free(m.start(), m.end()):
+            for a, kind, b in keys_in_base64(m[0]):
+                end = m.start() + b
+                while b == len(m[0]) and text[end : end + 1] == "=" and end - m.start() - b < 2:
+                    end += 1
+                out.append((m.start() + a, kind, end))
     for m in ANY_HEX.finditer(text):
-        if is_der_key(bytes.fromhex(m[0][: len(m[0]) & ~1])):
-            out.append((m.start(), 5, m.end()))
+        out += [(m.start() + a, kind, m.start() + b) for a, kind, b in keys_in_hex(m[0])]
     return sorted(set(out))
 
 
