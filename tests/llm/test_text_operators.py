@@ -230,6 +230,7 @@ def brute_hits(texts, items):
 @pytest.mark.parametrize("chars", [1_000_000, 60])
 def test_items_equal_brute_force(spark, monkeypatch, chars):
     monkeypatch.setattr(decontaminate, "SHARD_CHARS", chars)
+    monkeypatch.setattr(decontaminate, "GROUP_BYTES", 100 * chars)
     rng = random.Random(4)
     vocabulary = [f"v{k}" for k in range(6)]
     some = lambda n: " ".join(rng.choices(vocabulary, k=n))

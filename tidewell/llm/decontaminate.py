@@ -4,31 +4,44 @@ The automaton holds every substring (in words) of every item. Training texts str
 state gives the longest item passage that ends at the word. A passage of `window` words or more means that an item
 window ends there and its words are hit; an item shorter than the window is one window of its own length.
 
-The reference side is cut into shards of SHARD_CHARS characters of items; each shard is sent to the executors
-once and the documents stream through one automaton after the other, so memory is bounded by the shard whatever
-the number of items. Documents are neither shuffled nor cut.
+The reference side is cut by a hash into shards of about SHARD_CHARS characters of items. Each shard's automaton is
+built by one task and written into the shared folder (which workers open by pyarrow: file, s3, gs, hdfs). A task
+that reads documents takes GROUP_BYTES of them at a time and streams them through one automaton after the other,
+loaded from there. So a worker holds one group and one automaton whatever the number of items, nothing passes through
+the driver, and documents are read once, neither shuffled nor cut.
 
 Normalisation: A-Z in lower case; words are runs of characters other than ASCII non-alphanumerics. Null text has no
 words; null items and items without words match nothing; repeated items and rows are kept; a null item id counts
-as the empty string.
+as the empty string; an item is never cut, so one that is longer than a shard is a shard of its size. Empty tables of
+documents or items give no hits. Further columns of documents pass through; those with the names of new ones are
+replaced.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-import struct
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.dataset
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import map_texts, packed, table, unpacked
+from tidewell.sources.shared import shared_folder
+
+from .common import packed, slices, table, unpacked
 
 WINDOW = 13
 #: One part in COVERAGE of the words hit makes a document contaminated.
 COVERAGE = 20
 #: Characters of items in one automaton (about 100 bytes of memory for each character).
 SHARD_CHARS = 1_000_000
+#: Bytes of documents that stream through one automaton before the next is loaded.
+GROUP_BYTES = 32_000_000
 
 _SEPARATORS = bytes([*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)])
 _FOLD = bytes((c | 0x20) if 0x41 <= c <= 0x5A else (0x20 if c in _SEPARATORS else c) for c in range(256))
@@ -172,66 +185,87 @@ def strip_spans(text: str, spans: list) -> str:
     return "".join(out) + text[at:]
 
 
-_BUILT: dict = {}
+def write_automata(items: DataFrame, window: int, item_id: str = "item_id", item_text: str = "text") -> tuple[str, int]:
+    """Writes an automaton for each shard of items; returns the folder and the number of shards."""
+    rows = items.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("item"), F.col(item_text).alias("text")).where("text is not null")
+    total = rows.agg(F.coalesce(F.sum(F.length("text") + F.length("item")), F.lit(0))).first()[0]
+    n = max(1, -(-total // SHARD_CHARS))
+    folder = f"{shared_folder(items.sparkSession)}/tidewell-automata-{uuid.uuid4().hex}"
 
+    def build(key: tuple, shard: pa.Table) -> pa.Table:
+        auto = ItemAutomaton(list(zip(shard.column("item").to_pylist(), shard.column("text").to_pylist(), strict=True)), window)
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int64()), "automaton": pa.array([pickle.dumps(auto)], pa.binary())})
 
-def _automaton(name: str, shared, window: int) -> ItemAutomaton:
-    """The automaton of a broadcast shard, built once in each worker; the one before is let go."""
-    if name not in _BUILT:
-        _BUILT.clear()
-        _BUILT[name] = ItemAutomaton(shared.value, window)
-    return _BUILT[name]
+    shards = rows.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(n))).groupBy("shard").applyInArrow(build, "shard long, automaton binary")
+    shards.write.partitionBy("shard").parquet(folder)
+    return folder, n
 
 
-def _pack(spans: list) -> bytes:
-    return struct.pack(f"<{2 * len(spans)}q", *(x for s in spans for x in s))
+_LOADED: dict[tuple[str, int], ItemAutomaton | None] = {}
 
 
-def _unpack(raw: bytes) -> list:
-    flat = struct.unpack(f"<{len(raw) // 8}q", raw)
-    return [[a, b] for a, b in zip(flat[::2], flat[1::2], strict=True)]
+def load_automaton(folder: str, k: int) -> ItemAutomaton | None:
+    """The automaton of a shard, None where it has no items; the one before is let go."""
+    if (folder, k) not in _LOADED:
+        _LOADED.clear()
+        files, at = pa.fs.FileSystem.from_uri(folder)
+        _LOADED[folder, k] = None
+        part = f"{at}/shard={k}"
+        if files.get_file_info(part).type != pa.fs.FileType.NotFound:
+            blobs = pa.dataset.dataset(part, filesystem=files, format="parquet").to_table(columns=["automaton"]).column("automaton")
+            _LOADED[folder, k] = pickle.loads(blobs[0].as_py()) if len(blobs) else None
+    return _LOADED[folder, k]
 
 
-def item_shards(items: DataFrame, item_col: str, text_col: str) -> list[list[tuple[str, str]]]:
-    """The items, in lists of about SHARD_CHARS characters, by a hash of their text; an item is never cut."""
-    rows = items.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).alias("text")).where("text is not null")
-    total = rows.agg(F.coalesce(F.sum(F.length("text") + F.length("item")), F.lit(0))).first()[0]
-    n = max(1, -(-total // SHARD_CHARS))
-    part = F.pmod(F.xxhash64("text"), F.lit(n))
-    return [[(r.item, r.text) for r in (rows.where(part == k) if n > 1 else rows).toLocalIterator()] for k in range(n)]
+FOUND = "n_words long, spans array<array<long>>, items array<string>, cleaned string"
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+    """Slices of batches, in lists of GROUP_BYTES or somewhat more."""
+    held, size = [], 0
+    for b in slices(batches):
+        held.append(b)
+        size += b.nbytes
+        if size >= GROUP_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
 
 
 def match_items(docs: DataFrame, items: DataFrame, window: int = WINDOW, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Adds to docs, in place of its text: n_words, spans (array of [start, end) in words) and items (array of ids).
-
-    Docs keep all other columns. The text is kept in column `cleaned`, without the spans.
-    """
-    spark = docs.sparkSession
-    shards = item_shards(items, item_id, item_text)
-    out = packed(docs, text)
-    for k, shard in enumerate(shards):
-        shared = spark.sparkContext.broadcast(shard)
-        last = k == len(shards) - 1
-
-        def run(texts: list, name=uuid.uuid4().hex, shared=shared, last=last, first=k == 0) -> list:
-            auto = _automaton(name, shared, window)
-            n_words, packed, found, cleaned = [], [], [], []
-            for t in texts:
-                before, seen = ([], []) if first else (_unpack(t["spans"]), t["items"])
-                t = t if first else t["text"]
-                words = words_of(t)
-                spans, new = auto.scan(words)
-                spans = spans if first else merge(before, spans)
-                n_words.append(len(words))
-                packed.append(spans if last else {"text": t, "spans": _pack(spans), "items": sorted({*seen, *new})})
-                if last:
-                    found.append(sorted({*seen, *new}))
-                    cleaned.append(strip_spans(t, spans) if t is not None else None)
-            return [n_words, packed, found, cleaned] if last else [packed]
-
-        schema = "n_words long, spans array<array<long>>, items array<string>, cleaned string" if last else f"`{text}` struct<text:string, spans:binary, items:array<string>>"
-        out = map_texts(out, run, schema, text)
-    return unpacked(out, "n_words", "spans", "items", "cleaned")
+    """Adds to docs, in place of its text: n_words, spans (array of [start, end) in words), items (array of ids) and
+    cleaned (the text without the spans)."""
+    folder, n = write_automata(items, window, item_id, item_text)
+    kind = T.StructType.fromDDL(FOUND)
+    arrow = [pa.int64(), pa.list_(pa.list_(pa.int64())), pa.list_(pa.string()), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            texts = [t for b in group for t in b.column("text").to_pylist()]
+            spans: list[list] = [[] for _ in texts]
+            found: list[set] = [set() for _ in texts]
+            n_words = [0] * len(texts)
+            for k in range(n):
+                auto = load_automaton(folder, k)
+                for at, t in enumerate(texts):
+                    words = words_of(t)
+                    n_words[at] = len(words)
+                    if auto:
+                        new, seen = auto.scan(words)
+                        spans[at] = merge(spans[at], new) if spans[at] else new
+                        found[at] |= seen
+            cleaned = [strip_spans(t, s) if t is not None else None for t, s in zip(texts, spans, strict=True)]
+            at = 0
+            for b in group:
+                to = at + b.num_rows
+                made = [n_words[at:to], spans[at:to], [sorted(f) for f in found[at:to]], cleaned[at:to]]
+                yield pa.RecordBatch.from_arrays([b.column("doc"), *(pa.array(v, t) for v, t in zip(made, arrow, strict=True))], ["doc", *kind.names])
+                at = to
+
+    rows = packed(docs, text).select("doc", F.col(f"`{text}`").alias("text"))
+    out = rows.mapInArrow(run, T.StructType([rows.schema["doc"], *kind.fields]))
+    return unpacked(out, *kind.names)
 
 
 def contaminated(n_hit, n_words):
