@@ -82,9 +82,11 @@ def brute(rows, threshold):
     return {i: (len(links[i]), root[i]) for i in links}
 
 
-@pytest.mark.parametrize("tile", [4096, 7])
-def test_vectors_equal_brute_force(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, block", [(4096, 8), (7, 2), (3, 1)])
+def test_vectors_equal_brute_force(spark, monkeypatch, tile, block):
     monkeypatch.setattr(vectors, "TILE", tile)
+    monkeypatch.setattr(vectors, "BLOCK", block)
+    monkeypatch.setattr(vectors, "SMALL_TILE", 2 * tile)
     rng = np.random.default_rng(1)
     rows = []
     for _ in range(12):
@@ -93,8 +95,11 @@ def test_vectors_equal_brute_force(spark, monkeypatch, tile):
     rows = [(k, [float(np.float32(x)) for x in v]) for k, v in enumerate(rows)]
     rows += [(200, None), (201, []), (202, [0.0] * 24), (203, [float("nan")] * 24), (204, [None] + [1.0] * 23), (205, [1.0, 2.0]), (206, [2.0, 4.0]), (207, [float("inf")] * 24)]
     table = spark.createDataFrame([(i, v, 9) for i, v in rows], "vec_id long, embedding array<float>, label int")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 123)
     got = {r.id: (r.n_links, r.component) for r in vectors.near_vectors(table).collect()}
     assert got == brute(rows, vectors.THRESHOLD)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "123"
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_no_vectors(spark):

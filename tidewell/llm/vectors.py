@@ -1,8 +1,9 @@
 """Embedding near-duplicates by PCA-ordered, tiled comparison.
 
 Vectors are scaled to length one and turned into the basis of their principal axes, strongest first. Sorted along
-the first axis they are cut at quantiles into tiles of at most TILE vectors; pairs of tiles whose bounding boxes are further apart
-than the threshold allows are not compared. Within a pair of tiles, products of the leading coordinates are summed
+the first axis they are cut at quantiles into tiles of at most TILE vectors. A task compares the tiles of two blocks of
+neighbouring tiles, so a tile is shuffled once for each block rather than for each tile it meets; blocks and tiles
+whose bounding boxes are further apart than the threshold allows are not compared. Within a pair of tiles, products of the leading coordinates are summed
 first; what the remaining ones can add is at most the product of the suffix norms, and a pair of vectors is dropped
 as soon as the threshold is out of reach. What is left is verified by its cosine in double precision from the
 stored components, so the basis (fitted on SAMPLE vectors) only changes how fast a result is found, never the result.
@@ -12,6 +13,7 @@ links that span the same components as all of its links; pairs of vectors are ne
 
 Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of different
 lengths do not link with each other. Rows with one vec_id and different vectors are one node, whose links are pooled.
+Null ids link with nothing; an empty table gives an empty table; further columns of the input are dropped.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, table
+from .common import connected_components, cut, slices, table
 
 THRESHOLD = 0.95
 #: Vectors of a tile at most, and at least where there are enough for LEAST_TILES tiles.
@@ -37,8 +39,8 @@ STEPS = (12, 20, 32)
 ROWS, PAIRS = 256, 1 << 16
 #: Coordinates that a tile's bounding box has.
 BOX = 8
-#: Tile pairs in one Arrow batch.
-PAIR_BATCH = 4
+#: Parts whose tiles make a block (of a part with very many tiles, so many tiles).
+BLOCK = 8
 
 
 def usable(v):
@@ -86,29 +88,38 @@ def _lead(bases, bounds=()):
     return run
 
 
+TILES = "tile long, d long, block long, low array<double>, high array<double>, nodes binary, copies binary, vectors binary"
+
+
 def _tiles(bases):
-    """Rows sorted by (d, part, c) -> tiles: (tile, d, low, high, nodes, copies, vectors), the last three as bytes."""
+    """Rows sorted by (d, part, c) -> TILES; boxes have BOX coordinates (0 beyond the vectors' length), lists are bytes."""
 
-    def tile(k: int, rows: list) -> pa.RecordBatch:
+    def tile(k: int, block: int, rows: list) -> pa.RecordBatch:
         nodes, copies, vs = zip(*rows, strict=True)
         raw = np.array(vs, np.float64)
-        box = turned(raw, bases)[:, :BOX]
+        head = turned(raw, bases)[:, :BOX]
+        low, high = (np.zeros(BOX) for _ in range(2))
+        low[: head.shape[1]], high[: head.shape[1]] = head.min(axis=0), head.max(axis=0)
         name = (TaskContext.get().partitionId() << 32) + k
-        values = [[name], [raw.shape[1]], [box.min(axis=0).tolist()], [box.max(axis=0).tolist()], [np.array(nodes, np.int64).tobytes()], [np.array(copies, np.int64).tobytes()], [raw.astype(np.float32).tobytes() if (raw.astype(np.float32) == raw).all() else raw.tobytes()]]
-        kinds = [pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], ["tile", "d", "low", "high", "nodes", "copies", "vectors"])
+        small = raw.astype(np.float32)
+        values = [[name], [raw.shape[1]], [block], [low.tolist()], [high.tolist()], [np.array(nodes, np.int64).tobytes()], [np.array(copies, np.int64).tobytes()], [small.tobytes() if (small == raw).all() else raw.tobytes()]]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], ["tile", "d", "block", "low", "high", "nodes", "copies", "vectors"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, d, k = [], None, 0
-        for b in batches:
-            for node, copies, v, *of in zip(*(b.column(c).to_pylist() for c in ("node", "copies", "embedding", "d", "part")), strict=True):
-                if held and (len(held) >= TILE or of != d):
-                    yield tile(k, held)
-                    held, k = [], k + 1
-                d = of
+        held, of, k, inside = [], None, 0, 0
+        # parts in their order, and a part's tiles by eights: (part div BLOCK, tile of the part div BLOCK)
+        block = lambda: of[1] // BLOCK + (inside // BLOCK << 32)
+        for b in slices(batches):
+            for node, copies, v, *now in zip(*(b.column(c).to_pylist() for c in ("node", "copies", "embedding", "d", "part")), strict=True):
+                if held and (len(held) >= TILE or now != of):
+                    yield tile(k, block(), held)
+                    held, k, inside = [], k + 1, inside + 1
+                if now != of:
+                    of, inside = now, 0
                 held.append((node, copies, v))
         if held:
-            yield tile(k, held)
+            yield tile(k, block(), held)
 
     return run
 
@@ -164,36 +175,73 @@ def spanning(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[keep], nodes[label[keep]]
 
 
+class _Tile:
+    def __init__(self, row: dict, bases):
+        self.low, self.high = np.array(row["low"]), np.array(row["high"])
+        self.nodes, self.copies = np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["copies"], np.int64)
+        n, d, raw = len(self.nodes), row["d"], row["vectors"]
+        self.x = np.frombuffer(raw, np.float32 if len(raw) == 4 * n * d else np.float64).reshape(n, d).astype(float)
+        self.turned = turned(self.x, bases)
+
+
+def compare_tiles(a: _Tile, b: _Tile, threshold: float) -> pa.RecordBatch | None:
+    """(node, links, other): for each node its links to the other tile, and links that span the same components; None without any."""
+    gap = np.maximum(0, np.maximum(b.low - a.high, a.low - b.high))
+    if gap @ gap > reach(threshold) ** 2:
+        return None
+    nodes, counts, link_a, link_b = [], [], [], []
+    for i, j in near_pairs(a.x, b.x, a.turned, b.turned, a is b, threshold):
+        if len(i):
+            for own, w, at, other in ((a.nodes, b.copies, i, j), (b.nodes, a.copies, j, i)):
+                sums = np.bincount(at, weights=w[other], minlength=len(own))
+                nodes.append(own[sums > 0])
+                counts.append(sums[sums > 0].astype(np.int64))
+            p, q = spanning(a.nodes[i], b.nodes[j])
+            link_a.append(p)
+            link_b.append(q)
+    if not nodes:
+        return None
+    n, c, p, q = (np.concatenate(v) for v in (nodes, counts, link_a, link_b))
+    none = np.zeros(len(p), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate([n, p])), pa.array(np.concatenate([c, none])), pa.array([None] * len(n) + q.tolist(), pa.int64())], ["node", "links", "other"])
+
+
+def reach(threshold: float) -> float:
+    """The largest distance of two vectors of length one whose cosine reaches the threshold."""
+    return (2 - 2 * threshold) ** 0.5 + 1e-6
+
+
 def _compare(bases, threshold):
-    def matrix(raw: bytes, n: int, d: int) -> np.ndarray:
-        return np.frombuffer(raw, np.float32 if len(raw) == 4 * n * d else np.float64).reshape(n, d).astype(float)
+    """Tiles sorted by pair of blocks, side and tile -> their links. The first block of a pair is held; of a block with itself, what came before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair, held = None, []
         for b in batches:
             for r in range(b.num_rows):
-                get = lambda c: b.column(c)[r].as_py()  # noqa: B023, E731
-                na, nb = np.frombuffer(get("nodes"), np.int64), np.frombuffer(get("nodes_b"), np.int64)
-                ca, cb = np.frombuffer(get("copies"), np.int64), np.frombuffer(get("copies_b"), np.int64)
-                x, y = matrix(get("vectors"), len(na), get("d")), matrix(get("vectors_b"), len(nb), get("d"))
-                same = get("tile") == get("tile_b")
-                nodes, counts, link_a, link_b = [], [], [], []
-                for i, j in near_pairs(x, y, turned(x, bases), turned(y, bases), same, threshold):
-                    if len(i):
-                        for own, w, at, other in ((na, cb, i, j), (nb, ca, j, i)):
-                            sums = np.bincount(at, weights=w[other], minlength=len(own))
-                            nodes.append(own[sums > 0])
-                            counts.append(sums[sums > 0].astype(np.int64))
-                        p, q = spanning(na[i], nb[j])
-                        link_a.append(p)
-                        link_b.append(q)
-                if nodes:
-                    n, c, p, q = (np.concatenate(v) for v in (nodes, counts, link_a, link_b))
-                    none = np.zeros(len(p), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([n, p])), pa.array(np.concatenate([c, none])), pa.array([None] * len(n) + q.tolist(), pa.int64())], ["node", "links", "other"])
+                row = b.slice(r, 1).to_pylist()[0]
+                if (row["d"], row["a"], row["b"]) != pair:
+                    pair, held = (row["d"], row["a"], row["b"]), []
+                new = _Tile(row, bases)
+                if row["side"] == 0:
+                    held.append(new)
+                for old in held if row["side"] or row["a"] == row["b"] else ():
+                    if (links := compare_tiles(old, new, threshold)) is not None:
+                        yield links
 
     return run
 
 
+def block_pairs(tiles: DataFrame, width: float) -> DataFrame:
+    """(d, a, b), a <= b: the pairs of blocks whose boxes are within `width`, met by cells of the first coordinate."""
+    ends = [F.array(*(f(F.get(c, F.lit(k))) for k in range(BOX))).alias(c) for f, c in ((F.min, "low"), (F.max, "high"))]
+    boxes = tiles.groupBy("d", "block").agg(*ends)
+    cell = lambda c: F.floor(F.get(c, F.lit(0)) / width).cast("int")
+    a = boxes.select("d", F.col("block").alias("a"), "low", "high", F.explode(F.sequence(cell("low"), cell("high"))).alias("cell"))
+    b = boxes.select("d", F.col("block").alias("b"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.explode(F.sequence(cell("low") - 1, cell("high") + 1)).alias("cell"))
+    gap = F.expr("aggregate(sequence(0, size(low) - 1), 0D, (s, k) -> s + power(greatest(0D, low_b[k] - high[k], low[k] - high_b[k]), 2))")
+    return a.join(b, ["d", "cell"]).where("a <= b").where(gap <= width * width).select("d", "a", "b").distinct()
+
+
 def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(id, n_links, component) for every row."""
     spark = rows.sparkSession
@@ -208,19 +256,13 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "v
     lead = plain.mapInArrow(_lead(bases), schema)
     bounds = lead.approxQuantile("c", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
     ordered = plain.mapInArrow(_lead(bases, bounds), schema).repartition(parts, "d", "part").sortWithinPartitions("d", "part", "c")
-    tiles = cut(ordered.mapInArrow(_tiles(bases), "tile long, d long, low array<double>, high array<double>, nodes binary, copies binary, vectors binary"), "vectors-tiles")
-    width = (2 - 2 * threshold) ** 0.5 + 1e-6
-    cell = lambda x: F.floor(x / width).cast("int")
-    meta = tiles.select("tile", "d", "low", "high")
-    a = meta.select("tile", "d", "low", "high", F.explode(F.sequence(cell(F.get("low", F.lit(0))), cell(F.get("high", F.lit(0))))).alias("cell"))
-    b = meta.select(F.col("tile").alias("tile_b"), "d", F.col("low").alias("low_b"), F.col("high").alias("high_b"), F.explode(F.sequence(cell(F.get("low", F.lit(0))) - 1, cell(F.get("high", F.lit(0))) + 1)).alias("cell"))
-    gap = F.expr("aggregate(sequence(0, size(low) - 1), 0D, (s, k) -> s + power(greatest(0D, low_b[k] - high[k], low[k] - high_b[k]), 2))")
-    pairs = a.join(b, ["d", "cell"]).where("tile <= tile_b").where(gap <= width * width).select("tile", "tile_b").distinct()
-    other = tiles.select(F.col("tile").alias("tile_b"), F.col("nodes").alias("nodes_b"), F.col("copies").alias("copies_b"), F.col("vectors").alias("vectors_b"))
-    both = pairs.join(tiles.select("tile", "d", "nodes", "copies", "vectors"), "tile").join(other, "tile_b")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", PAIR_BATCH)
-    found = cut(both.mapInArrow(_compare(bases, threshold), "node long, links long, other long"), "vectors-links")
-    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    tiles = cut(ordered.mapInArrow(_tiles(bases), TILES), "vectors-tiles")
+    pairs = cut(block_pairs(tiles, reach(threshold)), "vectors-pairs")
+    sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("block")), F.struct(F.lit(1).alias("side"), F.col("b").alias("block"))))
+    met = pairs.select("d", "a", "b", F.explode(sides).alias("s")).select("d", "a", "b", "s.*").join(tiles, ["d", "block"])
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    met = met.repartition(tasks, "d", "a", "b").sortWithinPartitions("d", "a", "b", "side", "tile")
+    found = cut(met.mapInArrow(_compare(bases, threshold), "node long, links long, other long"), "vectors-links")
     roots = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")), "vectors-roots")
     linked = found.where("other is null").groupBy("node").agg(F.sum("links").alias("links"))
     named = vectors.join(linked, "node", "left").join(roots, "node", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "node").alias("root"))
