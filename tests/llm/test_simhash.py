@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from tidewell.llm import simhash
@@ -52,7 +53,9 @@ def test_components_equal_brute_force(spark):
     assert got == {rows[k][0]: (fps[k], rows[want[k]][0]) for k in range(len(rows))}
 
 
-def test_links_at_four_bits_and_not_at_five(spark):
+@pytest.mark.parametrize("fit", [2_000, 5])
+def test_links_at_four_bits_and_not_at_five(spark, monkeypatch, fit):
+    monkeypatch.setattr(simhash, "FIT", fit)
     rng = random.Random(5)
     fps = []
     for _ in range(60):
@@ -60,7 +63,12 @@ def test_links_at_four_bits_and_not_at_five(spark):
         fps.append(a)
         for n in (4, 5):
             fps.append(a ^ sum(1 << b for b in rng.sample(range(64), n)))
+    fps += [fps[0] ^ (k << 20) for k in range(1, 60)]
+    fps = list(dict.fromkeys(fps))
     df = spark.createDataFrame([(int(np.array(x, np.uint64).view(np.int64)),) for x in fps], "fp long")
+    low = lambda r, tag: [x for x in fps if bin(((x >> 32 * tag) & 0xFFFFFFFF) ^ (r & 0xFFFFFFFF)).count("1") <= 1]
+    hot = simhash.hot_keys(df).collect()
+    assert all(r.parts == -(-len(low(r.k, r.k >> 32)) // fit) for r in hot) and bool(hot) == (fit == 5)
     links = simhash.near_links(df).collect()
     for r in links:
         assert bin((r.a ^ r.b) & (2**64 - 1)).count("1") <= 4
@@ -76,6 +84,8 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (None, "x y z x y z"), (2, None)]
     got = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 4 and sum(r.component == 1 for r in got) == 2
+    near = [(None, "a b c d e f g h"), (3, "A b c d e f g h"), (2, None), (None, "")]
+    assert sorted((r.id or 0, r.component) for r in simhash.near_duplicates(spark.createDataFrame(near, "doc_id long, text string")).collect()) == [(0, 2), (0, 3), (2, 2), (3, 3)]
     assert simhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 

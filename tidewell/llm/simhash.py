@@ -6,9 +6,16 @@ share a key of their balls, so equal keys fetch every candidate, and complete di
 fingerprints are one table entry, so groups of copies cost one row.
 
 Within a key, links are found by a search that only compares with what has not been reached yet, and only a
-spanning set of links leaves the task: components are the same as with all pairs, without emitting them.
+spanning set of links leaves the task: components are the same as with all pairs, without emitting them. A key of
+more than FIT fingerprints is cut into parts of that size, and each two parts meet in a task of their own, so no task
+gets a whole hot key and no link is lost.
 
-Null text counts as empty; texts without words have fingerprint zero and link like any other; repeated rows stay.
+Components are those of a graph of fingerprints, each named by (its smallest id, itself), so that the smallest name
+of a component holds its smallest id and no component is ever gathered.
+
+Null text counts as empty; texts without words have fingerprint zero and link like any other; repeated rows stay;
+very long texts are hashed in blocks; null ids are the smallest id only of components without another. An empty table
+gives an empty table; further columns of the input are dropped.
 """
 
 from __future__ import annotations
@@ -18,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import connected_components, cut, map_texts, table
@@ -27,6 +34,8 @@ SEED = 42
 SHINGLE = 4
 MAX_BITS = 4
 HALF_BITS = 32
+#: Fingerprints of a key that one task compares, from each of two parts.
+FIT = 2_000
 #: Shingle hashes that are spread into bits at a time.
 BLOCK = 1 << 15
 
@@ -73,7 +82,7 @@ def spanning_links(fp: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
 
 
 def link_balls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows (k, fp) sorted by k -> links within each key. Only the fingerprints of one key are held."""
+    """Rows (k, fp) sorted by k, any number of rows a batch -> links within each key. Only the fingerprints of one key are held."""
     key, held = None, []
 
     def links(parts):
@@ -108,26 +117,51 @@ def link_balls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": a[:, 0], "b": a[:, 1]})
 
 
+def _balls(fp: Column, tag: int) -> Column:
+    """The keys of the ball of radius 1 around a half (0: low, 1: high) of fp."""
+    half = F.shiftrightunsigned(fp, HALF_BITS) if tag else fp.bitwiseAND(F.lit(0xFFFFFFFF))
+    masks = [0, *(1 << i for i in range(HALF_BITS))]
+    return F.array(*(half.bitwiseXOR(F.lit(m)).bitwiseOR(F.lit(tag << HALF_BITS)) for m in masks))
+
+
+def hot_keys(fps: DataFrame) -> DataFrame:
+    """(k, parts) of the keys that more than FIT fingerprints have.
+
+    A ball so large holds a half that more than FIT / 33 fingerprints share, so only keys around such halves are counted.
+    """
+    both = [fps.select("fp", F.get(_balls(F.col("fp"), tag), F.lit(0)).alias("half"), F.lit(tag).alias("tag")) for tag in (0, 1)]
+    halves = both[0].unionByName(both[1]).groupBy("half", "tag").agg(F.count("*").alias("n"))
+    dense = halves.where(F.col("n") * (HALF_BITS + 1) > FIT)
+    suspects = dense.select(F.explode(F.when(F.col("tag") == 0, _balls(F.col("half"), 0)).otherwise(_balls(F.shiftleft("half", HALF_BITS), 1))).alias("k")).distinct()
+    around = halves.select("n", F.explode(F.when(F.col("tag") == 0, _balls(F.col("half"), 0)).otherwise(_balls(F.shiftleft("half", HALF_BITS), 1))).alias("k"))
+    sizes = around.join(suspects, "k", "left_semi").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > FIT)
+    return sizes.select("k", F.ceil(F.col("n") / FIT).cast("int").alias("parts"))
+
+
 def near_links(fps: DataFrame) -> DataFrame:
     """fps(fp), distinct -> links (a, b) that span every component of the relation 'at most MAX_BITS differing bits'."""
-    low, high = F.col("fp").bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned("fp", HALF_BITS)
-    masks = [0, *(1 << i for i in range(HALF_BITS))]
-    keys = [half.bitwiseXOR(F.lit(m)).bitwiseOR(F.lit(tag << HALF_BITS)) for tag, half in enumerate((low, high)) for m in masks]
-    balls = fps.select("fp", F.explode(F.array(*keys)).alias("k"))
+    balls = fps.select("fp", F.explode(F.concat(_balls(F.col("fp"), 0), _balls(F.col("fp"), 1))).alias("k"))
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return balls.repartition(n, "k").sortWithinPartitions("k").mapInPandas(link_balls, "a long, b long").distinct()
+    hot = cut(hot_keys(fps), "simhash-hot")
+    found = lambda rows: rows.repartition(n, "k").sortWithinPartitions("k").mapInPandas(link_balls, "a long, b long")
+    if hot.isEmpty():
+        return found(balls).distinct()
+    own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
+    met = balls.join(hot, "k").select("fp", "k", own.alias("p"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q"))
+    met = met.select("fp", F.xxhash64("k", F.least("p", "q"), F.greatest("p", "q")).alias("k"))
+    return found(balls.join(hot, "k", "left_anti").select("fp", "k")).unionByName(found(met)).distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp long, component): component is the smallest id that links reach, the row's own included."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     prints = cut(map_texts(rows, fingerprints, "fp long"), "simhash")
-    distinct = cut(prints.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    roots = connected_components(near_links(distinct.select("fp")), "simhash-links")
-    members = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = members.groupBy("root").agg(F.min("least").alias("component"))
-    named = members.join(least, "root").select("fp", "component")
-    return prints.join(named, "fp").select("id", "fp", "component")
+    least = prints.groupBy("fp").agg(F.min("id").alias("id"))
+    named = cut(least.select("fp", F.struct(F.col("id").isNull().alias("none"), "id", "fp").alias("name")), "simhash-distinct")
+    links = near_links(named.select("fp")).join(named.select(F.col("fp").alias("a"), F.col("name").alias("name_a")), "a").join(named.select(F.col("fp").alias("b"), F.col("name").alias("name_b")), "b")
+    roots = connected_components(links.select(F.col("name_a").alias("a"), F.col("name_b").alias("b")), "simhash-links")
+    known = named.join(roots.withColumnRenamed("node", "name"), "name", "left").select("fp", F.coalesce("root", "name")["id"].alias("component"))
+    return prints.join(known, "fp").select("id", "fp", "component")
 
 
 def op9_simhash(spark, sf_dir):
