@@ -61,6 +61,60 @@ def test_copies_count_once_and_rare_parts_are_found_without_an_article(spark):
     assert {got[k] for k in range(55, 58)} == {"Menu\n\nalone\n\nend of alone"}
 
 
+@pytest.mark.parametrize(
+    "html, text",
+    [
+        ('<div class="content no-sidebar"><p>Real text</div>', "Real text"),
+        ('<main><div class="x header-offset"><p>All the text</div></main>', "All the text"),
+        ('<article><h1 class="article-header">Title</h1><section id="discussion"><p>D</p></section><p class="related-work">R</p></article>', "Title\n\nD\n\nR"),
+        ("<p>a</p><svg/><p>b</p><script src=x /><p>c", "a\n\nb\n\nc"),
+        ("<p>if x<y then z</p><p>q", "if x<y then z\n\nq"),
+        ("<form><article><p>in form</p></article><p>no</form>", "in form"),
+        ("<aside><article>teaser</article></aside><article><p>one</article>", "one"),
+        ('<div class="site-footer">f</div><div class=comment-list><p>c</div><div>t', "t"),
+        ("<article></article><div class=ad>a</div>", ""),
+    ],
+)
+def test_single_pages(html, text):
+    assert pages.main_text(html, set(), {}) == text
+
+
+def renamed(html):
+    """The page without any name that tells an article, a menu, an advert or a footer."""
+    for name, other in (("article", "qa"), ("nav", "qb"), ("footer", "qc")):
+        html = html.replace(f"<{name}>", f'<div class="{other}">').replace(f"</{name}>", "</div>")
+    return html.replace('class="ad"', 'class="qd"')
+
+
+def test_deduction_finds_the_article_where_no_name_tells(spark):
+    """Driver pages whose elements are renamed: with the template each gives the article's text, without it none does."""
+    table = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url", "html").where("page_id % 3 > 0")
+    want = {r.page_id: r.text for r in pages.extract_pages(table).collect()}
+    rows = [(r.page_id, r.url, renamed(r.html)) for r in table.collect()]
+    assert not any("<article" in h or "<nav" in h for _, _, h in rows)
+    bare = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in pages.extract_pages(bare).collect()}
+    off = {r.page_id: r.text for r in pages.extract_pages(bare, deduce=False).collect()}
+    assert sum(got[k] == want[k] for k in want) == len(want) > 1600
+    assert not any(off[k] == want[k] for k in want)
+    plain = {r.page_id: r.text for r in pages.extract_pages(table, deduce=False).collect()}
+    assert plain == want
+
+
+def test_occurrence_vectors_equal_brute_force(spark, small):
+    table = spark.read.parquet(f"{small}/pages.parquet").select(pages.F.lit("http://one/").alias("url"), "html")
+    found = pages.occurrence_vectors(pages.read_tokens(table)).select("token", "pages", "v1", "v2").collect()
+    contents, tokens = pages._tokens([r.html for r in table.collect()])
+    vectors = {}
+    for content, page in dict(zip(contents, tokens, strict=True)).items():
+        for t in page:
+            vectors.setdefault(t["token"], {})[content] = t["n"]
+    want = {t: tuple(sorted(v.items())) for t, v in vectors.items() if len(v) >= pages.MIN_PAGES}
+    assert {r.token for r in found} == set(want)
+    classes = lambda key: sorted(sorted(g) for g in {frozenset(t for t in want if key[t] == v) for v in set(key.values())})
+    assert classes({r.token: (r.pages, r.v1, r.v2) for r in found}) == classes(want) and len(want) > 5
+
+
 def brute(rows, threshold):
     ok = [(i, np.array(v, float)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
     links = {i: set() for i, _ in rows}
