@@ -29,7 +29,9 @@ def test_articles_are_read_whole_and_alone(spark):
     assert [got[k] for k in range(7, 12)] == ["", "", "no markup", "open end", "cut off"]
 
 
-def test_fixed_texts_of_a_host_are_left_out_without_an_article(spark):
+@pytest.mark.parametrize("rows", [20_000, 0])
+def test_fixed_texts_of_a_host_are_left_out_without_an_article(spark, monkeypatch, rows):
+    monkeypatch.setattr(pages, "TEMPLATE_ROWS", rows)
     rows = [page(f"<div id=main><p>own words {k}</p></div>", extra="<div class=x1><p>On every page</p></div>", k=k) for k in range(5)]
     rows += [page("<div><p>On every page</p></div>", host="other.example.org")]
     got = extract(spark, rows)

@@ -42,6 +42,8 @@ from pyspark.sql import functions as F
 from .common import cut, map_texts, packed, table, unpacked
 
 MIN_PAGES = 3
+#: Rows of the templates of all hosts that are broadcast at most (some 20 bytes each); beyond that each page gets its own rows by a join.
+TEMPLATE_ROWS = 20_000
 #: The share of words that the article's slot holds at least, and the share of a page that is nearly all of it.
 HALF, NEARLY_ALL = 0.5, 0.9
 
@@ -358,7 +360,7 @@ def occurrence_vectors(read: DataFrame) -> DataFrame:
 
 
 def deduce_templates(read: DataFrame) -> DataFrame:
-    """(host, h, template: array of (token, by)) for each page: its elements that hold the article's slot (by is null), and its fixed texts with the innermost element of their class."""
+    """(host, token, by), written: the elements of a host that hold the article's slot (by is null), and its fixed texts with the innermost element of their class."""
     vectors = cut(occurrence_vectors(read), "pages-vectors")
     elements = vectors.where("around is null")
     mates = elements.select("host", F.col("token").alias("element"), "pages", "v1", "v2")
@@ -370,17 +372,28 @@ def deduce_templates(read: DataFrame) -> DataFrame:
     page = held.where("token = 0").select("host", F.col("pages").alias("all_pages"), F.col("still").alias("all_still"))
     rest = F.col("page") - F.col("all_still") * F.col("pages") / F.col("all_pages")
     cores = held.where("core and most = 1").join(page, "host").where((F.col("chars") - F.col("still") > 0) & (F.col("chars") - F.col("still") > HALF * rest))
-    template = cut(cores.select("host", "token", F.lit(None).cast("long").alias("by")).unionByName(fixed), "pages-template")
-    # by page, since the template of a large host may have far more texts than one page
-    on_page = read.select("host", "h", F.explode(F.array_distinct(F.transform("tokens", lambda t: t["token"]))).alias("token"))
-    return on_page.join(template, ["host", "token"]).groupBy("host", "h").agg(F.collect_set(F.struct("token", "by")).alias("template"))
+    return cut(cores.select("host", "token", F.lit(None).cast("long").alias("by")).unionByName(fixed), "pages-template")
+
+
+def with_template(pages: DataFrame, read: DataFrame, template: DataFrame) -> DataFrame:
+    """pages(host, h, more) plus template: array of (token, by).
+
+    The templates of all hosts are broadcast where they are few rows (counted); so pages are not shuffled. Else each
+    page gets the rows that stand on it, since the template of a large host may have far more texts than one page.
+    """
+    rows = F.collect_list(F.struct("token", "by")).alias("template")
+    if template.limit(TEMPLATE_ROWS + 1).count() <= TEMPLATE_ROWS:
+        return pages.join(F.broadcast(template.groupBy("host").agg(rows)), "host", "left")
+    on_page = read.select("host", "h", F.explode(F.array_distinct(F.transform("tokens", lambda t: t["token"]))).alias("token")).distinct()
+    return pages.join(cut(on_page.join(template, ["host", "token"]).groupBy("host", "h").agg(rows), "pages-templates"), ["host", "h"], "left")
 
 
 def extract_pages(pages: DataFrame, deduce: bool = True) -> DataFrame:
     """pages(url, html, more) with, in place of html: text and n_chars. deduce=False leaves only what names and single pages tell (for comparison)."""
     named = packed(pages, "html").withColumn("host", host_of(F.col("doc.url"))).withColumn("h", F.xxhash64("html"))
     if deduce:
-        rows = named.join(cut(deduce_templates(read_tokens(pages)), "pages-templates"), ["host", "h"], "left")
+        read = read_tokens(pages)
+        rows = with_template(named, read, deduce_templates(read))
     else:
         rows = named.withColumn("template", F.lit(None).cast("array<struct<token:long, by:long>>"))
     rows = rows.select("doc", F.struct("html", "template").alias("page"))
