@@ -48,6 +48,7 @@ def nfkc(df: DataFrame, column: str) -> DataFrame:
 
 def clean(c: Column) -> Column:
     """Cleaning after Unicode folding: invisible and control characters, line ends, furniture, broken words, blanks."""
+    # fixed values: the characters and patterns of each step
     controls = "".join(chr(x) for x in [*range(1, 9), *range(0x0E, 0x20), 0x7F])
     c = F.translate(F.coalesce(c, F.lit("")), INVISIBLE, "")
     c = F.translate(c, "\x0b\x0c", "\n\n")
@@ -76,6 +77,19 @@ def prose_ratio(c: Column) -> Column:
     return F.when(F.length(F.coalesce(c, F.lit(""))) == 0, 0.0).otherwise(counted / F.length(c))
 
 
+MIN_DETECT_CHARS = 40
+
+
+def detected_language(c: Column, detector: Column) -> Column:
+    """What the detector says; nothing for texts under MIN_DETECT_CHARS characters, which say too little."""
+    return F.when(F.length(strip(F.coalesce(c, F.lit("")))) >= MIN_DETECT_CHARS, detector)
+
+
+def clean_all(items: Column) -> Column:
+    """Headings (or figure texts) cleaned one by one; those with nothing left go."""
+    return F.filter(F.transform(items, clean), lambda t: t != "")
+
+
 def effective_language(ratio: Column, detected: Column) -> Column:
     return F.when(ratio < PROSE_FLOOR, F.lit("en")).otherwise(detected)
 
@@ -96,6 +110,7 @@ def terms(c: Column) -> Column:
 
 def lexical_question(c: Column) -> Column:
     """The question without function words; unchanged where fewer than two terms would be left."""
+    # fixed value: what goes from the edges of a word
     edge = r"(?U)^[^\w(]+|(?<!\.\w)[^\w).]+$|(?<![A-Z])\.$"
     tokens = F.filter(F.transform(split_blank(c), lambda t: F.regexp_replace(t, edge, "")), lambda t: t != "")
     label = lambda t: (F.length(t) == 1) & t.rlike(r"^\p{Lu}$")

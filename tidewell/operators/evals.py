@@ -18,7 +18,10 @@ TEMPLATES = (
     (r"\b(\d{1,3}(?:,\d{2,3})*\s?MW)\b", "What does the figure {0} refer to?", "a capacity figure"),
     (r"\b(FGD|CEMS|SO2|NOx|ESP|SNCR|SCR)\b", "What does this corpus say about {0}?", "an abbreviation"),
 )
-MIN_CHARS, MAX_CHARS, MIN_PROSE, SEED = 320, 2400, 0.45, 20261002
+#: How long a passage for a question is, and how much of it is prose.
+MIN_CHARS, MAX_CHARS, MIN_PROSE = 320, 2400, 0.45
+#: The order of the sample.
+SEED = 20261002
 
 
 def derive_questions(docs: DataFrame, id_col: str = "doc_id", text: str = "text", heading: str = "title") -> DataFrame:
@@ -36,22 +39,32 @@ def derive_questions(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
 
 
 def candidates(docs: DataFrame, per_group: int, group: str) -> DataFrame:
-    """Passages fit for questions, spread over groups in a fixed pseudo-random order (the sampling is the feature)."""
+    """Passages fit for questions, spread over groups in a fixed pseudo-random order (the sampling is the feature).
+
+    docs(doc_id, text, status, deleted_at, is_table, group): live, not deleted, no tables, neither short nor long, prose.
+    """
+    docs = docs.where((F.col("status") == "LIVE") & F.col("deleted_at").isNull() & ~F.coalesce("is_table", F.lit(False)))
     fit = docs.where(F.length("text").between(MIN_CHARS, MAX_CHARS) & (prose_ratio(F.col("text")) >= MIN_PROSE))
     w = Window.partitionBy(group).orderBy(F.md5(F.concat_ws(":", F.lit(str(SEED)), F.col("doc_id").cast("string"))), "doc_id")
     return fit.withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_group)
 
 
 def holders_of(docs: DataFrame, items: DataFrame, words: int = 8) -> DataFrame:
-    """(question_id, doc_id): documents that hold the first `words` terms of an item in a row.
+    """(question_id, doc_id): documents that hold any `words` terms in a row of an item, or all terms of a shorter one.
 
     An equal-key join: documents explode into their runs of terms, which meet the items' runs before any shuffle
-    where those are few.
+    where those are few. Runs of fewer terms are made only for the lengths that items have (a few numbers).
     """
-    keys = items.select("question_id", F.slice(terms(F.col("text")), 1, words).alias("ts")).where(F.size("ts") == words).select("question_id", F.array_join("ts", " ").alias("run"))
-    own = docs.select("doc_id", terms(F.col("text")).alias("ts")).where(F.size("ts") >= words)
-    runs = own.select("doc_id", F.explode_outer(F.transform(F.sequence(F.lit(1), F.size("ts") - words + 1), lambda i: F.array_join(F.slice("ts", i, words), " "))).alias("run"))
-    return runs.join(small_side(keys), "run").select("question_id", "doc_id").distinct()
+    own = items.select("question_id", terms(F.col("text")).alias("ts")).where(F.size("ts") > 0).withColumn("k", F.least(F.size("ts"), F.lit(words)))
+    run = lambda k: F.transform(F.sequence(F.lit(1), F.size("ts") - k + 1), lambda i: F.array_join(F.slice("ts", i, k), " "))
+    keys = own.select("question_id", "k", F.explode(run(F.col("k"))).alias("run")).distinct()
+    texts = docs.select("doc_id", terms(F.col("text")).alias("ts"))
+    out = None
+    for k in sorted(r.k for r in keys.select("k").distinct().collect()):
+        runs = texts.where(F.size("ts") >= k).select("doc_id", F.explode_outer(run(F.lit(k))).alias("run"))
+        part = runs.join(small_side(keys.where(F.col("k") == k).select("question_id", "run")), "run").select("question_id", "doc_id")
+        out = part if out is None else out.unionByName(part)
+    return out.distinct() if out is not None else docs.sparkSession.createDataFrame([], "question_id long, doc_id long")
 
 
 def ranks_of(found: DataFrame, expected: DataFrame, place: str = "fusion_rank") -> DataFrame:
@@ -63,4 +76,5 @@ def ranks_of(found: DataFrame, expected: DataFrame, place: str = "fusion_rank")
 def summary(ranks: DataFrame) -> DataFrame:
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
     r = F.col("rank")
-    return ranks.agg(F.count("*").alias("n"), share(r == 1).alias("hit_at_1"), share(r <= 5).alias("hit_at_5"), share(r.isNotNull()).alias("hit_at_k"), F.round(F.avg(F.coalesce(1.0 / r, F.lit(0.0))), 6).alias("mrr"))
+    more = [F.median("seconds").alias("median_seconds")] if "seconds" in ranks.columns else []
+    return ranks.agg(*more, F.count("*").alias("n"), share(r == 1).alias("hit_at_1"), share(r <= 5).alias("hit_at_5"), share(r.isNotNull()).alias("hit_at_k"), F.round(F.avg(F.coalesce(1.0 / r, F.lit(0.0))), 6).alias("mrr"))

@@ -1,4 +1,4 @@
-"""Lifecycle as relational operators: validation, deduplication, tiers, versions, queue, audit, backfill."""
+"""Lifecycle as relational operators: validation, deduplication, tiers, versions, audit, backfill."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 # States, limits and signatures.
 INACTIVE = ("SUPERSEDED", "ARCHIVED", "REJECTED", "DUPLICATE")
-MAX_RETRIES, BACKOFF_BASE, BACKOFF_MAX, REAP_DELAY = 3, 5, 60, 5
 MAX_BYTES, MAX_FILES, MAX_BATCH_BYTES = 100 * 1024 * 1024, 5, 250 * 1024 * 1024
 SIGNATURES = ("/Launch", "/JavaScript", "powershell.exe", "cmd.exe", "EICAR-STANDARD-ANTIVIRUS-TEST-FILE!")
+FAILED_STATUS = {"EXTRACT": "EXTRACTION_FAILED", "NORMALIZE": "NORMALIZATION_FAILED", "CHUNK": "CHUNKING_FAILED", "EMBED": "EMBEDDING_FAILED"}
 STAGE_NEEDS = {"EXTRACT": "VALIDATED", "NORMALIZE": "EXTRACTED", "CHUNK": "AWAITING_CLASSIFICATION", "EMBED": "CHUNKED"}
 
 
@@ -26,19 +26,33 @@ def rejection(content: Column, size: Column, supported: Column) -> Column:
 
 
 def dedup_canonical(docs: DataFrame, digest: str = "sha256") -> DataFrame:
-    """docs plus canonical_id (the earliest of equal content) and is_duplicate.
+    """docs plus canonical_id (the earliest active document of equal content) and is_duplicate.
 
-    The earliest row is an aggregate (combined before the shuffle) joined back, so content with very many copies is
-    split by adaptive skew joins rather than gathered in one window.
+    With a column status, only active documents can be canonical and only they can be duplicates; content without one
+    has none. A document without a digest has nothing equal: it is its own canonical one. The earliest row is an
+    aggregate (combined before the shuffle) joined back, so content with very many copies is split by adaptive skew
+    joins rather than gathered in one window.
     """
-    first = docs.groupBy(digest).agg(F.min(F.struct("created_at", "doc_id"))["doc_id"].alias("canonical_id"))
-    return docs.join(first, digest).withColumn("is_duplicate", F.col("doc_id") != F.col("canonical_id"))
+    live = active(F.coalesce("status", F.lit(""))) if "status" in docs.columns else F.lit(True)
+    known = docs.where(live & F.col(digest).isNotNull())
+    first = known.groupBy(F.col(digest).alias("of digest")).agg(F.min(F.struct("created_at", "doc_id"))["doc_id"].alias("first id"))
+    rows = docs.join(first, F.col(digest) == F.col("of digest"), "left")
+    own = F.when(F.col(digest).isNull(), F.col("doc_id")).otherwise(F.col("first id"))
+    duplicate = live & F.col("first id").isNotNull() & (F.col("doc_id") != F.col("first id"))
+    return rows.select(*docs.columns, own.alias("canonical_id"), F.coalesce(duplicate, F.lit(False)).alias("is_duplicate"))
 
 
 def escalate_tiers(docs: DataFrame, digest: str = "sha256") -> DataFrame:
-    """(digest, canonical_id, copies, tier, escalated): a copy that is stricter than the first one raises it, never lowers it."""
+    """(digest, canonical_id, copies, tier, escalated): a copy that is stricter than the first one raises it, never lowers it.
+
+    Documents without a digest are copies of nothing; each is a row of its own. With a column status, the first one is
+    the earliest active document; content without an active one has no row.
+    """
     rank = F.when(F.col("classification") == "RESTRICTED", 1).when(F.col("classification") == "PUBLIC", 0)
-    groups = docs.groupBy(digest).agg(F.min(F.struct("created_at", "doc_id", "classification")).alias("first"), F.max(rank).alias("most"), F.count("*").alias("copies"))
+    live = active(F.coalesce("status", F.lit(""))) if "status" in docs.columns else F.lit(True)
+    alone = F.when(F.col(digest).isNull(), F.col("doc_id"))
+    order = F.when(live, F.struct("created_at", "doc_id", "classification"))
+    groups = docs.groupBy(digest, alone.alias("alone")).agg(F.min(order).alias("first"), F.max(rank).alias("most"), F.count("*").alias("copies")).where(F.col("first").isNotNull())
     tier = F.when(F.col("most") == 1, "RESTRICTED").when(F.col("most") == 0, "PUBLIC")
     return groups.select(digest, F.col("first.doc_id").alias("canonical_id"), "copies", tier.alias("tier"), (~tier.eqNullSafe(F.col("first.classification"))).alias("escalated"))
 
@@ -50,33 +64,9 @@ def version_chain(rows: DataFrame, key: str, order: list[str], item: str) -> Dat
     return rows.select(key, item, F.row_number().over(w).alias("version"), F.lag(item).over(w).alias("supersedes"), F.when(last, "LIVE").otherwise("SUPERSEDED").alias("status"))
 
 
-def claim(jobs: DataFrame, per_stage: int = 1) -> DataFrame:
-    """The jobs that workers take next: pending ones by priority, then schedule."""
-    w = Window.partitionBy("stage").orderBy(F.col("priority").desc(), "scheduled_at", "job_id")
-    return jobs.where("status = 'PENDING'").withColumn("place", F.row_number().over(w)).where(F.col("place") <= per_stage)
-
-
-def reap(jobs: DataFrame, now: Column) -> DataFrame:
-    """Jobs after a sweep: expired leases go back to PENDING, or to FAILED when the retries are used up."""
-    expired = (F.col("status") == "RUNNING") & (F.col("lease_expires_at") < now)
-    spent = F.col("retry_count") >= MAX_RETRIES
-    return jobs.select(
-        "job_id", "stage",
-        F.when(expired & spent, "FAILED").when(expired, "PENDING").otherwise(F.col("status")).alias("status"),
-        F.when(expired & ~spent, F.col("retry_count") + 1).otherwise(F.col("retry_count")).alias("retry_count"),
-        F.when(expired & ~spent, now + F.expr(f"interval {REAP_DELAY} seconds")).otherwise(F.col("scheduled_at")).alias("scheduled_at"),
-        F.when(~expired, F.col("lease_expires_at")).alias("lease_expires_at"),
-    )
-
-
-def backoff_seconds(retry_count: Column) -> Column:
-    return F.least(F.lit(BACKOFF_MAX), BACKOFF_BASE * F.pow(F.lit(2), F.least(retry_count, F.lit(10)))).cast("int")
-
-
-def retry_or_fail(jobs: DataFrame) -> DataFrame:
-    """Failed attempts: (job_id, status, retry_count, wait_seconds)."""
-    again = F.col("retry_count") < MAX_RETRIES
-    return jobs.select("job_id", F.when(again, "PENDING").otherwise("FAILED").alias("status"), (F.col("retry_count") + again.cast("int")).alias("retry_count"), F.when(again, backoff_seconds(F.col("retry_count"))).alias("wait_seconds"))
+def top_of_each(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
+    """The first k rows of each group, with their place: Spark keeps k rows of a group in each task before it shuffles."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("place") <= k)
 
 
 def latest_event(audit: DataFrame, key: str) -> DataFrame:
@@ -91,13 +81,27 @@ def first_occurrences(audit: DataFrame, key: str, repeatable: tuple = ()) -> Dat
 
 
 def backfill_candidates(docs: DataFrame, jobs: DataFrame, stage: str | None = None) -> DataFrame:
-    """Documents that have no live job; with a stage, only those in the status that it takes up. Statuses are not reset."""
+    """Documents that have no live job; with a stage, only those in the status that it takes up."""
     if stage is not None:
         docs = docs.where(F.col("status") == STAGE_NEEDS[stage])
     live = jobs.where(F.col("status").isin("PENDING", "RUNNING")).select("doc_id")
     return docs.join(live, "doc_id", "left_anti")
 
 
+def stage_guard(status: Column) -> Column:
+    """The stage that takes up a document of this status, null where none does."""
+    stage = F.lit(None).cast("string")
+    for name, needs in STAGE_NEEDS.items():
+        stage = F.when(status == needs, name).otherwise(stage)
+    return stage
+
+
+def backfill_reset(docs: DataFrame, jobs: DataFrame, stage: str) -> DataFrame:
+    """(doc_id, status, stage): failed documents of a stage without a live job, set back to the status that it takes up."""
+    failed = docs.where(F.col("status") == FAILED_STATUS[stage])
+    return backfill_candidates(failed, jobs).select("doc_id", F.lit(STAGE_NEEDS[stage]).alias("status"), F.lit(stage).alias("stage"))
+
+
 def batch_check(files: DataFrame, batch: str) -> DataFrame:
     """Upload limits of each batch: files, bytes, and whether it is accepted."""
     sums = files.groupBy(batch).agg(F.count("*").alias("files"), F.sum("size").alias("bytes"), F.max("size").alias("largest"), F.min("size").alias("smallest"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.access import stricter
+from tidewell.sources.shared import stored
 
 RETRY_SECONDS = 3600
 FAILED = ("VALIDATION_FAILED", "REJECTED", "EXTRACTION_FAILED", "NORMALIZATION_FAILED", "CHUNKING_FAILED", "EMBEDDING_FAILED")
@@ -14,13 +15,19 @@ FAILED = ("VALIDATION_FAILED", "REJECTED", "EXTRACTION_FAILED", "NORMALIZATION_F
 def folder_tiers(folders: DataFrame, roots: DataFrame, depth: int = 10) -> DataFrame:
     """folders(folder, parent), roots(folder, tier) -> (folder, tier): tiers go down the tree, the stricter wins where they meet.
 
-    One join a level, `depth` at most; a folder that is met again only stays in where its tier got stricter.
+    One join a level, `depth` at most, each written; a folder goes on to the next level only where it is new or its
+    tier got stricter, so cycles end. Null folders and parents lead nowhere.
     """
-    known = front = roots.groupBy("folder").agg(F.max(F.col("tier") == "RESTRICTED").alias("strict"))
+    strict = F.max(F.col("tier") == "RESTRICTED").alias("strict")
+    known = front = stored(roots.where("folder is not null").groupBy("folder").agg(strict), "tiers")
     for _ in range(depth):
-        front = folders.join(front.withColumnRenamed("folder", "parent"), "parent").select("folder", "strict")
-        known = known.unionByName(front)
-    return known.groupBy("folder").agg(F.when(F.max("strict"), "RESTRICTED").otherwise("PUBLIC").alias("tier"))
+        below = folders.join(front.withColumnRenamed("folder", "parent"), "parent").where("folder is not null").groupBy("folder").agg(F.max("strict").alias("strict"))
+        met = below.join(known.withColumnRenamed("strict", "before"), "folder", "left")
+        front = stored(met.where(F.col("before").isNull() | (F.col("strict") & ~F.col("before"))).select("folder", "strict"), "tiers")
+        if front.isEmpty():
+            break
+        known = stored(known.unionByName(front).groupBy("folder").agg(F.max("strict").alias("strict")), "tiers")
+    return known.select("folder", F.when(F.col("strict"), "RESTRICTED").otherwise("PUBLIC").alias("tier"))
 
 
 def content_changed(old_md5: Column, new_md5: Column, old_time: Column, new_time: Column) -> Column:

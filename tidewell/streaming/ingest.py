@@ -1,4 +1,4 @@
-"""Structured Streaming in place of a polled queue: stages by micro-batch, leases by state timers."""
+"""Structured Streaming in place of a polled queue: stages by micro-batch, windows and sessions by watermark."""
 
 from __future__ import annotations
 
@@ -20,10 +20,22 @@ def read_events(spark: SparkSession, path: str, glob: str | None = None) -> Data
     return rows.select(*(F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c) for c, kind in rows.dtypes))
 
 
+def batch_events(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """The same rows as a table."""
+    rows = spark.read.parquet(f"{path}/{glob}")
+    return rows.select(*(F.col(c).cast("timestamp").alias(c) if kind == "timestamp_ntz" else F.col(c) for c, kind in rows.dtypes))
+
+
+def still_open(grouped: DataFrame, rows: DataFrame, end: str, late: str) -> DataFrame:
+    """Of windows or sessions over a finished input those that its last watermark has not closed: a stream has not told them."""
+    closed = rows.agg((F.max("ts") - F.expr(f"interval {late}")).alias("watermark"))
+    return grouped.join(F.broadcast(closed), F.date_trunc("millisecond", F.col(end)) > F.date_trunc("millisecond", "watermark")).drop("watermark")
+
+
 def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Counts and value sums by event type and window; events later than `late` behind the newest are left out."""
     w = F.window("ts", length)
-    return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
+    return events.withWatermark("ts", late).groupBy(w, "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "event_type", "n", "total")
 
 
 def run_to_end(stream: DataFrame, shared: str, mode: str = "append") -> str:
@@ -43,10 +55,10 @@ def stage_stream(source: DataFrame, stage, target: str, state: str, key: str):
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", state).trigger(availableNow=True).start()
 
 
-def lease_sessions(events: DataFrame, lease: str = "30 minutes", late: str = "1 hour", key: str = "user_id") -> DataFrame:
-    """Leases that each event of a key renews: (key, began, expired, renewals), told once the watermark has passed their end."""
-    grouped = events.withWatermark("ts", late).groupBy(F.session_window("ts", lease), key).agg(F.count("*").alias("renewals"))
-    return grouped.select(key, F.col("session_window.start").alias("began"), F.col("session_window.end").alias("expired"), "renewals")
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour", key: str = "user_id") -> DataFrame:
+    """Sessions of a key, that a pause of `gap` ends: (key, began, ended, events), told once the watermark has passed their end."""
+    grouped = events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count("*").alias("events"))
+    return grouped.select(key, F.col("session_window.start").alias("began"), F.col("session_window.end").alias("ended"), "events")
 
 
 def first_seen(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
