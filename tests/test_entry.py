@@ -11,7 +11,7 @@ from tidewell.sources import files
 from tidewell.sources.tables import TABLES
 from tidewell.streaming import ingest
 
-CHECKED = ["visible_documents_user", "hybrid_rrf", "grounding_gate", "bm25_topk", "drive_diff", "queue_reap", "tier_escalation", "heading_levels", "followup_expand", "folder_tiers", "stream_ingest_counts"]
+CHECKED = ["visible_documents_user", "hybrid_rrf", "grounding_gate", "bm25_topk", "drive_diff", "orders_by_priority", "dedup_canonical", "eval_hit_at_k", "document_metadata_search", "audit_appended", "boundary_record_open", "landed_documents", "chunk_listing", "tier_escalation", "heading_levels", "followup_expand", "folder_tiers", "stream_ingest_counts"]
 
 
 def rows_of(columns, rows):
@@ -83,6 +83,6 @@ def test_stream_stages_write_each_batch_once(spark, small, tmp_path):
 def test_streams_read_a_table_of_part_files(spark, small, tmp_path):
     events = spark.read.parquet(f"{small}/events.parquet")
     events.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
-    for name in ("stream_ingest_counts", "stream_windowed_counts", "stream_lease_sessions", "stream_first_seen"):
+    for name in ("stream_ingest_counts", "stream_windowed_counts", "stream_user_sessions", "stream_first_seen"):
         got, want = (sorted(map(tuple, entry.queries()[name](spark, at).collect()), key=str) for at in (str(tmp_path), small))
         assert got == want and want, name

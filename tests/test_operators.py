@@ -81,6 +81,17 @@ def test_boundary(spark):
     rows = [(1, "PUBLIC"), (1, "RESTRICTED"), (1, None), (2, "RESTRICTED"), (2, "odd")]
     got = {r.r: (r.considered, r.sent, r.withheld, r.tier, r.refused) for r in redaction.boundary_record(spark.createDataFrame(rows, "r int, classification string"), "r").collect()}
     assert got == {1: (3, 1, 2, "PUBLIC", False), 2: (2, 0, 2, "PUBLIC", True)}
+    df = spark.createDataFrame([(*r, 3) for r in rows], "r int, classification string, n int")
+    got = {r.r: (r.sent, r.tier, r.refused) for r in redaction.boundary_record(df, "r", allow_restricted=True, expected="n").collect()}
+    assert got == {1: (3, "RESTRICTED", False), 2: (2, "RESTRICTED", True)}
+
+
+def test_findings_replace_a_column_of_that_name(spark):
+    df = spark.createDataFrame([(1, 0, "a@b.org and a@b.org, c@d.org", "old", "old")], "r int, p int, text string, findings string, redacted string")
+    out = redaction.redact(df, "r", "p").first()
+    assert out.redacted == "<EMAIL_2> and <EMAIL_2>, <EMAIL_1>" and len(out.findings) == 3
+    record = redaction.masked_record(redaction.redact(df, "r", "p"), "r").first().masked
+    assert [(m.label, m["count"], m.previews) for m in record] == [("EMAIL", 2, ["xxx@b.org", "xxx@d.org"])]
 
 
 def test_sections_and_headings(spark):
@@ -93,6 +104,18 @@ def test_sections_and_headings(spark):
     assert alone[-1].heading is None
 
 
+def test_groups_are_halved_and_bare_headings_go(spark):
+    lines = ["x" * 10] * 40
+    groups = chunking.group_lines("head", lines, lambda t: len(t) * (2 if len(t) > 100 else 1), 200)
+    assert [x for g in groups for x in g] == lines and all(len("\n".join(["head", *g])) * 2 <= 200 or len(g) == 1 or len("\n".join(["head", *g])) <= 100 for g in groups)
+    assert chunking.group_lines("h", []) == [] and chunking.group_lines("h", ["y" * 5000, "z"]) == [["y" * 5000], ["z"]]
+    sections = spark.createDataFrame([(1, 0, "A", " A "), (1, 1, "B", "B"), (1, 2, "A", "A text"), (1, 3, None, "")], "doc int, section int, heading string, body string")
+    items = spark.createDataFrame([(1, "A"), (1, None)], "doc int, heading string")
+    assert sorted(r.section for r in chunking.without_bare_headings(sections, items, ["doc"]).collect()) == [1, 2, 3]
+    units = spark.createDataFrame([(1, True), (2, False), (3, None)], "u int, text_is_table boolean")
+    assert sorted(r.u for r in chunking.prose_units(units).collect()) == [2, 3]
+
+
 def test_row_groups_repeat_the_header(spark):
     lines = [f"row {k} | {'x' * (k % 40)}" for k in range(500)] + ["y" * 3000]
     out = chunking.row_groups(spark.createDataFrame([(1, "a | b", lines)], "k int, header string, lines array<string>"), "k", "header", "lines").orderBy("group").collect()
@@ -101,14 +124,14 @@ def test_row_groups_repeat_the_header(spark):
     assert [r[0] for r in spark.createDataFrame([("1 : a\n\n 2 : b ",), (None,)], "c string").select(chunking.cell_text(F.col("c"))).collect()] == ["1 : a; 2 : b", ""]
 
 
-def test_queue(spark):
-    now = datetime(2024, 1, 1, 12)
-    rows = [(1, "S", "RUNNING", 0, datetime(2024, 1, 1, 11), now), (2, "S", "RUNNING", 3, datetime(2024, 1, 1, 11), now), (3, "S", "RUNNING", 0, datetime(2024, 1, 1, 13), now), (4, "S", "PENDING", 1, None, now)]
-    jobs = spark.createDataFrame(rows, "job_id int, stage string, status string, retry_count int, lease_expires_at timestamp, scheduled_at timestamp")
-    got = {r.job_id: (r.status, r.retry_count) for r in lifecycle.reap(jobs, F.lit(now)).collect()}
-    assert got == {1: ("PENDING", 1), 2: ("FAILED", 3), 3: ("RUNNING", 0), 4: ("PENDING", 1)}
-    waits = [r[0] for r in spark.range(6).select(lifecycle.backoff_seconds(F.col("id"))).collect()]
-    assert waits == [5, 10, 20, 40, 60, 60]
+def test_top_of_each_and_stage_guards(spark):
+    rows = spark.createDataFrame([(k, "ab"[k % 2], k) for k in range(10)], "k int, g string, v int")
+    got = {(r.g, r.place): r.k for r in lifecycle.top_of_each(rows, "g", [F.col("v").desc()], 2).collect()}
+    assert got == {("a", 1): 8, ("a", 2): 6, ("b", 1): 9, ("b", 2): 7}
+    docs = spark.createDataFrame([(1, "VALIDATED"), (2, "CHUNKED"), (3, "EMBEDDING_FAILED"), (4, "EMBEDDING_FAILED"), (5, None)], "doc_id long, status string")
+    assert [r[0] for r in docs.orderBy("doc_id").select(lifecycle.stage_guard(F.col("status"))).collect()] == ["EXTRACT", "EMBED", None, None, None]
+    jobs = spark.createDataFrame([(4, "PENDING"), (3, "DONE")], "doc_id long, status string")
+    assert [tuple(r) for r in lifecycle.backfill_reset(docs, jobs, "EMBED").collect()] == [(3, "CHUNKED", "EMBED")]
 
 
 def test_validation_ladder(spark):
@@ -124,6 +147,54 @@ def test_dedup_and_escalation(spark):
     assert {r.canonical_id: (r.tier, r.escalated) for r in lifecycle.escalate_tiers(docs).collect()} == {1: ("RESTRICTED", True), 3: ("RESTRICTED", False), 5: (None, False)}
 
 
+def test_missing_digests_and_inactive_documents(spark):
+    rows = [(1, None, 1, "PUBLIC"), (2, None, 2, "RESTRICTED"), (3, "g", 1, "PUBLIC"), (4, "g", 2, "RESTRICTED")]
+    docs = spark.createDataFrame(rows, "doc_id int, sha256 string, created_at int, classification string")
+    assert {r.doc_id: (r.canonical_id, r.is_duplicate) for r in lifecycle.dedup_canonical(docs).collect()} == {1: (1, False), 2: (2, False), 3: (3, False), 4: (3, True)}
+    assert {r.canonical_id: (r.copies, r.tier, r.escalated) for r in lifecycle.escalate_tiers(docs).collect()} == {1: (1, "PUBLIC", False), 2: (1, "RESTRICTED", False), 3: (2, "RESTRICTED", True)}
+    status = docs.withColumn("status", F.when(F.col("doc_id") == 3, "SUPERSEDED").otherwise("LIVE"))
+    assert {r.doc_id: (r.canonical_id, r.is_duplicate) for r in lifecycle.dedup_canonical(status).collect()} == {1: (1, False), 2: (2, False), 3: (4, False), 4: (4, False)}
+    assert {r.canonical_id: (r.tier, r.escalated) for r in lifecycle.escalate_tiers(status).where("sha256 = 'g'").collect()} == {4: ("RESTRICTED", False)}
+    none = status.where("doc_id = 3")
+    assert [(r.canonical_id, r.is_duplicate) for r in lifecycle.dedup_canonical(none).collect()] == [(None, False)] and lifecycle.escalate_tiers(none).count() == 0
+
+
+def test_eval_candidates_are_live_prose(spark):
+    text = "plain words of prose " * 20
+    rows = [(1, text, "LIVE", None, False), (2, text, "DUPLICATE", None, False), (3, text, "LIVE", 1, False), (4, text, "LIVE", None, True), (5, "short", "LIVE", None, False), (6, "1 2 3 " * 80, "LIVE", None, False), (7, text, "LIVE", None, None)]
+    docs = spark.createDataFrame([(*r, "g") for r in rows], "doc_id long, text string, status string, deleted_at int, is_table boolean, g string")
+    assert sorted(r.doc_id for r in evals.candidates(docs, 9, "g").collect()) == [1, 7]
+
+
+def test_tiers_go_round_cycles_once(spark):
+    folders = spark.createDataFrame([("b", "a"), ("c", "b"), ("a", "c"), ("d", "c"), (None, "a"), ("e", None)], "folder string, parent string")
+    roots = spark.createDataFrame([("a", "PUBLIC"), ("c", "RESTRICTED"), (None, "RESTRICTED")], "folder string, tier string")
+    assert {r.folder: r.tier for r in sync.folder_tiers(folders, roots).collect()} == dict.fromkeys("abcd", "RESTRICTED")
+    roots = spark.createDataFrame([("a", "PUBLIC")], "folder string, tier string")
+    assert {r.folder: r.tier for r in sync.folder_tiers(folders, roots, 2).collect()} == dict.fromkeys("abc", "PUBLIC")
+
+
+def test_substring_search(spark):
+    rows = [(1, "Coal Plants", "A", "the emission norms for thermal plants apply"), (2, None, "Bx", "norms"), (3, "x", "C", None)]
+    docs = spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, title string, owner_id string, text string, created_at int")
+    asked = spark.createDataFrame([(1, "EMISSION norms for"), (2, "n"), (3, "coal pl"), (4, "sion norms for ther"), (5, " "), (6, "norms of for"), (7, "bX"), (8, None)], "question_id long, question string")
+    assert sorted((r.question_id, r.doc_id) for r in retrieval.search_metadata(docs, asked).collect()) == [(1, 1), (2, 1), (2, 2), (3, 1), (4, 1), (7, 2)]
+
+
+def test_passages_are_searched_under_permissions(spark):
+    import uuid
+
+    rows = [(k, f"Norms {k} " + f"emission limits of plant number{k} stand here. " * 60, f"Norms {k}", "AB"[k % 2], "RESTRICTED" if k % 2 else "PUBLIC", None) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, title string, owner_id string, classification string, deleted_at timestamp")
+    passages = chunking.passages_of(docs)
+    assert passages.groupBy("doc_id").count().where("count > 1").count() == 6
+    asked = spark.createDataFrame([(1, "limits number3 plant", "A", False), (2, "limits number3 plant", "B", False)], "question_id long, question string, viewer_id string, is_admin boolean")
+    from tidewell.sources.shared import shared_folder
+
+    found = retrieval.search_passages(asked, passages, f"{shared_folder(spark)}/p-{uuid.uuid4().hex}", 3).collect()
+    assert {r.doc_id for r in found if r.question_id == 1} <= {0, 2, 4} and [r.doc_id for r in found if (r.question_id, r.place) == (2, 1)] == [3]
+
+
 def test_sync_decisions(spark):
     known = spark.createDataFrame([("same", "m", "t", "IMPORTED", "PUBLIC"), ("edit", "m", "t", "IMPORTED", "RESTRICTED"), ("gone", "m", "t", "IMPORTED", "PUBLIC"), ("back", "m", "t", "REMOVED", "PUBLIC"), ("moved", "m", "t", "IMPORTED", "PUBLIC"), ("time", None, "t", "IMPORTED", "PUBLIC")], "file_id string, md5 string, modified string, state string, tier string")
     now = spark.createDataFrame([("same", "m", "t2", "PUBLIC", 1, None), ("edit", "n", "t", "RESTRICTED", 1, None), ("back", "m", "t", "PUBLIC", 1, None), ("moved", "m", "t", "RESTRICTED", 1, None), ("time", None, "t2", "PUBLIC", 1, None), ("new", "m", "t", "PUBLIC", 1, None), ("form", "m", "t", "PUBLIC", 1, "a form"), ("big", "m", "t", "PUBLIC", 2 * 10**8, None)], "file_id string, md5 string, modified string, tier string, size long, reason string")

@@ -77,6 +77,11 @@ def test_prose_ratio_and_language(spark):
     assert apply(spark, ["0.1", "0.15"], lambda c: tx.effective_language(c.cast("double"), F.lit("hi"))) == ["en", "hi"]
 
 
+def test_detected_language_needs_forty_characters(spark):
+    assert apply(spark, ["x" * 39, "x" * 40, None, " " * 60], lambda c: tx.detected_language(c, F.lit("en"))) == [None, "en", None, None]
+    assert column(spark, [["a-\nb", " \x07 ", "c"]], "array<string>").select(tx.clean_all(F.col("c"))).first()[0] == ["ab", "c"]
+
+
 def test_lexical_questions(spark):
     cases = {
         "What is the deadline for Category A plants?": "deadline Category A plants", "S.O. 3305 (E) of 2015": "S.O. 3305 (E) 2015", "the plan": "the plan", "": "", "Please list thermal stations.": "thermal stations",

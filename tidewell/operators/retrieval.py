@@ -120,13 +120,14 @@ def question_terms(asked: DataFrame) -> DataFrame:
     return asked.select("question_id", F.explode(F.array_distinct(terms(lexical_question(F.col("question"))))).alias("term"))
 
 
-def weigh(wanted: DataFrame, tf: DataFrame, figures: DataFrame) -> DataFrame:
+def weigh(wanted: DataFrame, tf: DataFrame, figures: DataFrame, may: Column | None = None) -> DataFrame:
     """(question_id, doc_id, score) from postings tf(field, term, doc_id, tf, dl) of the wanted terms and figures(field, n, mean), one row a field."""
     df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("mean")))
     rows = tf.join(df, ["field", "term"]).join(F.broadcast(figures), "field").select("term", "doc_id", (idf * weight).alias("s"))
-    return wanted.join(rows, "term").groupBy("question_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score"))
+    met = wanted.join(rows, "term")
+    return (met if may is None else met.where(may)).groupBy("question_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score"))
 
 
 def bm25(asked: DataFrame, docs: DataFrame, fields: tuple = FIELDS) -> DataFrame:
@@ -159,13 +160,16 @@ def term_bucket(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
 
 
-def bm25_indexed(asked: DataFrame, path: str) -> DataFrame:
-    """bm25() from a written index: the join on (bucket, term) prunes the partitions that hold no question term."""
+def bm25_indexed(asked: DataFrame, path: str, wanted: DataFrame | None = None, may: Column | None = None) -> DataFrame:
+    """bm25() from a written index: the join on (bucket, term) prunes the partitions that hold no question term.
+
+    may: which (question, document) pairs count, by columns of wanted and of the documents' key.
+    """
     spark = asked.sparkSession
-    wanted = question_terms(asked)
+    wanted = question_terms(asked) if wanted is None else wanted
     keys = wanted.select("term").distinct().withColumn("bucket", term_bucket(F.col("term")))
     tf = spark.read.parquet(f"{path}/postings").join(small_side(keys), ["bucket", "term"], "left_semi")
-    return weigh(wanted, tf, spark.read.parquet(f"{path}/figures"))
+    return weigh(wanted, tf, spark.read.parquet(f"{path}/figures"), may)
 
 
 def lexical_arm(asked: DataFrame, docs: DataFrame, pool: int, scope: DataFrame | None = None, index: str | None = None) -> DataFrame:
@@ -178,6 +182,20 @@ def lexical_arm(asked: DataFrame, docs: DataFrame, pool: int, scope: DataFrame |
     return top(rows.select("question_id", "doc_id", F.col("score").alias("lexical_score")), "question_id", [F.col("lexical_score").desc(), F.col("doc_id")], pool, "lexical_rank")
 
 
+def search_passages(asked: DataFrame, passages: DataFrame, path: str, limit: int, fields: tuple = ("text", "heading", "title")) -> DataFrame:
+    """(question_id, doc_id, chunk_index, score, place): the best passages for each question from an index written at path.
+
+    Postings carry the permission columns, so what a viewer may not see leaves before scores are summed; corpus figures
+    cover all passages.
+    """
+    key = F.struct("doc_id", "chunk_index", "owner_id", "classification", "deleted_at")
+    write_index(passages.select(key.alias("doc_id"), *fields), path, fields)
+    wanted = question_terms(asked).join(asked.select("question_id", "viewer_id", "is_admin"), "question_id")
+    may = F.col("doc_id.deleted_at").isNull() & visible(F.col("doc_id.classification"), F.col("doc_id.owner_id"), F.col("viewer_id"), F.col("is_admin"))
+    found = bm25_indexed(asked, path, wanted, may).select("question_id", "doc_id.doc_id", "doc_id.chunk_index", "score")
+    return top(found, "question_id", [F.col("score").desc(), F.col("doc_id"), F.col("chunk_index")], limit, "place")
+
+
 def reciprocal(rank: Column) -> Column:
     return F.coalesce(1.0 / (RRF_K + rank), F.lit(0.0))
 
@@ -258,15 +276,29 @@ def token_usage(found: DataFrame, docs: DataFrame, window: int = 512) -> DataFra
     )
 
 
-def search_metadata(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """(question_id, doc_id, created_at): documents whose title or owner holds a question's first word as a substring.
+#: Characters of the pieces that a search for less than three words meets on.
+GRAM = 12
+
 
-    A substring is no key, so each document is compared with the words of one bounded block of questions at a time.
+def search_metadata(docs: DataFrame, asked: DataFrame, fields: tuple = ("title", "owner_id", "text")) -> DataFrame:
+    """(question_id, doc_id, created_at): documents that hold a question as a substring of one of the fields, in any case.
+
+    A document that holds three words or more holds the inner ones whole, so questions meet documents on their longest
+    inner word; shorter ones on their first GRAM characters (or all; such lengths are a few numbers). Both are
+    equal-key joins, and only keys that a question asks for leave the scan. What meets is held against the whole
+    question. Blank questions find nothing.
     """
-    hay = docs.select("doc_id", "created_at", F.lower(F.concat_ws(" ", "title", "owner_id")).alias("hay"))
-    out = None
-    for block in question_blocks(asked):
-        first = block.select("question_id", F.lower(F.element_at(F.split("question", " "), 1)).alias("term")).where("term <> ''")
-        part = hay.join(F.broadcast(first), F.contains(F.col("hay"), F.col("term"))).select("question_id", "doc_id", "created_at")
-        out = part if out is None else out.unionByName(part)
-    return out
+    words = F.split("needle", " ")
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = F.array_max(F.transform(F.filter(inner, lambda w: w != ""), lambda w: F.struct(F.length(w), w.alias("word"))))["word"]
+    needles = asked.select("question_id", F.lower("question").alias("needle")).where(F.trim("needle") != "")
+    needles = needles.withColumn("word", longest).withColumn("g", F.when(F.col("word").isNull(), F.least(F.length("needle"), F.lit(GRAM))))
+    needles = stored(needles.withColumn("key", F.coalesce("word", F.substring("needle", F.lit(1), F.coalesce("g", F.lit(1))))).drop("word"), "needles")
+    hay = docs.select("doc_id", "created_at", F.lower(F.concat_ws("\x01", *(F.col(f) for f in fields))).alias("hay"))
+    found = docs.sparkSession.createDataFrame([], "question_id long, doc_id long, needle string")
+    for g in [r.g for r in needles.select("g").distinct().collect()]:
+        mine = needles.where(F.col("g").eqNullSafe(F.lit(g)))
+        keys = F.split("hay", "[ \x01]") if g is None else F.regexp_extract_all("hay", F.lit(rf"(?s)(?=(.{{{g}}}))"), F.lit(1))
+        met = hay.select("doc_id", F.explode_outer(F.array_distinct(keys)).alias("key")).join(small_side(mine.select("key").distinct()), "key", "left_semi")
+        found = found.unionByName(met.join(mine.select("question_id", "key", "needle"), "key").select("question_id", "doc_id", "needle"))
+    return found.join(hay, "doc_id").where(F.contains("hay", F.col("needle"))).select("question_id", "doc_id", "created_at")

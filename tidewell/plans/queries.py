@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 from tidewell.functions import identifiers
 from tidewell.functions import text as tx
 from tidewell.operators import access, ann, answers, chunking, evals, grids, layout, lifecycle, records, redaction, retrieval, sync
+from tidewell.plans import catalogue
 from tidewell.sources.files import html_units
 from tidewell.sources.shared import shared_folder
 from tidewell.sources.tables import governed_documents, questions, table
 from tidewell.streaming import ingest
 
-QUERIES: dict = {}
+QUERIES: dict = dict(catalogue.QUERIES)
 
 
 def query(f):
@@ -57,9 +58,7 @@ def document_page_with_total(spark, sf_dir):
 
 @query
 def restorable_documents(spark, sf_dir):
-    """Over the governed view, whose documents are all live ones without erasure, as in the SQL twin."""
-    docs = governed_documents(spark, sf_dir).withColumns({"status": F.lit("LIVE"), "purged_at": F.lit(None).cast("timestamp")})
-    mine = lifecycle.restorable(docs, F.lit("src3"), F.lit(False))
+    mine = lifecycle.restorable(_records(spark, sf_dir), F.lit("src3"), F.lit(False))
     return mine.orderBy(F.col("deleted_at").desc(), "doc_id").limit(50).select("doc_id", "owner_id")
 
 
@@ -168,7 +167,7 @@ def token_usage_rollup(spark, sf_dir):
 
 @query
 def document_metadata_search(spark, sf_dir):
-    """For each question, how many titles hold its first word, and the newest of them."""
+    """For each question, how many documents hold it in title, owner or text, and the newest of them."""
     found = retrieval.search_metadata(governed_documents(spark, sf_dir), questions(spark, sf_dir))
     return found.groupBy("question_id").agg(F.count("*").alias("hits"), F.max(F.struct("created_at", "doc_id"))["doc_id"].alias("newest"))
 
@@ -181,7 +180,7 @@ def lexical_trim(spark, sf_dir):
 
 @query
 def eval_hit_at_k(spark, sf_dir):
-    """Hit rates of lexical search where a benchmark item should find the documents that hold its passage."""
+    """Hit rates of lexical search where a benchmark item should find the documents that hold a run of its terms."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
     docs = governed_documents(spark, sf_dir)
     expected = evals.holders_of(docs.where("deleted_at is null"), items)
@@ -198,7 +197,8 @@ def eval_question_templates(spark, sf_dir):
 @query
 def eval_candidates(spark, sf_dir):
     """Up to three passages of each source for an evaluation set (a sampling operator)."""
-    return evals.candidates(table(spark, sf_dir, "documents"), 3, "source").select("source", "doc_id", "place")
+    docs = _records(spark, sf_dir).withColumn("is_table", F.col("doc_id") % 13 == 0)
+    return evals.candidates(docs, 3, "owner_id").select("owner_id", "doc_id", "place")
 
 
 # ---------------------------------------------------------------- text
@@ -398,12 +398,12 @@ def followup_expand(spark, sf_dir):
 
 @query
 def dedup_canonical(spark, sf_dir):
-    return lifecycle.dedup_canonical(governed_documents(spark, sf_dir)).select("doc_id", "canonical_id", "is_duplicate")
+    return lifecycle.dedup_canonical(_records(spark, sf_dir)).select("doc_id", "canonical_id", "is_duplicate")
 
 
 @query
 def tier_escalation(spark, sf_dir):
-    return lifecycle.escalate_tiers(governed_documents(spark, sf_dir)).where("copies > 1").select("canonical_id", "copies", "tier", "escalated")
+    return lifecycle.escalate_tiers(_records(spark, sf_dir)).where("copies > 1").select("canonical_id", "copies", "tier", "escalated")
 
 
 @query
@@ -419,21 +419,10 @@ def _jobs(spark, sf_dir) -> DataFrame:
 
 
 @query
-def queue_claim(spark, sf_dir):
-    return lifecycle.claim(_jobs(spark, sf_dir), 3).select("stage", "job_id", "place")
-
-
-@query
-def queue_reap(spark, sf_dir):
-    """The queue by state after a sweep at the median lease."""
-    jobs = _jobs(spark, sf_dir)
-    after = lifecycle.reap(jobs, F.lit("2024-01-15 00:00:00").cast("timestamp"))
-    return after.groupBy("stage", "status", "retry_count").agg(F.count("*").alias("n"), F.count("lease_expires_at").alias("leased"), F.max("scheduled_at").alias("latest"))
-
-
-@query
-def retry_backoff(spark, sf_dir):
-    return lifecycle.retry_or_fail(_jobs(spark, sf_dir).where("status = 'FAILED'")).groupBy("status", "retry_count", "wait_seconds").agg(F.count("*").alias("n"))
+def orders_by_priority(spark, sf_dir):
+    """The three largest open orders of each priority."""
+    rows = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'")
+    return lifecycle.top_of_each(rows, "o_orderpriority", [F.col("o_totalprice").desc(), F.col("o_orderdate"), F.col("o_orderkey")], 3).select("o_orderpriority", "o_orderkey", "place")
 
 
 @query
@@ -570,10 +559,9 @@ def document_status(spark, sf_dir):
 
 @query
 def document_search_ranked(spark, sf_dir):
-    """Documents that hold the first two terms of a question, ranked by where they stand."""
+    """Documents that hold every term of a question, ranked by where they stand."""
     docs = governed_documents(spark, sf_dir).where("deleted_at is null").select("doc_id", "title", F.col("owner_id").alias("filename"), F.col("text").alias("description"))
-    asked = questions(spark, sf_dir).select("question_id", F.array_join(F.slice(tx.terms(F.col("question")), 1, 2), " ").alias("question"))
-    return records.search_documents(docs, asked)
+    return records.search_documents(docs, questions(spark, sf_dir).select("question_id", "question"))
 
 
 @query
@@ -618,18 +606,22 @@ def vector_index_recall(spark, sf_dir):
 
 
 @query
-def stream_lease_sessions(spark, sf_dir):
-    """Leases of users that each of their events renews for 30 minutes, by session windows on a stream."""
-    events = ingest.read_events(spark, sf_dir, "events.parquet").select("user_id", "ts")
-    return spark.read.parquet(ingest.run_to_end(ingest.lease_sessions(events), shared_folder(spark)))
+def stream_user_sessions(spark, sf_dir):
+    """Sessions of users, ended by 30 minutes without an event, on a stream; those still open at its end are told too."""
+    source = ingest.read_events(spark, sf_dir, "events.parquet").select("user_id", "ts")
+    done = spark.read.parquet(ingest.run_to_end(ingest.sessions(source), shared_folder(spark)))
+    rows = ingest.batch_events(spark, sf_dir, "events.parquet").select("user_id", "ts")
+    return done.unionByName(ingest.still_open(ingest.sessions(rows), rows, "ended", "1 hour"))
 
 
 @query
 def stream_windowed_counts(spark, sf_dir):
-    """Hourly counts by type on a stream, each told once its window is closed."""
-    events = ingest.read_events(spark, sf_dir, "events.parquet")
-    out = spark.read.parquet(ingest.run_to_end(ingest.windowed_counts(events), shared_folder(spark)))
-    return out.select("window_start", "event_type", "n")
+    """Hourly counts by type on a stream, each told once its window is closed; those still open at its end are told too."""
+    source = ingest.read_events(spark, sf_dir, "events.parquet")
+    done = spark.read.parquet(ingest.run_to_end(ingest.windowed_counts(source), shared_folder(spark)))
+    rows = ingest.batch_events(spark, sf_dir, "events.parquet")
+    open_ = ingest.still_open(ingest.windowed_counts(rows), rows, "window_end", "2 hours")
+    return done.unionByName(open_).select("window_start", "event_type", "n")
 
 
 @query

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from tidewell.functions.text import LEXICAL_STOPWORDS, UNINFORMATIVE
 from tidewell.operators.evals import TEMPLATES
+from tidewell.plans import catalogue
 
 _GOV = """
 lab as (select doc_id, max(toxic) toxic from labels group by doc_id),
@@ -25,9 +26,9 @@ def _quoted(words: list[str]) -> str:
 _TERMS = "list_filter(regexp_split_to_array(lower(coalesce({c}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda t: t <> '')"
 _EDGE = r"regexp_replace(regexp_replace({t}, '^[^\p{{L}}\p{{N}}_(]+', ''), '[^\p{{L}}\p{{N}}_).]+$', '')"
 
-#: Questions: the first twelve words of each item; edges and function words go before terms are taken.
+#: Questions: the words of each item; edges and function words go before terms are taken.
 _ASK = rf"""
-q0 as (select item_id question_id, array_to_string(list_slice(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda t: t <> ''), 1, 12), ' ') question,
+q0 as (select item_id question_id, array_to_string(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda t: t <> ''), ' ') question,
   'src' || (item_id % 20) viewer_id, item_id % 10 = 0 is_admin from benchmark),
 ask as (select q0.*, e.embedding v from q0 join embeddings e on e.vec_id = question_id),
 kept as (select question_id, question, list_filter(list_transform(list_filter(regexp_split_to_array(question, '\s+'), lambda t: t <> ''),
@@ -117,7 +118,7 @@ ORACLE_SQL: dict[str, str] = {
     "visible_documents_anon": f"with {_GOV} select doc_id, owner_id, classification from gov where not deleted and classification is distinct from 'RESTRICTED'",
     "visible_documents_admin": f"with {_GOV} select doc_id, owner_id, classification from gov where not deleted",
     "document_page_with_total": f"with {_GOV}, seen as (select doc_id, owner_id from gov where not deleted and (classification is distinct from 'RESTRICTED' or owner_id = 'src3')) select doc_id, owner_id, (select count(*) from seen) total from seen order by doc_id desc limit 20 offset 20",
-    "restorable_documents": f"with {_GOV} select doc_id, owner_id from gov where deleted and owner_id = 'src3' order by doc_id desc limit 50",
+    "restorable_documents": f"with {_GOV} select doc_id, owner_id from gov where deleted and doc_id % 34 <> 0 and doc_id % 6 <> 0 and doc_id % 11 <> 0 and owner_id = 'src3' order by doc_id desc limit 50",
     "semantic_topk": f"with {_GOV},{_ASK},{_semantic(10)} select question_id, doc_id, round(similarity, 6) similarity, semantic_rank from sem",
     "bm25_postings": f"select term, count(*) df, cast(sum(tf) as bigint) cf, max(tf) max_tf from (select doc_id, term, count(*) tf from (select doc_id, unnest({_TERMS.format(c='text')}) term from documents) group by all) group by term",
     "bm25_topk": f"with {_GOV},{_ASK},{_lexical(10)} select question_id, doc_id, round(lexical_score, 6) lexical_score, lexical_rank from lex",
@@ -134,14 +135,15 @@ select {_TOLD}, rerank_score, cast(row_number() over (partition by question_id o
     "grounding_gate": f"{_HYBRID}{_GATE} select * from gate",
     "grounded_results": f"{_HYBRID}{_GATE} select {_TOLD}, fusion_rank from fused where question_id in (select question_id from gate where grounded)",
     "token_usage_rollup": f"{_HYBRID} select question_id, cast(sum(least(n, 512)) as bigint) context_tokens, count(*) filter (n > 512) truncated_results, cast(sum(greatest(n - 512, 0)) as bigint) truncated_tokens, count(semantic_rank) semantic_hits, count(lexical_rank) lexical_hits from (select fused.*, greatest(1, length(text) // 4) n from fused join gov using (doc_id)) group by question_id",
-    "document_metadata_search": f"with {_GOV},{_ASK} select question_id, count(*) hits, max(doc_id) newest from q0 join gov on contains(lower(concat_ws(' ', title, owner_id)), lower(split_part(question, ' ', 1))) where split_part(question, ' ', 1) <> '' group by question_id",
-    "eval_hit_at_k": f"""with {_GOV}, keys as (select item_id question_id, array_to_string(list_slice({_TERMS.format(c="text")}, 1, 8), ' ') run from benchmark where len({_TERMS.format(c="text")}) >= 8),
-runs as (select doc_id, array_to_string(list_slice(ts, i, i + 7), ' ') run from (select doc_id, {_TERMS.format(c="text")} ts from gov where not deleted), lateral (select unnest(range(1, len(ts) - 6)) i)),
-want_docs as (select distinct question_id, doc_id from runs join keys using (run)),{_ASK},{_lexical(10, everyone=True)},
+    "document_metadata_search": f"with {_GOV},{_ASK} select question_id, count(*) hits, max(doc_id) newest from q0 join gov on contains(lower(concat_ws(chr(1), title, owner_id, text)), lower(question)) where question <> '' group by question_id",
+    "eval_hit_at_k": f"""with {_GOV}, it as (select item_id question_id, {_TERMS.format(c="text")} ts, least(8, len(ts)) k from benchmark where len({_TERMS.format(c="text")}) > 0),
+keys as (select distinct question_id, k, array_to_string(list_slice(ts, i, i + k - 1), ' ') run from it, lateral (select unnest(range(1, len(ts) - k + 2)) i)),
+runs as (select doc_id, n, array_to_string(list_slice(ts, i, i + n - 1), ' ') run from (select doc_id, {_TERMS.format(c="text")} ts from gov where not deleted), (select distinct k n from keys), lateral (select unnest(range(1, len(ts) - n + 2)) i)),
+want_docs as (select distinct question_id, doc_id from runs join keys on runs.run = keys.run and n = k),{_ASK},{_lexical(10, everyone=True)},
 r as (select question_id, min(lexical_rank) k from (select distinct question_id from want_docs) left join (lex join want_docs using (question_id, doc_id)) using (question_id) group by 1)
 select count(*) n, round(avg(case when k = 1 then 1.0 else 0.0 end), 6) hit_at_1, round(avg(case when k <= 5 then 1.0 else 0.0 end), 6) hit_at_5, round(avg(case when k is not null then 1.0 else 0.0 end), 6) hit_at_k, round(avg(coalesce(1.0 / k, 0.0)), 6) mrr from r""",
-    "eval_candidates": r"""select source, doc_id, cast(row_number() over (partition by source order by md5('20261002:' || doc_id), doc_id) as int) place from documents
-where length(text) between 320 and 2400 and coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda t: length(t) >= 3 and not regexp_matches(t, '\p{Nd}')), lambda t: length(t))), 0) / length(text) >= 0.45 qualify place <= 3""",
+    "eval_candidates": r"""select source owner_id, doc_id, cast(row_number() over (partition by source order by md5('20261002:' || doc_id), doc_id) as int) place from documents
+where doc_id % 17 <> 0 and doc_id % 6 <> 0 and doc_id % 11 <> 0 and doc_id % 13 <> 0 and length(text) between 320 and 2400 and coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda t: length(t) >= 3 and not regexp_matches(t, '\p{Nd}')), lambda t: length(t))), 0) / length(text) >= 0.45 qualify place <= 3""",
     "quality_gate": "select source, case when length(coalesce(text, '')) = 0 then 'EMPTY_TEXT' when length(text) < 50 then 'LOW_TEXT_DENSITY' else '' end failures, count(*) n from documents group by all",
     "prose_ratio": r"select doc_id, round(case when length(coalesce(text, '')) = 0 then 0 else coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda t: length(t) >= 3 and not regexp_matches(t, '\p{Nd}')), lambda t: length(t))), 0) / length(text) end, 6) ratio from documents",
     "effective_language": r"with r as (select lang, case when length(coalesce(text, '')) = 0 then 0 else coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda t: length(t) >= 3 and not regexp_matches(t, '\p{Nd}')), lambda t: length(t))), 0) / length(text) end ratio from documents), e as (select lang, case when ratio < 0.15 then 'en' else lang end effective from r) select lang, effective, count(*) n, count(*) filter (effective <> 'en') skipped from e group by all",
@@ -175,15 +177,16 @@ f as (select *, coalesce(before, '') <> '' and question <> '' and (len(regexp_sp
   or regexp_matches(low, '^(what about|and what|and the|what of|how about|and how|is it|are they|are these|does it|do they|did it|was it|why is|why are|why did|when is|when did|who is|who are|and|but|also|then|so) ')
   or (len(regexp_split_to_array(low, '\s+')) < 8 and regexp_matches(low, '\b(it|its|they|them|their|this|that|these|those|the same|above|there)\b'))) expanded from b)
 select conv_id, turn, expanded, md5(case when expanded then before || ' ' || question else question end) digest from f""",
-    "dedup_canonical": "select doc_id, min(doc_id) over (partition by text) canonical_id, doc_id <> min(doc_id) over (partition by text) is_duplicate from documents",
-    "tier_escalation": f"""with {_GOV}, g as (select min(doc_id) canonical_id, count(*) copies, bool_or(classification = 'RESTRICTED') r, bool_or(classification = 'PUBLIC') p, arg_min(coalesce(classification, '-'), doc_id) was from gov group by text)
-select canonical_id, copies, case when r then 'RESTRICTED' when p then 'PUBLIC' end tier, coalesce(case when r then 'RESTRICTED' when p then 'PUBLIC' end, '-') <> was escalated from g where copies > 1""",
+    "dedup_canonical": "with d as (select doc_id, text, doc_id % 6 <> 0 and doc_id % 11 <> 0 live from documents), c as (select *, min(doc_id) filter (live) over (partition by text) \"first\" from d) select doc_id, case when text is null then doc_id else \"first\" end canonical_id, coalesce(live and text is not null and doc_id <> \"first\", false) is_duplicate from c",
+    "tier_escalation": f"""with {_GOV}, l as (select *, doc_id % 6 <> 0 and doc_id % 11 <> 0 live from gov where text is not null),
+g as (select min(doc_id) filter (live) canonical_id, count(*) copies, bool_or(classification = 'RESTRICTED') r, bool_or(classification = 'PUBLIC') p, arg_min(coalesce(classification, '-'), doc_id) filter (live) was from l group by text)
+select canonical_id, copies, case when r then 'RESTRICTED' when p then 'PUBLIC' end tier, coalesce(case when r then 'RESTRICTED' when p then 'PUBLIC' end, '-') <> was escalated from g where copies > 1 and canonical_id is not null""",
     "version_chain": "select o_custkey, o_orderkey, cast(row_number() over w as int) as version, lag(o_orderkey) over w as supersedes, case when lead(o_orderkey) over w is null then 'LIVE' else 'SUPERSEDED' end as status from orders window w as (partition by o_custkey order by o_orderdate, o_orderkey)",
-    "queue_claim": f"with {_JOBS} select stage, job_id, cast(row_number() over (partition by stage order by priority desc, scheduled_at, job_id) as int) place from jobs where status = 'PENDING' qualify place <= 3",
-    "queue_reap": f"""with {_JOBS}, t as (select timestamp '2024-01-15 00:00:00' now), j as (select *, status = 'RUNNING' and lease_expires_at < now late, retry_count >= 3 spent from jobs, t)
-select stage, s status, r retry_count, count(*) n, count(l) leased, max(sch) latest from (select stage, case when late and spent then 'FAILED' when late then 'PENDING' else status end s, retry_count + case when late and not spent then 1 else 0 end r,
- case when late and not spent then now + interval 5 seconds else scheduled_at end sch, case when not coalesce(late, false) then lease_expires_at end l from j) group by all""",
-    "retry_backoff": f"with {_JOBS} select case when retry_count < 3 then 'PENDING' else 'FAILED' end status, retry_count + case when retry_count < 3 then 1 else 0 end retry_count, case when retry_count < 3 then cast(least(60, 5 * 2 ** retry_count) as int) end wait_seconds, count(*) n from jobs where status = 'FAILED' group by all",
+    "orders_by_priority": "select o_orderpriority, o_orderkey, cast(row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderdate, o_orderkey) as int) place from orders where o_orderstatus = 'O' qualify place <= 3",
+    "stream_user_sessions": """with e as (select user_id, ts, ts >= lag(ts) over w + interval 30 minutes as gap from events window w as (partition by user_id order by ts)),
+s as (select *, sum(case when coalesce(gap, true) then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) k from e)
+select user_id, min(ts) began, max(ts) + interval 30 minutes ended, count(*) events from s group by user_id, k""",
+    "stream_windowed_counts": "select date_trunc('hour', ts) window_start, event_type, count(*) n from events group by all",
     "audit_latest": "select user_id, event_id, event_type from events qualify row_number() over (partition by user_id order by ts desc, event_id desc) = 1",
     "audit_first_occurrence": "select user_id, event_type, event_id from events qualify event_type = 'click' or row_number() over (partition by user_id, event_type order by ts, event_id) = 1",
     "backfill_candidates": f"with {_JOBS} select doc_id from documents where doc_id % 17 <> 0 and not exists (select 1 from jobs where jobs.doc_id = documents.doc_id and stage = 'purchase' and status in ('PENDING', 'RUNNING'))",
@@ -211,16 +214,12 @@ select case when status = 'PENDING' and doc_id in (select doc_id from going) the
     "document_status": f"""with {_GOV}, d as (select *, case when doc_id % 6 = 0 then 'DUPLICATE' when doc_id % 11 = 0 then 'SUPERSEDED' else 'LIVE' end status from gov),
 e as (select event_id % 1500 doc_id, event_type, event_id from events qualify row_number() over (partition by event_id % 1500 order by ts desc, event_id desc) = 1), a as (select sha256, min(doc_id) active_id from d where status = 'LIVE' group by sha256)
 select doc_id, status, event_type last_event, event_id, case when status = 'DUPLICATE' then active_id end duplicate_of from d left join e using (doc_id) left join a using (sha256)""",
-    "document_search_ranked": f"""with {_GOV},{_ASK}, w as (select question_id, list_distinct(list_slice({_TERMS.format(c="question")}, 1, 2)) ts from q0), t as (select question_id, len(ts) n, unnest(ts) term from w),
+    "document_search_ranked": f"""with {_GOV},{_ASK}, w as (select question_id, list_distinct({_TERMS.format(c="question")}) ts from q0), t as (select question_id, len(ts) n, unnest(ts) term from w),
 h as (select doc_id, term, sum(wt) wt from (select distinct doc_id, 1.0 wt, 1 f, unnest({_TERMS.format(c="title")}) term from gov where not deleted union all select distinct doc_id, 0.4, 2, unnest({_TERMS.format(c="owner_id")}) from gov where not deleted union all select distinct doc_id, 0.2, 3, unnest({_TERMS.format(c="text")}) from gov where not deleted) where term in (select term from t) group by all)
 select question_id, doc_id, round(cast(sum(wt) as double), 6) "rank" from t join h using (term) group by question_id, doc_id, n having count(*) = n""",
     "language_flips": r"""with r as (select lang, case when length(coalesce(text, '')) = 0 then 0 else coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda t: length(t) >= 3 and not regexp_matches(t, '\p{Nd}')), lambda t: length(t))), 0) / length(text) end x from documents)
 select x < 0.15 or lang = 'en' "before", x < 0.7 or lang = 'en' "after", count(*) n from r group by all""",
     "eval_question_templates": _template_sql(),
-    "stream_lease_sessions": """with e as (select user_id, ts, ts > lag(ts) over w + interval 30 minutes as gap from events window w as (partition by user_id order by ts)),
-s as (select *, sum(case when coalesce(gap, true) then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) k from e),
-g as (select user_id, min(ts) began, max(ts) + interval 30 minutes expired, count(*) renewals from s group by user_id, k) select * from g where expired <= (select max(ts) - interval 1 hour from events)""",
-    "stream_windowed_counts": "select date_trunc('hour', ts) window_start, event_type, count(*) n from events group by all having date_trunc('hour', min(ts)) + interval 1 hour <= (select max(ts) - interval 2 hours from events)",
     "stream_first_seen": "select event_type, count(*) n, count(distinct event_id) events from events group by event_type",
     "lexical_trim": rf"""with u as (select conv_id, turn, text from conversations where role = 'user'),
 k as (select *, list_filter(list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda t: t <> ''),
@@ -236,3 +235,5 @@ b as (select doc_id, regexp_replace(regexp_replace(t, '\r\n?', chr(10), 'g'), '(
 c as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '([\p{L}\p{N}_])-\n([a-z])', '\1\2', 'g'), '[ \t]{2,}', ' ', 'g'), '(?m)[ \t]+$', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g') t from b),
 d as (select doc_id, trim(t, e' \t\n\r') t from c) select doc_id, cast(length(t) as int) chars, md5(t) digest from d""",
 }
+ORACLE_SQL["questions_of_documents"] = f"select doc_id, count(*) questions from ({ORACLE_SQL['eval_question_templates']}) group by doc_id"
+ORACLE_SQL |= catalogue.ORACLE_SQL
