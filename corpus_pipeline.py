@@ -23,7 +23,11 @@ def _beside(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier scores at its threshold or above; it is trained on the labelled rows of sf_dir."""
+    """Documents that the classifier scores at its threshold or above; it is trained on the labelled rows of sf_dir.
+
+    Null and empty texts get the score of the bias; repeated rows are scored each; without labels every document stays;
+    an empty table gives an empty table.
+    """
     weights = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.score_texts(_beside(docs), weights).where(F.col("score") >= quality.THRESHOLD).select("doc.*")
 
@@ -41,13 +45,20 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages, or with fewer than one word in twenty inside them."""
+    """Documents without benchmark passages, or with fewer than one word in twenty inside them.
+
+    Null and empty texts and texts without words stay; repeated rows are judged each; an empty benchmark drops nothing.
+    """
     found = decontaminate.match_items(_beside(docs), table(spark, sf_dir, "benchmark"))
     return found.where(~decontaminate.contaminated(decontaminate.hits(), F.col("n_words"))).select("doc.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their secrets replaced by <SECRET>; n_chars follows."""
+    """All documents, their secrets replaced by <SECRET>; n_chars follows where there is such a column.
+
+    Texts without secrets, null and empty ones among them, and their n_chars stay as they are; repeated rows are
+    masked each.
+    """
     found = secrets.scan_secrets(_beside(docs)).select("doc.*", F.col("redacted").alias("redacted text"), F.col("spans").alias("secret spans"))
     changed = F.col("secret spans") != ""
     new = {"text": F.when(changed, F.col("redacted text")).otherwise(F.col("text"))}
@@ -57,7 +68,10 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, ids, n_tokens and the digests of ids and decoded text."""
+    """doc_id, source, ids, n_tokens and the digests of ids and decoded text, a row for each document.
+
+    Null and empty texts have no tokens; null and repeated ids stay rows of their own.
+    """
     return bpe.encode_texts(docs.select("doc_id", "source", "text"), bpe.default_vocabulary())
 
 
