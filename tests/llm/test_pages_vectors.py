@@ -1,3 +1,6 @@
+import html
+import re
+
 import numpy as np
 import pytest
 
@@ -81,11 +84,22 @@ def test_single_pages(html, text):
     assert pages.main_text(html, set(), {}) == text
 
 
-def renamed(html):
+def test_driver_pages_equal_a_plain_reading(spark):
+    """The whole query; its pages hold one article of headings and paragraphs each."""
+    where = "/root/testdata/sf0.01"
+    got = {r.page_id: (r.text, r.n_chars) for r in pages.op3_pages(spark, where).collect()}
+    for r in spark.read.parquet(f"{where}/pages.parquet").collect():
+        inner = re.search(r"<article>(.*?)</article>", r.html or "", re.DOTALL)
+        parts = re.split(r"</?(?:p|h1)>", re.sub(r"</?b>", "", inner[1].replace("<br>", " "))) if inner else []
+        text = "\n\n".join(filter(None, (" ".join(html.unescape(p).split()) for p in parts)))
+        assert got[r.page_id] == (text, len(text))
+
+
+def renamed(page):
     """The page without any name that tells an article, a menu, an advert or a footer."""
     for name, other in (("article", "qa"), ("nav", "qb"), ("footer", "qc")):
-        html = html.replace(f"<{name}>", f'<div class="{other}">').replace(f"</{name}>", "</div>")
-    return html.replace('class="ad"', 'class="qd"')
+        page = page.replace(f"<{name}>", f'<div class="{other}">').replace(f"</{name}>", "</div>")
+    return page.replace('class="ad"', 'class="qd"')
 
 
 def test_deduction_finds_the_article_where_no_name_tells(spark):

@@ -1,13 +1,17 @@
 import base64
 import hashlib
 import json
+import math
 import random
 import re
+import struct
 import time
 import zlib
 
+import numpy as np
 import pandas as pd
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from tidewell.llm import bpe, chat, decontaminate, passages, quality, secrets, shard
@@ -120,6 +124,45 @@ def test_shards_are_even_gapless_and_reproducible(spark):
     crc = {t or "": zlib.crc32((t or "").encode()) for t in texts}
     assert sorted((r.size, r.text_crc32) for r in out) == sorted((len((t or "").encode()) + 1, crc[t or ""]) for t in texts)
     assert shard.shard_rows(table.limit(0), 8).count() == 0
+    named = shard.shard_rows(table.withColumnRenamed("doc_id", "bucket").withColumn("g", chat.F.lit(1)), 8, "bucket")
+    assert sorted(map(str, map(tuple, named.collect()))) == sorted(map(str, map(tuple, out))) and named.columns[0] == "bucket"
+
+
+@pytest.mark.parametrize("run", [65_536, 2])
+def test_shards_equal_an_independent_version(spark, small, monkeypatch, run):
+    """Row numbers, network and walk written again over plain integers."""
+    monkeypatch.setattr(shard, "RUN", run)
+    rows = [(r.doc_id, r.text) for r in pd.read_parquet(f"{small}/documents.parquet").itertuples()] + [(None, "x"), (None, "y"), (7, "twice"), (7, "twice"), (7, "twice"), (7, "twice"), (7, None)]
+    h = lambda *parts: __import__("functools").reduce(lambda seed, p: xxhash.xxh64_intdigest(p, seed), parts, 42)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    told = []
+    for i, t in rows:
+        raw = (t or "").encode()
+        crc, size = zlib.crc32(raw), len(raw) + 1
+        known = [struct.pack("<q", i)] if i is not None else []
+        told.append((signed(h(*known, struct.pack("<q", crc), struct.pack("<q", size))) % 4096, -1 if i is None else i, crc, size))
+    n = len(rows)
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+
+    def network(x):
+        left, right = divmod(x, b)
+        for k in range(shard.ROUNDS):
+            key = struct.pack("<i", shard.SEED + k)
+            if k % 2:
+                right = (right + signed(h(key, struct.pack("<q", left))) % b) % b
+            else:
+                left = (left + signed(h(key, struct.pack("<q", right))) % a) % a
+        return left * b + right
+
+    want = []
+    for g, (_, i, crc, size) in enumerate(sorted(told)):
+        place = network(g)
+        while place >= n:
+            place = network(place)
+        want.append((i, size, crc, g, place % 8, place // 8))
+    out = shard.shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), 8).collect()
+    assert sorted((-1 if r.doc_id is None else r.doc_id, *r[1:]) for r in out) == sorted(want)
 
 
 def test_the_permutation_is_one_for_every_size(spark):
@@ -381,3 +424,77 @@ def test_classifier_holds_out_and_generalises(spark):
     assert held == [zlib.crc32(str(k).encode()) % 5 == 0 for k in range(len(texts))]
     none = quality.train(docs, labels.limit(0))
     assert {r.score for r in quality.score_texts(docs, none).collect()} == {0.5}
+
+
+def plain_base_spans(text):
+    kinds = [
+        ("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 6),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    ]
+    return sorted((m.start(), k, name, m.end()) for k, (name, p, ok) in enumerate(kinds) for m in re.finditer(p, text or "") if ok(m))
+
+
+def plain_features(text):
+    h = [xxhash.xxh32_intdigest(w.encode()) for w in re.findall(r"\w+|[^\w\s]+", text or "")]
+    pairs = [quality.SAME if a == b else ((a * 0x9E3779B97F4A7C15 + b) * 0xD6E8FEB86659FD93 % 2**64) >> 46 for a, b in zip(h, h[1:], strict=False)]
+    return [x % 2**18 for x in h] + pairs
+
+
+def test_scores_equal_an_independent_version(spark, small):
+    """The whole query against features, updates and scores written again over dictionaries."""
+    docs, labels = (pd.read_parquet(f"{small}/{n}.parquet") for n in ("documents", "labels"))
+
+    features = plain_features
+
+    def squash(z):
+        return 1 / (1 + math.exp(-max(-35.0, min(35.0, z))))
+
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 0
+    known = labels.dropna(subset=["quality"]).groupby("doc_id").quality.max()
+    known = {int(d): int(q) for d, q in known.items() if not held(int(d))}
+    order = {r.doc_id: r.h for r in spark.createDataFrame([(d,) for d in known], "doc_id long").selectExpr("doc_id", "xxhash64(doc_id, 1) h").collect()}
+    texts = {int(r.doc_id): r.text for r in docs.itertuples()}
+    z, n, weight = {}, {}, lambda k: 0.0 if abs(z.get(k, 0.0)) <= 0.02 else -(z[k] - math.copysign(0.02, z[k])) / ((1.0 + math.sqrt(n[k])) / 0.5 + 0.1)
+    samples = []
+    for d in sorted((d for d in known if d in texts), key=lambda d: order[d]):
+        at = features(texts[d])
+        counts = {k: float(np.float32(at.count(k) * (20.0 / max(1, len(at))))) for k in set(at)}
+        samples.append((counts | {"bias": 1.0}, known[d]))
+    for _ in range(4):
+        for x, y in samples:
+            w = {k: weight(k) for k in x}
+            p = squash(sum(w[k] * v for k, v in x.items()))
+            for k, v in x.items():
+                g = (p - y) * v
+                s = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / 0.5
+                z[k] = z.get(k, 0.0) + g - s * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    got = {r.doc_id: r for r in quality.op10_quality(spark, small).collect()}
+    for d, t in texts.items():
+        at = features(t)
+        want = squash(sum(weight(k) for k in at) * 20.0 / max(1, len(at)) + weight("bias"))
+        assert got[d].score == pytest.approx(want, abs=1e-6) and got[d].held_out == held(d)
+        assert got[d].predicted == int(got[d].score >= 0.3)
+
+
+def test_held_out_accuracy(spark):
+    where = "/root/testdata/sf0.1"
+    got = {r.doc_id: r.predicted for r in quality.op10_quality(spark, where).where("held_out").collect()}
+    labels = pd.read_parquet(f"{where}/labels.parquet").dropna(subset=["quality"])
+    right = [got[d] == q for d, q in zip(labels.doc_id, labels.quality, strict=True) if d in got]
+    assert len(right) > 500 and sum(right) > 0.97 * len(right)
+
+
+def test_secrets_of_documents_equal_plain_patterns(spark, small):
+    """The whole query: base kinds by the patterns as told; all other spans are of confirmed kinds."""
+    where = "/root/testdata/sf0.01"
+    got = {r.doc_id: r for r in secrets.op7_secrets(spark, where).collect()}
+    for d in pd.read_parquet(f"{where}/documents.parquet").itertuples():
+        spans = plain_base_spans(d.text)
+        told = ",".join(f"{name}:{a}:{b}" for a, _, name, b in spans)
+        r = got[d.doc_id]
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s[1] == k for s in spans) for k in range(3))
+        assert r.base_sha256 == hashlib.sha256(told.encode()).hexdigest()
+        assert set(filter(None, told.split(","))) <= set(r.spans.split(",")) and all(x.split(":")[0] in secrets.KINDS for x in filter(None, r.spans.split(",")))
+    assert sum(r.n_assign + r.n_access + r.n_hex for r in got.values()) > 0

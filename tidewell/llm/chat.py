@@ -8,7 +8,9 @@ their first character (backslashes are doubled first), so no text can forge a ma
 
 Null roles and texts count as empty. Turns are ordered by (turn, role, text), nulls first; repeated rows stay, as
 turns of their own. A null conv_id is one conversation. Roles outside the machine are written too; the conversation
-is then marked as invalid from that turn on. An empty table gives an empty table.
+is then marked as invalid from that turn on. Very long turns and conversations are one row of the result, as the
+format asks for one string each. An empty table gives an empty table; further columns are dropped, the conversation's
+column keeps its name.
 """
 
 from __future__ import annotations

@@ -7,7 +7,9 @@ row by row. The weights (2**BITS doubles) are sent to the executors, and every d
 sparse dot product in one scan.
 
 Null text counts as empty and gets the score of the bias alone; rows without a label are scored like all others;
-where an id has several labels, the largest counts; repeated documents are scored each. Without labels, scores are 0.5.
+where an id has several labels, the largest counts; repeated documents are scored each. Without labels, scores are
+0.5. Very long texts are features where they are read; an empty table gives an empty table; further columns pass
+through, one named score is replaced.
 """
 
 from __future__ import annotations
@@ -92,14 +94,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> np.ndar
     """Weights from at most `rows` labelled rows that are not held out; the last is the bias."""
     known = labels.where("quality is not null and doc_id is not null").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "text").limit(rows)
+    texts = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "quality", "text")
 
     def run(batch: list) -> list:
         pairs = [sparse(t) for t in batch]
         return [[p[0].tolist() for p in pairs], [p[1].tolist() for p in pairs]]
 
+    # texts become features where they are read; what is ordered and sent on are the features of `rows` texts
+    features = map_texts(texts, run, "at array<int>, x array<float>").orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id", "at", "x").limit(rows)
     model, samples = Ftrl(), []
-    for r in map_texts(texts, run, "at array<int>, x array<float>").toLocalIterator():
+    for r in features.toLocalIterator():
         samples.append((np.array(r["at"], np.int64), np.array(r["x"], float), int(r["quality"])))
     for _ in range(EPOCHS):
         for s in samples:

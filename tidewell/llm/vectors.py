@@ -39,8 +39,9 @@ STEPS = (12, 20, 32)
 ROWS, PAIRS = 256, 1 << 16
 #: Coordinates that a tile's bounding box has.
 BOX = 8
-#: Parts whose tiles make a block (of a part with very many tiles, so many tiles).
-BLOCK = 8
+#: Parts whose tiles make a block at most (of a part with very many tiles, so many tiles), and blocks at least where
+#: there are as many parts.
+BLOCK, LEAST_BLOCKS = 8, 4
 
 
 def usable(v):
@@ -91,7 +92,7 @@ def _lead(bases, bounds=()):
 TILES = "tile long, d long, block long, low array<double>, high array<double>, nodes binary, copies binary, vectors binary"
 
 
-def _tiles(bases):
+def _tiles(bases, size: int):
     """Rows sorted by (d, part, c) -> TILES; boxes have BOX coordinates (0 beyond the vectors' length), lists are bytes."""
 
     def tile(k: int, block: int, rows: list) -> pa.RecordBatch:
@@ -108,8 +109,8 @@ def _tiles(bases):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, of, k, inside = [], None, 0, 0
-        # parts in their order, and a part's tiles by eights: (part div BLOCK, tile of the part div BLOCK)
-        block = lambda: of[1] // BLOCK + (inside // BLOCK << 32)
+        # `size` parts in their order, and as many tiles of one part
+        block = lambda: of[1] // size + (inside // size << 32)
         for b in slices(batches):
             for node, copies, v, *now in zip(*(b.column(c).to_pylist() for c in ("node", "copies", "embedding", "d", "part")), strict=True):
                 if held and (len(held) >= TILE or now != of):
@@ -256,7 +257,7 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, id_col: str = "v
     lead = plain.mapInArrow(_lead(bases), schema)
     bounds = lead.approxQuantile("c", [k / parts for k in range(1, parts)], 0.25 / parts) if parts > 1 else []
     ordered = plain.mapInArrow(_lead(bases, bounds), schema).repartition(parts, "d", "part").sortWithinPartitions("d", "part", "c")
-    tiles = cut(ordered.mapInArrow(_tiles(bases), TILES), "vectors-tiles")
+    tiles = cut(ordered.mapInArrow(_tiles(bases, max(1, min(BLOCK, parts // LEAST_BLOCKS))), TILES), "vectors-tiles")
     pairs = cut(block_pairs(tiles, reach(threshold)), "vectors-pairs")
     sides = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("block")))).otherwise(F.array(F.struct(F.lit(0).alias("side"), F.col("a").alias("block")), F.struct(F.lit(1).alias("side"), F.col("b").alias("block"))))
     met = pairs.select("d", "a", "b", F.explode(sides).alias("s")).select("d", "a", "b", "s.*").join(tiles, ["d", "block"])
