@@ -28,6 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.functions.joins import small_side
+
 from .common import connected_components, cut, map_texts, table
 
 SEED = 42
@@ -134,7 +136,7 @@ def hot_keys(fps: DataFrame) -> DataFrame:
     dense = halves.where(F.col("n") * (HALF_BITS + 1) > FIT)
     suspects = dense.select(F.explode(F.when(F.col("tag") == 0, _balls(F.col("half"), 0)).otherwise(_balls(F.shiftleft("half", HALF_BITS), 1))).alias("k")).distinct()
     around = halves.select("n", F.explode(F.when(F.col("tag") == 0, _balls(F.col("half"), 0)).otherwise(_balls(F.shiftleft("half", HALF_BITS), 1))).alias("k"))
-    sizes = around.join(suspects, "k", "left_semi").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > FIT)
+    sizes = around.join(small_side(cut(suspects, "simhash-suspects")), "k", "left_semi").groupBy("k").agg(F.sum("n").alias("n")).where(F.col("n") > FIT)
     return sizes.select("k", F.ceil(F.col("n") / FIT).cast("int").alias("parts"))
 
 
