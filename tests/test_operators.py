@@ -1,8 +1,11 @@
+import io
+import zipfile
 from datetime import datetime
 
 from pyspark.sql import functions as F
 
 from tidewell.operators import chunking, evals, layout, lifecycle, redaction, retrieval, sync
+from tidewell.sources import files
 
 GOVERNED = "doc_id long, text string, title string, owner_id string, classification string, deleted_at timestamp"
 
@@ -140,6 +143,45 @@ def test_validation_ladder(spark):
     assert got == ["EMPTY_FILE", "FILE_TOO_LARGE", "INVALID_MIME_TYPE", "MALICIOUS_THREAT_DETECTED", None]
 
 
+def test_validation_ladder_looks_into_containers(spark):
+    def office(*names):
+        made = io.BytesIO()
+        with zipfile.ZipFile(made, "w") as z:
+            for n in names:
+                z.writestr(n, "x")
+        return made.getvalue()
+
+    types, word, sheet = "[Content_Types].xml", "word/document.xml", "xl/workbook.xml"
+    cases = [
+        ("PDF", b"%PDF-1.7 x %%EOF", None),
+        ("PDF", b"PK\x03\x04 %%EOF", "CORRUPTED_PDF_STRUCTURE"),
+        ("PDF", b"%PDF-1.7 %%EOF" + b" " * 1024, "CORRUPTED_PDF_STRUCTURE"),
+        ("PDF", b"%PDF-1.7" + b" " * 2000 + b"%%EOF", None),
+        ("PDF", b"%PDF- /Launch %%EOF", "MALICIOUS_THREAT_DETECTED"),
+        ("DOCX", office(types, word), None),
+        ("DOCX", office(types.upper(), word.upper()), None),
+        ("DOCX", office(word), "CORRUPTED_OOXML_STRUCTURE"),
+        ("DOCX", b"PK\x03\x04 broken /Launch", "CORRUPTED_OOXML_STRUCTURE"),
+        ("DOCX", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1 old", "ENCRYPTED_OOXML"),
+        ("DOCX", office(types, sheet), "CORRUPTED_OOXML_STRUCTURE"),
+        ("XLSX", office(types, sheet, "xl/vbaProject.bin"), "MACRO_ENABLED_DOCUMENT"),
+        ("XLSX", office(types, sheet, "a/../../b"), "UNSAFE_ARCHIVE_ENTRY"),
+        ("XLSX", office(types, sheet, "C:x"), "UNSAFE_ARCHIVE_ENTRY"),
+        ("XLSX", office(types, sheet, "powershell.exe", "/x"), "MALICIOUS_THREAT_DETECTED"),
+        ("XLSX", office(types, sheet, *map(str, range(10_000))), "TOO_MANY_ARCHIVE_ENTRIES"),
+        ("XLSX", b"", "EMPTY_FILE"),
+        ("XLSX", None, "CORRUPTED_OOXML_STRUCTURE"),
+    ]
+    given = spark.createDataFrame([(k, f, bytearray(c) if c is not None else None) for k, (f, c, _) in enumerate(cases)], "path int, format string, content binary")
+    rows = given.join(files.archive_facts(given), "path")
+    c, fmt = F.col("content"), F.col("format")
+    rule = lifecycle.rejection(c, F.length(c), fmt.isNotNull(), lifecycle.container_fault(c, fmt, F.col("parts")), lifecycle.structure_fault(fmt, F.col("parts"), F.col("unpacked")))
+    assert [r[0] for r in rows.orderBy("path").select(rule).collect()] == [want for *_, want in cases]
+    large = spark.createDataFrame([("DOCX", [types, word], 600 * 1024 * 1024)], "f string, p array<string>, u long")
+    assert large.select(lifecycle.structure_fault(F.col("f"), F.col("p"), F.col("u"))).first()[0] == "ARCHIVE_TOO_LARGE"
+    assert files.archive_facts(given.limit(0)).collect() == []
+
+
 def test_dedup_and_escalation(spark):
     rows = [(1, "h", 1, "PUBLIC"), (2, "h", 2, "RESTRICTED"), (3, "g", 1, "RESTRICTED"), (4, "g", 2, "PUBLIC"), (5, "k", 1, None)]
     docs = spark.createDataFrame(rows, "doc_id int, sha256 string, created_at int, classification string")

@@ -71,6 +71,27 @@ def test_cells_headers_and_rendering(spark):
     assert heads.select(grids.merge_headers(F.col("a"), F.col("b"))).first()[0] == ["SO2 < 500", "SO2 >= 500", "unit"]
 
 
+def test_headers_of_several_rows(spark):
+    none, group, tall, title = None, (1, 0, 1, 2), (1, 2, 2, 1), (0, 0, 1, 3)
+    two = [["Limits", "Limits", "Limits"], ["SO2", "SO2", "unit"], ["< 500", ">= 500", "unit"], ["1", "2", "mg"]]
+    spans = [[title] * 3, [group, group, tall], [none, none, tall], [none] * 3]
+    three = [["a", "x"], ["b", "x"], ["", "x"], ["1", "2"]]
+    high = [[none, (0, 1, 3, 1)]] * 3 + [[none, none]]
+    cases = [
+        (two, spans, [two[0], ["SO2 < 500", "SO2 >= 500", "unit"], two[3]]),
+        (three, high, [["a b", "x"], ["1", "2"]]),
+        (three[:3], high[:3], three[:3]),
+        (three, [[none, (0, 1, 4, 1)]] * 4, three),
+        (two, [[none] * 3] * 4, two),
+        ([["t", "t"]], [[(0, 0, 1, 2)] * 2], [["t", "t"]]),
+        ([["one"], ["two"]], [[(0, 0, 1, 1)], [none]], [["one"], ["two"]]),
+        ([], [], []),
+        (None, None, None),
+    ]
+    df = spark.createDataFrame([(k, r, s) for k, (r, s, _) in enumerate(cases)], "k int, rows array<array<string>>, spans array<array<struct<row int, col int, height int, width int>>>")
+    assert [r[0] for r in df.orderBy("k").select(grids.flat_header(F.col("rows"), F.col("spans"))).collect()] == [want for *_, want in cases]
+
+
 def test_pictures(spark):
     pics = spark.createDataFrame([(1, k, c) for k, c in enumerate(["logo"] * 3 + ["a", "a", "b"])], "doc int, place int, content string")
     assert [r.content for r in grids.drop_logos(pics, "doc", "content").orderBy("place").collect()] == ["a", "b"]

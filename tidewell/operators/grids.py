@@ -61,6 +61,28 @@ def merge_headers(upper: Column, lower: Column) -> Column:
     return F.zip_with(upper, lower, lambda a, b: F.trim(F.when(a == b, a).otherwise(F.concat_ws(" ", F.nullif(a, F.lit("")), F.nullif(b, F.lit(""))))))
 
 
+def flat_header(rows: Column, spans: Column) -> Column:
+    """rows with a header of two or three rows turned into one row of joined names, in columns only.
+
+    spans: for each cell the block (row, col, height, width) that covers it, null for a cell of its own. Blocks over
+    the whole width at the top are titles and stay. Below them the header is as high as the highest block that starts
+    there, two rows at least where a block covers some of the columns. Other heights, tables of which nothing would be
+    left, null and empty tables stay as they are; a name that repeats the one above is written once.
+    """
+    height, width = F.size(rows), F.size(F.get(rows, F.lit(0)))
+    left = lambda i: F.get(F.get(spans, i), F.lit(0))
+    below = lambda at, i: F.when((at == i) & (width > 1) & (left(i)["width"] == width), left(i)["row"] + left(i)["height"]).otherwise(at)
+    top = F.aggregate(F.sequence(F.lit(0), F.greatest(height - 1, F.lit(0))), F.lit(0), below)
+    part = lambda b: F.when((b["width"] > 1) & (b["width"] < width), 2).otherwise(1)
+    grown = lambda d, b, at: F.when(b["row"] == at, F.greatest(d, b["height"], part(b))).otherwise(d)
+    depth = F.coalesce(F.aggregate(F.get(spans, top), F.lit(1), lambda d, b: grown(d, b, top)), F.lit(1))
+    add = lambda names, cell: F.when((F.coalesce(cell, F.lit("")) == "") | F.coalesce(F.get(names, F.size(names) - 1) == cell, F.lit(False)), names).otherwise(F.array_append(names, cell))
+    name = lambda c: F.array_join(F.aggregate(F.slice(rows, top + 1, depth), F.array().cast("array<string>"), lambda names, r: add(names, F.get(r, c))), " ")
+    header = F.transform(F.sequence(F.lit(0), F.greatest(width - 1, F.lit(0))), name)
+    joined = F.concat(F.slice(rows, F.lit(1), top), F.array(header), F.slice(rows, top + depth + 1, height))
+    return F.when((depth > 1) & (depth <= 3) & (top + depth < height), joined).otherwise(rows)
+
+
 def figure_text(caption: Column, text: Column) -> Column:
     """A picture's words as a passage that says where they come from."""
     label = F.concat_ws(" ", F.lit("[Figure] (text read from a picture by OCR)"), F.nullif(F.coalesce(caption, F.lit("")), F.lit("")))

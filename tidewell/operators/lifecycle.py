@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.sources.files import MEMBERS
+
 # States, limits and signatures.
 INACTIVE = ("SUPERSEDED", "ARCHIVED", "REJECTED", "DUPLICATE")
 MAX_BYTES, MAX_FILES, MAX_BATCH_BYTES = 100 * 1024 * 1024, 5, 250 * 1024 * 1024
+MAX_PARTS, MAX_UNPACKED = 10_000, 500 * 1024 * 1024
+PDF_MARK, PDF_END, OLE_MARK = b"%PDF-", b"%%EOF", b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
+TYPES_PART, MACRO_PART = "[content_types].xml", "vbaproject.bin"
 SIGNATURES = ("/Launch", "/JavaScript", "powershell.exe", "cmd.exe", "EICAR-STANDARD-ANTIVIRUS-TEST-FILE!")
 FAILED_STATUS = {"EXTRACT": "EXTRACTION_FAILED", "NORMALIZE": "NORMALIZATION_FAILED", "CHUNK": "CHUNKING_FAILED", "EMBED": "EMBEDDING_FAILED"}
 STAGE_NEEDS = {"EXTRACT": "VALIDATED", "NORMALIZE": "EXTRACTED", "CHUNK": "AWAITING_CLASSIFICATION", "EMBED": "CHUNKED"}
@@ -17,12 +22,52 @@ def active(status: Column) -> Column:
     return ~status.isin(*INACTIVE)
 
 
-def rejection(content: Column, size: Column, supported: Column) -> Column:
-    """The first rule that a file breaks, or null."""
+def rejection(content: Column, size: Column, supported: Column, container: Column | None = None, structure: Column | None = None) -> Column:
+    """The first rule that a file breaks, or null: size, type, container, threat, structure, in this order.
+
+    container and structure are what container_fault and structure_fault say (null: nothing broken); without them the
+    two steps are left out. Null content holds no threat.
+    """
     threat = F.lit(False)
     for s in SIGNATURES:
-        threat = threat | F.contains(content, F.lit(s))
-    return F.when(size == 0, "EMPTY_FILE").when(size > MAX_BYTES, "FILE_TOO_LARGE").when(~supported, "INVALID_MIME_TYPE").when(threat, "MALICIOUS_THREAT_DETECTED")
+        threat = threat | F.contains(content.cast("binary"), F.lit(s.encode()))
+    none = F.lit(None).cast("string")
+    early = F.when(size == 0, "EMPTY_FILE").when(size > MAX_BYTES, "FILE_TOO_LARGE").when(~supported, "INVALID_MIME_TYPE")
+    scan = F.when(F.coalesce(threat, F.lit(False)), "MALICIOUS_THREAT_DETECTED")
+    return F.coalesce(early, none if container is None else container, scan, none if structure is None else structure)
+
+
+def container_fault(content: Column, fmt: Column, parts: Column) -> Column:
+    """What is wrong with a file as the container of its declared format; parts: the members it lists (null: unreadable).
+
+    A PDF starts with its mark and has its end mark in the last 1024 bytes; an Office file is a readable archive, not
+    an encrypted or old compound file, that holds the list of content types. Names are compared without case.
+    """
+    tail = F.substring(content, -1024, 1024)
+    marks = (F.substring(content, 1, len(PDF_MARK)) == F.lit(PDF_MARK)) & F.contains(F.when(F.length(content) < 1024, content).otherwise(tail), F.lit(PDF_END))
+    typed = F.exists(parts, lambda p: F.lower(p) == TYPES_PART)
+    office = F.when(F.substring(content, 1, len(OLE_MARK)) == F.lit(OLE_MARK), "ENCRYPTED_OOXML").when(~F.coalesce(typed, F.lit(False)), "CORRUPTED_OOXML_STRUCTURE")
+    return F.when(fmt == "PDF", F.when(~F.coalesce(marks, F.lit(False)), "CORRUPTED_PDF_STRUCTURE")).otherwise(office)
+
+
+def structure_fault(fmt: Column, parts: Column, unpacked: Column) -> Column:
+    """What is wrong inside an Office file: too many members, too much when unpacked, macros, paths that leave the folder, another format.
+
+    All of it is told from the list of members. A PDF's inside is left to a reader, of which there is none here.
+    """
+    path = lambda p: F.translate(p, "\\", "/")
+    leaves = F.exists(parts, lambda p: path(p).startswith("/") | F.array_contains(F.split(path(p), "/"), "..") | (F.substring(path(p), 2, 1) == ":"))
+    macros = F.exists(parts, lambda p: F.lower(F.element_at(F.split(p, "/"), -1)) == MACRO_PART)
+    wanted = F.coalesce(*(F.when(fmt == kind, member) for member, kind in MEMBERS.items()))
+    held = F.exists(parts, lambda p: F.lower(p) == wanted)
+    office = (
+        F.when(F.size(parts) > MAX_PARTS, "TOO_MANY_ARCHIVE_ENTRIES")
+        .when(unpacked > MAX_UNPACKED, "ARCHIVE_TOO_LARGE")
+        .when(macros, "MACRO_ENABLED_DOCUMENT")
+        .when(leaves, "UNSAFE_ARCHIVE_ENTRY")
+        .when(~F.coalesce(held, F.lit(False)), "CORRUPTED_OOXML_STRUCTURE")
+    )
+    return F.when(fmt != "PDF", office)
 
 
 def dedup_canonical(docs: DataFrame, digest: str = "sha256") -> DataFrame:
