@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators.access import stricter
@@ -64,15 +64,17 @@ def reconcile(versions: DataFrame) -> DataFrame:
     """versions(file_id, document_id, imported_at, state, status) -> plus new_state.
 
     Pending versions settle as DUPLICATE or FAILED; a newest version that is LIVE becomes CURRENT and retires the
-    current and pending ones before it; until then nothing is retired.
+    current and pending ones before it; until then nothing is retired. The newest is an aggregate (combined before the
+    shuffle) joined back, so a file with very many versions is split by adaptive skew joins. Rows without a file only
+    settle; repeated rows of the newest version are all the newest.
     """
     settled = F.when((F.col("state") == "PENDING") & (F.col("status") == "DUPLICATE"), "DUPLICATE").when((F.col("state") == "PENDING") & F.col("status").isin(*FAILED), "FAILED").otherwise(F.col("state"))
-    w = Window.partitionBy("file_id").orderBy(F.col("imported_at").desc(), F.col("document_id").desc())
-    rows = versions.withColumn("settled", settled).withColumn("place", F.row_number().over(w))
-    newest = Window.partitionBy("file_id")
-    live = F.max((F.col("place") == 1) & (F.col("settled") == "PENDING") & (F.col("status") == "LIVE")).over(newest)
-    rows = rows.withColumn("live", live)
-    new = F.when(F.col("live") & (F.col("place") == 1), "CURRENT").when(F.col("live") & F.col("settled").isin("CURRENT", "PENDING"), "SUPERSEDED").otherwise(F.col("settled"))
+    rows = versions.withColumn("settled", settled)
+    last = rows.where("file_id is not null").groupBy("file_id").agg(F.max(F.struct("imported_at", "document_id", "settled", "status")).alias("last"))
+    live = last.where("last.settled = 'PENDING' and last.status = 'LIVE'").select("file_id", "last.imported_at", "last.document_id")
+    rows = rows.join(live.select("file_id", F.struct("imported_at", "document_id").alias("current")), "file_id", "left")
+    same = F.col("current").eqNullSafe(F.struct("imported_at", "document_id"))
+    new = F.when(F.col("current").isNull(), F.col("settled")).when(same, "CURRENT").when(F.col("settled").isin("CURRENT", "PENDING"), "SUPERSEDED").otherwise(F.col("settled"))
     return rows.select("file_id", "document_id", "state", "status", new.alias("new_state"))
 
 
