@@ -6,6 +6,7 @@ from .decontaminate import OP6_SQL, op6_decontaminate
 from .pages import op3_pages
 from .passages import OP2_SQL, op2_passages
 from .quality import op10_quality
+from .runs import op11_runs
 from .secrets import op7_secrets
 from .shard import op4_shard
 from .simhash import op9_simhash
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_vectors": op8_vectors,
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
+    "op11_runs": op11_runs,
 }
 ORACLE_SQL = {"op1_chat": OP1_SQL, "op2_passages": OP2_SQL, "op6_decontaminate": OP6_SQL, "op8_vectors": OP8_SQL}
