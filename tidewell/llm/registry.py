@@ -11,6 +11,7 @@ from .secrets import op7_secrets
 from .shard import op4_shard
 from .simhash import op9_simhash
 from .vectors import OP8_SQL, op8_vectors
+from .whitening import op13_whitening
 
 QUERIES = {
     "op1_chat": op1_chat,
@@ -24,5 +25,6 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
     "op11_runs": op11_runs,
+    "op13_whitening": op13_whitening,
 }
 ORACLE_SQL = {"op1_chat": OP1_SQL, "op2_passages": OP2_SQL, "op6_decontaminate": OP6_SQL, "op8_vectors": OP8_SQL}
