@@ -20,6 +20,6 @@ def test_queries_give_what_their_sql_gives(spark, small, name):
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, sql.fetchall())
 
 
-@pytest.mark.parametrize("name, source", [("op3_pages", "pages"), ("op4_shard", "documents"), ("op5_bpe", "documents"), ("op7_secrets", "documents"), ("op9_simhash", "documents"), ("op10_quality", "documents")])
+@pytest.mark.parametrize("name, source", [("op3_pages", "pages"), ("op4_shard", "documents"), ("op5_bpe", "documents"), ("op7_secrets", "documents"), ("op9_simhash", "documents"), ("op10_quality", "documents"), ("op11_runs", "documents"), ("op12_fertility", "documents")])
 def test_queries_keep_every_row(spark, small, name, source):
     assert QUERIES[name](spark, small).count() == spark.read.parquet(f"{small}/{source}.parquet").count()

@@ -3,6 +3,7 @@
 from .bpe import op5_bpe
 from .chat import OP1_SQL, op1_chat
 from .decontaminate import OP6_SQL, op6_decontaminate
+from .fertility import op12_fertility
 from .pages import op3_pages
 from .passages import OP2_SQL, op2_passages
 from .quality import op10_quality
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_quality": op10_quality,
     "op11_runs": op11_runs,
+    "op12_fertility": op12_fertility,
     "op13_whitening": op13_whitening,
 }
 ORACLE_SQL = {"op1_chat": OP1_SQL, "op2_passages": OP2_SQL, "op6_decontaminate": OP6_SQL, "op8_vectors": OP8_SQL}

@@ -225,7 +225,7 @@ def collapsed(words: list[bytes], runs: np.ndarray) -> list[bytes]:
     return [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0)]
 
 
-def _batches(texts: list) -> Iterator[list[list[bytes]]]:
+def word_batches(texts: list) -> Iterator[list[list[bytes]]]:
     """Words of some texts at a time, BATCH words or one text."""
     some, n = [], 0
     for t in texts:
@@ -246,7 +246,7 @@ def _numbers(words: list[bytes]) -> np.ndarray:
 
 def _told(texts: list) -> list:
     n, runs, kept = [], [], []
-    for some in _batches(texts):
+    for some in word_batches(texts):
         for words, found in zip(some, runs_among([_numbers(w) for w in some]), strict=True):
             n.append(len(words))
             runs.append([{"start": s, "length": k, "period": q} for s, k, q in found.tolist()])
