@@ -3,15 +3,17 @@
 Three base kinds come from patterns alone (fixed values below). Further kinds are reported only where the decoded
 bytes have the structure of a key or token:
 
-* jwt, jwe: the first part of a dotted run decodes to a JSON object that names an algorithm; of three parts the second
-  is a JSON object too, of five the header names the encryption.
+* jwt, jwe: a part of a dotted run decodes, from its start or from a place inside it (a token may be glued to what is
+  before it), to a JSON object that names an algorithm; the next part is a JSON object too, or, of five, the header
+  names the encryption. JSON is read as strict UTF-8, of any length and with blanks.
 * pem: a private key block whose body decodes to nested DER lengths that add up, to the length-prefixed fields of an
-  OpenSSH key, or, where its headers name a cipher, to whole cipher blocks.
+  OpenSSH key, or, where its headers name a cipher, to whole cipher blocks; also such a block inside a base64 run.
 * der, sshkey: such a key inside a base64 run (either alphabet, also wrapped over lines) or, for DER, a hex run. The
-  lengths are read where they stand, so a key is found from any start in a run and its end is known.
+  lengths are read where they stand, so a key is found from any start in a run (each place that such a key can begin
+  with is tried) and its end is known.
 
 Spans are in code points, end exclusive. One pass over each text, no shuffle; work is linear in the text, since runs
-and marks are met once and a start is judged by a bounded number of headers. Null and empty texts have no secrets;
+and marks are met once, a key is judged by a bounded number of headers, and a part of a token is decoded four times. Null and empty texts have no secrets;
 very long texts are one row; repeated rows are kept; an empty table gives an empty table; further columns pass
 through, those with the names of new ones are replaced.
 """
@@ -23,7 +25,7 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -38,17 +40,20 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 DOTTED = re.compile(r"[A-Za-z0-9_.-]+")
-HEADER = re.compile(r"(?<![A-Za-z0-9])eyJ")
-#: A signed token's header has so many characters at most.
-HEADER_CHARS = 8192
+#: How an object begins in base64: an opening brace, then a quote or white space.
+HEADER = re.compile(r"(?=e(?:y[A-DI-L]|w[k-r0-3]))")
+#: What JSON has not: control characters, and bytes that are no UTF-8 (as surrogates).
+NO_JSON = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ud800-\udfff]")
+#: A mark, a string or another value of JSON, after white space.
+TOKEN = re.compile(r"""[ \t\r\n]*+(?:([{}\[\],:])|("(?:[^"\\\x00-\x1f]|\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4}))*+")|-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?(?:[eE][-+]?[0-9]++)?|true|false|null)""")
 MARK = re.compile(r"-----(BEGIN|END) ((?:[A-Z0-9]{1,20} ){0,4}PRIVATE KEY)-----")
 BODY = re.compile(r"[A-Za-z0-9+/=\s:,-]*")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{60,76}(?:\r?\n[A-Za-z0-9+/_-]{60,76})*\r?\n[A-Za-z0-9+/_-]+")
 ANY_HEX = re.compile(r"[0-9a-fA-F]{60,}")
 OPENSSH = b"openssh-key-v1\x00"
-#: How a DER sequence of 30 bytes or more, and an OpenSSH key, begin in base64; a DER sequence in hex.
-DER_START, SSH_START, HEX_START = re.compile(r"M(?=[B-I])"), "b3BlbnNzaC1rZXktdjEA", re.compile(r"30(?=[2-8][0-9a-fA-F]|1[eEfF])")
+#: How a DER sequence of 30 bytes or more, an OpenSSH key and a PEM block begin in base64; a DER sequence in hex.
+DER_START, SSH_START, PEM_START, HEX_START = re.compile(r"M(?=[B-I])"), "b3BlbnNzaC1rZXktdjEA", "LS0tLS1CRUdJTi", re.compile(r"30(?=[2-8][0-9a-fA-F]|1[eEfF])")
 #: Elements of a key at most: a private RSA key has ten.
 ELEMENTS = 12
 LEAST_KEY = 30
@@ -151,19 +156,31 @@ def keys_in_base64(run: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the keys in a base64 run, from the left, not overlapping."""
     out, end = [], 0
     starts = [(m.start(), 5) for m in DER_START.finditer(run)]
-    if SSH_START in run:
-        starts = sorted(starts + [(m.start(), 6) for m in re.finditer(SSH_START, run)])
+    blocks = [m.start() for m in re.finditer(PEM_START, run)]
+    if blocks or SSH_START in run:
+        starts = sorted(starts + [(m.start(), 6) for m in re.finditer(SSH_START, run)] + [(at, 4) for at in blocks])
+    following = dict(zip(blocks, [*blocks[1:], len(run)], strict=False))
     for start, kind in starts:
         if start < end:
             continue
-        size = (len(run) - start) * 3 // 4
-        stop = (der_key_end if kind == 5 else openssh_end)(base64_bytes(run, start), size)
+        if kind == 4:
+            stop = encoded_block_end(run[start : following[start]])
+        else:
+            stop = (der_key_end if kind == 5 else openssh_end)(base64_bytes(run, start), (len(run) - start) * 3 // 4)
         if stop is not None:
-            end = start + -(-stop * 4 // 3)
+            end = min(len(run), start + -(-stop * 4 // 3))
             out.append((start, kind, end))
     return out
 
 
+def encoded_block_end(run: str) -> int | None:
+    """How many bytes of what a base64 run stands for are a private key block with its marks (and white space, if nothing else follows)."""
+    text = (unbase64(run) or b"").decode("latin-1")
+    for start, _, stop in pem_blocks(text):
+        return (stop if text[stop:].strip() else len(text)) if start == 0 else None
+    return None
+
+
 def keys_in_hex(run: str) -> list[tuple[int, int, int]]:
     out, end = [], 0
     for m in HEX_START.finditer(run):
@@ -176,17 +193,87 @@ def keys_in_hex(run: str) -> list[tuple[int, int, int]]:
 
 
 def _json(part: str) -> dict | None:
-    """The JSON object that a part decodes to. What does not begin in printable ASCII is not decoded further."""
-    head = unbase64(part[:64]) or b""
-    if any(b < 0x20 and b not in b"\t\n\r" or b > 0x7E for b in head[:40]):
-        return None
+    """The JSON object that a part decodes to, in strict UTF-8."""
     try:
-        value = json.loads(unbase64(part) or b"")
+        value = json.loads((unbase64(part) or b"").decode("utf-8"))
     except (ValueError, RecursionError):
         return None
     return value if isinstance(value, dict) else None
 
 
+def _object_end(text: str, at: int, seen: set[int]) -> int | None:
+    """Where the JSON object ends that begins at a place of text, None if none does. seen: gets the place of every
+    brace that opened an object on the way; from those nothing reaches further than from here."""
+    inside: list[str] = []
+    due = "value"
+    while True:
+        m = TOKEN.match(text, at)
+        if not m or (due == "value" and not inside and m[1] != "{"):
+            return None
+        at, mark = m.end(), m[1]
+        if mark in ("{", "["):
+            if due not in ("value", "value or end"):
+                return None
+            if mark == "{":
+                seen.add(at - 1)
+            inside.append(mark)
+            due = "key or end" if mark == "{" else "value or end"
+            continue
+        if mark in ("}", "]"):
+            fits = due == "next" or due == ("key or end" if mark == "}" else "value or end")
+            if not fits or inside.pop() != ("{" if mark == "}" else "["):
+                return None
+            if not inside:
+                return at
+            due = "next"
+        elif mark == ",":
+            if due != "next":
+                return None
+            due = "key" if inside[-1] == "{" else "value"
+        elif mark == ":":
+            if due != "colon":
+                return None
+            due = "value"
+        elif due in ("key", "key or end"):
+            if m[2] is None:
+                return None
+            due = "colon"
+        elif due in ("value", "value or end"):
+            due = "next"
+        else:
+            return None
+
+
+def objects_to_the_end(part: str) -> Iterator[tuple[int, dict]]:
+    """(start, object) for every place of a part from which the rest decodes to one JSON object, from the left.
+
+    The part is decoded once for each of the four alignments; places before the last byte that JSON cannot hold are
+    out at once, and so is an object inside another that does not reach the end.
+    """
+    ways: dict[int, list] = {}
+    for m in HEADER.finditer(part):
+        start, way = m.start(), m.start() % 4
+        if way not in ways:
+            raw = unbase64(part[way:]) or b""
+            text = raw.decode("utf-8", "surrogateescape")
+            rest = text[max((x.end() for x in NO_JSON.finditer(text)), default=0) :]
+            first = len(raw) - len(rest.encode("utf-8"))
+            ways[way] = [raw, rest.rstrip(" \t\r\n"), first, 0, set()]  # and how far rest has been counted, and the braces that are out
+        raw, rest, done, at, seen = ways[way]
+        byte = (start - way) // 4 * 3
+        if byte < done or not rest.endswith("}"):
+            continue
+        at += len(raw[done:byte].decode("utf-8", "replace"))
+        ways[way][2:4] = [byte, at]
+        if at in seen or _object_end(rest, at, seen) != len(rest):
+            continue
+        try:
+            value = json.loads(rest[at:])
+        except (ValueError, RecursionError):
+            continue
+        yield start, value
+
+
 def tokens_in(run: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the signed and the encrypted tokens in a run of base64url characters and dots."""
     out, parts, places, at = [], run.split("."), [], 0
@@ -194,17 +281,16 @@ def tokens_in(run: str) -> list[tuple[int, int, int]]:
         places.append(at)
         at += len(p) + 1
     k = 0
-    while k + 1 < len(parts):
-        part, step = parts[k], 1
-        for m in HEADER.finditer(part, max(0, len(part) - HEADER_CHARS)):
-            header = _json(part[m.start() :])
-            if not header or not isinstance(header.get("alg"), str):
+    while k + 2 < len(parts):
+        step = 1
+        for begin, header in objects_to_the_end(parts[k]):
+            if not isinstance(header.get("alg"), str):
                 continue
-            start = places[k] + m.start()
+            start = places[k] + begin
             if isinstance(header.get("enc"), str) and k + 4 < len(parts) and all(parts[k + 2 : k + 5]):
                 out.append((start, 7, places[k + 4] + len(parts[k + 4])))
                 step = 5
-            elif k + 2 < len(parts) and _json(parts[k + 1]) is not None:
+            elif _json(parts[k + 1]) is not None:
                 out.append((start, 3, places[k + 2] + len(parts[k + 2])))
                 step = 3
             break
@@ -251,9 +337,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of what decodes to a key or a token."""
     out = []
-    if "eyJ" in text:
+    if HEADER.search(text):
         for m in DOTTED.finditer(text):
-            if "eyJ" in m[0] and "." in m[0]:
+            if m[0].count(".") > 1 and HEADER.search(m[0]):
                 out += [(m.start() + a, kind, m.start() + b) for a, kind, b in tokens_in(m[0])]
     if "PRIVATE KEY-----" in text:
         out += pem_blocks(text)
