@@ -2,7 +2,8 @@
 
 1. Anchors. Every window of WINDOW words has an anchor, the phrase of ANCHOR words in it whose hash is smallest
    (the leftmost of equal ones). Equal windows have equal anchors, so only windows whose anchor occurs at least
-   twice can recur. Consecutive windows of equal anchors are one row: about one row for 14 words, without text.
+   twice can recur. Consecutive windows of equal anchors, STRETCH at most, are one row: about one row for 14 words,
+   without text. Stretches overlap in words, not in windows, so repetitive text is cut into short contents, most equal.
 2. Candidates. Counting anchors (combined before the shuffle; a text that several rows have counts for each of
    them) and joining the counts back leaves the stretches whose anchor recurs. Their words are cut out of the texts;
    a task keeps equal ones once, with a count, so what is shuffled by anchor is different contents.
@@ -19,7 +20,7 @@
 
 Words are runs of characters other than space and tab to carriage return, unchanged. Null texts have no words;
 texts shorter than a window keep all words; repeated rows are copies of each other. Ids are never compared. Very
-long texts are one row each (their stretches are dealt out); an empty table gives an empty table; further columns
+long texts are one row each (their stretches are short and dealt out, in repetitive texts too); an empty table gives an empty table; further columns
 pass through, those with the names of new ones are replaced.
 """
 
@@ -42,6 +43,8 @@ from .common import cut, map_texts, packed, slices, table, unpacked
 
 WINDOW = 35
 ANCHOR = 8
+#: Windows of a stretch at most; one occurrence of an anchor is in fewer, so only its repeats are parted.
+STRETCH = 128
 #: Different contents of a shard at most, and words at each end of a window that the rounds deal out by.
 FIT = 2_000
 CONTEXT = (4, 9, (WINDOW + 1) // 2)
@@ -71,7 +74,9 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
 
 
 def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of the anchor, first window, whether it holds several occurrences) of each stretch of windows with equal anchors."""
+    """(hash of the anchor, first window, whether it holds several occurrences) of each stretch of windows with equal anchors.
+
+    Repetitive text makes long stretches; a stretch ends after STRETCH windows, and the next begins."""
     if len(words) < WINDOW:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
     h = word_hashes(words)
@@ -89,8 +94,9 @@ def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         a, b = at[:-shift], at[shift:]
         at = np.where(phrase[b] < phrase[a], b, a)
         span += shift
-    own = phrase[at]
-    first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    own, place = phrase[at], np.arange(len(at))
+    begun = np.maximum.accumulate(np.where(np.concatenate([[True], own[1:] != own[:-1]]), place, 0))
+    first = np.flatnonzero((place - begun) % STRETCH == 0)
     last = np.append(first[1:], len(at)) - 1
     return own[first].view(np.int64), first, at[first] != at[last]
 
