@@ -1,12 +1,12 @@
 """Permission-scoped hybrid retrieval for batches of questions.
 
-Two arms rank passages for each question: cosine similarity of vectors, and BM25 over text and title. Both filter by
-permission, deletion and scope before they rank, and both keep `pool` candidates. Ranks are fused by reciprocal rank.
+Two arms rank passages for each question: cosine similarity of vectors, and BM25 over text and title (`lexical`). Both
+filter by permission, deletion and scope before they rank, and both keep `pool` candidates. Ranks are fused by
+reciprocal rank.
 
-The semantic arm sends the questions in blocks of QUESTION_BLOCK (checked by a count) to the vectors: each Arrow batch
-of vectors is multiplied by the block and keeps its own best `pool`, so a task passes on a few rows per question and
-the final ranking shuffles those alone. The lexical arm explodes passages into terms and joins them with the
-questions' terms before anything is shuffled; postings of a corpus can be written once (`postings`) and reused.
+The semantic arm packs questions and vectors into blocks, each a row of bounded bytes, and joins them on the number of
+the question block. A pair of blocks is one matrix product that keeps its own best `pool`, so the final ranking
+shuffles a few rows for each question and block. Nothing passes through the driver.
 """
 
 from __future__ import annotations
@@ -14,59 +14,86 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.joins import small_side
-from tidewell.functions.text import informative_terms, lexical_question, terms
+from tidewell.functions.text import informative_terms, terms
 from tidewell.functions.vectors import cosine
+from tidewell.operators import lexical
 from tidewell.operators.access import visible
+from tidewell.operators.lexical import top
 from tidewell.sources.shared import stored
 
 # Parameters of the ranking.
 RRF_K = 60
-BM25_K1, BM25_B = 1.2, 0.75
 POOL_FACTOR, POOL_MAX, RERANK_FETCH = 5, 200, 50
 RERANK_CHARS = 900
 MIN_SIMILARITY = 0.55
-QUESTION_BLOCK = 2000
-#: Vectors that a task multiplies with a block of questions at a time, whatever the Arrow batch size.
-VECTOR_BLOCK = 8192
-FIELDS = ("text", "title")
-TERM_BUCKETS = 64
+#: Questions of a block, bytes of a block of vectors, and bytes of all question blocks that may be broadcast.
+QUESTION_BLOCK, VECTOR_BYTES, BROADCAST_BYTES = 1000, 2 << 20, 64 << 20
 
 
 def candidate_pool(limit: int) -> int:
     return min(POOL_MAX, max(limit, POOL_FACTOR * limit))
 
 
-def top(df: DataFrame, per: str, order: list[Column], k: int, name: str) -> DataFrame:
-    """The first k rows of each group, with their place."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(per).orderBy(*order))).where(F.col(name) <= k)
+QUESTIONS = "block long, ids array<long>, viewers array<string>, admins array<boolean>, asked binary, dim int"
+VECTORS = "docs array<long>, owners array<string>, open array<boolean>, known binary, size int"
 
 
-def question_blocks(asked: DataFrame) -> list[DataFrame]:
-    """The questions in blocks of about QUESTION_BLOCK, by a hash of their id; a count decides how many."""
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of length one."""
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def question_blocks(asked: DataFrame) -> DataFrame:
+    """The questions in blocks of about QUESTION_BLOCK by a hash of their id, as QUESTIONS, written."""
     n = max(1, -(-asked.count() // QUESTION_BLOCK))
-    return [asked.where(F.pmod(F.xxhash64("question_id"), F.lit(n)) == k) for k in range(n)] if n > 1 else [asked]
+    rows = asked.select(F.pmod(F.xxhash64("question_id"), F.lit(n)).alias("block"), "question_id", F.col("vector").cast("array<double>").alias("vector"), "viewer_id", "is_admin")
+
+    def packed(table: pa.Table) -> pa.Table:
+        ask = _matrix(table.column("vector").combine_chunks())
+        parts = {"block": table.column("block")[:1], **{c: [table.column(o).to_pylist()] for c, o in (("ids", "question_id"), ("viewers", "viewer_id"), ("admins", "is_admin"))}}
+        return pa.table(parts | {"asked": [ask.tobytes()], "dim": pa.array([ask.shape[1]], pa.int32())})
+
+    return stored(rows.where("vector is not null").groupBy("block").applyInArrow(packed, QUESTIONS), "questions")
+
+
+def _packed_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors, in rows of VECTOR_BYTES at most and of one length."""
+    for b in batches:
+        b = b.filter(b.column(1).is_valid())
+        sizes = b.column(1).value_lengths().to_numpy()
+        for size in np.unique(sizes).tolist():
+            same = b.take(pa.array(np.flatnonzero(sizes == size)))
+            rows = max(1, VECTOR_BYTES // (8 * max(1, size)))
+            for at in range(0, same.num_rows, rows):
+                some = same.slice(at, rows)
+                docs, vectors, tiers, owners = some.columns
+                open_ = [t != "RESTRICTED" for t in tiers.to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([docs.to_pylist()], pa.list_(pa.int64())), pa.array([owners.to_pylist()], pa.list_(pa.string())), pa.array([open_]), pa.array([_matrix(vectors).tobytes()]), pa.array([size], pa.int32())], ["docs", "owners", "open", "known", "size"])
 
 
 def semantic_arm(asked: DataFrame, vectors: DataFrame, pool: int) -> DataFrame:
     """(question_id, doc_id, similarity, semantic_rank).
 
     asked(question_id, vector, viewer_id, is_admin); vectors(doc_id, embedding, classification, owner_id), without
-    deleted rows. Similarities are rounded to 9 places, ties go to the smaller doc_id.
+    deleted rows. Similarities are rounded to 9 places, ties go to the smaller doc_id. Null vectors, and vectors of
+    another length than a question's, are not met; those of length zero come last.
     """
-    out = None
-    for part_of in question_blocks(asked):
-        block = part_of.select("question_id", "vector", "viewer_id", "is_admin").toPandas()
-        if len(block):
-            part = vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"), "classification", "owner_id").mapInPandas(_best(block, pool), "question_id long, doc_id long, similarity double")
-            out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = asked.sparkSession.createDataFrame([], "question_id long, doc_id long, similarity double")
-    return top(out, "question_id", [F.col("similarity").desc(), F.col("doc_id")], pool, "semantic_rank")
+    blocks = question_blocks(asked)
+    packed = vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"), "classification", "owner_id").mapInArrow(_packed_vectors, VECTORS)
+    some = blocks.select("block", "dim", F.octet_length("asked").alias("bytes")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    if not some["n"]:
+        return top(asked.sparkSession.createDataFrame([], "question_id long, doc_id long, similarity double"), "question_id", [F.col("similarity").desc(), F.col("doc_id")], pool, "semantic_rank")
+    numbers = F.sequence(F.lit(0), F.lit(blocks.agg(F.max("block")).first()[0])).cast("array<long>")
+    met = packed.withColumn("block", F.explode(numbers)).join(F.broadcast(blocks) if some["bytes"] <= BROADCAST_BYTES else blocks, "block").where("dim = size")
+    found = met.drop("block", "dim", "size").mapInArrow(_best(pool), "question_id long, doc_id long, similarity double")
+    return top(found, "question_id", [F.col("similarity").desc(), F.col("doc_id")], pool, "semantic_rank")
 
 
 def scoped_arm(asked: DataFrame, vectors: DataFrame, scope: DataFrame, pool: int) -> DataFrame:
@@ -78,108 +105,60 @@ def scoped_arm(asked: DataFrame, vectors: DataFrame, scope: DataFrame, pool: int
     return top(rows, "question_id", [F.col("similarity").desc(), F.col("doc_id")], pool, "semantic_rank")
 
 
-def _best(block: pd.DataFrame, pool: int):
-    ask = np.array(block["vector"].tolist(), float)
-    ask /= np.linalg.norm(ask, axis=1, keepdims=True)
-    ids, viewers, admins = block["question_id"].to_numpy(), block["viewer_id"].to_numpy(), block["is_admin"].to_numpy(bool)
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["embedding"].tolist(), float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        sims = np.round(ask @ x.T, 9)
-        doc, owner = pdf["doc_id"].to_numpy(), pdf["owner_id"].to_numpy()
-        open_ = (pdf["classification"] != "RESTRICTED").to_numpy()
-        rows = []
-        for q in range(len(ids)):
-            may = np.flatnonzero(open_ | admins[q] | (owner == viewers[q]))
-            first = may[np.lexsort((doc[may], -sims[q][may]))[:pool]]
-            rows.append(pd.DataFrame({"question_id": ids[q], "doc_id": doc[first], "similarity": sims[q][first]}))
-        return pd.concat(rows)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for pdf in batches:
-            held.append(pdf[pdf["embedding"].notna()])
-            if sum(map(len, held)) >= VECTOR_BLOCK:
-                yield best(pd.concat(held))
-                held = []
-        if sum(map(len, held)):
-            yield best(pd.concat(held))
+def _best(pool: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                ids, docs, sims = best_of(b.slice(k, 1).to_pylist()[0], pool)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(docs, pa.int64()), pa.array(sims, pa.float64())], ["question_id", "doc_id", "similarity"])
 
     return run
 
 
+def best_of(row: dict, pool: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best `pool` vectors of a block for each question of a block, among those that its asker may see."""
+    ids, docs = np.array(row["ids"]), np.array(row["docs"])
+    sims = np.round(np.frombuffer(row["asked"]).reshape(len(ids), -1) @ np.frombuffer(row["known"]).reshape(len(docs), -1).T, 9)
+    names = {v: k for k, v in enumerate({*row["viewers"], *row["owners"]} - {None})}
+    owners, viewers = np.array([names.get(o, -1) for o in row["owners"]]), np.array([names.get(v, -2) for v in row["viewers"]])
+    may = np.array(row["open"])[None, :] | np.array([bool(a) for a in row["admins"]])[:, None] | (owners[None, :] == viewers[:, None])
+    sims = np.where(may, np.where(np.isnan(sims), -2.0, sims), -np.inf)
+    least = np.partition(sims, len(docs) - pool, axis=1)[:, len(docs) - pool] if len(docs) > pool else np.full(len(ids), -np.inf)
+    q, d = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
+    order = np.lexsort((docs[d], -sims[q, d], q))
+    q, d = q[order], d[order]
+    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+    place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+    keep = place < pool
+    return ids[q[keep]], docs[d[keep]], np.where(sims[q[keep], d[keep]] == -2.0, np.nan, sims[q[keep], d[keep]])
+
+
 def postings(docs: DataFrame, field: str) -> DataFrame:
     """(doc_id, term, tf, dl) of one field; dl is the field's length in terms."""
     tokens = docs.select("doc_id", terms(F.col(field)).alias("ts"))
     return tokens.select("doc_id", F.size("ts").alias("dl"), F.explode_outer("ts").alias("term")).where("term is not null").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
 
 
-def question_terms(asked: DataFrame) -> DataFrame:
-    """(question_id, term) of the trimmed questions."""
-    return asked.select("question_id", F.explode(F.array_distinct(terms(lexical_question(F.col("question"))))).alias("term"))
-
-
-def weigh(wanted: DataFrame, tf: DataFrame, figures: DataFrame, may: Column | None = None) -> DataFrame:
-    """(question_id, doc_id, score) from postings tf(field, term, doc_id, tf, dl) of the wanted terms and figures(field, n, mean), one row a field."""
-    df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + BM25_K1 * (1 - BM25_B + BM25_B * F.col("dl") / F.col("mean")))
-    rows = tf.join(df, ["field", "term"]).join(F.broadcast(figures), "field").select("term", "doc_id", (idf * weight).alias("s"))
-    met = wanted.join(rows, "term")
-    return (met if may is None else met.where(may)).groupBy("question_id", "doc_id").agg(F.round(F.sum("s"), 9).alias("score"))
-
-
-def bm25(asked: DataFrame, docs: DataFrame, fields: tuple = FIELDS) -> DataFrame:
-    """(question_id, doc_id, score): BM25 summed over fields and question terms, straight from the texts.
+def lexical_arm(asked: DataFrame, docs: DataFrame, pool: int, scope: DataFrame | None = None, index: str | None = None) -> DataFrame:
+    """(question_id, doc_id, lexical_score, lexical_rank). Corpus figures cover all docs; scope, permission and deletion filter before anything is summed.
 
-    Corpus figures are over all docs given. Terms that no question asks for are dropped before anything is shuffled.
-    (explode_outer: with explode, Spark infers a filter on the array's size and splits every text twice.)
+    index: where lexical.write_blocks() has written; without one, postings of the questions' terms are made from docs.
     """
-    wanted = question_terms(asked)
-    vocabulary = wanted.select("term").distinct()
-    each = [F.struct(F.lit(f).alias("field"), terms(F.col(f)).alias("ts")) for f in fields]
-    tokens = docs.select("doc_id", F.explode(F.array(*each)).alias("f")).select("doc_id", "f.field", "f.ts", F.size("f.ts").alias("dl"))
-    figures = tokens.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("mean"))
-    tf = tokens.select("doc_id", "field", "dl", F.explode_outer("ts").alias("term")).join(small_side(vocabulary), "term", "left_semi").groupBy("field", "doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    return weigh(wanted, stored(tf, "postings"), figures)
-
-
-def write_index(docs: DataFrame, path: str, fields: tuple = FIELDS) -> None:
-    """Postings of all fields, partitioned by a hash of the term, and the fields' figures; written once, read by many searches."""
-    parts = [postings(docs, f).withColumn("field", F.lit(f)) for f in fields]
-    sizes = [docs.select(F.lit(f).alias("field"), F.size(terms(F.col(f))).alias("dl")) for f in fields]
-    rows, lengths = parts[0], sizes[0]
-    for p, s in zip(parts[1:], sizes[1:], strict=True):
-        rows, lengths = rows.unionByName(p), lengths.unionByName(s)
-    rows.withColumn("bucket", term_bucket(F.col("term"))).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/postings")
-    lengths.groupBy("field").agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).write.parquet(f"{path}/figures")
+    wanted = asked_terms(asked)
+    source = lexical.Flat(docs, wanted, ["doc_id"]) if index is None else lexical.Blocks(asked.sparkSession, index)
+    inside = None if scope is None else scope.select("question_id", F.struct("doc_id").alias("key"))
+    found = lexical.best(wanted, source, pool, may_see(), inside)
+    return found.select("question_id", "key.doc_id", F.col("score").alias("lexical_score"), F.col("place").alias("lexical_rank"))
 
 
-def term_bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+def asked_terms(asked: DataFrame) -> DataFrame:
+    """(question_id, term, viewer_id, is_admin), written: what a walk over postings asks for."""
+    return stored(lexical.question_terms(asked).join(asked.select("question_id", "viewer_id", "is_admin"), "question_id"), "asked")
 
 
-def bm25_indexed(asked: DataFrame, path: str, wanted: DataFrame | None = None, may: Column | None = None) -> DataFrame:
-    """bm25() from a written index: the join on (bucket, term) prunes the partitions that hold no question term.
-
-    may: which (question, document) pairs count, by columns of wanted and of the documents' key.
-    """
-    spark = asked.sparkSession
-    wanted = question_terms(asked) if wanted is None else wanted
-    keys = wanted.select("term").distinct().withColumn("bucket", term_bucket(F.col("term")))
-    tf = spark.read.parquet(f"{path}/postings").join(small_side(keys), ["bucket", "term"], "left_semi")
-    return weigh(wanted, tf, spark.read.parquet(f"{path}/figures"), may)
-
-
-def lexical_arm(asked: DataFrame, docs: DataFrame, pool: int, scope: DataFrame | None = None, index: str | None = None) -> DataFrame:
-    """(question_id, doc_id, lexical_score, lexical_rank). Corpus figures cover all docs; scope, permission and deletion filter before ranking. index: where write_index() has written."""
-    found = bm25(asked, docs) if index is None else bm25_indexed(asked, index)
-    if scope is not None:
-        found = found.join(scope.select("question_id", "doc_id").distinct(), ["question_id", "doc_id"], "left_semi")
-    rows = found.join(asked.select("question_id", "viewer_id", "is_admin"), "question_id").join(docs.select("doc_id", "classification", "owner_id", "deleted_at"), "doc_id")
-    rows = rows.where(F.col("deleted_at").isNull() & visible(F.col("classification"), F.col("owner_id"), F.col("viewer_id"), F.col("is_admin")))
-    return top(rows.select("question_id", "doc_id", F.col("score").alias("lexical_score")), "question_id", [F.col("lexical_score").desc(), F.col("doc_id")], pool, "lexical_rank")
+def may_see() -> Column:
+    """Whether a posting counts for the asker of a term."""
+    return F.col("deleted_at").isNull() & visible(F.col("classification"), F.col("owner_id"), F.col("viewer_id"), F.col("is_admin"))
 
 
 def search_passages(asked: DataFrame, passages: DataFrame, path: str, limit: int, fields: tuple = ("text", "heading", "title")) -> DataFrame:
@@ -188,12 +167,9 @@ def search_passages(asked: DataFrame, passages: DataFrame, path: str, limit: int
     Postings carry the permission columns, so what a viewer may not see leaves before scores are summed; corpus figures
     cover all passages.
     """
-    key = F.struct("doc_id", "chunk_index", "owner_id", "classification", "deleted_at")
-    write_index(passages.select(key.alias("doc_id"), *fields), path, fields)
-    wanted = question_terms(asked).join(asked.select("question_id", "viewer_id", "is_admin"), "question_id")
-    may = F.col("doc_id.deleted_at").isNull() & visible(F.col("doc_id.classification"), F.col("doc_id.owner_id"), F.col("viewer_id"), F.col("is_admin"))
-    found = bm25_indexed(asked, path, wanted, may).select("question_id", "doc_id.doc_id", "doc_id.chunk_index", "score")
-    return top(found, "question_id", [F.col("score").desc(), F.col("doc_id"), F.col("chunk_index")], limit, "place")
+    lexical.write_blocks(passages, path, ["doc_id", "chunk_index"], fields)
+    found = lexical.best(asked_terms(asked), lexical.Blocks(asked.sparkSession, path), limit, may_see())
+    return found.select("question_id", "key.doc_id", "key.chunk_index", "score", "place")
 
 
 def reciprocal(rank: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import identifiers
 from tidewell.functions import text as tx
-from tidewell.operators import access, ann, answers, chunking, evals, grids, layout, lifecycle, records, redaction, retrieval, sync
+from tidewell.operators import access, ann, answers, chunking, docsearch, evals, grids, layout, lexical, lifecycle, records, redaction, retrieval, sync
 from tidewell.plans import catalogue
 from tidewell.sources.files import html_units
 from tidewell.sources.shared import shared_folder
@@ -103,9 +103,9 @@ def bm25_topk(spark, sf_dir):
 
 @query
 def bm25_indexed_topk(spark, sf_dir):
-    """bm25_topk from postings that are written first, partitioned by term."""
+    """bm25_topk from an index of blocks that is written first."""
     docs, path = governed_documents(spark, sf_dir), f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    retrieval.write_index(docs, path)
+    lexical.write_blocks(docs, path, ["doc_id"])
     best = retrieval.lexical_arm(_asked(spark, sf_dir), docs, 10, index=path)
     return best.select("question_id", "doc_id", F.round("lexical_score", 6).alias("lexical_score"), "lexical_rank")
 
@@ -564,6 +564,15 @@ def document_search_ranked(spark, sf_dir):
     return records.search_documents(docs, questions(spark, sf_dir).select("question_id", "question"))
 
 
+@query
+def document_search_stemmed(spark, sf_dir):
+    """Documents that hold the stems of all words of a question, from a written index, ranked by field and nearness."""
+    docs = governed_documents(spark, sf_dir).where("deleted_at is null").select("doc_id", "title", F.col("owner_id").alias("filename"), F.col("text").alias("description"))
+    path = f"{shared_folder(spark)}/document-index-{uuid.uuid4().hex}"
+    docsearch.write_document_index(docs, path)
+    return docsearch.search_document_index(questions(spark, sf_dir).select("question_id", "question"), path)
+
+
 @query
 def replaced_chunks(spark, sf_dir):
     """A first set of passages (one a document) with the documents of one language chunked anew."""
