@@ -18,13 +18,11 @@ Common words, which hold most postings, are in the third round for nearly every
 scope hold before a sum is made. Sums are compared with a margin, so rounding loses nothing; scores are rounded to 9
 places and ties go to the smaller key.
 
-Postings come from an index (write_blocks) or, for one batch of questions, straight from the texts (Flat).
+The walk reads an index (write_blocks). For one batch of questions without one, best_of_texts() gives the same rows.
 """
 
 from __future__ import annotations
 
-from typing import Protocol
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,40 +81,21 @@ def weighed(counted: DataFrame) -> DataFrame:
     return rows.groupBy("term", "key", *PERMISSION).agg(F.sum(idf * weight).alias("impact"))
 
 
-class Postings(Protocol):
-    """What best() reads. wanted and pairs are questions' terms; all give posting rows (term, key, permissions, impact)."""
-
-    def tops(self) -> DataFrame:
-        """(term, top): the largest impact of each term."""
-
-    def heads(self, wanted: DataFrame) -> DataFrame:
-        """The HEAD largest postings of the wanted terms."""
-
-    def above(self, wanted: DataFrame) -> DataFrame:
-        """Postings of wanted(term, least), those with a smaller impact may be left out."""
-
-    def of(self, pairs: DataFrame) -> DataFrame:
-        """(term, key, impact) of pairs(term, key)."""
-
-
-class Flat:
-    """Postings of some questions' terms, from the texts, written once."""
+def best_of_texts(wanted: DataFrame, docs: DataFrame, key: list[str], pool: int, may: Column, scope: DataFrame | None = None, fields: tuple = FIELDS) -> DataFrame:
+    """What best() gives, for one batch of questions without an index: their terms' postings are made from the texts and summed, none left out.
 
-    def __init__(self, docs: DataFrame, wanted: DataFrame, key: list[str], fields: tuple = FIELDS):
-        counted = stored(counted_terms(docs, key, fields, wanted.select("term").distinct()), "terms")
-        self.rows = stored(weighed(counted), "postings")
+    The texts are read once and only postings of asked terms are kept, so there is no block that a walk could spare.
+    """
+    counted = stored(counted_terms(docs, key, fields, wanted.select("term").distinct()), "terms")
+    scores = summed(weighed(counted), wanted, may, scope).withColumn("score", F.round("s", 9))
+    return top(scores.drop("s"), "question_id", [F.col("score").desc(), F.col("key")], pool, "place")
 
-    def tops(self) -> DataFrame:
-        return self.rows.groupBy("term").agg(F.max("impact").alias("top"))
 
-    def heads(self, wanted: DataFrame) -> DataFrame:
-        return top(self.rows, "term", [F.col("impact").desc(), F.col("key")], HEAD, "at").drop("at")
-
-    def above(self, wanted: DataFrame) -> DataFrame:
-        return self.rows.join(small_side(wanted), "term").where("impact >= least").drop("least")
-
-    def of(self, pairs: DataFrame) -> DataFrame:
-        return self.rows.select("term", "key", "impact").join(pairs.select("term", "key").distinct(), ["term", "key"])
+def summed(rows: DataFrame, some: DataFrame, may: Column, scope: DataFrame | None) -> DataFrame:
+    """(question_id, key, s): the sums of the postings that count, for questions' terms."""
+    out = rows.join(small_side(some), "term").where(may).select("question_id", "key", "impact")
+    out = out if scope is None else out.join(scope.select("question_id", "key").distinct(), ["question_id", "key"], "left_semi")
+    return out.groupBy("question_id", "key").agg(F.sum("impact").alias("s"))
 
 
 def write_blocks(docs: DataFrame, path: str, key: list[str], fields: tuple = FIELDS, buckets: int = TERM_BUCKETS) -> None:
@@ -153,19 +132,21 @@ def bucket_of(term: Column, buckets: int) -> Column:
 
 
 class Blocks:
-    """Postings of a written index. Joins on (bucket, term) prune the folders that hold no wanted term."""
+    """Postings (term, key, permissions, impact) of a written index. Joins on (bucket, term) prune the folders that hold no wanted term."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.read = lambda name: spark.read.parquet(f"{path}/{name}")
         self.buckets = self.read("shape").first()["buckets"]
 
     def tops(self) -> DataFrame:
+        """(term, top): the largest impact of each term."""
         return self.read("tops")
 
     def _keyed(self, wanted: DataFrame) -> DataFrame:
         return wanted.withColumn("bucket", bucket_of(F.col("term"), self.buckets))
 
     def heads(self, wanted: DataFrame) -> DataFrame:
+        """The HEAD largest postings of the wanted terms."""
         return self.read("heads").join(small_side(self._keyed(wanted.select("term").distinct())), ["bucket", "term"], "left_semi").drop("bucket")
 
     def blocks_above(self, wanted: DataFrame) -> DataFrame:
@@ -178,9 +159,11 @@ class Blocks:
         return self.read("blocks").join(self._keyed(places), ["bucket", "term", "layer", "part"], "left_semi")
 
     def above(self, wanted: DataFrame) -> DataFrame:
+        """Postings of the blocks of wanted(term, least) that have one of that impact."""
         return self.blocks_above(wanted).select("term", F.explode("postings").alias("p")).select("term", "p.*")
 
     def of(self, pairs: DataFrame) -> DataFrame:
+        """(term, key, impact) of pairs(term, key)."""
         rows = self.blocks_for(pairs).select("term", F.explode("postings").alias("p")).select("term", "p.key", "p.impact")
         return rows.join(pairs.select("term", "key").distinct(), ["term", "key"])
 
@@ -188,7 +171,7 @@ class Blocks:
 # ---------------------------------------------------------------- the walk
 
 
-def plan_of(wanted: DataFrame, postings: Postings) -> DataFrame:
+def plan_of(wanted: DataFrame, postings: Blocks) -> DataFrame:
     """wanted with, for each term of a question: top, upto (the sum of the tops so far, smallest first) and others (of all but it), written.
 
     A window holds the terms of one question.
@@ -212,7 +195,7 @@ def needed(plan: DataFrame) -> DataFrame:
     return plan.where(essential()).groupBy("term").agg(F.min(F.col("score") - MARGIN - F.col("others")).alias("least"))
 
 
-def best(wanted: DataFrame, postings: Postings, pool: int, may: Column, scope: DataFrame | None = None) -> DataFrame:
+def best(wanted: DataFrame, postings: Blocks, pool: int, may: Column, scope: DataFrame | None = None) -> DataFrame:
     """(question_id, key, score, place): the first `pool` passages of each question.
 
     wanted(question_id, term and the columns of the asker that `may` reads); may: whether a posting counts for a
@@ -220,15 +203,9 @@ def best(wanted: DataFrame, postings: Postings, pool: int, may: Column, scope: D
     tables find nothing.
     """
     plan = plan_of(wanted, postings)
-
-    def met(rows: DataFrame, some: DataFrame) -> DataFrame:
-        out = rows.join(small_side(some), "term").where(may).select("question_id", "key", "impact")
-        out = out if scope is None else out.join(scope.select("question_id", "key").distinct(), ["question_id", "key"], "left_semi")
-        return out.groupBy("question_id", "key").agg(F.sum("impact").alias("s"))
-
-    first = reached(met(postings.heads(wanted), plan), pool)
+    first = reached(summed(postings.heads(wanted), plan, may, scope), pool)
     plan = stored(plan.join(first, "question_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "walk")
-    sums = stored(met(postings.above(needed(plan)), plan.where(essential())), "sums")
+    sums = stored(summed(postings.above(needed(plan)), plan.where(essential()), may, scope), "sums")
     rest = plan.groupBy("question_id").agg(F.max("score").alias("old"), F.max(F.when(~essential(), F.col("upto"))).alias("rest"))
     bar = rest.join(reached(sums, pool), "question_id", "left").select("question_id", F.coalesce("rest", F.lit(0.0)).alias("rest"), F.greatest("old", F.coalesce("score", F.lit(0.0))).alias("bar"))
     left = stored(sums.join(bar, "question_id").where(F.col("s") + F.col("rest") >= F.col("bar") - MARGIN).select("question_id", "key", "s"), "candidates")
@@ -241,7 +218,6 @@ def best(wanted: DataFrame, postings: Postings, pool: int, may: Column, scope: D
 def walked(wanted: DataFrame, postings: Blocks, pool: int, may: Column) -> DataFrame:
     """One row: blocks_held of the wanted terms, and blocks_read by the second round of a walk. (The third reads what its candidates fall into.)"""
     plan = plan_of(wanted, postings)
-    heads = postings.heads(wanted).join(small_side(plan), "term").where(may).groupBy("question_id", "key").agg(F.sum("impact").alias("s"))
-    plan = stored(plan.join(reached(heads, pool), "question_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "walk")
+    plan = stored(plan.join(reached(summed(postings.heads(wanted), plan, may, None), pool), "question_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0))), "walk")
     held = postings.blocks_above(wanted.select("term", F.lit(0.0).alias("least")).distinct()).agg(F.count("*").alias("blocks_held"))
     return held.crossJoin(postings.blocks_above(needed(plan)).agg(F.count("*").alias("blocks_read")))

@@ -145,9 +145,11 @@ def lexical_arm(asked: DataFrame, docs: DataFrame, pool: int, scope: DataFrame |
     index: where lexical.write_blocks() has written; without one, postings of the questions' terms are made from docs.
     """
     wanted = asked_terms(asked)
-    source = lexical.Flat(docs, wanted, ["doc_id"]) if index is None else lexical.Blocks(asked.sparkSession, index)
     inside = None if scope is None else scope.select("question_id", F.struct("doc_id").alias("key"))
-    found = lexical.best(wanted, source, pool, may_see(), inside)
+    if index is None:
+        found = lexical.best_of_texts(wanted, docs, ["doc_id"], pool, may_see(), inside)
+    else:
+        found = lexical.best(wanted, lexical.Blocks(asked.sparkSession, index), pool, may_see(), inside)
     return found.select("question_id", "key.doc_id", F.col("score").alias("lexical_score"), F.col("place").alias("lexical_rank"))
 
 
