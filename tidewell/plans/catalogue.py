@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as tx
-from tidewell.operators import chunking, evals, grids, lifecycle, listings, redaction, retrieval, sinks
+from tidewell.operators import chunking, evals, grids, language, lifecycle, listings, redaction, retrieval, sinks, versioned
 from tidewell.sources.files import storage_key
 from tidewell.sources.shared import shared_folder
 from tidewell.sources.tables import governed_documents, questions, table
@@ -173,3 +173,32 @@ def passage_search(spark, sf_dir):
 def questions_of_documents(spark, sf_dir):
     """How many questions of an evaluation set each document gave."""
     return evals.derive_questions(governed_documents(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("questions"))
+
+
+@query("""with d as (select doc_id, lang, text, string_split(text, '') c from documents where text is not null),
+g as (select doc_id, lang, c[i] || c[i + 1] || c[i + 2] g from d, lateral (select unnest(range(1, len(c) - 1)) i)),
+p as (select lang, g, count(*) n from g where lang is not null and doc_id % 5 <> 0 group by lang, g qualify row_number() over (partition by lang order by n desc, g) <= 2000),
+v as (select distinct g from p), l as (select lang, sum(n) + (select count(*) from v) s from p group by lang),
+w as (select l.lang, v.g, ln((coalesce(n, 0) + 1) / s) w from l cross join v left join p on p.lang = l.lang and p.g = v.g),
+o as (select doc_id, g, count(*) n from g semi join v using (g) group by all),
+s as (select doc_id, w.lang, sum(n * w) s from o join w using (g) group by all),
+b as (select doc_id, arg_max(lang, s) b from s group by doc_id)
+select doc_id, case when length(trim(text, e' \t\n\r')) >= 40 then b end detected from documents left join b using (doc_id)""")
+def detected_languages(spark, sf_dir):
+    """The language of each document by profiles that four fifths of the documents are counted into."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    fitted = language.profiles(language.gram_counts(docs.where("doc_id % 5 <> 0")))
+    return language.detect_languages(docs.select("doc_id", "text"), fitted)
+
+
+@query("""with o as (select o_orderkey, o_custkey, o_totalprice, o_orderstatus from orders)
+select o_custkey, count(*) orders, round(sum(case when o_custkey % 10 = 3 then o_totalprice * 2 else o_totalprice end), 2) total, max(o_custkey % 10 = 3) replaced
+from o where o_custkey % 10 <> 7 and not (o_custkey % 10 = 3 and o_orderstatus = 'F') group by o_custkey""")
+def replaced_by_key(spark, sf_dir):
+    """Orders by customer in a versioned table: some customers' rows are replaced, some go; the last version is read."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus").withColumn("replaced", F.lit(False))
+    kept = versioned.VersionedTable(spark, _folder(spark, "versioned"), "o_custkey")
+    kept.create(orders)
+    fresh = orders.where("o_custkey % 10 = 3 and o_orderstatus <> 'F'").withColumn("o_totalprice", F.col("o_totalprice") * 2).withColumn("replaced", F.lit(True))
+    kept.replace(fresh, orders.where("o_custkey % 10 = 3 or o_custkey % 10 = 7"))
+    return kept.read().groupBy("o_custkey").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("replaced").alias("replaced"))
