@@ -242,9 +242,9 @@ def token_count(text: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(text) / 4)).cast("int")
 
 
-def token_usage(found: DataFrame, docs: DataFrame, window: int = 512) -> DataFrame:
-    """Per question: tokens of its results, results over the window, hits of each arm."""
-    rows = found.join(docs.select("doc_id", token_count(F.col("text")).alias("tokens")), "doc_id")
+def token_usage(found: DataFrame, docs: DataFrame, window: int = 512, tokens: Column | None = None) -> DataFrame:
+    """Per question: tokens of its results, results over the window, hits of each arm. tokens: a column of docs, else a stand-in."""
+    rows = found.join(docs.select("doc_id", (token_count(F.col("text")) if tokens is None else tokens).alias("tokens")), "doc_id")
     return rows.groupBy("question_id").agg(
         F.sum(F.least("tokens", F.lit(window))).alias("context_tokens"),
         F.count_if(F.col("tokens") > window).alias("truncated_results"),

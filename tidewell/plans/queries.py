@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions import identifiers
+from tidewell.functions import identifiers, lattice
 from tidewell.functions import text as tx
 from tidewell.operators import access, ann, answers, chunking, docsearch, evals, grids, layout, lexical, lifecycle, records, redaction, retrieval, sync
 from tidewell.plans import catalogue
@@ -250,6 +250,31 @@ def chunk_documents(spark, sf_dir):
     return _chunks(spark, sf_dir).select("doc_id", "chunk_index", "char_count", F.md5("text").alias("digest"))
 
 
+#: Target and largest number of tokens of a passage.
+TOKEN_TARGET, TOKEN_WINDOW = 400, 500
+
+
+def _pieces() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def chunk_documents_by_tokens(spark, sf_dir):
+    """Passages under a budget of tokens instead of characters, and their tokens."""
+    docs = governed_documents(spark, sf_dir).select("doc_id", "text", F.array("title").alias("headings"))
+    chunks = chunking.chunk_sections(chunking.split_sections(docs, ["doc_id"]), "doc_id", measure=lattice.TokenCount(_pieces()), target=TOKEN_TARGET, maximum=TOKEN_WINDOW)
+    return lattice.with_tokens(chunks, _pieces()).select("doc_id", "chunk_index", "char_count", "tokens", F.md5("text").alias("digest"))
+
+
+@query
+def token_usage_by_lattice(spark, sf_dir):
+    """token_usage_rollup with tokens counted by pieces."""
+    found, docs = _search(spark, sf_dir, limit=10), governed_documents(spark, sf_dir)
+    return retrieval.token_usage(found, lattice.with_tokens(docs.select("doc_id", "text"), _pieces()), tokens=F.col("tokens"))
+
+
 @query
 def chunk_stats(spark, sf_dir):
     """Per document: passages, characters, the largest passage, and whether numbers have no gaps."""
@@ -316,6 +341,15 @@ def redact_documents(spark, sf_dir):
     return red.select("source", "doc_id", F.size("findings").alias("findings"), F.md5("redacted").alias("digest"))
 
 
+@query
+def masked_boundary_record(spark, sf_dir):
+    """The boundary record of each owner's documents, with the list of what was masked in those that are sent."""
+    docs = governed_documents(spark, sf_dir).where("deleted_at is null")
+    sent = docs.where(access.sendable(F.col("classification"))).select("owner_id", "doc_id", "text")
+    masked = redaction.masked_record(redaction.redact(sent, "owner_id", "doc_id"), "owner_id")
+    return redaction.boundary_record(docs, "owner_id").join(masked, "owner_id", "left").select("owner_id", "considered", "sent", "withheld", "tier", "refused", F.to_json("masked").alias("masked"))
+
+
 @query
 def mask_preview(spark, sf_dir):
     words = table(spark, sf_dir, "documents").where(F.contains("text", F.lit("@"))).select("doc_id", F.explode(tx.split_blank(F.col("text"))).alias("w")).where(F.contains("w", F.lit("@")))
