@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import text as tx
 from tidewell.operators import chunking, evals, grids, language, lifecycle, listings, redaction, retrieval, sinks, versioned
+from tidewell.sources import listing
 from tidewell.sources.files import storage_key
 from tidewell.sources.shared import shared_folder
 from tidewell.sources.tables import governed_documents, questions, table
@@ -202,3 +203,39 @@ def replaced_by_key(spark, sf_dir):
     fresh = orders.where("o_custkey % 10 = 3 and o_orderstatus <> 'F'").withColumn("o_totalprice", F.col("o_totalprice") * 2).withColumn("replaced", F.lit(True))
     kept.replace(fresh, orders.where("o_custkey % 10 = 3 or o_custkey % 10 = 7"))
     return kept.read().groupBy("o_custkey").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"), F.max("replaced").alias("replaced"))
+
+
+def _listed_pages(spark, sf_dir, folder: str, size: int = 100) -> tuple[DataFrame, int]:
+    """pages as the entries of an outside listing, and how many pages of `size` ids they make."""
+    entries = table(spark, sf_dir, "pages").select("page_id", "url", F.length("html").cast("long").alias("size"))
+    last = entries.agg(F.coalesce(F.max("page_id"), F.lit(-1))).first()[0]
+    return entries, last // size + 1
+
+
+_HOSTS = "select regexp_extract(url, '^https?://([^/]+)', 1) host, count(*) entries, sum(length(html)) size from pages group by 1"
+
+
+def _by_host(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host")).agg(F.count("*").alias("entries"), F.sum("size").alias("size"))
+
+
+@query(_HOSTS)
+def listed_hosts(spark, sf_dir):
+    """A paged listing read as a table: entries by host."""
+    folder = _folder(spark, "listing")
+    entries, n = _listed_pages(spark, sf_dir, folder)
+    listing.write_pages(entries, folder, F.floor(F.col("page_id") / 100).cast("int"), n)
+    return _by_host(listing.read_listing(spark, folder, "page_id long, url string, size long"))
+
+
+@query(_HOSTS)
+def stream_listed_hosts(spark, sf_dir):
+    """The same listing as a stream that is stopped after half of the pages and goes on from its checkpoint when the rest is there."""
+    folder, out = _folder(spark, "listing"), _folder(spark, "listed")
+    entries, n = _listed_pages(spark, sf_dir, folder)
+    at = F.floor(F.col("page_id") / 100).cast("int")
+    for rows, upto in ((entries.where(at < n // 2), n // 2), (entries.where(at >= n // 2), n)):
+        listing.write_pages(rows, folder, at, upto)
+        source = listing.read_listing(spark, folder, "page_id long, url string, size long", stream=True)
+        source.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return _by_host(spark.read.schema("page_id long, url string, size long").parquet(f"{out}/rows"))

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import identifiers, lattice
 from tidewell.functions import text as tx
-from tidewell.operators import access, ann, answers, chunking, docsearch, evals, grids, layout, lexical, lifecycle, records, redaction, retrieval, sync
+from tidewell.operators import access, ann, answers, chunking, docsearch, evals, grids, layout, lexical, lifecycle, proximity, records, redaction, retrieval, sync
 from tidewell.plans import catalogue
 from tidewell.sources.files import html_units
-from tidewell.sources.shared import shared_folder
+from tidewell.sources.shared import shared_folder, stored
 from tidewell.sources.tables import governed_documents, questions, table
 from tidewell.streaming import ingest
 
@@ -148,6 +148,34 @@ def rerank_overlap(spark, sf_dir):
     return _told(_search(spark, sf_dir, limit=10, rerank=True), "rerank_score", "position")
 
 
+@query
+def rerank_proximity(spark, sf_dir):
+    """Hybrid search, reranked by how near a question's terms stand."""
+    found = stored(_search(spark, sf_dir, limit=retrieval.RERANK_FETCH), "fused")
+    scores = proximity.near_scores(found, questions(spark, sf_dir), governed_documents(spark, sf_dir))
+    return _told(proximity.reranked(found, scores, 10), "rerank_score", "position")
+
+
+@query
+def rerank_measures(spark, sf_dir):
+    """Hit rate at one and mean reciprocal rank of the fused order and of two rerankings of it, where the documents that hold a run of an item's terms are expected."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), "text")
+    docs = governed_documents(spark, sf_dir)
+    live = docs.where("deleted_at is null")
+    expected = stored(evals.holders_of(live, items), "expected")
+    asked = _asked(spark, sf_dir).withColumn("is_admin", F.lit(True))
+    found = stored(retrieval.search(asked, docs, _vectors(spark, sf_dir), limit=retrieval.RERANK_FETCH), "fused")
+    near = proximity.reranked(found, proximity.near_scores(found, asked, docs), retrieval.RERANK_FETCH)
+    overlap = retrieval.rerank_overlap(found, asked, docs, retrieval.RERANK_FETCH)
+    out = None
+    for name, rows, place in (("fused", found, "fusion_rank"), ("overlap", overlap, "position"), ("proximity", near, "position")):
+        first = rows.join(expected, ["question_id", "doc_id"]).groupBy("question_id").agg(F.min(place).alias("place"))
+        all_ = expected.select("question_id").distinct().join(first, "question_id", "left")
+        row = all_.agg(F.count("*").alias("questions"), F.round(F.avg((F.coalesce("place", F.lit(0)) == 1).cast("int")), 6).alias("hit_at_1"), F.round(F.avg(F.coalesce(1 / F.col("place"), F.lit(0.0))), 6).alias("mrr")).select(F.lit(name).alias("ranking"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 @query
 def grounding_gate(spark, sf_dir):
     return retrieval.grounding(_search(spark, sf_dir, limit=10), questions(spark, sf_dir), governed_documents(spark, sf_dir))
@@ -611,9 +639,9 @@ def document_search_stemmed(spark, sf_dir):
 def replaced_chunks(spark, sf_dir):
     """A first set of passages (one a document) with the documents of one language chunked anew."""
     docs = table(spark, sf_dir, "documents")
-    stored = docs.select("doc_id", F.lit(0).alias("chunk_index"), F.length("text").alias("char_count"))
+    old = docs.select("doc_id", F.lit(0).alias("chunk_index"), F.length("text").alias("char_count"))
     fresh = _chunks(spark, sf_dir).join(docs.where("lang = 'de'").select("doc_id"), "doc_id", "left_semi").select("doc_id", "chunk_index", "char_count")
-    return records.replace_chunks(stored, fresh).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("char_count").alias("chars"))
+    return records.replace_chunks(old, fresh).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum("char_count").alias("chars"))
 
 
 @query

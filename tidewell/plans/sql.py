@@ -142,7 +142,7 @@ runs as (select doc_id, n, array_to_string(list_slice(ts, i, i + n - 1), ' ') ru
 want_docs as (select distinct question_id, doc_id from runs join keys on runs.run = keys.run and n = k),{_ASK},{_lexical(10, everyone=True)},
 r as (select question_id, min(lexical_rank) k from (select distinct question_id from want_docs) left join (lex join want_docs using (question_id, doc_id)) using (question_id) group by 1)
 select count(*) n, round(avg(case when k = 1 then 1.0 else 0.0 end), 6) hit_at_1, round(avg(case when k <= 5 then 1.0 else 0.0 end), 6) hit_at_5, round(avg(case when k is not null then 1.0 else 0.0 end), 6) hit_at_k, round(avg(coalesce(1.0 / k, 0.0)), 6) mrr from r""",
-    "eval_candidates": r"""select source owner_id, doc_id, cast(row_number() over (partition by source order by md5('20261002:' || doc_id), doc_id) as int) place from documents
+    "eval_candidates": r"""select source owner_id, doc_id, cast(row_number() over (partition by source order by md5('5077:' || doc_id), doc_id) as int) place from documents
 where doc_id % 17 <> 0 and doc_id % 6 <> 0 and doc_id % 11 <> 0 and doc_id % 13 <> 0 and length(text) between 320 and 2400 and coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda t: length(t) >= 3 and not regexp_matches(t, '\p{Nd}')), lambda t: length(t))), 0) / length(text) >= 0.45 qualify place <= 3""",
     "quality_gate": "select source, case when length(coalesce(text, '')) = 0 then 'EMPTY_TEXT' when length(text) < 50 then 'LOW_TEXT_DENSITY' else '' end failures, count(*) n from documents group by all",
     "prose_ratio": r"select doc_id, round(case when length(coalesce(text, '')) = 0 then 0 else coalesce(list_sum(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda t: length(t) >= 3 and not regexp_matches(t, '\p{Nd}')), lambda t: length(t))), 0) / length(text) end, 6) ratio from documents",
