@@ -62,3 +62,14 @@ def test_a_stream_goes_on_from_its_checkpoint_and_sees_whole_pages(spark):
     listing.write_pages(rows.limit(0), folder, page, 5)
     assert run() == 50 and seen[-1] == 50 - first
     assert listing.read_listing(spark, folder, "id long, more string").where("more is null").count() == 50
+
+
+def test_stacked_pieces_are_one_block(spark):
+    from tidewell.operators import layout
+
+    box = lambda word, x, y, w=20.0, h=8.0: (1, word, x, y, x + w, y + h)
+    words = [box("Raw", 0.0, 0.0), box("coal", 0.0, 12.0), box("Boiler", 100.0, 0.0), box("hot", 122.0, 1.0), box("Zeta", 100.0, 13.0), box("alone", 0.0, 60.0), box("left", 60.0, 60.0), box("under", 61.0, 73.0), *(box(f"n{k}", 300.0, 12.0 * k) for k in range(40))]
+    frame = spark.createDataFrame(words, "page long, word string, x1 double, y1 double, x2 double, y2 double")
+    got = {r.text: r.pieces for r in layout.text_blocks(frame, "page").collect()}
+    assert got == {"Raw\ncoal": 2, "Boiler hot\nZeta": 2, "alone": 1, "left\nunder": 2, "\n".join(f"n{k}" for k in range(40)): 40}
+    assert layout.text_blocks(frame.limit(0), "page").count() == 0

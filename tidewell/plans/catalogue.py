@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as tx
-from tidewell.operators import chunking, evals, grids, language, lifecycle, listings, redaction, retrieval, sinks, versioned
+from tidewell.operators import chunking, evals, grids, language, layout, lifecycle, listings, redaction, retrieval, sinks, versioned
 from tidewell.sources import listing
 from tidewell.sources.files import storage_key
 from tidewell.sources.shared import shared_folder
@@ -239,3 +239,20 @@ def stream_listed_hosts(spark, sf_dir):
         source = listing.read_listing(spark, folder, "page_id long, url string, size long", stream=True)
         source.writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
     return _by_host(spark.read.schema("page_id long, url string, size long").parquet(f"{out}/rows"))
+
+
+@query(r"""with recursive w as (select p_partkey % 50 page, 'w' || p_partkey word, p_partkey % 7 * 34.0 + p_partkey % 5 x1, p_partkey // 200 * 13.0 + p_partkey % 3 y1, p_partkey % 7 * 34.0 + p_partkey % 5 + 14 + p_partkey % 11 x2, p_partkey // 200 * 13.0 + p_partkey % 3 + 8 y2 from part),
+c as (select *, (y1 + y2) / 2 cy, 8.0 h from w),
+r as (select *, sum(s) over (partition by page order by cy, x1, word) "row" from (select *, case when coalesce(cy - lag(cy) over (partition by page order by cy, x1, word) > 0.6 * h, true) then 1 else 0 end s from c)),
+q as (select *, sum(t) over (partition by page, "row" order by x1, x2, word) piece from (select *, case when coalesce(x1 - max(x2) over (partition by page, "row" order by x1, x2, word rows between unbounded preceding and 1 preceding) > 2 * h, true) then 1 else 0 end t from r)),
+p as (select page, "row", piece, string_agg(word, ' ' order by x1, x2, word) t, min(x1) l, max(x2) r, round(avg(cy), 6) cy, any_value(h) h from q group by all),
+u as (select b.page, b."row", b.piece, arg_max({'row': a."row", 'piece': a.piece}, {'c': a.cy, 'l': -a.l, 'row': a."row", 'piece': a.piece}) up from p b join p a on a.page = b.page and b.cy > a.cy and b.cy - a.cy <= 1.8 * b.h
+  and (least(b.r, a.r) - greatest(b.l, a.l) >= 0.3 * least(b.r - b.l, a.r - a.l) or abs(b.l - a.l) <= 1.5 * b.h) group by all),
+k as (select page, "row", piece, "row" tr, piece tp from p anti join u using (page, "row", piece) union all select u.page, u."row", u.piece, k.tr, k.tp from u join k on k.page = u.page and k."row" = u.up."row" and k.piece = u.up.piece)
+select page, cast(row_number() over (partition by page order by tr, tp) as int) block, count(*) pieces, string_agg(t, chr(10) order by k."row", k.piece) "text" from k join p using (page, "row", piece) group by page, tr, tp""")
+def text_blocks(spark, sf_dir):
+    """Part names as loose words of pictures: stacked pieces as blocks."""
+    parts = table(spark, sf_dir, "part").select(F.pmod("p_partkey", F.lit(50)).alias("page"), F.col("p_partkey").alias("k"), F.concat(F.lit("w"), F.col("p_partkey").cast("string")).alias("word"))
+    x, y = F.pmod("k", F.lit(7)) * 34.0 + F.pmod("k", F.lit(5)), F.floor(F.col("k") / 200) * 13.0 + F.pmod("k", F.lit(3))
+    words = parts.select("page", "word", x.alias("x1"), y.alias("y1"), (x + 14 + F.pmod("k", F.lit(11))).alias("x2"), (y + 8).alias("y2"))
+    return layout.text_blocks(words, "page")
