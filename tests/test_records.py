@@ -124,3 +124,17 @@ def test_restorable_and_backfill_look_at_the_status(spark):
     assert ids(lifecycle.restorable(df, F.lit("me"), F.lit(True))) == [1, 6, 7]
     jobs = spark.createDataFrame([(9, "PENDING")], "doc_id long, status string")
     assert ids(lifecycle.backfill_candidates(df, jobs, "EMBED")) == [6]
+
+
+def test_a_null_key_gets_an_event_once(spark):
+    import uuid
+
+    from tidewell.operators import sinks
+    from tidewell.sources.shared import shared_folder
+
+    folder, schema = f"{shared_folder(spark)}/audit-{uuid.uuid4().hex}", "event_id long, user_id long, event_type string, ts timestamp"
+    events = spark.createDataFrame([(1, None, "login", NOW), (2, 5, "login", NOW), (3, None, "click", NOW)], schema)
+    sinks.append_audit(events.limit(0), events, folder, "user_id", ("click",))
+    again = spark.createDataFrame([(4, None, "login", NOW), (5, 5, "login", NOW), (6, None, "click", NOW), (7, 6, "login", NOW)], schema)
+    sinks.append_audit(spark.read.parquet(folder), again, folder, "user_id", ("click",))
+    assert sorted(r.event_id for r in spark.read.parquet(folder).collect()) == [1, 2, 3, 6, 7]

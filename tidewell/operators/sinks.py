@@ -1,4 +1,4 @@
-"""Sinks: landing, artifacts, passages replaced by key, vectors written back, audit, reports. Each writes Parquet or JSON below a folder."""
+"""Sinks: landing, artifacts, vectors written back, audit, reports (rows replaced by key: `versioned`). Each writes Parquet or JSON below a folder."""
 
 from __future__ import annotations
 
@@ -20,12 +20,6 @@ def write_artifacts(docs: DataFrame, folder: str, kind: str, key: str = "doc_id"
     rows.write.mode("overwrite").parquet(f"{folder}/{kind}")
 
 
-def write_chunks(fresh: DataFrame, old: DataFrame | None, folder: str, key: str = "doc_id") -> None:
-    """Passages of fresh, and of every document that is not in it the old ones, as a new version of the table."""
-    kept = fresh if old is None else old.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
-    kept.write.mode("errorifexists").parquet(folder)
-
-
 def write_vectors(chunks: DataFrame, vectors: DataFrame, folder: str, key: str = "doc_id", width: int | None = None) -> None:
     """Passages with their vector (null where there is none, or where it has not the table's width), as a new version of the table."""
     fit = vectors if width is None else vectors.where(F.size("embedding") == width)
@@ -33,10 +27,10 @@ def write_vectors(chunks: DataFrame, vectors: DataFrame, folder: str, key: str =
 
 
 def append_audit(old: DataFrame, fresh: DataFrame, folder: str, key: str, repeatable: tuple = ()) -> None:
-    """Appends those events of fresh whose kind the key has not had yet; repeatable kinds in full."""
+    """Appends those events of fresh whose kind the key has not had yet; repeatable kinds in full. A null key is a key of its own."""
     once = first_occurrences(fresh, key, repeatable).join(fresh.drop(key, "event_type"), "event_id")
-    seen = old.where(~F.col("event_type").isin(*repeatable)).select(key, "event_type").distinct()
-    once.join(seen, [key, "event_type"], "left_anti").write.mode("append").parquet(folder)
+    seen = old.where(~F.col("event_type").isin(*repeatable)).select(F.col(key).alias("seen key"), F.col("event_type").alias("seen type")).distinct()
+    once.join(seen, F.col(key).eqNullSafe(F.col("seen key")) & (F.col("event_type") == F.col("seen type")), "left_anti").write.mode("append").parquet(folder)
 
 
 def write_report(rows: DataFrame, folder: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import identifiers, lattice
 from tidewell.functions import text as tx
-from tidewell.operators import access, ann, answers, chunking, docsearch, evals, grids, layout, lexical, lifecycle, proximity, records, redaction, retrieval, sync
+from tidewell.operators import access, ann, answers, chunking, docsearch, evals, grids, layout, lexical, lifecycle, proximity, records, redaction, retrieval, sinks, sync
 from tidewell.plans import catalogue
 from tidewell.sources.files import html_units
 from tidewell.sources.shared import shared_folder, stored
@@ -508,6 +508,14 @@ def batch_status_rollup(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
 
 
+@query
+def report_round_trip(spark, sf_dir):
+    """The rollup of batches as a report: written as one file, and read back."""
+    rows, folder = batch_status_rollup(spark, sf_dir), f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    sinks.write_report(rows, folder)
+    return spark.read.schema(rows.schema).json(folder)
+
+
 @query
 def upload_limits(spark, sf_dir):
     """Orders of a customer and day as an upload batch."""
