@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as tx
-from tidewell.operators import chunking, evals, grids, language, layout, lifecycle, listings, redaction, retrieval, sinks, versioned
+from tidewell.operators import chunking, evals, grids, language, layout, lifecycle, listings, objects, redaction, retrieval, sinks, versioned
 from tidewell.sources import listing
 from tidewell.sources.files import storage_key
 from tidewell.sources.shared import shared_folder
@@ -256,3 +256,18 @@ def text_blocks(spark, sf_dir):
     x, y = F.pmod("k", F.lit(7)) * 34.0 + F.pmod("k", F.lit(5)), F.floor(F.col("k") / 200) * 13.0 + F.pmod("k", F.lit(3))
     words = parts.select("page", "word", x.alias("x1"), y.alias("y1"), (x + 14 + F.pmod("k", F.lit(11))).alias("x2"), (y + 8).alias("y2"))
     return layout.text_blocks(words, "page")
+
+
+@query("""with d as (select doc_id, encode(coalesce(text, '')) c, sha256(coalesce(text, '')) || '.txt' k from documents),
+o as (select distinct k "key", octet_length(c) length from d)
+select * from o where "key" not in (select k from d where doc_id % 10 = 1) union all
+select 'copy-' || "key", length from o where "key" in (select k from d where doc_id % 10 = 0)""")
+def stored_objects(spark, sf_dir):
+    """Texts stored under their digest; some are copied under another key, then some deleted; what is there is listed."""
+    folder = _folder(spark, "objects")
+    docs = table(spark, sf_dir, "documents").withColumn("content", F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
+    docs = docs.select("doc_id", "content", storage_key(F.col("content"), F.lit(".txt")).alias("key"))
+    objects.put_objects(docs.select("key", "content").dropDuplicates(["key"]), folder)
+    objects.copy_objects(docs.where("doc_id % 10 = 0").select(F.col("key").alias("source"), F.concat(F.lit("copy-"), "key").alias("target")).distinct(), folder)
+    objects.delete_objects(docs.where("doc_id % 10 = 1").select("key").distinct(), folder)
+    return objects.list_objects(spark, folder)
