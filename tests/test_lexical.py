@@ -67,4 +67,6 @@ def test_question_blocks_meet_vector_blocks(spark, monkeypatch):
         monkeypatch.setattr(retrieval, "VECTOR_BYTES", size)
         got = retrieval.semantic_arm(ask, frame, 20).withColumn("similarity", F.round("similarity", 7)).collect()
         assert sorted((r.question_id, r.doc_id, r.semantic_rank) for r in got) == sorted(want)
+    nobody = ask.withColumn("viewer_id", F.lit(None).cast("string")).withColumn("is_admin", F.lit(None).cast("boolean"))
+    assert retrieval.semantic_arm(nobody, frame, 5).join(frame.where("classification = 'RESTRICTED'"), "doc_id").count() == 0
     assert retrieval.semantic_arm(ask.limit(0), frame, 5).count() == retrieval.semantic_arm(ask, frame.limit(0), 5).count() == 0

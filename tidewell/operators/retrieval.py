@@ -57,8 +57,8 @@ def question_blocks(asked: DataFrame) -> DataFrame:
 
     def packed(table: pa.Table) -> pa.Table:
         ask = _matrix(table.column("vector").combine_chunks())
-        parts = {"block": table.column("block")[:1], **{c: [table.column(o).to_pylist()] for c, o in (("ids", "question_id"), ("viewers", "viewer_id"), ("admins", "is_admin"))}}
-        return pa.table(parts | {"asked": [ask.tobytes()], "dim": pa.array([ask.shape[1]], pa.int32())})
+        listed = {name: pa.array([table.column(of).to_pylist()], pa.list_(kind)) for name, of, kind in (("ids", "question_id", pa.int64()), ("viewers", "viewer_id", pa.string()), ("admins", "is_admin", pa.bool_()))}
+        return pa.table({"block": table.column("block")[:1], **listed, "asked": pa.array([ask.tobytes()], pa.binary()), "dim": pa.array([ask.shape[1]], pa.int32())})
 
     return stored(rows.where("vector is not null").groupBy("block").applyInArrow(packed, QUESTIONS), "questions")
 
