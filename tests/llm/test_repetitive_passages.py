@@ -36,3 +36,60 @@ def test_a_million_repeated_words_take_time_in_line_with_their_number(spark):
         took.append(time.perf_counter() - began)
         assert (r.n_words, r.n_removed) == (n, n)
     assert took[2] < 8 * took[1] + 2 and took[2] < 90, took
+
+
+class Blind:
+    """An automaton that finds nothing."""
+
+    def __init__(self, *_):
+        pass
+
+    def add_word(self, _):
+        pass
+
+    def make_automaton(self):
+        pass
+
+    def iter(self, _):
+        return iter(())
+
+
+def contents_of(texts: list[str], copies: list[int]) -> list[list]:
+    return [[7, bytes([k]), t.encode(), n] for k, (t, n) in enumerate(zip(texts, copies, strict=True))]
+
+
+def test_the_automaton_finds_what_confirmation_does_not_mark(monkeypatch):
+    w = [f"w{k}" for k in range(60)]
+    # 0 is the first place of two passages that overlap; 1 and 2 confirm one each; 3 has a window of each of two first places
+    texts = [" ".join(w), " ".join(["a", *w[:45]]), " ".join([*w[20:], "b"]), " ".join(["c", *w[1:36], "d"]), " ".join(f"u{k}" for k in range(50))]
+    found = sorted(passages.locate(contents_of(texts, [1] * 5)))
+    assert found == [(b"\0", 0, 60), (b"\1", 1, 46), (b"\2", 0, 40), (b"\3", 1, 36)]
+    confirmed, places = [], {}
+    for k, t in enumerate(texts[:1]):
+        confirmed += passages._confirmed(t.encode(), k << 32, 1, places, 4 * passages.WINDOW)
+    assert confirmed == []  # nothing of the first content is marked by confirmation
+    monkeypatch.setattr(passages.ahocorasick, "Automaton", Blind)
+    assert list(passages.locate(contents_of(texts, [1] * 5))) == []
+
+
+def test_random_contents_equal_a_plain_count():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        base = [[f"{s}{k}" for k in range(90)] for s in "ab"]
+        texts = []
+        for _ in range(int(rng.integers(2, 9))):
+            parts: list[str] = []
+            for _ in range(int(rng.integers(1, 4))):
+                s, i, n = int(rng.integers(2)), int(rng.integers(80)), int(rng.integers(20, 60))
+                parts += base[s][i : i + n] if rng.random() < 0.8 else ["x"] * n
+            texts.append(" ".join(parts))
+        copies = [int(n) for n in rng.integers(1, 3, len(texts)) // rng.integers(1, 3, len(texts))]
+        copies = [max(1, n) for n in copies]
+        count: dict[tuple, int] = {}
+        windows = [[tuple(t.split()[p : p + 35]) for p in range(len(t.split()) - 34)] for t in texts]
+        for ws, n in zip(windows, copies, strict=True):
+            for x in ws:
+                count[x] = count.get(x, 0) + n
+        want = {(bytes([k]), p + j) for k, ws in enumerate(windows) for p, x in enumerate(ws) if count[x] > 1 for j in range(35)}
+        got = {(d, j) for d, a, b in passages.locate(contents_of(texts, copies)) for j in range(a, b)}
+        assert got == want

@@ -11,9 +11,10 @@
    context, in rounds: its contents are taken apart into windows, and windows are dealt out by their first and last
    CONTEXT words. Equal windows have equal context, so they stay together; in the last round the context is the
    whole window, and a shard holds equal windows alone, which are one content. So every shard fits, without a cap.
-4. Automata. A task goes through its shards in order, BATCH contents at a time: it confirms the windows that occur
-   twice (words compared, not hashes), joins neighbours to recurring passages, compiles them into an Aho-Corasick
-   automaton over word numbers, and streams every content of these shards through it to locate every occurrence.
+4. Automata. A task goes through its shards in order, BATCH contents at a time: it confirms the passages of a content
+   that an earlier one has too (words compared, not hashes; a content of several copies is one whole), compiles the
+   different ones into an Aho-Corasick automaton over word numbers, and streams every content of these shards through
+   it. Confirmation names a text, not its places: the first occurrence of a passage is found by the automaton alone.
    Each stretch is read by the one automaton that can match it: work grows with the text, not with text x automata.
 5. Removal. What is located in a content is joined to its places, and the spans of a text to its rows by the text's
    digest. Equal texts are searched once and count as often as they occur; texts are shuffled compressed.
@@ -27,7 +28,6 @@ pass through, those with the names of new ones are replaced.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -198,20 +198,9 @@ def locate(rows: list[list]) -> Iterator[tuple]:
     step = 4 * WINDOW
     passages: set[bytes] = set()
     for i, j in _shards(rows):
-        seen: Counter = Counter()
+        places: dict[bytes, int] = {}
         for k in range(i, j):
-            raw = coded[k].tobytes()
-            for p in range(0, len(raw) - step + 1, 4):
-                seen[raw[p : p + step]] += rows[k][3]
-        for k in range(i, j):
-            raw, start = coded[k].tobytes(), None
-            n = (len(raw) - step) // 4 + 1
-            for p in range(n + 1):
-                if p < n and seen[raw[4 * p : 4 * p + step]] > 1:
-                    start = p if start is None else start
-                elif start is not None:
-                    passages.add(raw[4 * start : 4 * (p - 1) + step])
-                    start = None
+            passages.update(_confirmed(coded[k].tobytes(), k << 32, rows[k][3], places, step))
     if not passages:
         return
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
@@ -229,6 +218,26 @@ def locate(rows: list[list]) -> Iterator[tuple]:
             yield digest, start, end
 
 
+def _confirmed(raw: bytes, base: int, copies: int, places: dict[bytes, int], step: int) -> Iterator[bytes]:
+    """The passages of one content that stand somewhere before it too: places has the first place of each window so far.
+
+    A passage goes on while its windows follow each other at the first place as well, so all of it stands there. That
+    place itself is not marked here, nor is a third one by the first two: where passages stand is for the automaton."""
+    start = before = None
+    for p in range(0, len(raw) - step + 1, 4):
+        here = base + p // 4
+        first = places.setdefault(raw[p : p + step], here)
+        if start is not None and (first == here or first != before + 1):
+            yield raw[start : p - 4 + step]
+            start = None
+        if first != here:
+            start, before = p if start is None else start, first
+    if start is not None:
+        yield raw[start:]
+    if copies > 1 and len(raw) >= step:
+        yield raw
+
+
 def _shards(rows: list[list]) -> Iterator[tuple[int, int]]:
     i = 0
     for j in range(1, len(rows) + 1):
