@@ -48,8 +48,10 @@ STRETCH = 128
 #: Different contents of a shard at most, and words at each end of a window that the rounds deal out by.
 FIT = 2_000
 CONTEXT = (4, 9, (WINDOW + 1) // 2)
-#: Contents that one automaton is compiled from (and one shard's more), and that a task combines at a time.
+#: Contents that a task takes at a time, and words of passages in one automaton (of either, one shard's more), and
+#: contents that a task combines at a time.
 BATCH = 20_000
+COMPILED = 400_000
 HELD = 20_000
 REMEMBERED = 300_000
 
@@ -194,22 +196,56 @@ def _windows(ends: int):
 def locate(rows: list[list]) -> Iterator[tuple]:
     """rows [shard, digest, words, n] of whole shards -> (digest, start, end) of every recurring passage in them."""
     number: dict[bytes, int] = {}
-    coded = [np.array([number.setdefault(w, len(number)) for w in words.split()], np.uint32) for _, _, words, _ in rows]
-    step = 4 * WINDOW
+    coded = [np.array([number.setdefault(w, len(number)) for w in words.split()], np.uint32).tobytes() for _, _, words, _ in rows]
     passages: set[bytes] = set()
+    size = done = 0
     for i, j in _shards(rows):
         places: dict[bytes, int] = {}
         for k in range(i, j):
-            passages.update(_confirmed(coded[k].tobytes(), k << 32, rows[k][3], places, step))
+            for p in _confirmed(coded, k, rows[k][3], places):
+                if p not in passages:
+                    passages.add(p)
+                    size += len(p) // 4
+        if size >= COMPILED or j == len(rows):
+            yield from _streamed(passages, coded[done:j], rows[done:j])
+            passages, size, done = set(), 0, j
+
+
+def _confirmed(coded: list[bytes], k: int, copies: int, places: dict[bytes, int]) -> Iterator[bytes]:
+    """The passages of content k that stand at an earlier place too; places has the first place of each window so far.
+
+    A passage starts with a window seen before and goes on as long as the text at that window's first place does, so
+    all of it stands there. That place is not marked here: where passages stand is for the automaton to find. The
+    second occurrence of any window can only be compared with the first, so each first one is in some passage."""
+    raw, step, start = coded[k], 4 * WINDOW, None
+    for p in range(0, len(raw) - step + 1, 4):
+        here = k << 32 | p
+        first = places.setdefault(raw[p : p + step], here)
+        if start is not None:
+            q += 4
+            if other[q + step - 4 : q + step] == raw[p + step - 4 : p + step]:
+                continue
+            yield raw[start : p - 4 + step]
+            start = None
+        if first != here:
+            start, other, q = p, coded[first >> 32], first & 0xFFFFFFFF
+    if start is not None:
+        yield raw[start:]
+    if copies > 1 and len(raw) >= step:
+        yield raw
+
+
+def _streamed(passages: set[bytes], coded: list[bytes], rows: list[list]) -> Iterator[tuple]:
+    """(digest, start, end) of what an automaton of the passages finds in contents, overlapping and touching spans joined."""
     if not passages:
         return
     automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
     for p in passages:
         automaton.add_word(tuple(np.frombuffer(p, np.uint32).tolist()))
     automaton.make_automaton()
-    for code, (_, digest, _, _) in zip(coded, rows, strict=True):
+    for raw, (_, digest, _, _) in zip(coded, rows, strict=True):
         spans: list[list[int]] = []
-        for end, size in automaton.iter(tuple(code.tolist())):
+        for end, size in automaton.iter(tuple(np.frombuffer(raw, np.uint32).tolist())):
             start = end + 1 - size
             while spans and start <= spans[-1][1]:
                 start = min(start, spans.pop()[0])
@@ -218,26 +254,6 @@ def locate(rows: list[list]) -> Iterator[tuple]:
             yield digest, start, end
 
 
-def _confirmed(raw: bytes, base: int, copies: int, places: dict[bytes, int], step: int) -> Iterator[bytes]:
-    """The passages of one content that stand somewhere before it too: places has the first place of each window so far.
-
-    A passage goes on while its windows follow each other at the first place as well, so all of it stands there. That
-    place itself is not marked here, nor is a third one by the first two: where passages stand is for the automaton."""
-    start = before = None
-    for p in range(0, len(raw) - step + 1, 4):
-        here = base + p // 4
-        first = places.setdefault(raw[p : p + step], here)
-        if start is not None and (first == here or first != before + 1):
-            yield raw[start : p - 4 + step]
-            start = None
-        if first != here:
-            start, before = p if start is None else start, first
-    if start is not None:
-        yield raw[start:]
-    if copies > 1 and len(raw) >= step:
-        yield raw
-
-
 def _shards(rows: list[list]) -> Iterator[tuple[int, int]]:
     i = 0
     for j in range(1, len(rows) + 1):
