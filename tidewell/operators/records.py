@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.functions.joins import small_side
 from tidewell.functions.text import terms
 from tidewell.operators.access import visible
-from tidewell.operators.lifecycle import INACTIVE
+from tidewell.operators.lifecycle import INACTIVE, latest_event
 
 
 def _owner(owner: Column, viewer: Column, admin: Column) -> Column:
@@ -64,7 +64,12 @@ def erase(docs: DataFrame, chunks: DataFrame, jobs: DataFrame, asked: DataFrame,
 
 def document_status(docs: DataFrame, audit: DataFrame) -> DataFrame:
     """Each document with its newest event and, for a refused copy, the active document of the same content."""
-    newest = audit.groupBy("doc_id").agg(F.max(F.struct("ts", "event_id", "event_type")).alias("e")).select("doc_id", F.col("e.event_type").alias("last_event"), F.col("e.event_id").alias("event_id"))
+    return with_status(docs, latest_event(audit, "doc_id"))
+
+
+def with_status(docs: DataFrame, newest: DataFrame) -> DataFrame:
+    """document_status where the newest events (doc_id, event_id, event_type) are known."""
+    newest = newest.select("doc_id", F.col("event_type").alias("last_event"), "event_id")
     canonical = docs.where(~F.col("status").isin(*INACTIVE) & F.col("sha256").isNotNull()).groupBy("sha256").agg(F.min("doc_id").alias("active_id"))
     rows = docs.join(newest, "doc_id", "left").join(canonical, "sha256", "left")
     return rows.select("doc_id", "status", "last_event", "event_id", F.when(F.col("status") == "DUPLICATE", F.col("active_id")).alias("duplicate_of"))

@@ -14,7 +14,7 @@ from tidewell.plans import catalogue
 from tidewell.sources.files import html_units
 from tidewell.sources.shared import shared_folder, stored
 from tidewell.sources.tables import governed_documents, questions, table
-from tidewell.streaming import ingest
+from tidewell.streaming import ingest, status
 
 QUERIES: dict = dict(catalogue.QUERIES)
 
@@ -710,3 +710,11 @@ def stream_first_seen(spark, sf_dir):
     twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2))))
     out = spark.read.parquet(ingest.run_to_end(ingest.first_seen(twice, ["event_id"]).drop("copy"), shared_folder(spark)))
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("events"))
+
+
+@query
+def stream_document_status(spark, sf_dir):
+    """document_status with the newest events kept as state of a stream."""
+    own = status.state_session(spark)
+    events = ingest.read_events(own, sf_dir, "events.parquet").select((F.col("event_id") % 1500).alias("doc_id"), "ts", "event_id", "event_type")
+    return records.with_status(_records(spark, sf_dir), status.follow(spark, events, "doc_id", shared_folder(spark)))

@@ -238,3 +238,4 @@ d as (select doc_id, trim(t, e' \t\n\r') t from c) select doc_id, cast(length(t)
 ORACLE_SQL["questions_of_documents"] = f"select doc_id, count(*) questions from ({ORACLE_SQL['eval_question_templates']}) group by doc_id"
 ORACLE_SQL |= catalogue.ORACLE_SQL
 ORACLE_SQL["report_round_trip"] = ORACLE_SQL["batch_status_rollup"]
+ORACLE_SQL["stream_document_status"] = ORACLE_SQL["document_status"]
