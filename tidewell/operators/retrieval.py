@@ -191,14 +191,17 @@ def fuse(semantic: DataFrame | None, lexical: DataFrame | None, fetch: int) -> D
     return ranked.select("question_id", "doc_id", "score", "semantic_rank", "lexical_rank", "similarity", "fusion_rank")
 
 
-def search(asked: DataFrame, docs: DataFrame, vectors: DataFrame, limit: int = 10, mode: str = "hybrid", rerank: bool = False, scope: DataFrame | None = None) -> DataFrame:
-    """Ranked passages for each question. scope(question_id, doc_id) narrows both arms before they rank."""
+def search(asked: DataFrame, docs: DataFrame, vectors: DataFrame, limit: int = 10, mode: str = "hybrid", rerank: bool = False, scope: DataFrame | None = None, arm=None) -> DataFrame:
+    """Ranked passages for each question. scope(question_id, doc_id) narrows both arms before they rank.
+
+    arm(asked, vectors, pool): in place of the exact semantic arm, one through an index (`quantised.arm`); not with a scope.
+    """
     fetch = max(limit, RERANK_FETCH) if rerank else limit
     pool = candidate_pool(fetch)
     semantic = lexical = None
     if mode in ("hybrid", "semantic"):
         rows = vectors.join(docs.where(F.col("deleted_at").isNull()).select("doc_id", "classification", "owner_id"), "doc_id")
-        semantic = semantic_arm(asked, rows, pool) if scope is None else scoped_arm(asked, rows, scope, pool)
+        semantic = (arm or semantic_arm)(asked, rows, pool) if scope is None else scoped_arm(asked, rows, scope, pool)
     if mode in ("hybrid", "lexical"):
         lexical = lexical_arm(asked, docs, pool, scope)
     found = fuse(semantic, lexical, fetch)

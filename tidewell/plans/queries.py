@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import identifiers, lattice
 from tidewell.functions import text as tx
-from tidewell.operators import access, ann, answers, chunking, docsearch, evals, grids, layout, lexical, lifecycle, proximity, records, redaction, retrieval, sinks, sync
+from tidewell.operators import access, ann, answers, chunking, docsearch, evals, grids, layout, lexical, lifecycle, proximity, quantised, records, redaction, retrieval, sinks, sync
 from tidewell.plans import catalogue
 from tidewell.sources.files import html_units
 from tidewell.sources.shared import shared_folder, stored
@@ -718,3 +718,28 @@ def stream_document_status(spark, sf_dir):
     own = status.state_session(spark)
     events = ingest.read_events(own, sf_dir, "events.parquet").select((F.col("event_id") % 1500).alias("doc_id"), "ts", "event_id", "event_type")
     return records.with_status(_records(spark, sf_dir), status.follow(spark, events, "doc_id", shared_folder(spark)))
+
+
+def _coded(spark, sf_dir):
+    """(index of product codes over the live vectors, its quantiser, the vectors), 64 cells and 16 bytes a vector."""
+    v = _vectors(spark, sf_dir).join(governed_documents(spark, sf_dir).where("deleted_at is null").select("doc_id", "classification", "owner_id"), "doc_id")
+    quantiser, path = quantised.fit(v, 64, 16), f"{shared_folder(spark)}/codes-{uuid.uuid4().hex}"
+    quantised.write_index(v, quantiser, path)
+    return spark.read.schema(quantised.BLOCKS).parquet(path), quantiser, v
+
+
+@query
+def vector_codes_recall(spark, sf_dir):
+    """Recall of the index of product codes against the exact arm for every twentieth vector, and the cells it read."""
+    blocks, quantiser, v = _coded(spark, sf_dir)
+    asked = _vectors(spark, sf_dir).where("doc_id % 20 = 0").select(F.col("doc_id").alias("question_id"), F.col("embedding").alias("vector"), F.lit("src3").alias("viewer_id"), F.lit(False).alias("is_admin"))
+    found = stored(quantised.search(asked, blocks, v, quantiser, 10), "codes-found")
+    read = found.groupBy("question_id").agg(F.max("cells_read").alias("cells_read"))
+    return ann.recall(found, retrieval.semantic_arm(asked, v, 10)).join(read, "question_id", "left")
+
+
+@query
+def hybrid_through_codes(spark, sf_dir):
+    """hybrid_semantic_only with the arm through the index of product codes."""
+    blocks, quantiser, _ = _coded(spark, sf_dir)
+    return _told(_search(spark, sf_dir, limit=10, mode="semantic", arm=quantised.arm(blocks, quantiser)), "fusion_rank")
