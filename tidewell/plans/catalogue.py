@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as tx
-from tidewell.operators import chunking, evals, grids, language, layout, lifecycle, listings, objects, redaction, retrieval, sinks, versioned
+from tidewell.operators import auditlog, chunking, evals, grids, language, layout, lifecycle, listings, objects, redaction, retrieval, sinks, versioned
 from tidewell.sources import listing
 from tidewell.sources.files import storage_key
 from tidewell.sources.shared import shared_folder
@@ -148,6 +148,15 @@ def audit_appended(spark, sf_dir):
     return spark.read.parquet(folder).select("user_id", "event_type", "event_id")
 
 
+@query(ORACLE_SQL["audit_appended"])
+def audit_log_guarded(spark, sf_dir):
+    """audit_appended by the log with filters beside it: even events first, then the odd ones."""
+    events, folder = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts"), _folder(spark, "audit-log")
+    for parity in (0, 1):
+        auditlog.append(events.where(F.col("event_id") % 2 == parity), folder, "user_id", ("click",))
+    return spark.read.parquet(f"{folder}/log").where("event_id % 2 = 1").select("user_id", "event_type", "event_id")
+
+
 @query("select owner_id, considered, sent, withheld, case when sent = 0 or bad = 0 then 'PUBLIC' else 'RESTRICTED' end tier, sent = 0 or considered <> 40 refused from (select source owner_id, count(*) considered, count(*) sent, 0 withheld, count(*) filter (t is distinct from 0) bad from documents left join (select doc_id, max(toxic) t from labels group by 1) using (doc_id) where doc_id % 17 <> 0 group by 1)")
 def boundary_record_open(spark, sf_dir):
     """The record of each owner's documents where the setting lets all tiers pass; 40 documents are expected of each."""
