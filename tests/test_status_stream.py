@@ -14,7 +14,7 @@ SCHEMA = "doc_id long, ts timestamp, event_id long, event_type string"
 def run(spark, files, **law):
     """files: one micro-batch each, in this order."""
     folder = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
-    own = status.state_session(spark)
+    own = status.state_session(spark, 2_000_000 if len(files) == 1 else 10)
     for k, rows in enumerate(files):
         spark.createDataFrame([(d, dt.datetime(2024, 1, 1) + dt.timedelta(hours=h), e, t) for d, h, e, t in rows], SCHEMA).coalesce(1).write.parquet(f"{folder}/f{k}")
     stream = own.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{folder}/f*")

@@ -715,7 +715,7 @@ def stream_first_seen(spark, sf_dir):
 @query
 def stream_document_status(spark, sf_dir):
     """document_status with the newest events kept as state of a stream."""
-    own = status.state_session(spark)
+    own = status.state_session(spark, table(spark, sf_dir, "events").count())
     events = ingest.read_events(own, sf_dir, "events.parquet").select((F.col("event_id") % 1500).alias("doc_id"), "ts", "event_id", "event_type")
     return records.with_status(_records(spark, sf_dir), status.follow(spark, events, "doc_id", shared_folder(spark)))
 

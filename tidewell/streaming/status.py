@@ -13,15 +13,21 @@ from tidewell.streaming.ingest import run_to_end
 
 #: The state store that state of this kind needs.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE_ROWS = 1_000_000
 CHANGES = "key long, part int, at long, event_id long, event_type string"
 
 
-def state_session(spark: SparkSession) -> SparkSession:
-    """A session of the same application for streams with state: the store is its own setting, the caller's are untouched."""
+def state_session(spark: SparkSession, rows: int) -> SparkSession:
+    """A session of the same application for streams with state: the store is its own setting, the caller's are untouched.
+
+    A stream's number of state partitions stays what it was at its first start, and each holds a store of some
+    megabytes on its executor however little is in it. So it goes by `rows`, the events that state is expected for:
+    one partition for each STATE_ROWS, the cluster's parallelism at least.
+    """
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
-    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
-        own.conf.set(name, spark.conf.get(name))
+    own.conf.set("spark.sql.session.timeZone", spark.conf.get("spark.sql.session.timeZone"))
+    own.conf.set("spark.sql.shuffle.partitions", str(max(spark.sparkContext.defaultParallelism, -(-rows // STATE_ROWS))))
     return own
 
 
