@@ -1,9 +1,11 @@
 """Substring dedup of repetitive texts: the same as brute force, in time in line with their length."""
 
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
+import xxhash
 from tests.llm.test_text_operators import brute_passages, docs_of
 
 from tidewell.llm import passages
@@ -91,3 +93,20 @@ def test_random_contents_equal_a_plain_count(monkeypatch, compiled):
         want = {(bytes([k]), p + j) for k, ws in enumerate(windows) for p, x in enumerate(ws) if count[x] > 1 for j in range(35)}
         got = {(d, j) for d, a, b in passages.locate(contents_of(texts, copies)) for j in range(a, b)}
         assert got == want
+
+
+def test_a_worker_keeps_no_table_of_the_words_it_has_hashed():
+    texts = [" ".join(f"w{k * 2000 + j}" for j in range(2000)) for k in range(50)]
+    passages._anchor_rows(texts[:1])
+    tracemalloc.start()
+    try:
+        before, _ = tracemalloc.get_traced_memory()
+        for t in texts:
+            passages._anchor_rows([t])
+        kept = tracemalloc.get_traced_memory()[0] - before
+    finally:
+        tracemalloc.stop()
+    assert kept < 1_000_000, kept
+    words = ["a", "é", "a", "\ud800"]
+    words = [w.encode("utf-8", "surrogatepass") for w in words]
+    assert passages.word_hashes(words).tolist() == [xxhash.xxh64_intdigest(w) for w in words]

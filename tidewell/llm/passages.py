@@ -53,10 +53,8 @@ CONTEXT = (4, 9, (WINDOW + 1) // 2)
 BATCH = 20_000
 COMPILED = 400_000
 HELD = 20_000
-REMEMBERED = 300_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_KNOWN: dict[bytes, int] = {}
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -64,15 +62,8 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_KNOWN) > REMEMBERED:
-        _KNOWN.clear()
-    known, digest, out = _KNOWN, xxhash.xxh64_intdigest, []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = digest(w)
-        out.append(h)
-    return np.array(out, np.uint64)
+    """Nothing is remembered: workers live on through later stages, and a table of words would stay with them."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def anchors(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
