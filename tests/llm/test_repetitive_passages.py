@@ -110,3 +110,19 @@ def test_a_worker_keeps_no_table_of_the_words_it_has_hashed():
     words = ["a", "é", "a", "\ud800"]
     words = [w.encode("utf-8", "surrogatepass") for w in words]
     assert passages.word_hashes(words).tolist() == [xxhash.xxh64_intdigest(w) for w in words]
+
+
+def test_the_result_is_dealt_by_its_own_size_not_by_that_of_the_texts(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{k}" for k in rng.integers(10**9, size=4_000)) for _ in range(40)]
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    sizes = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}
+    for k, v in sizes.items():
+        spark.conf.set(k, v)
+    try:
+        passages.op2_passages(spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    finally:
+        for k in sizes:
+            spark.conf.unset(k)
+    assert len(list((tmp_path / "out").glob("part-*"))) == 1
+    assert spark.read.parquet(str(tmp_path / "out")).where("n_words = 4000 and n_removed = 0").count() == 40

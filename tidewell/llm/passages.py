@@ -342,7 +342,9 @@ def _kept(rows: list) -> list:
 
 def op2_passages(spark, sf_dir):
     out = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    digests = out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    # digests are small beside the texts they were joined with: a few files, not one for each partition of texts
+    return digests.hint("rebalance")
 
 
 #: Windows as word lists, counted by grouping.
