@@ -116,6 +116,40 @@ def test_the_index_finds_what_may_be_seen(spark, probes):
     assert all(r.doc_id % 2 == 0 for r in found.where("question_id <> 4").collect())
 
 
+def test_a_search_of_the_index_makes_no_row_of_a_pair(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in rng.integers(-2, 3, 8) + 0.5]) for k in range(300)] + [(400, [0.0] * 8)]
+    vectors = spark.createDataFrame(rows, "doc_id long, embedding array<double>")
+    docs = spark.createDataFrame([(k, "RESTRICTED" if k % 3 == 0 else None, f"o{k % 4}" if k % 5 else None, None) for k, _ in rows], "doc_id long, classification string, owner_id string, deleted_at timestamp").repartition(6)
+    asked = spark.createDataFrame([(k, rows[k][1], f"o{k % 4}" if k % 2 else None, k == 9) for k in range(40)] + [(50, None, "o1", True), (51, [1.0], "o1", True)], "question_id long, vector array<double>, viewer_id string, is_admin boolean")
+    centres = ann.fit_centroids(vectors, 6)
+    found = ann.search(asked, ann.index(vectors, centres), docs, centres, 7, 6)
+    assert "zip_with" not in found._jdf.queryExecution().optimizedPlan().toString()
+    exact = retrieval.semantic_arm(asked.where("question_id < 50"), vectors.join(docs, "doc_id"), 7)
+    told = lambda df: sorted((r.question_id, r.doc_id, r.semantic_rank) for r in df.collect())
+    assert told(found) == told(exact) and len(told(found)) == 280
+
+
+@pytest.mark.parametrize("width", [5, 64])
+@pytest.mark.parametrize("askers", [0, 32])
+def test_the_nearest_of_many_blocks_are_the_nearest_of_all(width, askers, monkeypatch):
+    monkeypatch.setattr(retrieval, "ASKERS", askers)
+    rng = np.random.default_rng(6)
+    ask, known = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (rng.integers(-1, 2, (30, 12)) + 0.3, rng.integers(-1, 2, (640, 12)) + 0.3))
+    known[100:160] = known[7] * (1 + 1e-11)
+    docs, so_far, got = rng.permutation(640), retrieval.nothing(30, 9), []
+    rights = {"viewers": [f"o{k % 3}" if k % 4 else None for k in range(30)], "admins": [k == 5 for k in range(30)], "ids": list(range(30))}
+    tiers, owners = (rng.random(640) < 0.7).tolist(), [f"o{k % 9}" if k % 2 else None for k in range(640)]
+    for at in range(0, 640, width):
+        part = slice(at, at + width)
+        q, d, s = retrieval.best_of(rights | {"asked": ask.tobytes(), "known": known[part].tobytes(), "docs": docs[part].tolist(), "open": tiers[part], "owners": owners[part]}, 9, so_far)
+        got += zip(q.tolist(), (-s).tolist(), d.tolist(), strict=True)
+    for row in range(30):
+        may = [k for k in range(640) if tiers[k] or row == 5 or (owners[k] is not None and owners[k] == rights["viewers"][row])]
+        want = sorted((-round(float(ask[row] @ known[k]), 9), int(docs[k])) for k in may)[:9]
+        assert [d for _, d in sorted((s, d) for q, s, d in got if q == row)[:9]] == [d for _, d in want]
+
+
 def test_restorable_and_backfill_look_at_the_status(spark):
     rows = [(1, "LIVE", 1, None), (2, "LIVE", None, None), (3, "LIVE", 1, 2), (4, "SUPERSEDED", 1, None), (5, "DUPLICATE", 1, None), (6, "CHUNKED", 1, None)]
     df = spark.createDataFrame([(*r, "me") for r in rows] + [(7, "LIVE", 1, None, "you")], "doc_id long, status string, deleted_at long, purged_at long, owner_id string")

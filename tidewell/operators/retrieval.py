@@ -33,6 +33,11 @@ RERANK_CHARS = 900
 MIN_SIMILARITY = 0.55
 #: Questions of a block, bytes of a block of vectors, and bytes of all question blocks that may be broadcast.
 QUESTION_BLOCK, VECTOR_BYTES, BROADCAST_BYTES = 1000, 2 << 20, 64 << 20
+#: Products that differ by less may be equal once they are rounded; the error of single precision for each dimension of unit
+#: vectors, with room; what every product is above.
+SLACK, SINGLE, LOWEST = 2e-9, 1.2e-7, float(np.finfo(np.float32).min)
+#: Askers of a block that have a product each, products taken again at a time, and question blocks whose best a task remembers.
+ASKERS, TAKEN, HELD = 32, 1 << 16, 64
 
 
 def candidate_pool(limit: int) -> int:
@@ -63,7 +68,7 @@ def question_blocks(asked: DataFrame) -> DataFrame:
     return stored(rows.where("vector is not null").groupBy("block").applyInArrow(packed, QUESTIONS), "questions")
 
 
-def _packed_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def packed_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Vectors, in rows of VECTOR_BYTES at most and of one length."""
     for b in batches:
         b = b.filter(b.column(1).is_valid())
@@ -78,6 +83,13 @@ def _packed_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([pa.array([docs.to_pylist()], pa.list_(pa.int64())), pa.array([owners.to_pylist()], pa.list_(pa.string())), pa.array([open_]), pa.array([_matrix(vectors).tobytes()]), pa.array([size], pa.int32())], ["docs", "owners", "open", "known", "size"])
 
 
+def met_blocks(packed: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Every row of packed beside every row of blocks(block, asked, ...): broadcast if they may be, else joined on the number of the block."""
+    some = blocks.select("block", F.octet_length("asked").alias("bytes")).agg(F.max("block").alias("last"), F.sum("bytes").alias("bytes")).first()
+    numbers = F.sequence(F.lit(0), F.lit(some["last"] or 0)).cast("array<long>")
+    return packed.withColumn("block", F.explode(numbers)).join(F.broadcast(blocks) if (some["bytes"] or 0) <= BROADCAST_BYTES else blocks, "block")
+
+
 def semantic_arm(asked: DataFrame, vectors: DataFrame, pool: int) -> DataFrame:
     """(question_id, doc_id, similarity, semantic_rank).
 
@@ -86,13 +98,9 @@ def semantic_arm(asked: DataFrame, vectors: DataFrame, pool: int) -> DataFrame:
     another length than a question's, are not met; those of length zero come last.
     """
     blocks = question_blocks(asked)
-    packed = vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"), "classification", "owner_id").mapInArrow(_packed_vectors, VECTORS)
-    some = blocks.select("block", "dim", F.octet_length("asked").alias("bytes")).agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
-    if not some["n"]:
-        return top(asked.sparkSession.createDataFrame([], "question_id long, doc_id long, similarity double"), "question_id", [F.col("similarity").desc(), F.col("doc_id")], pool, "semantic_rank")
-    numbers = F.sequence(F.lit(0), F.lit(blocks.agg(F.max("block")).first()[0])).cast("array<long>")
-    met = packed.withColumn("block", F.explode(numbers)).join(F.broadcast(blocks) if some["bytes"] <= BROADCAST_BYTES else blocks, "block").where("dim = size")
-    found = met.drop("block", "dim", "size").mapInArrow(_best(pool), "question_id long, doc_id long, similarity double")
+    packed = vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"), "classification", "owner_id").mapInArrow(packed_vectors, VECTORS)
+    met = met_blocks(packed, blocks).where("dim = size").drop("dim", "size")
+    found = met.mapInArrow(_best(pool), "question_id long, doc_id long, similarity double")
     return top(found, "question_id", [F.col("similarity").desc(), F.col("doc_id")], pool, "semantic_rank")
 
 
@@ -107,30 +115,94 @@ def scoped_arm(asked: DataFrame, vectors: DataFrame, scope: DataFrame, pool: int
 
 def _best(pool: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        so_far: dict[int, np.ndarray] = {}
         for b in batches:
             for k in range(b.num_rows):
-                ids, docs, sims = best_of(b.slice(k, 1).to_pylist()[0], pool)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(docs, pa.int64()), pa.array(sims, pa.float64())], ["question_id", "doc_id", "similarity"])
+                row = b.slice(k, 1).to_pylist()[0]
+                if (at := row["block"]) not in so_far:
+                    make_room(so_far)
+                    so_far[at] = nothing(len(row["ids"]), pool)
+                yield told(*best_of(row, pool, so_far[at]))
 
     return run
 
 
-def best_of(row: dict, pool: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The best `pool` vectors of a block for each question of a block, among those that its asker may see."""
-    ids, docs = np.array(row["ids"]), np.array(row["docs"])
-    sims = np.round(np.frombuffer(row["asked"]).reshape(len(ids), -1) @ np.frombuffer(row["known"]).reshape(len(docs), -1).T, 9)
+def nothing(questions: int, pool: int) -> np.ndarray:
+    return np.full((questions, pool), LOWEST)
+
+
+def make_room(held: dict) -> None:
+    """Before a block's figures are added: a task holds those of HELD blocks of questions; without them it gives more rows than it must."""
+    if len(held) >= HELD:
+        held.clear()
+
+
+def told(ids: np.ndarray, docs: np.ndarray, sims: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(docs, pa.int64()), pa.array(sims, pa.float64())], ["question_id", "doc_id", "similarity"])
+
+
+def best_of(row: dict, pool: int, so_far: np.ndarray, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The best `pool` vectors of a block for each question of a block (or those at `among`), among those that its asker may see.
+
+    so_far: see nearest(); it is kept for all questions of the block.
+    """
+    ask, known = np.frombuffer(row["asked"]).reshape(len(row["ids"]), -1), np.frombuffer(row["known"]).reshape(len(row["docs"]), -1)
+    return seen_nearest(row, ask, known, pool, so_far, np.arange(len(ask)) if among is None else among)
+
+
+def seen_nearest(row: dict, ask: np.ndarray, known: np.ndarray, pool: int, so_far: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """nearest() as ids, for the questions at `some` and what their askers may see: of few askers one product each, else one with a mask."""
+    ids, docs, everyone = np.array(row["ids"]), np.array(row["docs"]), np.array(row["open"], bool)
     names = {v: k for k, v in enumerate({*row["viewers"], *row["owners"]} - {None})}
-    owners, viewers = np.array([names.get(o, -1) for o in row["owners"]]), np.array([names.get(v, -2) for v in row["viewers"]])
-    may = np.array(row["open"])[None, :] | np.array([bool(a) for a in row["admins"]])[:, None] | (owners[None, :] == viewers[:, None])
-    sims = np.where(may, np.where(np.isnan(sims), -2.0, sims), -np.inf)
-    least = np.partition(sims, len(docs) - pool, axis=1)[:, len(docs) - pool] if len(docs) > pool else np.full(len(ids), -np.inf)
-    q, d = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
-    order = np.lexsort((docs[d], -sims[q, d], q))
-    q, d = q[order], d[order]
+    owners = np.array([names.get(o, -1) for o in row["owners"]])
+    asker = np.array([-3 if a else names.get(v, -2) for v, a in zip(row["viewers"], row["admins"], strict=True)])[some]
+    groups = np.unique(asker).tolist()
+    found = []
+    if len(groups) <= ASKERS:
+        for g in groups:
+            q, d = some[asker == g], np.arange(len(docs)) if g == -3 else np.flatnonzero(everyone | (owners == g))
+            if len(d):
+                at, of, s, so_far[q] = nearest(ask[q], known[d], docs[d], pool, so_far[q])
+                found.append((q[at], d[of], s))
+    else:
+        at, of, s, so_far[some] = nearest(ask[some], known, docs, pool, so_far[some], everyone[None, :] | (asker == -3)[:, None] | (owners[None, :] == asker[:, None]))
+        found.append((some[at], of, s))
+    q, d, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+    return ids[q], docs[d], np.where(s == -2.0, np.nan, s)
+
+
+def nearest(ask: np.ndarray, known: np.ndarray, docs: np.ndarray, pool: int, so_far: np.ndarray, may: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ask, row of known, product, so_far) of the best `pool` of each row by product rounded to 9 places, then by docs; -2 for rows that are no numbers.
+
+    Products of single precision tell what can be among them, with a margin for their error; those are taken again.
+    so_far: the best `pool` products of each row in this task's blocks, LOWEST where there are none. What lies below the
+    last of them is left out. So all blocks of a task together give all that can be among a row's best, and `pool` of
+    them at least where it has so many.
+    """
+    lost = np.isnan(ask).any(axis=1), np.isnan(known).any(axis=1)
+    margin = SLACK + SINGLE * known.shape[1] * max(1.0, float(np.abs(np.nan_to_num(known)).max(initial=0.0)))
+    sims = ask.astype(np.float32) @ known.astype(np.float32).T
+    if lost[0].any() or lost[1].any():
+        sims[lost[0][:, None] | lost[1][None, :]] = -2.0
+    if may is not None:
+        sims[~may] = -np.inf
+    floor = np.maximum(so_far.min(axis=1) - margin, LOWEST).astype(np.float32)
+    hit = sims >= floor[:, None]
+    many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 2 * pool) if sims.shape[1] > pool else ()
+    if len(many):
+        least = np.partition(sims[many], sims.shape[1] - pool, axis=1)[:, sims.shape[1] - pool]
+        hit[many] = sims[many] >= np.maximum(floor[many], least - np.float32(2 * margin))[:, None]
+    q, d = np.nonzero(hit)
+    s = np.concatenate([np.round(np.einsum("ij,ij->i", ask[q[k : k + TAKEN]], known[d[k : k + TAKEN]]), 9) for k in range(0, len(q), TAKEN)] or [np.zeros(0)])
+    s[lost[0][q] | lost[1][d]] = -2.0
+    order = np.lexsort((docs[d], -s, q))
+    q, d, s = q[order], d[order], s[order]
     first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
     place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
-    keep = place < pool
-    return ids[q[keep]], docs[d[keep]], np.where(sims[q[keep], d[keep]] == -2.0, np.nan, sims[q[keep], d[keep]])
+    q, d, s, place = (x[place < pool] for x in (q, d, s, place))
+    fresh = nothing(len(ask), pool)
+    fresh[q, place] = s
+    return q, d, s, np.partition(np.concatenate([so_far, fresh], axis=1), pool, axis=1)[:, pool:]
 
 
 def postings(docs: DataFrame, field: str) -> DataFrame:
