@@ -75,3 +75,18 @@ def test_search_through_the_index(spark, small):
     got = queries()["hybrid_through_codes"](spark, small).collect()
     want = {(r.question_id, r.doc_id) for r in queries()["hybrid_semantic_only"](spark, small).collect()}
     assert len({(r.question_id, r.doc_id) for r in got} & want) >= 0.9 * len(want)
+
+
+def test_codes_of_a_cell_stand_together_and_questions_of_a_block_meet_them_at_once(spark, monkeypatch):
+    rows = clusters(900, 3, 8)
+    vectors = spark.createDataFrame(rows, VECTORS).repartition(30)
+    q = quantised.fit(vectors, 3, 2)
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    quantised.write_index(vectors, q, path)
+    blocks = spark.read.schema(quantised.BLOCKS).parquet(path)
+    assert blocks.count() <= 3 * 4 and sum(len(r.docs) for r in blocks.collect()) == 900
+    asked = spark.createDataFrame([(k, rows[k][1], f"o{k % 5}", k == 3) for k in range(50)], ASKED)
+    told = lambda df: sorted((r.question_id, r.doc_id, r.similarity, r.semantic_rank, r.cells_read) for r in df.collect())
+    whole = told(quantised.search(asked, blocks, vectors, q, 5, short=8, first=1))
+    monkeypatch.setattr(quantised, "QUESTION_ROWS", 7)
+    assert told(quantised.search(asked, blocks, vectors, q, 5, short=8, first=1)) == whole and len(whole) == 250

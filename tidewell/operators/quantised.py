@@ -1,8 +1,8 @@
 """A vector index of cells and product codes, read in strict order of what a cell can still hold.
 
 A vector of length one is its cell's centre and a residual; the residual is cut into `parts` pieces, each named by the
-nearest of 256 words: a byte a piece instead of eight a number. A question's products with all words are a table, so
-the likeness of a code is a sum of `parts` entries; vectors themselves are read for the best `short` codes alone.
+nearest of 256 words: a byte a piece instead of eight a number. The likeness of a code is the question's product with
+the vector that it stands for; vectors themselves are read for the best `short` codes alone.
 
 Cells are read by their bound, centre's likeness plus `reach` times the cell's radius, largest first, twice as many in
 each round, until a question has `short` visible codes and no unread cell's bound comes up to the last of them. Rights
@@ -19,18 +19,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.vectors import cosine
 from tidewell.operators.ann import ROUNDS, SAMPLE, fit_centroids
-from tidewell.operators.retrieval import top
+from tidewell.operators.retrieval import LOWEST, SLACK, make_room, met_blocks, seen_nearest, told, top
 from tidewell.sources.shared import stored
 
 WORDS = 256
 #: Codes and questions that meet at a time, and bytes of a quantiser that tasks are sent.
-CODE_ROWS, QUESTION_ROWS, MAX_BYTES = 4096, 256, 64 << 20
+CODE_ROWS, QUESTION_ROWS, MAX_BYTES = 4096, 1000, 64 << 20
+#: Files that a cell's codes are dealt over.
+CELL_FILES = 4
 BLOCKS = "cell int, docs array<long>, owners array<string>, open array<boolean>, codes binary, radius double"
+QUESTIONS = "block long, ids array<long>, viewers array<string>, admins array<boolean>, asked binary, cells binary, least binary"
 
 
 @dataclass
@@ -104,9 +108,28 @@ def index(vectors: DataFrame, quantiser: Quantiser) -> DataFrame:
     return rows.mapInPandas(run, BLOCKS)
 
 
+def _merged(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """BLOCKS sorted by cell -> BLOCKS, those of a cell put together up to CODE_ROWS."""
+    held: list = []
+
+    def out() -> pd.DataFrame:
+        docs, owners, open_ = ([x for r in held for x in r[k]] for k in (1, 2, 3))
+        return pd.DataFrame([(held[0][0], docs, owners, open_, b"".join(r[4] for r in held), max(r[5] for r in held))], columns=["cell", "docs", "owners", "open", "codes", "radius"])
+
+    for pdf in batches:
+        for r in pdf.itertuples(index=False, name=None):
+            if held and (held[0][0] != r[0] or sum(len(h[1]) for h in held) + len(r[1]) > CODE_ROWS):
+                yield out()
+                held = []
+            held.append(r)
+    if held:
+        yield out()
+
+
 def write_index(vectors: DataFrame, quantiser: Quantiser, folder: str) -> None:
     """The index as one folder a cell: a round reads the cells that its questions ask for."""
-    index(vectors, quantiser).write.mode("errorifexists").partitionBy("cell").parquet(folder)
+    dealt = index(vectors, quantiser).repartition("cell", F.pmod(F.xxhash64(F.get("docs", F.lit(0))), F.lit(CELL_FILES)))
+    dealt.sortWithinPartitions("cell").mapInPandas(_merged, BLOCKS).write.mode("errorifexists").partitionBy("cell").parquet(folder)
 
 
 def _ordered(asked: DataFrame, quantiser: Quantiser, radius: dict[int, float], reach: float) -> DataFrame:
@@ -128,23 +151,42 @@ def _ordered(asked: DataFrame, quantiser: Quantiser, radius: dict[int, float], r
     return rows.mapInPandas(run, "question_id long, vector array<double>, viewer_id string, is_admin boolean, cells array<int>, bounds array<double>")
 
 
+def _packed(take: int):
+    """Waiting questions of a block as QUESTIONS; cells: those of this round, -1 where a question has no more."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pydict()
+        q = np.array(rows["vector"], float)
+        cells = np.array([c + [-1] * (take - len(c)) for c in rows["cells"]], np.int32)
+        least = np.array([LOWEST if x is None else x for x in rows["least"]])
+        listed = {name: pa.array([rows[of]], pa.list_(kind)) for name, of, kind in (("ids", "question_id", pa.int64()), ("viewers", "viewer_id", pa.string()), ("admins", "is_admin", pa.bool_()))}
+        return pa.table({"block": table.column("block")[:1], **listed, **{name: pa.array([x.tobytes()], pa.binary()) for name, x in (("asked", q), ("cells", cells), ("least", least))}})
+
+    return run
+
+
 def _scored(quantiser: Quantiser, short: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for r in pdf.itertuples(index=False):
-                q = np.array([a["vector"] for a in r.asked], float)
-                code = np.frombuffer(r.codes, np.uint8).reshape(len(r.docs), -1)
-                like = np.repeat((q @ quantiser.centres[r.cell])[:, None], len(code), axis=1)
-                for j, words in enumerate(quantiser.books):
-                    like += (q[:, quantiser.edges[j] : quantiser.edges[j + 1]] @ words.T)[:, code[:, j]]
-                docs, owners, everyone = np.array(r.docs), np.array(r.owners, object), np.array(r.open, bool)
-                out = []
-                for a, row in zip(r.asked, like, strict=True):
-                    mine = owners == a["viewer_id"] if a["viewer_id"] is not None else np.zeros(len(docs), bool)
-                    seen = np.flatnonzero(everyone | bool(a["is_admin"]) | mine)
-                    best = seen[np.lexsort((docs[seen], -row[seen]))[:short]]
-                    out.append(pd.DataFrame({"question_id": a["question_id"], "doc_id": docs[best], "guess": row[best]}))
-                yield pd.concat(out)
+    """(question_id, doc_id, guess) of the best `short` codes of a block of one cell, for those questions of a block that want it.
+
+    A code's likeness is the question's product with the vector that it stands for, so a pair of blocks is one matrix product.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        so_far: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k in range(b.num_rows):
+                row = b.slice(k, 1).to_pylist()[0]
+                ids, docs = row["ids"], row["docs"]
+                some = np.flatnonzero((np.frombuffer(row["wanted"], np.int32).reshape(len(ids), -1) == row["cell"]).any(axis=1))
+                if not len(some):
+                    continue
+                if (at := row["block"]) not in so_far:
+                    make_room(so_far)
+                    so_far[at] = np.repeat(np.frombuffer(row["least"])[:, None], short, axis=1)
+                code = np.frombuffer(row["codes"], np.uint8).reshape(len(docs), -1)
+                known = quantiser.centres[row["cell"]] + np.concatenate([words[code[:, j]] for j, words in enumerate(quantiser.books)], axis=1)
+                asked = np.frombuffer(row["asked"]).reshape(len(ids), -1)
+                yield told(*seen_nearest(row, asked, known, short, so_far[at], some)).rename_columns(["question_id", "doc_id", "guess"])
 
     return run
 
@@ -154,30 +196,34 @@ def search(asked: DataFrame, blocks: DataFrame, vectors: DataFrame, quantiser: Q
 
     asked(question_id, vector, viewer_id, is_admin); blocks: the index; vectors(doc_id, embedding) for the exact
     similarities, joined on the id. A document deleted since has no row in vectors and takes no place of the result.
+    Questions go in blocks, and a block meets the blocks of the round's cells; what a question has found already is the
+    least that a code must have to leave a task. Guesses are rounded to 9 places, ties go to the smaller doc_id.
     """
     radius = {r["cell"]: r["radius"] for r in blocks.groupBy("cell").agg(F.max("radius").alias("radius")).collect()}  # at most one row a cell
-    parts = max(1, -(-asked.count() // QUESTION_ROWS))
-    waiting = stored(_ordered(asked, quantiser, radius, reach), "quantised-asked")
-    found = told = None
+    waiting = stored(_ordered(asked, quantiser, radius, reach).withColumn("least", F.lit(None).cast("double")), "quantised-asked")
+    found = ended = None
     done, take = 0, first
     while done < len(radius):
-        want = waiting.select(F.explode(F.slice("cells", done + 1, take)).alias("cell"), F.pmod(F.xxhash64("question_id"), F.lit(parts)).alias("part"), F.struct("question_id", "vector", "viewer_id", "is_admin").alias("a"))
-        met = want.groupBy("cell", "part").agg(F.collect_list("a").alias("asked")).join(blocks, "cell").select("cell", "asked", "docs", "owners", "open", "codes")
-        fresh = met.mapInPandas(_scored(quantiser, short), "question_id long, doc_id long, guess double")
+        parts = max(1, -(-waiting.count() // QUESTION_ROWS))
+        round_ = waiting.select(F.pmod(F.xxhash64("question_id"), F.lit(parts)).alias("block"), "question_id", "vector", "viewer_id", "is_admin", "least", F.slice("cells", done + 1, take).alias("cells"))
+        packed = stored(round_.groupBy("block").applyInArrow(_packed(min(take, len(radius))), QUESTIONS), "quantised-round").withColumnRenamed("cells", "wanted")
+        named = [r["cell"] for r in round_.select(F.explode("cells").alias("cell")).distinct().collect()]  # at most one row a cell
+        met = met_blocks(blocks.where(F.col("cell").isin(named)).drop("radius"), packed)
+        fresh = met.mapInArrow(_scored(quantiser, short), "question_id long, doc_id long, guess double")
         best = fresh if found is None else found.join(waiting.select("question_id"), "question_id", "left_semi").select("question_id", "doc_id", "guess").unionByName(fresh)
         found = stored(top(best, "question_id", [F.col("guess").desc(), F.col("doc_id")], short, "place"), "quantised-found")
         done, take = done + take, 2 * take
-        state = waiting.join(found.groupBy("question_id").agg(F.count("*").alias("n"), F.min("guess").alias("least")), "question_id", "left")
-        ends = (F.lit(done) >= F.size("cells")) | F.coalesce((F.col("n") >= short) & (F.get("bounds", F.lit(done)) < F.col("least")), F.lit(False))
-        state = stored(state.withColumn("ends", ends).drop("n", "least"), "quantised-state")
-        ended = found.join(state.where("ends").select("question_id"), "question_id", "left_semi").select("question_id", "doc_id", F.lit(min(done, len(radius))).alias("cells_read"))
-        told = ended if told is None else told.unionByName(ended)
+        state = waiting.drop("least").join(found.groupBy("question_id").agg(F.count("*").alias("n"), F.min("guess").alias("least")), "question_id", "left")
+        ends = (F.lit(done) >= F.size("cells")) | F.coalesce((F.col("n") >= short) & (F.get("bounds", F.lit(done)) < F.col("least") - SLACK), F.lit(False))
+        state = stored(state.withColumn("ends", ends).withColumn("least", F.when(F.col("n") >= short, F.col("least"))).drop("n"), "quantised-state")
+        over = found.join(state.where("ends").select("question_id"), "question_id", "left_semi").select("question_id", "doc_id", F.lit(min(done, len(radius))).alias("cells_read"))
+        ended = over if ended is None else ended.unionByName(over)
         waiting = state.where("not ends").drop("ends")
         if waiting.isEmpty():
             break
-    if told is None:
+    if ended is None:
         return asked.sparkSession.createDataFrame([], "question_id long, doc_id long, similarity double, semantic_rank int, cells_read int")
-    exact = told.join(vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding")), "doc_id").join(asked.select("question_id", F.col("vector").cast("array<double>").alias("vector")), "question_id")
+    exact = ended.join(vectors.select("doc_id", F.col("embedding").cast("array<double>").alias("embedding")), "doc_id").join(asked.select("question_id", F.col("vector").cast("array<double>").alias("vector")), "question_id")
     exact = exact.select("question_id", "doc_id", F.round(cosine(F.col("vector"), F.col("embedding")), 9).alias("similarity"), "cells_read")
     return top(exact, "question_id", [F.col("similarity").desc(), F.col("doc_id")], pool, "semantic_rank")
 

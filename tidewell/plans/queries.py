@@ -722,7 +722,7 @@ def stream_document_status(spark, sf_dir):
 
 def _coded(spark, sf_dir):
     """(index of product codes over the live vectors, its quantiser, the vectors), 64 cells and 16 bytes a vector."""
-    v = _vectors(spark, sf_dir).join(governed_documents(spark, sf_dir).where("deleted_at is null").select("doc_id", "classification", "owner_id"), "doc_id")
+    v = stored(_vectors(spark, sf_dir).join(governed_documents(spark, sf_dir).where("deleted_at is null").select("doc_id", "classification", "owner_id"), "doc_id"), "codes-vectors")
     quantiser, path = quantised.fit(v, 64, 16), f"{shared_folder(spark)}/codes-{uuid.uuid4().hex}"
     quantised.write_index(v, quantiser, path)
     return spark.read.schema(quantised.BLOCKS).parquet(path), quantiser, v
