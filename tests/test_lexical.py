@@ -70,3 +70,29 @@ def test_question_blocks_meet_vector_blocks(spark, monkeypatch):
     nobody = ask.withColumn("viewer_id", F.lit(None).cast("string")).withColumn("is_admin", F.lit(None).cast("boolean"))
     assert retrieval.semantic_arm(nobody, frame, 5).join(frame.where("classification = 'RESTRICTED'"), "doc_id").count() == 0
     assert retrieval.semantic_arm(ask.limit(0), frame, 5).count() == retrieval.semantic_arm(ask, frame.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("hot, file, segment", [(500_000, 2_000_000, 4_000_000), (40, 300, 500)])
+def test_an_index_is_written_by_one_shuffle_of_segments(spark, monkeypatch, hot, file, segment):
+    for name, value in zip(("HOT", "FILE_POSTINGS", "SEGMENT_TERMS"), (hot, file, segment), strict=True):
+        monkeypatch.setattr(lexical, name, value)
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choice(["the", "of", "a\u00e9", "\U0001d400x", f"w{rng.randint(0, 60)}"]) for _ in range(n))
+    rows = [(k, words(rng.randint(0, 40)) or None, words(3), rng.choice(["PUBLIC", "RESTRICTED", None]), rng.choice(["a", "b", None]), None) for k in range(250)]
+    rows += [rows[5], (5, rows[5][1] + " the w1", *rows[5][2:]), (7, "the w2", "of", "PUBLIC", "z", None), (None, "the w3", "t", None, None, None), (None, "the w3", "t", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, title string, classification string, owner_id string, deleted_at timestamp").repartition(3)
+    path = f"{shared_folder(spark)}/once-{uuid.uuid4().hex}"
+    lexical.write_blocks(docs, path, ["doc_id"], buckets=3)
+    old = lexical.weighed(lexical.counted_terms(docs, ["doc_id"], lexical.FIELDS))
+    new = lexical.Blocks(spark, path).above(old.select("term", F.lit(0.0).alias("least")).distinct())
+    flat = lambda df: sorted((r.term, str(r.key), str(r.classification), str(r.owner_id), round(r.impact, 9)) for r in df.collect())
+    assert flat(new.select(old.columns)) == flat(old)
+    wanted = spark.createDataFrame([(q, t, v, q == 2) for q, v in ((1, "a"), (2, None), (3, "b")) for t in ("the", "w1", "w2", "a\u00e9", "none")], "question_id long, term string, viewer_id string, is_admin boolean")
+    full = lexical.best_of_texts(wanted, docs, ["doc_id"], 6, retrieval.may_see())
+    assert told(lexical.best(wanted, lexical.Blocks(spark, path), 6, retrieval.may_see())) == told(full)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)]
+    assert not any(n.startswith(("tidewell-figures", "tidewell-postings", "tidewell-layers")) for n in names)
+    empty = f"{shared_folder(spark)}/none-{uuid.uuid4().hex}"
+    lexical.write_blocks(docs.limit(0), empty, ["doc_id"])
+    assert lexical.best(wanted, lexical.Blocks(spark, empty), 6, retrieval.may_see()).count() == 0

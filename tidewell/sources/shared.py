@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,3 +36,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/tidewell-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def borrowed(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """stored(), for the length of a block: what was written is deleted after it."""
+    spark, path = df.sparkSession, f"{shared_folder(df.sparkSession)}/tidewell-{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
