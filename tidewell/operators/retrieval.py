@@ -24,7 +24,7 @@ from tidewell.functions.vectors import cosine
 from tidewell.operators import lexical
 from tidewell.operators.access import visible
 from tidewell.operators.lexical import top
-from tidewell.sources.shared import stored
+from tidewell.sources.shared import borrowed, stored
 
 # Parameters of the ranking.
 RRF_K = 60
@@ -241,7 +241,8 @@ def search_passages(asked: DataFrame, passages: DataFrame, path: str, limit: int
     Postings carry the permission columns, so what a viewer may not see leaves before scores are summed; corpus figures
     cover all passages.
     """
-    lexical.write_blocks(passages, path, ["doc_id", "chunk_index"], fields)
+    with borrowed(passages, "passages") as rows:
+        lexical.write_blocks(rows, path, ["doc_id", "chunk_index"], fields)
     found = lexical.best(asked_terms(asked), lexical.Blocks(asked.sparkSession, path), limit, may_see())
     return found.select("question_id", "key.doc_id", "key.chunk_index", "score", "place")
 
